@@ -210,14 +210,9 @@ def adjacent_similarity(spark, sf_dir):
 @query(
     "artifact_truncation", "T13",
     """
-SELECT doc_id, md5(CASE WHEN nl > 199 + 1 THEN substr(head, 1, nl - 1) ELSE head END || chr(10) || '... [truncated]') AS
+SELECT doc_id, md5(CASE WHEN nl - 1 > 200 THEN substr(head, 1, nl - 1) ELSE head END || chr(10) || '... [truncated]') AS
     digest FROM (SELECT doc_id, head, CASE WHEN contains(head, chr(10)) THEN length(head) - instr(reverse(head), chr(10))
     + 1 ELSE 0 END AS nl FROM (SELECT doc_id, substr(text, 1, 400) AS head FROM documents WHERE length(text) > 400))
-WHERE nl <> 201
-UNION ALL
-SELECT doc_id, md5(head || chr(10) || '... [truncated]') FROM (SELECT doc_id, head, CASE WHEN contains(head, chr(10))
-    THEN length(head) - instr(reverse(head), chr(10)) + 1 ELSE 0 END AS nl FROM (SELECT doc_id, substr(text, 1, 400) AS
-    head FROM documents WHERE length(text) > 400)) WHERE nl = 201
 """,
 )
 def artifact_truncation(spark, sf_dir):
@@ -225,7 +220,10 @@ def artifact_truncation(spark, sf_dir):
     return docs.select("doc_id", F.md5(T.truncate_artifact(F.col("text"), 100).cast("binary")).alias("digest"))
 
 
-@query("message_identity", "T14")
+@query(
+    "message_identity", "T14",
+    "SELECT conv_id, turn, sha256(role || ':' || turn || ':' || substr(full_text, 1, 200)) AS identity FROM v_messages",
+)
 def message_identity(spark, sf_dir):
     return messages(spark, sf_dir).select(
         "conv_id", "turn", T.message_identity(F.col("role"), F.col("turn"), F.col("full_text")).alias("identity")
