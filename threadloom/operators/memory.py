@@ -279,7 +279,7 @@ def conflict_groups(decisions: DataFrame, min_overlap: float = MIN_OVERLAP) -> D
     )
     joined = with_b.join(same, ["user_id", "a", "b"], "left")
     apart = F.col("copies_a") * F.col("copies_b") - F.coalesce("same_session", F.lit(0))
-    pairs = F.when(F.col("a") == F.col("b"), F.floor(apart / 2)).otherwise(apart).cast("bigint")
+    pairs = F.when(F.col("a") == F.col("b"), F.shiftright(apart, 1)).otherwise(apart)
     return (
         joined.withColumn("pairs", pairs)
         .where(F.col("pairs") > 0)
