@@ -237,8 +237,6 @@ def detected(documents: DataFrame) -> DataFrame:
         WHEN {arr} AND {_is(first, 'OBJECT')} AND {has('role', first)} THEN 'openai_array'
         WHEN {obj} AND {has('mapping')} THEN 'openai_export'
         WHEN {obj} AND {has('choices')} THEN 'openai_response'
-        WHEN {obj} AND {has('role')} AND {has('content')} AND NOT coalesce({_s('doc', 'type')} = 'message', false)
-            THEN 'openai_single'
         WHEN {obj} AND {has('role')} AND {has('content')} THEN 'openai_single'
         WHEN {obj} AND NOT {claude_blocked} AND {_s('doc', 'type')} = 'message' THEN 'claude_response'
         WHEN {obj} AND {claude_request} THEN 'claude_request'
