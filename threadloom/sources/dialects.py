@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import chains, fixed, ordered
+from threadloom.functions.barrier import once
 from threadloom.functions import text as T
 
 WS = r"[ \t\r\x0b\x0c]"
@@ -41,11 +42,14 @@ def _v(source: str, path: str) -> str:
 
 def _is(source: str, kind: str) -> str:
     """Is the variant an OBJECT, ARRAY or STRING?  (Missing counts as no.)"""
-    return f"coalesce(startswith(schema_of_variant({source}), '{kind}'), false)"
+    if kind == "STRING":
+        return f"coalesce(schema_of_variant({source}) = 'STRING', false)"
+    target = {"OBJECT": "map<string,variant>", "ARRAY": "array<variant>"}[kind]
+    return f"(try_cast({source} AS {target}) IS NOT NULL)"
 
 
 def _items(source: str) -> str:
-    return f"coalesce(CASE WHEN {_is(source, 'ARRAY')} THEN try_cast({source} AS array<variant>) END, array())"
+    return f"coalesce(try_cast({source} AS array<variant>), array())"
 
 
 def _text_of(source: str) -> str:
@@ -215,7 +219,7 @@ def _gemini_blocks(m: str) -> str:
 def parsed(exports: DataFrame) -> DataFrame:
     """Add `doc`: the export as VARIANT when it looks like JSON and is valid, NULL otherwise."""
     body = T.strip("raw")
-    return exports.withColumn("doc", F.when(body.rlike(r"^[{\[]"), F.try_parse_json(body)))
+    return once(exports, doc=F.when(body.rlike(r"^[{\[]"), F.try_parse_json(body)))
 
 
 def detected(documents: DataFrame) -> DataFrame:
@@ -253,7 +257,7 @@ def detected(documents: DataFrame) -> DataFrame:
         .when(F.col("shape") == "openai_export", "openai_export")
         .otherwise(family)
     )
-    return documents.withColumn("shape", F.expr(shape)).withColumn("source_format", label)
+    return once(documents, shape=F.expr(shape)).withColumn("source_format", label)
 
 
 def provider(source_format: str) -> Column:
@@ -284,7 +288,7 @@ def _openai_rows(documents: DataFrame) -> DataFrame:
     raw = f"""filter(CASE shape WHEN 'openai_array' THEN {_items('doc')} WHEN 'openai_single' THEN array(doc)
         ELSE transform({_items(_v('doc', 'choices'))}, c -> coalesce({_v('c', 'message')}, {_v('c', 'delta')})) END,
         m -> m IS NOT NULL AND {_is('m', 'OBJECT')} AND {_s('m', 'role')} <> '')"""
-    staged = documents.withColumn("raw_messages", F.expr(raw))
+    staged = once(documents, raw_messages=F.expr(raw))
     content = _v("m", "content")
     system = f"""transform(filter(raw_messages, m -> lower({_s('m', 'role')}) = 'system'), m -> CASE WHEN {_is(content, 'STRING')}
         THEN {_text_of(content)} ELSE {_texts(_items(content), chr(92) + 'n')} END)"""
@@ -303,7 +307,7 @@ def _openai_rows(documents: DataFrame) -> DataFrame:
 def _claude_rows(documents: DataFrame) -> DataFrame:
     raw = f"""filter(CASE shape WHEN 'claude_response' THEN array(doc) ELSE {_items(_v('doc', 'messages'))} END,
         m -> {_is('m', 'OBJECT')} AND (shape = 'claude_response' OR {_s('m', 'role')} <> ''))"""
-    staged = documents.withColumn("raw_messages", F.expr(raw))
+    staged = once(documents, raw_messages=F.expr(raw))
     role = f"CASE WHEN shape = 'claude_response' THEN 'assistant' ELSE {role_sql(_s('m', 'role'), 'claude')} END"
     system = _v("doc", "system")
     tokens = (
@@ -330,7 +334,7 @@ def _gemini_rows(documents: DataFrame) -> DataFrame:
         ELSE transform(filter(CASE shape WHEN 'gemini_single' THEN array(doc) WHEN 'gemini_array' THEN {_items('doc')}
             ELSE {_items(_v('doc', 'contents'))} END, m -> {_is('m', 'OBJECT')}),
             m -> named_struct('m', m, 'finish', '')) END"""
-    staged = documents.withColumn("raw_messages", F.expr(raw))
+    staged = once(documents, raw_messages=F.expr(raw))
     system = _either("doc", "systemInstruction", "system_instruction")
     role = role_sql("coalesce(try_variant_get(x.m, '$.role', 'string'), 'user')", "gemini")
     tokens = (
@@ -366,7 +370,7 @@ def text_turns(documents: DataFrame) -> DataFrame:
         ),
     )
     turns = F.filter(pairs, lambda t: t["content"] != "")
-    return staged.withColumn("turns", F.when(F.size("__marks") > 0, turns)).drop("__marks", "__parts")
+    return once(staged, turns=F.when(F.size("__marks") > 0, turns)).drop("__marks", "__parts")
 
 
 def _text_rows(documents: DataFrame) -> DataFrame:
@@ -401,7 +405,7 @@ def _export_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         lambda e: F.struct(e["key"].alias("node"), F.try_parse_json(e["value"]).alias("v")),
     )
     parent = "try_variant_get(e.v, '$.parent', 'string')"
-    listed = nodes.withColumn("entries", entries).withColumn(
+    listed = once(nodes, entries=entries).withColumn(
         "absent", F.expr(f"array_except(transform(entries, e -> {parent}), map_keys(mapping))")
     )
     rooted = listed.withColumn(
@@ -429,12 +433,12 @@ def _export_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         WHEN size({from_parts}) > 0 THEN {from_parts}
         WHEN {_s('m', 'content.content_type')} = 'code' AND {_strip(_s('m', 'content.text'))} <> '' THEN array({code})
         ELSE {NO_BLOCKS} END"""
-    said = on_path.select(
+    said = once(on_path, blocks=F.expr(blocks)).select(
         "conv_id",
         "step",
         F.expr(role).alias("raw_role"),
         F.expr(role_sql(role, "openai")).alias("role"),
-        F.expr(blocks).alias("blocks"),
+        "blocks",
         F.expr(
             "array_join(transform(filter(" + _items(_v("m", "content.parts")) + f", p -> {_is('p', 'STRING')} AND"
             f" {_strip(_text_of('p'))} <> ''), p -> {_text_of('p')}), ' ')"
@@ -489,7 +493,9 @@ def normalize(exports: DataFrame, dialects: tuple[str, ...] = ("openai", "claude
             rows = _FAMILIES[name](documents.where(F.col("shape").isin(_SHAPES[name])))
             head = rows.drop("messages")
             spoken = F.filter("messages", lambda m: F.size(m["blocks"]) > 0)
-            body = rows.select("conv_id", F.posexplode(spoken).alias("turn", "m")).select(
+            # posexplode_outer: the inner form makes the planner test the array's size in a copy of the whole parse.
+            exploded = rows.select("conv_id", F.posexplode_outer(spoken).alias("turn", "m"))
+            body = exploded.where(F.col("turn").isNotNull()).select(
                 "conv_id", "turn", "m.role", "m.blocks", "m.model", "m.finish_reason",
                 F.lit(None).cast("timestamp").alias("ts"),
             )

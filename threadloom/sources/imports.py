@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import fixed
 from threadloom.functions import text as T
+from threadloom.functions.barrier import once
 
 CAPTURE_SCHEMA = (
     "platform string, model string, title string, url string,"
@@ -25,14 +26,13 @@ def import_texts(texts: DataFrame) -> DataFrame:
     """Classify raw texts: kind, size in bytes and the parsed document; blank texts are dropped."""
     body = T.strip("raw")
     doc = F.when(body.rlike(r"^[{\[]"), F.try_parse_json(body))
-    return texts.where(body != "").withColumns(
-        {"doc": doc, "size_bytes": F.octet_length("raw")}
-    ).withColumn("kind", F.when(F.col("doc").isNotNull(), "text_json").otherwise("text_plain"))
+    parsed = once(texts.where(body != ""), doc=doc).withColumn("size_bytes", F.octet_length("raw"))
+    return parsed.withColumn("kind", F.when(F.col("doc").isNotNull(), "text_json").otherwise("text_plain"))
 
 
 def import_json(lines: DataFrame) -> DataFrame:
     """Newline-delimited JSON documents as VARIANT; rows that are empty or not JSON are dropped."""
-    return lines.withColumn("doc", F.try_parse_json("raw")).where(
+    return once(lines, doc=F.try_parse_json("raw")).where(
         F.col("doc").isNotNull() & ~F.to_json("doc").isin("{}", "[]", "null", '""', "0", "false")
     )
 
@@ -58,7 +58,7 @@ def import_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             ),
         }
     )
-    checked = decoded.withColumn("doc", F.when(F.col("extension") == "json", F.try_parse_json("raw")))
+    checked = once(decoded, doc=F.when(F.col("extension") == "json", F.try_parse_json("raw")))
     reason = (
         F.when(F.col("size_bytes") == 0, "empty")
         .when((F.col("extension") == "json") & F.col("doc").isNull(), "invalid_json")
@@ -75,7 +75,7 @@ def import_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def import_captures(captures: DataFrame, now: Column | None = None) -> DataFrame:
     """captures(capture_id, payload JSON) -> one session row per valid capture; works on batches and on streams."""
     table = F.create_map(*[F.lit(x) for pair in fixed.PLATFORM_PROVIDER.items() for x in pair])
-    parsed = captures.withColumn("p", F.from_json("payload", CAPTURE_SCHEMA)).where(F.size("p.messages") > 0)
+    parsed = once(captures, p=F.from_json("payload", CAPTURE_SCHEMA)).where(F.size("p.messages") > 0)
     chars = F.aggregate("p.messages", F.lit(0).cast("bigint"), lambda acc, m: acc + F.length(m["content"]))
     moment = F.coalesce(F.try_to_timestamp("p.captured_at"), F.current_timestamp() if now is None else now)
     platform = F.col("p.platform")
@@ -105,10 +105,8 @@ def exchange_provider(request: str = "req", response: str = "resp") -> Column:
 
 def exchanges(log: DataFrame) -> DataFrame:
     """exchange_log(exchange_id, request, response) parsed and told apart; unknown ones are kept with a NULL provider."""
-    parsed = log.select(
-        "exchange_id", F.try_parse_json("request").alias("req"), F.try_parse_json("response").alias("resp")
-    )
-    return parsed.withColumn("provider", exchange_provider())
+    parsed = once(log, req=F.try_parse_json("request"), resp=F.try_parse_json("response"))
+    return once(parsed.select("exchange_id", "req", "resp"), provider=exchange_provider())
 
 
 _ARRAY = "coalesce(try_variant_get({0}, '{1}', 'array<variant>'), array())"
@@ -154,14 +152,15 @@ def exchange_rows(parsed: DataFrame) -> DataFrame:
         WHEN 'anthropic' THEN concat('{{', {member('model', "try_variant_get(req, '$.model', 'variant')")},
             {member('system', "try_variant_get(req, '$.system', 'variant')")}, '"messages":[', array_join({answered}, ','), ']}}')
         ELSE concat('{{', {member('systemInstruction', system)}, '"contents":', {joined(contents)}, '}}') END"""
-    return parsed.where(F.col("provider").isNotNull()).select(
+    known = once(parsed.where(F.col("provider").isNotNull()), raw=F.expr(raw))
+    return known.select(
         "exchange_id",
         "provider",
         F.expr("coalesce(try_variant_get(req, '$.model', 'string'), '')").alias("model"),
         F.expr(answer).alias("response_content"),
         F.expr(in_tokens).alias("request_tokens"),
         F.expr(out_tokens).alias("response_tokens"),
-        F.expr(raw).alias("raw"),
+        "raw",
     )
 
 
