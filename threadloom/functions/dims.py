@@ -43,8 +43,8 @@ def model_scores(spark: SparkSession) -> DataFrame:
 
 def technology_terms(spark: SparkSession) -> DataFrame:
     pairs = [line.split(" = ") for line in fixed.TECHNOLOGY_TERMS.strip().splitlines()]
-    rows = [(term, canonical, "tech") for term, canonical in pairs]
-    return spark.createDataFrame(rows, "term string, canonical string, type string")
+    rows = [(term, canonical, "tech", i) for i, (term, canonical) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "term string, canonical string, type string, place int")
 
 
 def opposing_choices(spark: SparkSession) -> DataFrame:

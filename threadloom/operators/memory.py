@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import dims, ordered
 from threadloom.functions import text as T
+from threadloom.functions.substrings import GRAM, grams
 
 HALF_LIFE = 30.0
 REINFORCEMENT = 0.1
 FLOOR = 0.05
 MIN_OVERLAP = 0.1
 STALLED_DAYS = 14.0
-GRAM = 8
 
 
 def decayed(importance: Column, age: Column, reinforcements: Column | int = 0, half_life: float = HALF_LIFE) -> Column:
@@ -347,31 +347,15 @@ def entity_session_counts(entities: DataFrame) -> DataFrame:
 
 
 def decided_keys(keys: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Entity keys that occur as a substring in some decision text of the user.
-
-    Every text is cut into all its substrings of 1 to GRAM characters (distinct per user).  A key of at most GRAM
-    characters is decided iff it equals one of them; a longer key looks up the texts that hold its first GRAM characters
-    and is verified there.  Both are equi-joins, so neither side has to fit into memory.
-    """
+    """Entity keys that occur as a substring in some decision text of the user (equi-joins on short substrings)."""
     texts = decisions.select("user_id", F.lower("description").alias("text")).distinct()
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-    placed = texts.select("user_id", "text", F.explode(starts).alias("at"))
-    grams = placed.select(
-        "user_id",
-        "text",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("text"), F.col("at"), n))
-        ).alias("gram"),
-    ).where(F.col("gram") != "")
+    cut = grams(texts, ["user_id"])
     short = keys.where(F.length("key") <= GRAM)
-    short_hits = short.join(
-        grams.select("user_id", F.col("gram").alias("key")).distinct(), ["user_id", "key"], "left_semi"
-    )
+    held = cut.select("user_id", F.col("gram").alias("key")).distinct()
+    short_hits = short.join(held, ["user_id", "key"], "left_semi")
     long = keys.where(F.length("key") > GRAM).withColumn("gram", F.substring("key", 1, GRAM))
-    full = grams.where(F.length("gram") == GRAM).distinct()
-    long_hits = (
-        long.join(full, ["user_id", "gram"]).where(F.contains(F.col("text"), F.col("key"))).select("user_id", "key").distinct()
-    )
+    found = long.join(cut.where(F.length("gram") == GRAM), ["user_id", "gram"])
+    long_hits = found.where(F.contains(F.col("text"), F.col("key"))).select("user_id", "key").distinct()
     return short_hits.select("user_id", "key").unionByName(long_hits)
 
 
