@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import ordered
 from threadloom.functions import text as T
+from threadloom.functions.barrier import once
 
 K1 = 1.5
 B = 0.75
@@ -46,11 +47,24 @@ def latest_documents(batches: DataFrame, version: str = "version") -> DataFrame:
 def postings(docs: DataFrame) -> DataFrame:
     """Term frequency per (token, id), with the document's length so that scoring needs no second join.
 
-    A document's repeats meet in the map-side aggregate, before the shuffle.
+    All occurrences of a token in a document sit in one row, so they are counted there (runs of the sorted tokens) and no
+    shuffle of occurrences takes place; postings leave the scan ready to be filtered or written.
     """
-    tokens = docs.select("id", T.terms("content").alias("tokens"))
-    exploded = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return exploded.groupBy("token", "id", "length").agg(F.count("*").alias("tf"))
+    ordered_tokens = once(docs.select("id", "content"), s=F.array_sort(T.terms("content")))
+    first = F.filter(
+        F.sequence(F.lit(1), F.size("s")),
+        lambda i: (i == 1) | (F.get("s", i - 1) != F.get("s", i - 2)),
+    )
+    runs = once(ordered_tokens.where(F.size("s") > 0).select("id", "s"), starts=first)
+    counted = F.transform(
+        "starts",
+        lambda p, k: F.struct(
+            F.get("s", p - 1).alias("token"),
+            (F.coalesce(F.get("starts", k + 1), F.size("s") + 1) - p).cast("bigint").alias("tf"),
+        ),
+    )
+    rows = runs.select("id", F.size("s").alias("length"), F.explode_outer(counted).alias("t"))
+    return rows.select("t.token", "id", "length", "t.tf")
 
 
 def lengths(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from threadloom.functions import chains, fixed
 from threadloom.operators import memory as M
 from threadloom.plans.registry import query
 from threadloom.plans.summaries import sql_strip, sql_terms
+from threadloom.session import saved
 from threadloom.sources.testviews import load, table
 
 DECAY = (
@@ -168,8 +169,14 @@ def entities(spark, sf_dir):
 
 
 
-def edges(spark, sf_dir):
-    e = entities(spark, sf_dir).where(F.length("name") >= 9)
+def shared_entities(spark, sf_dir):
+    """The entities as a written table, for queries that read them more than once."""
+    return saved(entities(spark, sf_dir), "entities")
+
+
+def edges(spark, sf_dir, e=None):
+    e = entities(spark, sf_dir) if e is None else e
+    e = e.where(F.length("name") >= 9)
     return e.select(
         "user_id", "session_seq", F.col("name").alias("src_name"), F.substring("name", 1, 6).alias("dst_name"),
         F.lit("related_to").alias("type"),
@@ -211,12 +218,12 @@ def temporal_decay(spark, sf_dir):
 
 @query("entity_merge", "B3", "SELECT * FROM v_merged", VIEWS)
 def entity_merge(spark, sf_dir):
-    return M.merge_entities(entities(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", ","))
+    return M.merge_entities(shared_entities(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query("alias_hits", "B4", "SELECT user_id, key, added, count(*) AS n FROM v_hits GROUP BY ALL", VIEWS)
 def alias_hits(spark, sf_dir):
-    return M.alias_hits(entities(spark, sf_dir)).groupBy("user_id", "key", "added").agg(F.count("*").alias("n"))
+    return M.alias_hits(shared_entities(spark, sf_dir)).groupBy("user_id", "key", "added").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -285,7 +292,8 @@ SELECT e.user_id, e.src_key, e.dst_key, e.relationship, m.importance AS weight F
     VIEWS,
 )
 def unified_graph(spark, sf_dir):
-    return M.unified_graph(M.merge_entities(entities(spark, sf_dir)), edges(spark, sf_dir))
+    e = shared_entities(spark, sf_dir)
+    return M.unified_graph(M.merge_entities(e), edges(spark, sf_dir, e))
 
 
 @query(
@@ -302,7 +310,7 @@ FROM (SELECT user_id, count(*) AS session_count, sum(message_count) AS message_c
 )
 def consolidation_totals(spark, sf_dir):
     return M.consolidation_totals(
-        sessions(spark, sf_dir), entities(spark, sf_dir), decisions(spark, sf_dir), tasks(spark, sf_dir)
+        sessions(spark, sf_dir), shared_entities(spark, sf_dir), decisions(spark, sf_dir), tasks(spark, sf_dir)
     )
 
 
@@ -364,7 +372,7 @@ SELECT g.user_id, gap_type, severity, CAST(CASE severity WHEN 'high' THEN 0 WHEN
     VIEWS,
 )
 def gap_report(spark, sf_dir):
-    e, d, t = entities(spark, sf_dir), decisions(spark, sf_dir), tasks(spark, sf_dir)
+    e, d, t = shared_entities(spark, sf_dir), decisions(spark, sf_dir), tasks(spark, sf_dir)
     report = M.gap_report(e, d, t)
     counted = report.groupBy("user_id", "gap_type", "severity", "severity_order").agg(F.count("*").alias("gaps"))
     return counted.join(M.distinct_counts(e, d, t), "user_id")
@@ -444,7 +452,8 @@ UNION ALL SELECT user_id, 'superseded_by', CAST(session_seq AS VARCHAR), CAST(se
     VIEWS,
 )
 def integrity_violations(spark, sf_dir):
-    e, links = entities(spark, sf_dir), edges(spark, sf_dir)
+    e = shared_entities(spark, sf_dir)
+    links = edges(spark, sf_dir, e)
     docs = table(spark, sf_dir, "documents")
     ghosts = docs.selectExpr("doc_id % 20 AS user_id", "concat('ghost', doc_id) AS label")
     nodes = e.select("user_id", F.col("name").alias("label")).unionByName(ghosts)

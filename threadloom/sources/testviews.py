@@ -14,8 +14,20 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 
 
+TEXT_TABLES = {"documents", "conversations", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.  A text table that comes in fewer files than there are cores is spread over them first.
+
+    Such a table is small (a file of one row group is one task, whatever its split size), while the regular expressions
+    run on its texts are not.  A table in many files is read as it is, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
 
 
 SQL = {
