@@ -177,6 +177,11 @@ def _matrix(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows / np.where(norms > 0, norms, 1.0)[:, None], sizes > 0
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Six digits, halves away from zero as in Spark SQL (numpy would round them to even)."""
+    return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6 + 0.0
+
+
 def _best_of_batches(
     batches: Iterator[pa.RecordBatch], block: dict, mode: str, k: int, minimum: float | None, half_life: float
 ) -> Iterator[pa.RecordBatch]:
@@ -208,7 +213,7 @@ def _best_of_batches(
             exact = base * recency[:, None]
             if mode == "semantic":
                 exact[~has_vector] = -np.inf
-            score = np.round(exact, 6)
+            score = _rounded(exact)
             if len(score) >= k:
                 # The k-th best of this slice bounds what can still win; ties stay in and are settled by id later.
                 reached = np.partition(score, len(score) - k, axis=0)[len(score) - k]
@@ -221,10 +226,10 @@ def _best_of_batches(
                 [
                     block["ids"].take(pa.array(cols)),
                     part.column("id").take(pa.array(rows)),
-                    pa.array(score[rows, cols] + 0.0),
-                    pa.array(np.round(keyword[rows, cols], 6) + 0.0),
-                    pa.array(np.round(semantic[rows, cols], 6) + 0.0),
-                    pa.array(np.round(recency[rows], 6)),
+                    pa.array(score[rows, cols]),
+                    pa.array(_rounded(keyword[rows, cols])),
+                    pa.array(_rounded(semantic[rows, cols])),
+                    pa.array(_rounded(recency[rows])),
                 ],
                 names=["query_id", "id", "score", "keyword_score", "semantic_score", "recency_factor"],
             )
