@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.plans import streams as P
@@ -12,9 +13,11 @@ from threadloom.streaming import jobs as J
 
 @pytest.fixture(scope="module")
 def split_events(spark, sf, tmp_path_factory):
-    """The events table in time order as five files, so that the stream runs five batches."""
+    """The events table as five files written one after the other in time order, so that the stream runs five batches."""
     folder = str(tmp_path_factory.mktemp("events"))
-    table(spark, sf, "events").repartitionByRange(5, "ts").sortWithinPartitions("ts").write.mode("overwrite").parquet(folder)
+    numbered = table(spark, sf, "events").withColumn("part", F.ntile(5).over(Window.orderBy("ts"))).cache()
+    for part in range(1, 6):
+        numbered.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
     return folder
 
 

@@ -228,7 +228,7 @@ def limited(requests: DataFrame) -> DataFrame:
     rate = F.col("requests_per_hour") / F.lit(3600.0)
     pause = F.try_divide(F.col("requests_per_hour") + F.col("burst_size"), rate)
     starts = F.col("before").isNull() | (F.col("seconds") - F.col("before.seconds") >= pause)
-    cut = paired.withColumn("starts", F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)).drop("before")
+    cut = paired.withColumn("starts", F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0)).drop("before")
     pieces = ordered.running_sum(cut, ["user_id"], ["seconds", "request_id"], F.col("starts"), bucket, "segment")
     placed = pieces.drop("starts").repartition("user_id", "segment").sortWithinPartitions(
         "user_id", "segment", "seconds", "request_id"
