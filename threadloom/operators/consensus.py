@@ -87,7 +87,7 @@ def classify_tasks(tasks: DataFrame, keywords: DataFrame) -> DataFrame:
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("task"), F.lit("[a-z]+"), F.lit(0)))
     hits = (
         tasks.select("task_id", F.explode(tokens).alias("word"))
-        .join(F.broadcast(keywords), "word")  # a fixed list of fewer than 100 words
+        .join(keywords, "word")
         .groupBy("task_id", "task_type", "class_order")
         .agg(F.count("*").alias("hits"))
     )
@@ -111,4 +111,4 @@ def rank_models(classified: DataFrame, scores: DataFrame, available: list[str] |
     pairs = models.withColumn("task_type", F.explode(scores.select(F.collect_set("task_type")).scalar()))
     filled = pairs.join(scores, ["model_id", "task_type"], "left").withColumn("score", F.coalesce("score", F.lit(NO_SCORE)))
     ranked = ordered.top_rows(filled, ["task_type"], [F.desc("score"), F.asc("model_id")], n or 1_000)
-    return classified.join(F.broadcast(ranked), "task_type")
+    return classified.join(ranked, "task_type")

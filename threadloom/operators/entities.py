@@ -82,27 +82,27 @@ def term_mentions(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Whole-word dictionary matches, at most one per term and message.
 
     dictionary(term, canonical, type, place).  One-word terms are an equi-join on the distinct words of a message.  A term
-    of several parts is looked up by its first word in the same way and then verified on the text, so the dictionary is
-    never scanned per message.  The join side is chosen by its size at run time; nothing is forced into memory.
+    of several parts is looked up by its first word in the same pass and then verified on the text, so the dictionary is
+    never scanned per message.  Only words that start such a term carry the text along.  The join side is chosen by its
+    size at run time; nothing is forced into memory.
     """
     terms = dictionary.withColumn("head", F.regexp_extract("term", rf"^{WORD}", 0))
-    single = terms.where(F.col("head") == F.col("term"))
     several = terms.where(F.col("head") != F.col("term"))
-    words = F.array_distinct(_all("lowered", WORD))
-    lowered = messages.select("conv_id", "turn", F.lower("full_text").alias("lowered"))
-    tokens = lowered.select("conv_id", "turn", F.explode(words).alias("head"))
-    hits = tokens.join(single, "head").select("conv_id", "turn", "canonical", "type", "place")
-    around = r"(?<![a-zA-Z0-9_\-])\Q{}\E(?![a-zA-Z0-9_\-])"
-    before, after = around.split("{}")
-    pattern = F.concat(F.lit(before), F.col("term"), F.lit(after))
-    # The narrow (conv, turn, term) candidates come first; texts are joined only to those.
-    candidates = tokens.join(several, "head").select("conv_id", "turn", "term", "canonical", "type", "place")
-    verified = (
-        candidates.join(lowered, ["conv_id", "turn"])
-        .where(F.rlike(F.col("lowered"), pattern))
-        .select("conv_id", "turn", "canonical", "type", "place")
+    starts = several.select(F.collect_set("head")).scalar()
+    lowered = messages.select("conv_id", "turn", F.lower("full_text").alias("lowered")).withColumn(
+        "words", F.array_distinct(_all("lowered", WORD))
     )
-    return hits.unionByName(verified).select(
+    lowered = lowered.withColumn("starting", F.array_intersect("words", starts))
+    words = F.transform(
+        "words",
+        lambda w: F.struct(w.alias("head"), F.when(F.array_contains("starting", w), F.col("lowered")).alias("text")),
+    )
+    tokens = lowered.select("conv_id", "turn", F.explode(words).alias("w")).select("conv_id", "turn", "w.*")
+    before, after = r"(?<![a-zA-Z0-9_\-])\Q", r"\E(?![a-zA-Z0-9_\-])"
+    pattern = F.concat(F.lit(before), F.col("term"), F.lit(after))
+    whole = (F.col("head") == F.col("term")) | F.rlike(F.col("text"), pattern)
+    hits = tokens.join(terms, "head").where(whole)
+    return hits.select(
         "conv_id", "turn", F.lit(SOURCES["term"]).alias("source"), F.col("place").cast("bigint").alias("ix"),
         F.concat(F.lit("tech:"), F.lower("canonical")).alias("key"), F.col("canonical").alias("name"), "type",
     )

@@ -312,8 +312,11 @@ def override_prices(defaults: DataFrame, custom: DataFrame) -> DataFrame:
 
 
 def call_cost(calls: DataFrame, prices: DataFrame, digits: int | None = None) -> DataFrame:
-    """Cost of every call; a model without a price costs nothing.  The price list is a small dimension."""
-    priced = calls.join(F.broadcast(prices), "model_id", "left")
+    """Cost of every call; a model without a price costs nothing.
+
+    No broadcast hint: the price list comes from the caller, and Spark broadcasts it by itself when its size allows.
+    """
+    priced = calls.join(prices, "model_id", "left")
     cost = F.col("prompt_tokens") / F.lit(1e6) * F.coalesce("prompt_price", F.lit(0.0)) + F.col(
         "completion_tokens"
     ) / F.lit(1e6) * F.coalesce("completion_price", F.lit(0.0))

@@ -115,9 +115,9 @@ def conversation_safety(sanitized: DataFrame) -> DataFrame:
 
 
 def user_policies(users: DataFrame, policies: DataFrame, mapping: DataFrame) -> DataFrame:
-    """The policy of each user's subscription; unknown tiers get the default.  Both tables are fixed and tiny."""
-    named = users.join(F.broadcast(mapping), "tier", "left").withColumn("policy", F.coalesce("policy", F.lit("default")))
-    return named.join(F.broadcast(policies), "policy")
+    """The policy of each user's subscription; unknown tiers get the default."""
+    named = users.join(mapping, "tier", "left").withColumn("policy", F.coalesce("policy", F.lit("default")))
+    return named.join(policies, "policy")
 
 
 def override_policies(base: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
@@ -146,7 +146,7 @@ def policy_warnings(policies: DataFrame, key: str) -> DataFrame:
 
 def retention_split(sessions: DataFrame, users: DataFrame, tiers: DataFrame, now: str) -> DataFrame:
     """Add `expired`: older than the retention of the owner's tier; -1 keeps everything."""
-    limits = users.join(F.broadcast(tiers.select("tier", "retention_days")), "tier")
+    limits = users.join(tiers.select("tier", "retention_days"), "tier")
     joined = sessions.join(limits.select("user_id", "tier", "retention_days"), "user_id")
     age = F.timestamp_diff("SECOND", F.col("created_at"), F.lit(now).cast("timestamp_ntz")) / F.lit(86400.0)
     expired = (F.col("retention_days") >= 0) & (age > F.col("retention_days"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import ordered
 from threadloom.functions import text as T
+from threadloom.session import saved
 
 SHORT_MESSAGE = 50
 TOPIC_SENTENCES = 5
@@ -163,7 +164,8 @@ def global_summaries(messages: DataFrame, scored: DataFrame) -> DataFrame:
 
 def all_summaries(messages: DataFrame, min_topic_size: int = 1) -> DataFrame:
     """Message, topic and global summaries of every conversation in one table."""
-    scored = score_sentences(sentence_table(messages))
+    # Written once: message and global summaries both pick from the scored sentences.
+    scored = saved(score_sentences(sentence_table(messages)).drop("content"), "sentences")
     topics = merge_small_segments(segment_topics(messages), min_topic_size)
     return (
         message_summaries(messages, scored)

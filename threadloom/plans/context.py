@@ -121,7 +121,13 @@ def budget_stats(spark, sf_dir):
 def finished(spark, sf_dir, exports=None, budget=B.TOKEN_BUDGET):
     """Raw exports -> messages -> entities, summaries -> selection; every shared intermediate is written once."""
     conversations, spoken = D.normalize(PI.raw_openai(spark, sf_dir) if exports is None else exports, ("openai",))
-    spoken = saved(spoken.select("conv_id", "turn", "role", "full_text", "blocks"), "messages")
+    spoken = spoken.select("conv_id", "turn", "role", "full_text", "blocks")
+    if exports is None:
+        # Long conversations come in several exports; from here on they are one again.
+        spoken = PI.whole(spoken)
+        conversations = conversations.withColumn("conv_id", F.expr(f"conv_id div {PI.PARTS}"))
+        conversations = conversations.groupBy("conv_id", "source_format", "source_llm").agg(F.max("source_model").alias("source_model"))
+    spoken = saved(spoken, "messages")
     m = spoken.drop("blocks")
     mentions = saved(E.all_mentions(m, PE.dictionary(spark, sf_dir), D.block_rows(spoken)), "mentions")
     raw = saved(E.raw_entities(mentions), "raw")

@@ -88,7 +88,7 @@ def dictionary(spark, sf_dir):
 
     own = load(spark, sf_dir, "v_gazetteer")
     place = F.row_number().over(Window.orderBy("term")) + 1000  # at most 200 rows
-    return dims.technology_terms(spark).unionByName(own.withColumn("place", place))
+    return saved(dims.technology_terms(spark).unionByName(own.withColumn("place", place)), "dictionary")
 
 
 def one_word_terms(spark, sf_dir):

@@ -7,9 +7,9 @@ texts, so the work grows with the table.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.safety import sanitize  # noqa: F401  (kept importable from one place for streaming)
 from threadloom.plans.registry import query
 from threadloom.plans.summaries import sql_strip
 from threadloom.session import shared_folder
@@ -30,11 +30,42 @@ SYSTEM = (
 )
 
 
+PART = 5000
+PARTS = 1_000_000
+
+
 def turns(spark, sf_dir, fields):
-    """One row per conversation with its turns in order; a conversation is one raw export, so one row."""
+    """One row per export with its turns in order.
+
+    An export holds at most PART turns (a capture may not hold more); a longer conversation arrives as several exports, so
+    no conversation, however long, has to fit into one row.  The key of an export is conv_id * PARTS + part.
+    """
     m = load(spark, sf_dir, "v_messages")
+    key = (F.col("conv_id") * PARTS + F.floor(F.col("turn") / PART)).cast("bigint").alias("conv_id")
     listed = F.array_sort(F.collect_list(F.struct("turn", *fields)))
-    return m.groupBy("conv_id").agg(listed.alias("t"))
+    return m.groupBy(key).agg(listed.alias("t"))
+
+
+def whole(messages):
+    """Messages of exports as messages of conversations: turns go on counting from one part to the next."""
+    conv, part = F.expr(f"conv_id div {PARTS}"), F.col("conv_id") % PARTS
+    split = messages.withColumns({"part": part, "conv_id": conv})
+    sizes = split.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("conv_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    joined = split.join(offsets, ["conv_id", "part"])
+    return joined.withColumn("turn", (F.col("turn") + F.col("offset")).cast("int")).drop("part", "offset")
+
+
+def whole_heads(heads):
+    """Conversation heads over all parts: counts add up, the last system instruction holds."""
+    conv, part = F.expr(f"conv_id div {PARTS}"), F.col("conv_id") % PARTS
+    split = heads.withColumns({"part": part, "conv_id": conv})
+    said = F.when(F.col("system_instruction") != "", F.col("part"))
+    return split.groupBy("conv_id", "source_format", "source_llm").agg(
+        F.coalesce(F.max_by("system_instruction", said), F.lit("")).alias("system_instruction"),
+        F.sum("message_count").alias("message_count"),
+    )
 
 
 def raw_openai(spark, sf_dir):
@@ -77,12 +108,13 @@ def raw_text(spark, sf_dir):
 
 def messages_of(exports, dialect):
     _, m = D.normalize(exports, (dialect,))
-    return m.select("conv_id", "turn", "role", "full_text")
+    return whole(m.select("conv_id", "turn", "role", "full_text"))
 
 
 def heads_of(exports, dialect):
     c, m = D.normalize(exports, (dialect,))
-    return D.profiles(c, m).select("conv_id", "source_format", "source_llm", "system_instruction", "message_count")
+    profiled = D.profiles(c, m).select("conv_id", "source_format", "source_llm", "system_instruction", "message_count")
+    return whole_heads(profiled)
 
 
 @query(
@@ -97,7 +129,8 @@ def format_detection(spark, sf_dir):
     for make in (raw_openai, raw_claude, raw_gemini, raw_text):
         part = D.detected(D.parsed(make(spark, sf_dir)))
         out = part if out is None else out.unionByName(part)
-    return out.select("conv_id", "source_format", D.provider("source_format").alias("source_llm"))
+    labelled = out.select(F.expr(f"conv_id div {PARTS}").alias("conv_id"), "source_format", D.provider("source_format").alias("source_llm"))
+    return labelled.distinct()
 
 
 for _name, _ids, _make, _dialect in (
@@ -300,10 +333,7 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1
 )
 def export_tree(spark, sf_dir):
     """Every conversation as a tree: the turns form the last-child path, and every node has a dead first branch."""
-    m = load(spark, sf_dir, "v_messages")
-    nodes = m.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "full_text"))).alias("t")
-    )
+    nodes = turns(spark, sf_dir, ["role", "full_text"])
     node = lambda name, body: F.concat(F.to_json(F.array(name)).substr(F.lit(2), F.length(name) + 2), F.lit(":"), body)
 
     def entry(x, i):
@@ -326,7 +356,8 @@ def export_tree(spark, sf_dir):
 
     raw = F.concat(F.lit('{"title":"x","mapping":{'), F.array_join(F.transform("t", entry), ","), F.lit("}}"))
     _, out = D.normalize(nodes.select("conv_id", raw.alias("raw")), ("export",))
-    return out.select("conv_id", "turn", "role", "full_text", F.unix_seconds("ts").alias("epoch"))
+    timed = out.select("conv_id", "turn", "role", "full_text", F.unix_seconds("ts").alias("epoch"))
+    return whole(timed)
 
 
 FENCED = (
@@ -449,14 +480,15 @@ def file_import(spark, sf_dir):
 
 def captures(spark, sf_dir):
     t = turns(spark, sf_dir, [F.col("role"), F.col("full_text").alias("content")])
-    platform = F.expr("element_at(array('chatgpt', 'claude', 'gemini', 'other'), CAST(conv_id % 4 + 1 AS INT))")
+    conv = F.expr(f"conv_id div {PARTS}")
+    platform = F.expr("element_at(array('chatgpt', 'claude', 'gemini', 'other'), CAST(conv_id div 1000000 % 4 + 1 AS INT))")
     doc = F.struct(
         platform.alias("platform"),
         F.lit("m").alias("model"),
-        F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.concat(F.lit("Talk "), F.col("conv_id").cast("string"))).alias("title"),
-        F.concat(F.lit("https://chat.example.com/c/"), F.col("conv_id").cast("string"), F.lit("?x=1#top")).alias("url"),
+        F.when(conv % 5 == 0, "").otherwise(F.concat(F.lit("Talk "), conv.cast("string"))).alias("title"),
+        F.concat(F.lit("https://chat.example.com/c/"), conv.cast("string"), F.lit("?x=1#top")).alias("url"),
         F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), F.lit("").alias("model"))).alias("messages"),
-        F.when(F.col("conv_id") % 7 == 0, "not a time").otherwise("2024-05-06T07:08:09Z").alias("captured_at"),
+        F.when(conv % 7 == 0, "not a time").otherwise("2024-05-06T07:08:09Z").alias("captured_at"),
     )
     return t.select(F.col("conv_id").alias("capture_id"), F.to_json(doc).alias("payload"))
 
@@ -464,12 +496,12 @@ def captures(spark, sf_dir):
 @query(
     "capture_ingest", "S4",
     """
-SELECT conv_id AS capture_id, CASE WHEN conv_id % 5 = 0 THEN 'Captured Conversation' ELSE 'Talk ' || conv_id END AS title,
+SELECT conv_id * 1000000 + turn // 5000 AS capture_id, CASE WHEN conv_id % 5 = 0 THEN 'Captured Conversation' ELSE 'Talk ' || conv_id END AS title,
     CASE conv_id % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'google' ELSE 'other' END AS source_llm,
     CAST(count(*) AS INT) AS message_count, CAST(sum(length(full_text)) // 4 AS BIGINT) AS total_tokens,
     'auto-capture,' || CASE conv_id % 4 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' WHEN 2 THEN 'gemini' ELSE 'other' END AS
     tags, CAST(CASE WHEN conv_id % 7 = 0 THEN 1717200000 ELSE 1714979289 END AS BIGINT) AS captured_at
-FROM v_messages GROUP BY conv_id
+FROM v_messages GROUP BY conv_id, turn // 5000
 """,
 )
 def capture_ingest(spark, sf_dir):
