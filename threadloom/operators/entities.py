@@ -255,15 +255,22 @@ def cooccurrence(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
-def _verb_positions(verb: str) -> Column:
-    """Zero-based starts of a verb phrase: the pieces between its matches add up to the positions."""
+_HITS = "array<struct<verb:int,relationship:string,pos:int>>"
+
+
+def _verb_hits(n: int, verb: str, relationship: str) -> Column:
+    """Matches of one verb phrase with their zero-based starts: the pieces between matches add up to the positions."""
     sizes = F.transform(F.split("lowered", rf"(?U)\b{verb}\b", -1), F.length)
-    ends = F.sequence(F.lit(1), F.size("sizes") - 1)
-    starts = F.transform(
-        ends,
-        lambda k: F.aggregate(F.slice("sizes", F.lit(1), k), F.lit(0), lambda acc, n: acc + n) + (k - 1) * F.lit(len(verb)),
-    )
-    return sizes, F.when(F.size("sizes") > 1, starts).otherwise(F.array().cast("array<int>"))
+
+    def hit(z, k):
+        start = F.aggregate(F.slice(z, F.lit(1), k), F.lit(0), lambda acc, m: acc + m) + (k - 1) * F.lit(len(verb))
+        return F.struct(F.lit(n).alias("verb"), F.lit(relationship).alias("relationship"), start.alias("pos"))
+
+    def hits(z):
+        return F.when(F.size(z) > 1, F.transform(F.sequence(F.lit(1), F.size(z) - 1), lambda k: hit(z, k)))
+
+    found = F.when(F.contains(F.col("lowered"), F.lit(verb)), F.get(F.transform(F.array(sizes), hits), F.lit(0)))
+    return F.coalesce(found, F.array().cast(_HITS))
 
 
 def verb_edges(messages: DataFrame, entities: DataFrame) -> DataFrame:
@@ -273,15 +280,12 @@ def verb_edges(messages: DataFrame, entities: DataFrame) -> DataFrame:
     full name is then compared at that position.
     """
     lowered = messages.select("conv_id", "turn", F.lower("full_text").alias("lowered"))
-    parts = None
-    for n, (verb, kind) in enumerate(fixed.RELATION_VERBS):
-        sizes, starts = _verb_positions(verb)
-        hit = lowered.where(F.contains(F.col("lowered"), F.lit(verb))).withColumn("sizes", sizes)
-        rows = hit.select(
-            "conv_id", "turn", "lowered", F.lit(n).alias("verb"), F.lit(kind).alias("relationship"),
-            F.explode(starts).alias("pos"),
-        )
-        parts = rows if parts is None else parts.unionByName(rows)
+    every = F.concat(*[_verb_hits(n, verb, kind) for n, (verb, kind) in enumerate(fixed.RELATION_VERBS)])
+    parts = (
+        lowered.withColumn("h", F.explode_outer(every))
+        .where(F.col("h").isNotNull())
+        .select("conv_id", "turn", "lowered", "h.verb", "h.relationship", "h.pos")
+    )
     low = F.greatest(F.lit(0), F.col("pos") - CONTEXT)
     windows = parts.select(
         "conv_id", "turn", "verb", "relationship", "pos",

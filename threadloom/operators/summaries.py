@@ -129,9 +129,16 @@ def topic_labels(topics: DataFrame) -> DataFrame:
     return extent.join(words, ["conv_id", "topic"], "left").withColumn("label", label).drop("top")
 
 
-def topic_summaries(topics: DataFrame) -> DataFrame:
-    """Up to five best sentences per topic, scored within the topic, in score order."""
-    scored = score_sentences(sentence_table(topics, ["topic"]), ["conv_id", "topic"])
+def topic_summaries(topics: DataFrame, sentences: DataFrame | None = None) -> DataFrame:
+    """Up to five best sentences per topic, scored within the topic, in score order.
+
+    With the sentence table at hand only the narrow topic numbers are joined to it; texts are not split again.
+    """
+    if sentences is None:
+        placed = sentence_table(topics, ["topic"])
+    else:
+        placed = sentences.join(topics.select("conv_id", "turn", "topic"), ["conv_id", "turn"])
+    scored = score_sentences(placed, ["conv_id", "topic"])
     order = [F.desc("score"), F.asc("turn"), F.asc("pos")]
     top = ordered.top_rows(scored, ["conv_id", "topic"], order, TOPIC_SENTENCES)
     text = top.groupBy("conv_id", "topic").agg(
@@ -164,12 +171,14 @@ def global_summaries(messages: DataFrame, scored: DataFrame) -> DataFrame:
 
 def all_summaries(messages: DataFrame, min_topic_size: int = 1) -> DataFrame:
     """Message, topic and global summaries of every conversation in one table."""
-    # Written once: message and global summaries both pick from the scored sentences.
-    scored = saved(score_sentences(sentence_table(messages)).drop("content"), "sentences")
+    # Sentences, scores and topic numbers are each read several times: they are written once.
+    sentences = saved(sentence_table(messages), "sentences")
+    scored = saved(score_sentences(sentences).drop("content"), "scored")
     topics = merge_small_segments(segment_topics(messages), min_topic_size)
+    topics = saved(topics.select("conv_id", "turn", "topic"), "topics")
     return (
         message_summaries(messages, scored)
-        .unionByName(topic_summaries(topics).drop("topic"))
+        .unionByName(topic_summaries(topics, sentences).drop("topic"))
         .unionByName(global_summaries(messages, scored))
     )
 
