@@ -167,7 +167,15 @@ def import_mentions(spark, sf_dir):
     return pattern_rows(spark, sf_dir, "import")
 
 
-@query("env_var_mentions", "E5")
+@query(
+    "env_var_mentions", "E5",
+    f"""
+SELECT conv_id, turn, lower(w) AS key, w AS name, count(*) AS mentions FROM (SELECT conv_id, turn,
+    unnest(regexp_extract_all(full_text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM v_tech) WHERE regexp_full_match(w,
+    '[A-Z][A-Z0-9_]{{2,}}') AND ({" OR ".join(f"starts_with(w, '{p}')" for p in fixed.ENV_VAR_PREFIXES)}) GROUP BY ALL
+""",
+    VIEWS,
+)
 def env_var_mentions(spark, sf_dir):
     return pattern_rows(spark, sf_dir, "env_var")
 

@@ -497,7 +497,7 @@ def session_costs(spark, sf_dir):
 WITH p AS (SELECT model_id, prompt_price, completion_price FROM v_prices WHERE model_id <> 'openai/gpt-4o'
     UNION ALL SELECT * FROM (VALUES ('openai/gpt-4o', 9.0, 19.0), ('unknown/model', 1.0, 2.0)) t)
 SELECT c.model_id, count(*) AS calls, round(sum(c.prompt_tokens / 1e6 * coalesce(p.prompt_price, 0.0) +
-    c.completion_tokens / 1e6 * coalesce(p.completion_price, 0.0)), 4) AS cost
+    c.completion_tokens / 1e6 * coalesce(p.completion_price, 0.0)), 9) AS cost
 FROM v_calls c LEFT JOIN p USING (model_id) GROUP BY 1
 """,
     LOCAL,
@@ -509,7 +509,7 @@ def price_override(spark, sf_dir):
     )
     prices = R.override_prices(dims.call_prices(spark), custom)
     costed = R.call_cost(load(spark, sf_dir, "v_calls"), prices)
-    return costed.groupBy("model_id").agg(F.count("*").alias("calls"), F.round(F.sum("cost"), 4).alias("cost"))
+    return costed.groupBy("model_id").agg(F.count("*").alias("calls"), F.round(F.sum("cost"), 9).alias("cost"))
 
 
 @query(
@@ -532,7 +532,7 @@ def registry_cost(spark, sf_dir):
     """
 SELECT session_id, count(*) AS steps,
     CAST(coalesce(sum(prompt_tokens + completion_tokens) FILTER (WHERE call_id % 11 <> 0), 0) AS BIGINT) AS total_tokens,
-    round(coalesce(sum(cost) FILTER (WHERE call_id % 11 <> 0), 0.0), 6) AS total_cost,
+    round(coalesce(sum(cost) FILTER (WHERE call_id % 11 <> 0), 0.0), 9) AS total_cost,
     bool_or(call_id % 11 = 0) AS has_error, arg_max(CAST(call_id AS VARCHAR), call_id) AS last_output
 FROM v_costed GROUP BY session_id
 """,
@@ -546,7 +546,7 @@ def run_totals(spark, sf_dir):
             "step": F.col("call_id"),
         }
     )
-    return R.run_totals(costed).withColumn("total_cost", F.round("total_cost", 6))
+    return R.run_totals(costed).withColumn("total_cost", F.round("total_cost", 9))
 
 
 @query(
