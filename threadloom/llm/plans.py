@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, decontaminate, quality_rules, token_counts
+from threadloom.llm import bpe, chat_format, decontaminate, ngram_join, quality_rules, sentence_spans, token_counts, warc_revisit
 from threadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,76 @@ def op10(spark, sf_dir):
     return quality_rules.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+PREFERENCES_SQL = """
+WITH last AS (SELECT conv_id, max({'turn': turn, 'text': text}) FILTER (role = 'assistant') AS reply FROM conversations GROUP BY conv_id),
+chosen AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+rejected AS (
+  SELECT c.* FROM chosen c JOIN last l ON l.conv_id = c.pair_id WHERE l.reply IS NULL OR c.turn < l.reply.turn
+  UNION ALL SELECT a.conv_id, a.reply.turn, 'assistant', coalesce(b.reply.text, '') FROM last a JOIN last b ON b.conv_id = a.conv_id + 1
+  WHERE a.reply IS NOT NULL AND b.reply IS NOT NULL),
+turns AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.role AS cr, c.text AS ct, r.role AS rr, r.text AS rt
+  FROM chosen c FULL JOIN rejected r ON r.pair_id = c.pair_id AND r.turn = c.turn),
+cut AS (SELECT *, coalesce(turn < min(turn) FILTER (cr IS DISTINCT FROM rr OR ct IS DISTINCT FROM rt) OVER (PARTITION BY pair_id), true) AS common FROM turns),
+rows AS (SELECT pair_id, turn, 'prompt' AS side, cr AS role, ct AS text FROM cut WHERE common
+  UNION ALL SELECT pair_id, turn, 'chosen', cr, ct FROM cut WHERE NOT common AND cr IS NOT NULL
+  UNION ALL SELECT pair_id, turn, 'rejected', rr, rt FROM cut WHERE NOT common AND rr IS NOT NULL),
+said AS (SELECT *, '<|' || role || '|>' || chr(10) AS h, replace(text, '<|', '<\\|') || '<|end|>' || chr(10) AS t FROM rows)
+SELECT pair_id, side, CAST(turn // 1000 AS BIGINT) AS part, count(*) AS n_turns, sha256(string_agg(h || t, '' ORDER BY turn)) AS body_sha256,
+  string_agg(length(h) || '-0,' || length(t) || CASE WHEN side <> 'prompt' AND role = 'assistant' THEN '-1' ELSE '-0' END, ',' ORDER BY turn) AS mask
+FROM said GROUP BY ALL
+"""
+
+
+@query("op5_preference_format", PREFERENCES_SQL)
+def op5(spark, sf_dir):
+    pairs = chat_format.replies_of_the_next(table(spark, sf_dir, "conversations"))
+    mask = F.transform("mask", lambda s: F.concat_ws("-", s["length"], s["loss"].cast("int")))
+    return chat_format.format_preferences(*pairs).select(
+        "pair_id", "side", "part", "n_turns", F.sha2("body", 256).alias("body_sha256"), F.array_join(mask, ",").alias("mask")
+    )
+
+
+REVISIT_SQL = """
+WITH u AS (SELECT page_id, html, regexp_replace(trim(coalesce(url, '')), '#.*$', '') AS p FROM pages),
+v AS (SELECT *, regexp_extract(p, '^([A-Za-z][A-Za-z0-9+.-]*://)?([^?]*)', 2) AS place, regexp_extract(p, '\\?(.*)$', 1) AS asked FROM u),
+k AS (SELECT page_id, md5(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS bytes,
+  regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(place, '^([^/]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^(www[0-9]*|m)\\.', '')
+  || regexp_replace(regexp_replace(regexp_extract(place, '^[^/]*(.*)$', 1), '/index\\.html?$', '/'), '/+$', '')
+  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(asked, '&'), lambda q: q <> '' AND NOT regexp_matches(lower(q),
+     '^(utm_[a-z]+|fbclid|gclid|sessionid|jsessionid|phpsessid)(=|$)'))), '&'), ''), '') AS url_key FROM v),
+a AS (SELECT page_id, url_key, digest, bytes, page_id * 60 AS ts FROM k),
+r AS (SELECT page_id, url_key, digest AS own, (page_id + 5000) * 60 AS ts FROM k),
+j AS (SELECT r.*, a.page_id AS ap, a.digest, a.bytes FROM r ASOF LEFT JOIN a ON r.url_key = a.url_key AND r.ts >= a.ts),
+f AS (SELECT *, CASE WHEN ap IS NULL THEN 'no_response' WHEN own[1:16] = digest[1:16] THEN 'resolved' ELSE 'mismatch' END AS verdict,
+  'date: ' || strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: W/"' || own[1:16] || '"' || chr(10)
+  || 'expires: ' || strftime(to_timestamp(ts + 3600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS sent FROM j)
+SELECT page_id * 2 + 1 AS revisit_id, url_key, ts, CASE WHEN verdict = 'resolved' THEN ap * 2 END AS response_id,
+  CASE WHEN verdict = 'resolved' THEN digest END AS digest, verdict,
+  CASE WHEN verdict = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || bytes || chr(10) || 'content-type: text/html' || chr(10) || sent
+  ELSE 'content-type: application/http' || chr(10) || sent END AS headers FROM f
+"""
+
+
+@query("op6_revisit_resolution", REVISIT_SQL)
+def op6(spark, sf_dir):
+    found = warc_revisit.resolve(warc_revisit.crawl_of(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc_revisit.header_lines(F.col("headers")))
+
+
+@query("op8_sentence_spans")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_spans.deduplicate(docs).select(
+        "doc_id",
+        "n_units",
+        "n_removed",
+        F.octet_length("text").cast("bigint").alias("kept_bytes"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+@query("op4_ngram_join")
+def op4(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
