@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat_format, decontaminate, ngram_join, quality_rules, sentence_spans, token_counts, warc_revisit
+from threadloom.llm import bpe, chat_format, decontaminate, ngram_join, quality_rules, sentence_spans, suffix_dedup, token_counts, warc_revisit
 from threadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,8 @@ def op8(spark, sf_dir):
 @query("op4_ngram_join")
 def op4(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
