@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import slices
+from threadloom.llm.common import ragged, slices
 
 #: Bytes of text per DuckDB call, tokens per decoding call, and entries in each generation of a worker's memory.
 PIECE = 2 << 20
@@ -237,14 +237,15 @@ def _apply(df: DataFrame, column: str, columns: list[str], types: list[str], mak
     return df.mapInArrow(run, schema)
 
 
+def _lists(encoded: list[bytes]) -> pa.Array:
+    return ragged(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32), [len(x) // 4 for x in encoded], pa.int32())
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add `ids` array<int>.  Null and empty texts give an empty array; no special tokens; every other column stays."""
 
     def make(column):
-        encoded = codec(path, pattern).encode(column.fill_null("").to_pylist())
-        ends = np.zeros(len(encoded) + 1, np.int32)
-        np.cumsum([len(x) // 4 for x in encoded], out=ends[1:])
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)))]
+        return [_lists(codec(path, pattern).encode(column.fill_null("").to_pylist()))]
 
     return _apply(docs, text, [ids], ["array<int>"], make)
 
@@ -264,10 +265,11 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     return packed.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Add n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 (the decoded bytes).
 
-    Encodes and decodes within one pass over the partition.  Null texts count as empty; repeated rows give equal results.
+    Encodes and decodes within one pass over the partition; `with_ids` adds the ids themselves as array<int>.  Null texts
+    count as empty; repeated rows give equal results; input columns of these names are replaced.
     """
 
     def make(column):
@@ -275,6 +277,8 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
         encoded = c.encode(column.fill_null("").to_pylist())
         decoded = c.decode(encoded)
         hexes = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
-        return [pa.array([len(x) // 4 for x in encoded], pa.int64()), hexes(encoded), hexes(decoded)]
+        columns = [pa.array([len(x) // 4 for x in encoded], pa.int64()), hexes(encoded), hexes(decoded)]
+        return columns + [_lists(encoded)] * with_ids
 
-    return _apply(docs, text, ["n_tokens", "ids_sha256", "decoded_sha256"], ["bigint", "string", "string"], make)
+    names, types = ["n_tokens", "ids_sha256", "decoded_sha256"], ["bigint", "string", "string"]
+    return _apply(docs, text, names + ["ids"] * with_ids, types + ["array<int>"] * with_ids, make)

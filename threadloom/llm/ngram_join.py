@@ -1,11 +1,11 @@
 """N-gram Jaccard join, size-aware: small sets meet on enumerated subsets, large sets scan inverted lists.
 
-Two sets of n and m shingles are linked when 100 * common >= 90 * union, that is when common >= 9 (n + m) / 19.
+Two sets of n and m shingles are linked when 100 * common >= p * union, that is when common >= p (n + m) / (100 + p).
 
-* Small sets.  Linked sets share a subset that either of them gets by deleting at most a tenth of its shingles.  All those
-  subsets are enumerated; sets that meet on a subset of k shingles are linked when 9 (n + m) <= 19 k, and linking each
-  to the smallest set of the bucket connects the same sets as linking all pairs.
-* Large sets.  Their shingles are ordered, very frequent ones last; linked sets share one of the first n - ceil(9n/10) + 1.
+* Small sets.  Linked sets share a subset that either of them gets by deleting at most n - ceil(pn / 100) shingles.  All those
+  subsets are enumerated; sets that meet on a subset of k shingles are linked when p (n + m) <= (100 + p) k, and linking
+  each to the smallest set of the bucket connects the same sets as linking all pairs.
+* Large sets.  Their shingles are ordered, very frequent ones last; linked sets share one of the first n - ceil(pn / 100) + 1.
   Inverted lists over these are scanned twice: first each set is compared with one leader only, which joins groups of copies
   without forming their pairs; then the pairs whose sets are still in different components are compared.
 * The boundary between both is where the number of rows, estimated from the sizes of all sets, is least.
@@ -36,35 +36,36 @@ CHUNK, LOCAL = 2_000_000, 4
 MOST_SMALL, SCANNED = 49, 4
 
 
-def shingles(text: bytes, width: int = 3) -> np.ndarray:
+def shingles(text: bytes, width: int) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
     return np.unique(runs_of(hashes(words_of(text)), width))
 
 
-def allowed(n: int) -> int:
+def allowed(n: int, percent: int) -> int:
     """How many shingles of a set of n may be missing in a set linked with it."""
-    return n - (9 * n + 9) // 10
+    return n + -percent * n // 100
 
 
-def subset_count(n: int) -> int:
+def subset_count(n: int, percent: int) -> int:
     total, ways = 1, 1
-    for k in range(1, allowed(n) + 1):
+    for k in range(1, allowed(n, percent) + 1):
         ways = ways * (n - k + 1) // k
         total += ways
     return total
 
 
-def best_boundary(sizes: dict[int, int]) -> int:
+def best_boundary(sizes: dict[int, int], percent: int) -> int:
     """The largest size whose sets are enumerated, given how many sets there are of each size up to MOST_SMALL + 1."""
-    lists = lambda n: (allowed(n) + 1) * SCANNED
+    lists = lambda n: (allowed(n, percent) + 1) * SCANNED
     cost = {
-        x: sum(c * subset_count(n) for n, c in sizes.items() if n <= x) + sum(c * lists(n) for n, c in sizes.items() if n > 0.9 * x)
-        for x in range(9, MOST_SMALL + 1)
+        x: sum(c * subset_count(n, percent) for n, c in sizes.items() if n <= x)
+        + sum(c * lists(n) for n, c in sizes.items() if 100 * n > percent * x)
+        for x in range(1, MOST_SMALL + 1)
     }
     return min(cost, key=lambda x: (cost[x], x))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(what, value, count): what 0: how many sets of a size; 1: a shingle that is frequent in this part of the table."""
     held, n = [], 0
     sizes = np.zeros(MOST_SMALL + 2, np.int64)
@@ -76,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in raw(batch.column("text")):
-            s = shingles(text.as_py())
+            s = shingles(text.as_py(), width)
             sizes[min(len(s), MOST_SMALL + 1)] += 1
             held.append(s)
             n += len(s)
@@ -87,7 +88,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), pa.array(np.arange(len(sizes))), pa.array(sizes)], ["what", "value", "count"])
 
 
-def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int):
+def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int, width: int, percent: int):
     """(mark, key, n, digest, carrier, prefix, subsets, sizes) per document; carriers bring the entries of a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +98,15 @@ def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int):
         for batch in batches:
             n, digests, carriers, prefixes, subs, ks = [], [], [], [], [], []
             for text in raw(batch.column("text")):
-                s = shingles(text.as_py())
+                s = shingles(text.as_py(), width)
                 d = digest(s.tobytes())
                 first = len(s) > 0 and d not in seen
                 seen.add(d)
                 n.append(len(s))
                 digests.append(d)
                 carriers.append(first)
-                prefixes.append(_prefix(s, known, rank) if first and len(s) > 0.9 * small else s[:0])
-                sub, k = _subsets(s) if first and len(s) <= small else (s[:0], [])
+                prefixes.append(_prefix(s, known, rank, percent) if first and 100 * len(s) > percent * small else s[:0])
+                sub, k = _subsets(s, percent) if first and len(s) <= small else (s[:0], [])
                 subs.append(sub)
                 ks.append(k)
             if len(seen) > 200_000:
@@ -130,22 +131,22 @@ def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int):
     return run
 
 
-def _prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def _prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles of a set: rare ones by hash, then the frequent ones, the most frequent last."""
     if len(known):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
         common = np.where(known[at] == s, rank[at], 0)
         s = s[np.lexsort((s, common))]
-    return s[: allowed(len(s)) + 1]
+    return s[: allowed(len(s), percent) + 1]
 
 
-def _subsets(s: np.ndarray) -> tuple[np.ndarray, list[int]]:
+def _subsets(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
     """A hash of every subset that lacks at most allowed(n) shingles, and its size."""
     with np.errstate(over="ignore"):
         m = mixed(s)
         total = m.sum(dtype=np.uint64)
         out, sizes = [], []
-        for d in range(allowed(len(s)) + 1):
+        for d in range(allowed(len(s), percent) + 1):
             gone = list(combinations(range(len(s)), d))
             gone = np.array(gone, np.int64).reshape(len(gone), d)
             out.append(mixed((total - m[gone].sum(axis=1, dtype=np.uint64)) + np.uint64(len(s) - d)))
@@ -165,24 +166,24 @@ def unpacked(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= 90 * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(node, words) of the documents whose set is the wanted one."""
     for batch in batches:
         nodes, sets = [], []
         for text, node, want in zip(raw(batch.column("text")), batch.column("node").to_pylist(), batch.column("digest").to_pylist(), strict=True):
-            s = shingles(text.as_py())
+            s = shingles(text.as_py(), width)
             if digest(s.tobytes()) == want:
                 nodes.append(node)
                 sets.append(packed(s))
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
-def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_leader(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (leader, salt, node, shingles), sorted, the leader's own row first: the members linked with their leader."""
     at, lead = None, None
     for batch in batches:
@@ -192,21 +193,23 @@ def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, lead = (leader, salt), None
             if node == leader:
                 lead = unpacked(data)
-            elif lead is not None and linked(lead, unpacked(data)):
+            elif lead is not None and linked(lead, unpacked(data), percent):
                 a.append(leader)
                 b.append(node)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [linked(unpacked(x), unpacked(y)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        keep = [linked(unpacked(x), unpacked(y), percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) per row: the set size and the smallest key reachable by links, itself included.
 
+    Sets are of shingles of `width` words; a link needs `percent` or more of the union in common.
+
     Documents without words have an empty set and are linked with nothing.  Repeated rows are linked like copies.  A null
     key is returned with its component, whose name is its smallest key that is not null (null if it has none).  Other
     columns are not read.
@@ -215,15 +218,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
-    counted = saved(rows.select("text").mapInArrow(_count, "what int, value bigint, count bigint").groupBy("what", "value").agg(F.sum("count").alias("count")), "counts")
-    small = best_boundary({r.value: r["count"] for r in counted.where("what = 0 AND count > 0").collect()})
+    counted = saved(rows.select("text").mapInArrow(lambda x: _count(x, width), "what int, value bigint, count bigint").groupBy("what", "value").agg(F.sum("count").alias("count")), "counts")
+    small = best_boundary({r.value: r["count"] for r in counted.where("what = 0 AND count > 0").collect()}, percent)
     top = counted.where("what = 1").orderBy(F.desc("count"), "value").limit(FREQUENT).toPandas()
     known = top["value"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     frequent = (known[order], top["count"].to_numpy(np.int64)[order])
 
     schema = f"mark bigint, key {kind}, n int, digest binary, carrier boolean, prefix array<bigint>, subsets array<bigint>, sizes array<int>"
-    sets = saved(rows.mapInArrow(_sets(frequent, small), schema), "sets")
+    sets = saved(rows.mapInArrow(_sets(frequent, small, width, percent), schema), "sets")
     # One node per set: the least mark among the rows that carry its entries.
     nodes = saved(sets.where("carrier").groupBy("digest").agg(F.min("mark").alias("node")), "nodes")
     carriers = sets.join(nodes.select("node"), sets["mark"] == F.col("node"))
@@ -233,7 +236,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     least = buckets.groupBy("h", "k").agg(F.min(F.struct("n", "node")).alias("least"), F.count("*").alias("c")).where("c > 1").select("h", "k", "least")
     small_links = (
         buckets.join(least, ["h", "k"])
-        .where((F.col("node") != F.col("least.node")) & (9 * (F.col("n") + F.col("least.n")) <= 19 * F.col("k")))
+        .where((F.col("node") != F.col("least.node")) & (percent * (F.col("n") + F.col("least.n")) <= (100 + percent) * F.col("k")))
         .select(F.col("least.node").alias("a"), F.col("node").alias("b"))
     )
 
@@ -246,7 +249,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     wanted = entries.select("node").distinct()
     found = sets.select("mark", F.col("key").alias("__key"), "digest").join(wanted, F.col("mark") == F.col("node")).drop("mark")
     texts = rows.join(found, F.col("key").eqNullSafe(F.col("__key"))).select("node", "digest", "text")
-    packs = saved(texts.mapInArrow(_pack, "node bigint, shingles binary").dropDuplicates(["node"]), "packs")
+    packs = saved(texts.mapInArrow(lambda x: _pack(x, width), "node bigint, shingles binary").dropDuplicates(["node"]), "packs")
 
     # Members meet their leader in groups of bounded size: a leader's row is repeated for each salt in use.
     salts = leaders.groupBy("leader").agg(F.ceil(F.count("*") / 256).cast("bigint").alias("salts"))
@@ -254,7 +257,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     heads = salts.select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
     grouped = packs.join(members.unionByName(heads), "node").repartition("leader", "salt")
     grouped = grouped.sortWithinPartitions("leader", "salt", F.col("node") != F.col("leader")).select("leader", "salt", "node", "shingles")
-    first_links = saved(small_links.unionByName(grouped.mapInArrow(_with_leader, "a bigint, b bigint")), "links")
+    first_links = saved(small_links.unionByName(grouped.mapInArrow(lambda x: _with_leader(x, percent), "a bigint, b bigint")), "links")
     roots = components(first_links)
 
     # What is left: sets that share an entry, fit in size and position, and are in different components so far.
@@ -263,7 +266,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     mixed_lists = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("s")
     open_ = placed.join(mixed_lists, "s")
     a, b = open_.alias("a"), open_.alias("b")
-    need = F.ceil(9 * (F.col("a.n") + F.col("b.n")) / 19)
+    need = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
     pairs = (
         a.join(b, F.col("a.s") == F.col("b.s"))
         .where(
@@ -277,7 +280,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     pairs = saved(pairs, "pairs")
     both = pairs.join(packs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(packs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    last_links = both.mapInArrow(_pairs, "a bigint, b bigint")
+    last_links = both.mapInArrow(lambda x: _pairs(x, percent), "a bigint, b bigint")
     roots = components(first_links.unionByName(last_links))
 
     # Back to documents: a component's name is its smallest key.
