@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat_format, decontaminate, ngram_join, quality_rules, sentence_spans, suffix_dedup, token_counts, warc_revisit
+from threadloom.llm import bpe, chat_format, decontaminate, ngram_join, quality_rules, recurrent_lm, sentence_spans, suffix_dedup, token_counts, warc_revisit
 from threadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,8 @@ def op4(spark, sf_dir):
 @query("op7_suffix_dedup")
 def op7(spark, sf_dir):
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query("op2_recurrent_lm")
+def op2(spark, sf_dir):
+    return recurrent_lm.score_documents(table(spark, sf_dir, "documents"))
