@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Java and RE2 form of the white space that separates words.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -80,5 +81,10 @@ def ragged(values: np.ndarray, counts: np.ndarray | list[int], kind: pa.DataType
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values).cast(kind))
 
 
-def arrow(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(make, schema)
+#: A side of a join may be sent to every executor when it was counted and has at most so many narrow rows (some 30 MB).
+SENT_ROWS = 500_000
+
+
+def sent_if_small(side: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """Mark a written table of narrow rows for broadcast when its row count allows it; beyond that the join shuffles."""
+    return F.broadcast(side) if side.count() <= rows else side

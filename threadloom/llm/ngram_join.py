@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import digest, hashes, mixed, ragged, raw, runs_of, words_of
+from threadloom.llm.common import digest, hashes, mixed, ragged, raw, runs_of, sent_if_small, words_of
 from threadloom.llm.graph import components
 from threadloom.session import saved
 
@@ -248,14 +248,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     leaders = saved(leaders, "leaders")
     wanted = entries.select("node").distinct()
     found = sets.select("mark", F.col("key").alias("__key"), "digest").join(wanted, F.col("mark") == F.col("node")).drop("mark")
-    texts = rows.join(found, F.col("key").eqNullSafe(F.col("__key"))).select("node", "digest", "text")
+    texts = rows.join(sent_if_small(saved(found, "found")), F.col("key").eqNullSafe(F.col("__key"))).select("node", "digest", "text")
     packs = saved(texts.mapInArrow(lambda x: _pack(x, width), "node bigint, shingles binary").dropDuplicates(["node"]), "packs")
 
     # Members meet their leader in groups of bounded size: a leader's row is repeated for each salt in use.
     salts = leaders.groupBy("leader").agg(F.ceil(F.count("*") / 256).cast("bigint").alias("salts"))
     members = leaders.join(salts, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"))
     heads = salts.select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    grouped = packs.join(members.unionByName(heads), "node").repartition("leader", "salt")
+    roles = saved(members.unionByName(heads), "roles")
+    grouped = packs.join(sent_if_small(roles), "node").repartition("leader", "salt")
     grouped = grouped.sortWithinPartitions("leader", "salt", F.col("node") != F.col("leader")).select("leader", "salt", "node", "shingles")
     first_links = saved(small_links.unionByName(grouped.mapInArrow(lambda x: _with_leader(x, percent), "a bigint, b bigint")), "links")
     roots = components(first_links)
@@ -278,6 +279,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .distinct()
     )
     pairs = saved(pairs, "pairs")
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    packs = packs.join(sent_if_small(ends), "node", "left_semi")
     both = pairs.join(packs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(packs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     last_links = both.mapInArrow(lambda x: _pairs(x, percent), "a bigint, b bigint")
