@@ -32,8 +32,9 @@ from threadloom.session import saved
 FREQUENT = 100_000
 #: Shingles counted together in a task, and the least count there that is passed on.
 CHUNK, LOCAL = 2_000_000, 4
-#: Sizes for which subsets may be enumerated, and rows assumed to be scanned per entry of an inverted list.
-MOST_SMALL, SCANNED = 49, 4
+#: Sizes for which subsets may be enumerated; the cost in rows of an entry of an inverted list, and of fetching and comparing
+#: a set that is found in lists (subsets need no comparison).
+MOST_SMALL, SCANNED, COMPARED = 49, 4, 24
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -56,7 +57,7 @@ def subset_count(n: int, percent: int) -> int:
 
 def best_boundary(sizes: dict[int, int], percent: int) -> int:
     """The largest size whose sets are enumerated, given how many sets there are of each size up to MOST_SMALL + 1."""
-    lists = lambda n: (allowed(n, percent) + 1) * SCANNED
+    lists = lambda n: (allowed(n, percent) + 1) * SCANNED + COMPARED
     cost = {
         x: sum(c * subset_count(n, percent) for n, c in sizes.items() if n <= x)
         + sum(c * lists(n) for n, c in sizes.items() if 100 * n > percent * x)

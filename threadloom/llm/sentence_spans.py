@@ -71,8 +71,9 @@ def runs(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = np.concatenate([last[last <= n], until[since >= 0]])
     a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
     with np.errstate(over="ignore"):
-        power = np.concatenate([[1], np.cumprod(np.full(n, _BASE, np.uint64))]).astype(np.uint64)
-        back = np.concatenate([[1], np.cumprod(np.full(n, _BACK, np.uint64))]).astype(np.uint64)
+        one = np.ones(1, np.uint64)
+        power = np.concatenate([one, np.cumprod(np.full(n, _BASE, np.uint64))])
+        back = np.concatenate([one, np.cumprod(np.full(n, _BACK, np.uint64))])
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(units.hashes) * power[:-1])])
         h = mixed((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
     return h, a, b

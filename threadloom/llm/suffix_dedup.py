@@ -240,7 +240,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables: (mark, key, n_bytes, sha256, copied) per row of `docs`, and (mark, n_removed, n_spans, kept bytes).
 
-    The second has the rows that lose some of their bytes; rows that are `copied` (their text, of LENGTH bytes or more, occurs
+    The second has the rows that lose some of their bytes (the same row again for each repetition of key and text); rows that are `copied` (their text, of LENGTH bytes or more, occurs
     in another row) lose all.  Null texts count as empty; repeated rows are copies of each other; keys are only handed on, so
     they may be null or repeated; other columns are not read.
     """
@@ -278,7 +278,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) per row of `docs`; see `repeats` for unusual rows."""
     base, partly = repeats(docs, key, text)
-    digests = partly.select("mark", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept"))
+    digests = partly.select("mark", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).dropDuplicates(["mark"])
     pick = lambda full, part, none: F.when(F.col("copied"), full).otherwise(F.coalesce(part, none))
     zero = F.lit(0).cast("bigint")
     return base.join(digests, "mark", "left").select(
