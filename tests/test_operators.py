@@ -1,5 +1,6 @@
 """Hand-computed fixtures and brute-force comparisons for operators SQL cannot check."""
 
+import random
 import re
 
 import pytest
@@ -118,9 +119,9 @@ def raw_rows(spark, names):
 @pytest.mark.parametrize(
     "names,want",
     [
-        ([("JavaScript", 5), ("java", 1)], {"JavaScript": (["java"], 6)}),
-        ([("Go", 3), ("Google", 1)], {"Go": ([], 3), "Google": ([], 1)}),
-        ([("react", 4), ("React.js", 2)], {"React.js": (["react"], 6)}),
+        ([("Woodpecker", 7), ("peck", 2), ("wood", 4)], {"Woodpecker": (["wood", "peck"], 13)}),
+        ([("ox", 8), ("oxbow", 2), ("bow", 3)], {"ox": ([], 8), "oxbow": (["bow"], 5)}),
+        ([("harbour", 6), ("Harbour-side", 1)], {"Harbour-side": (["harbour"], 7)}),
         ([("abc", 5), ("abcd", 4), ("xabcdx", 3), ("zzz", 9)], {"zzz": ([], 9), "xabcdx": (["abcd"], 12)}),
     ],
 )
@@ -130,43 +131,53 @@ def test_alias_merge(spark, names, want):
     assert got == want
 
 
-def greedy(entities):
-    """A plain restatement of the merge rule over (key, name, count, position) of one conversation."""
-    merged, names = [], {}
-    for key, name, count, at in sorted(entities, key=lambda e: (-e[2], e[3])):
-        low = name.lower()
-        if low in names:
-            slot = merged[names[low]]
-        else:
-            slot = None
-            for index in names.values():
-                kept = merged[index]["name"].lower()
-                if low != kept and len(low) >= 3 and low in kept:
-                    slot = merged[index]
-                    break
-                if low != kept and len(kept) >= 3 and kept in low:
-                    slot = merged[index]
-                    slot["name"] = name
-                    names[low] = index
-                    break
-            if slot is None:
-                names[low] = len(merged)
-                slot = {"name": name, "count": 0}
-                merged.append(slot)
-        slot["count"] += count
-    return sorted((s["name"], s["count"]) for s in merged)
-
-
-def test_alias_merge_equals_greedy_per_conversation(spark, sf):
+def breaks_of_the_rule(items, slot_of):
+    """The items of one conversation that are not where the rule puts them, judged from the final assignment alone.
+
+    items: name (lower case) by key, best rank first.  For each item the names of the earlier slots at its rank follow from
+    their members: a member that contains the name before it is the slot's name from there on.
+    """
+    bad, keys = [], list(items)
+    for place, key in enumerate(keys):
+        name, slots, shown = items[key], {}, {}
+        for k in keys[:place]:
+            old = slots.get(slot_of[k])
+            if old is None or (items[k] != old and len(old) >= 3 and old in items[k] and items[k] not in shown):
+                slots[slot_of[k]] = items[k]
+                shown.setdefault(items[k], slot_of[k])
+        related = [s for s, now in slots.items() if name != now and (len(name) >= 3 and name in now or len(now) >= 3 and now in name)]
+        want = shown.get(name, related[0] if related else key)
+        if slot_of[key] != want:
+            bad.append((key, slot_of[key], want))
+    return bad
+
+
+def assignment(spark, rows):
+    """(items by key in rank order, founder by key) per conversation from the operator's result."""
+    raw = raw_rows(spark, rows) if isinstance(rows, list) else rows
+    kept = {}
+    for r in raw.join(E.resolve(raw), ["conv_id", "key"]).collect():
+        kept.setdefault(r.conv_id, []).append(r)
+    for found in kept.values():
+        found.sort(key=lambda r: (-r.mention_count, tuple(r["at"]), r.key))
+        founders = {(r.slot_count, tuple(r.slot_at)): r.key for r in reversed(found) if (r.mention_count, tuple(r["at"])) == (r.slot_count, tuple(r.slot_at))}
+        yield {r.key: r["name"].lower() for r in found}, {r.key: founders[r.slot_count, tuple(r.slot_at)] for r in found}
+
+
+def test_alias_merge_follows_the_rule(spark, sf):
     mentions = E.all_mentions(planted_messages(spark, sf), PE.dictionary(spark, sf))
-    raw = E.raw_entities(mentions).cache()
-    by_conv = {}
-    for r in raw.collect():
-        by_conv.setdefault(r.conv_id, []).append((r.key, r["name"], r.mention_count, tuple(r["at"])))
-    got = {}
-    for r in E.entities_of(raw, E.resolve(raw)).collect():
-        got.setdefault(r.conv_id, []).append((r["name"], r.mention_count))
-    assert {k: sorted(v) for k, v in got.items()} == {k: greedy(v) for k, v in by_conv.items()}
+    checked = [breaks_of_the_rule(*x) for x in assignment(spark, E.raw_entities(mentions).cache())]
+    assert checked and not any(checked)
+
+
+def test_alias_merge_follows_the_rule_on_small_names(spark):
+    """Names over two letters contain one another all the time."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(40):
+        rows.append(("".join(rng.choice("ab") for _ in range(rng.randint(1, 7))), rng.randint(1, 4)))
+    (items, slots), = assignment(spark, list(dict(rows).items()))
+    assert breaks_of_the_rule(items, slots) == [] and len(set(slots.values())) < len(slots)
 
 
 def test_cooccurrence_confidence(spark):

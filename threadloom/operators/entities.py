@@ -6,14 +6,13 @@ are aggregates over mentions, so a conversation of any size is spread over its k
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import dims, fixed
 from threadloom.functions import text as T
-from threadloom.functions.components import connected
 from threadloom.functions.substrings import containing
+from threadloom.session import saved
 
 WORD = r"[a-z0-9_\-]+"
 CONTEXT = 100
@@ -128,53 +127,6 @@ def raw_entities(mentions: DataFrame) -> DataFrame:
 
 # -- deduplication --------------------------------------------------------------------------------------------------------------
 
-_RESOLVED = (
-    "conv_id {conv}, key string, canonical string, canonical_type string, slot_count bigint,"
-    " slot_at struct<turn:bigint,source:int,ix:bigint>, aliases array<string>"
-)
-
-
-def _merge_greedily(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merge names of one component, most mentioned first: a contained name joins the first kept name that holds it, a
-    longer name takes over the first kept name it holds."""
-    at = rows["at"].map(lambda a: (a["turn"], a["source"], a["ix"]))
-    ranked = rows.assign(_at=at).sort_values(["mention_count", "_at"], ascending=[False, True], kind="stable")
-    slots: list[dict] = []
-    places: dict[str, int] = {}
-    for row in ranked.itertuples():
-        name = row.name
-        low = name.lower()
-        target = places.get(low)
-        taken_over = False
-        if target is None:
-            for kept_slot in places.values():
-                kept = slots[kept_slot]["name"].lower()
-                if kept != low and len(low) >= 3 and low in kept:
-                    target = kept_slot
-                    break
-                if kept != low and len(kept) >= 3 and kept in low:
-                    target, taken_over = kept_slot, True
-                    break
-        if target is None:
-            places[low] = len(slots)
-            slots.append({"name": name, "type": row.type, "count": row.mention_count, "at": row.at, "aliases": [], "keys": [row.key]})
-            continue
-        slot = slots[target]
-        slot["keys"].append(row.key)
-        if taken_over:
-            slot.update(aliases=[slot["name"]], name=name, type=row.type)
-            places[low] = target
-        elif low != slot["name"].lower() and name not in slot["aliases"]:
-            slot["aliases"].append(name)
-    out = [
-        (rows["conv_id"].iloc[0], key, s["name"], s["type"], s["count"], s["at"], s["aliases"])
-        for s in slots
-        for key in s["keys"]
-    ]
-    columns = ["conv_id", "key", "canonical", "canonical_type", "slot_count", "slot_at", "aliases"]
-    return pd.DataFrame(out, columns=columns)
-
-
 def resolve_exact(raw: DataFrame) -> DataFrame:
     """Keys with the same lower-case name become one entity, named like the most mentioned of them."""
     keyed = raw.withColumn("low", F.lower("name"))
@@ -189,27 +141,91 @@ def resolve_exact(raw: DataFrame) -> DataFrame:
     )
 
 
+def _relations(items: DataFrame) -> DataFrame:
+    """(conv_id, key, ord, peer, kind): each item with the better-ranked ones of equal, containing or contained name."""
+    names = items.select("conv_id", F.col("low").alias("text")).distinct()
+    pairs = containing(names.withColumnRenamed("text", "needle"), names, ["conv_id"], shortest=3)
+    directed = (
+        names.select("conv_id", F.col("text").alias("low"), F.col("text").alias("peer_low"), F.lit(0).alias("kind"))
+        .unionByName(pairs.select("conv_id", F.col("needle").alias("low"), F.col("text").alias("peer_low"), F.lit(1).alias("kind")))
+        .unionByName(pairs.select("conv_id", F.col("text").alias("low"), F.col("needle").alias("peer_low"), F.lit(2).alias("kind")))
+    )
+    peers = items.select("conv_id", F.col("low").alias("peer_low"), F.col("key").alias("peer"), F.col("ord").alias("peer_ord"))
+    met = items.select("conv_id", "low", "key", "ord").join(directed, ["conv_id", "low"]).join(peers, ["conv_id", "peer_low"])
+    return met.where(F.col("peer_ord") < F.col("ord")).select("conv_id", "key", "ord", "peer", "kind")
+
+
+def _with_ends(state: DataFrame) -> DataFrame:
+    """Add `until`: the rank of the next item that names the same slot, from which on this item's name is not shown."""
+    named = state.where("shown")
+    order = Window.partitionBy("conv_id", "slot").orderBy("ord")
+    ends = named.select("conv_id", "key", F.lead("ord").over(order).alias("until"))
+    return state.join(ends, ["conv_id", "key"], "left")
+
+
 def resolve(raw: DataFrame) -> DataFrame:
     """Key -> canonical entity, with substring merging.
 
-    The greedy merge depends on order, but only names connected by containment can influence each other.  Containments
-    come from a substring join; names without any are settled by an aggregate, the others are grouped by connected
-    component (not by conversation) before the order-dependent step.
+    Items of a conversation are ranked by mentions, then by position.  An item belongs to the slot of an item that shows
+    the same name, or else to the earliest slot whose name, at the item's rank, contains the item's name or is contained in
+    it (three characters at least); in the latter case the slot is named after the item from there on.  An item without such
+    a slot founds one.
+
+    Each item depends on better-ranked items only, and only on those whose names are related to its own.  So all items
+    decide at once from the decisions of the round before, and the rounds end when nothing changes: after k rounds the
+    items whose chain of dependencies is shorter than k are settled.  Rounds join narrow rows of related items; no
+    conversation or component is gathered, except for the aliases of one entity.
     """
-    names = raw.select("conv_id", F.lower("name").alias("text")).distinct()
-    pairs = containing(names.withColumnRenamed("text", "needle"), names, ["conv_id"], shortest=3)
-    components = connected(
-        pairs.select("conv_id", F.col("needle").alias("a"), F.col("text").alias("b")), ["conv_id"]
-    ).withColumnRenamed("node", "low")
-    keyed = raw.withColumn("low", F.lower("name"))
-    alone = keyed.join(components, ["conv_id", "low"], "left_anti").select(raw.columns)
-    linked = keyed.join(components, ["conv_id", "low"]).select(
-        "conv_id", "component", "key", "name", "type", "mention_count", "at"
+    items = saved(
+        raw.select(
+            "conv_id", "key", "name", "type", F.lower("name").alias("low"), "mention_count", "at",
+            F.struct((-F.col("mention_count")).alias("n"), F.col("at").alias("at"), F.col("key").alias("key")).alias("ord"),
+        ),
+        "items",
+    )
+    relations = saved(_relations(items), "relations")
+    state = items.select("conv_id", "key", "ord", F.col("key").alias("slot"), F.col("ord").alias("founded"), F.lit(True).alias("shown"))
+    state, mark = saved(_with_ends(state), "slots"), None
+    while True:
+        shown = state.where("shown").select("conv_id", F.col("key").alias("peer"), "slot", "founded", "until")
+        visible = relations.join(shown, ["conv_id", "peer"]).where(
+            (F.col("kind") == 0) | F.col("until").isNull() | (F.col("until") >= F.col("ord"))
+        )
+        choice = F.min(F.struct((F.col("kind") > 0).alias("other_name"), "founded", "kind", "slot"))
+        chosen = visible.groupBy("conv_id", "key").agg(choice.alias("c"))
+        state = items.select("conv_id", "key", "ord").join(chosen, ["conv_id", "key"], "left").select(
+            "conv_id", "key", "ord",
+            F.coalesce("c.slot", "key").alias("slot"),
+            F.coalesce("c.founded", "ord").alias("founded"),
+            (F.col("c").isNull() | (F.col("c.kind") == 2)).alias("shown"),
+        )
+        state = saved(_with_ends(state), "slots")
+        before, mark = mark, state.agg(F.bit_xor(F.xxhash64("conv_id", "key", "slot", "shown"))).first()[0]
+        if before == mark:
+            break
+    members = state.join(items.drop("ord"), ["conv_id", "key"])
+    last = F.max_by(F.struct("ord", "name", "type", "low"), F.when(F.col("shown"), F.col("ord")))
+    heads = members.groupBy("conv_id", "slot").agg(
+        last.alias("last"),
+        F.min_by(F.struct("mention_count", "at"), "ord").alias("founder"),
+        F.max(F.when(F.col("shown") & F.col("until").isNotNull(), F.struct("ord", "name"))).alias("former"),
+    )
+    later = members.join(heads.select("conv_id", "slot", "last"), ["conv_id", "slot"]).where(
+        (F.col("ord") > F.col("last.ord")) & (F.col("low") != F.col("last.low"))
+    )
+    more = later.groupBy("conv_id", "slot").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("more"))
+    described = heads.join(more, ["conv_id", "slot"], "left").select(
+        "conv_id", "slot",
+        F.col("last.name").alias("canonical"), F.col("last.type").alias("canonical_type"),
+        F.col("founder.mention_count").alias("slot_count"), F.col("founder.at").alias("slot_at"),
+        F.array_distinct(
+            F.concat(
+                F.when(F.col("former").isNotNull(), F.array("former.name")).otherwise(F.array().cast("array<string>")),
+                F.coalesce(F.transform("more", lambda m: m["name"]), F.array().cast("array<string>")),
+            )
+        ).alias("aliases"),
     )
-    conv = dict(raw.dtypes)["conv_id"]
-    merged = linked.groupBy("conv_id", "component").applyInPandas(_merge_greedily, _RESOLVED.format(conv=conv))
-    typed = resolve_exact(alone).withColumn("slot_at", F.col("slot_at").cast("struct<turn:bigint,source:int,ix:bigint>"))
-    return typed.unionByName(merged)
+    return state.select("conv_id", "key", "slot").join(described, ["conv_id", "slot"]).drop("slot")
 
 
 def entities_of(raw: DataFrame, resolved: DataFrame) -> DataFrame:
