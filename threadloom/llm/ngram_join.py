@@ -28,10 +28,11 @@ from threadloom.llm.common import digest, hashes, mixed, ragged, raw, runs_of, s
 from threadloom.llm.graph import components
 from threadloom.session import saved
 
-#: Shingles that are ordered by their frequency instead of their hash: at most so many, a few MB in every task.
-FREQUENT = 100_000
-#: Shingles counted together in a task, and the least count there that is passed on.
-CHUNK, LOCAL = 2_000_000, 4
+#: Shingles that are ordered by their frequency instead of their hash: at most so many, 16 bytes each in every task.
+FREQUENT = 400_000
+#: Shingles counted together in a task, and the least count there that is passed on.  Any order gives the same result; this
+#: one keeps what many documents share out of the inverted lists.
+CHUNK, LOCAL = 5_000_000, 2
 #: Sizes for which subsets may be enumerated; the cost in rows of an entry of an inverted list, and of fetching and comparing
 #: a set that is found in lists (subsets need no comparison).
 MOST_SMALL, SCANNED, COMPARED = 49, 4, 24
@@ -206,6 +207,16 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _possible(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, k) that the shared entries (a, n, pos, b, m, at) leave possible; k: how many entries they share.
+
+    What comes before the last shared entry and is not shared is missing in the other set, because both keep one order.
+    """
+    pairs = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("pos").alias("pos"), F.max("at").alias("at"))
+    most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) - 1 + F.col("k")
+    return pairs.where(most >= F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))).select("a", "b", "k")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) per row: the set size and the smallest key reachable by links, itself included.
 
@@ -241,16 +252,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .select(F.col("least.node").alias("a"), F.col("node").alias("b"))
     )
 
+    # Linked sets are in the same size class or in neighbouring ones.
+    size_class = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).alias("q")
     entries = carriers.where(F.size("prefix") > 0).select("node", "n", F.posexplode("prefix").alias("pos", "s"))
-    lists = entries.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("leader")).where("c > 1").select("s", "leader")
-    entries = saved(entries.join(lists, "s").select("s", "leader", "node", "n", "pos"), "entries")
-    met = entries.where("node <> leader").groupBy("node", "leader").count()
-    leaders = met.groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    leaders = saved(leaders, "leaders")
-    wanted = entries.select("node").distinct()
-    found = sets.select("mark", F.col("key").alias("__key"), "digest").join(wanted, F.col("mark") == F.col("node")).drop("mark")
-    texts = rows.join(sent_if_small(saved(found, "found")), F.col("key").eqNullSafe(F.col("__key"))).select("node", "digest", "text")
-    packs = saved(texts.mapInArrow(lambda x: _pack(x, width), "node bigint, shingles binary").dropDuplicates(["node"]), "packs")
+    lists = entries.groupBy("s").count().where("count > 1").select("s")
+    entries = saved(entries.join(lists, "s").select("s", size_class, "node", "n", "pos"), "entries")
+    heads = entries.groupBy("s", "q").agg(F.count("*").alias("c"), F.min("node").alias("leader")).where("c > 1").drop("c")
+    first = entries.join(heads, ["s", "q"]).select("s", "q", "leader", "node", "n", "pos")
+    lead = first.where("node = leader").select("s", "q", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    met = first.where("node <> leader").select("s", "q", F.col("node").alias("a"), "n", "pos").join(lead, ["s", "q"])
+    leaders = _possible(met, percent).groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("leader"))
+    leaders = saved(leaders.withColumnRenamed("a", "node"), "leaders")
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the wanted nodes, from their documents; a repeated row comes twice, which does no harm."""
+        found = sets.select("mark", F.col("key").alias("__key"), "digest").join(wanted, F.col("mark") == F.col("node")).drop("mark")
+        owners = sent_if_small(saved(found, "found"))
+        texts = rows.join(owners, F.col("key").eqNullSafe(F.col("__key"))).select("node", "digest", "text")
+        return saved(texts.mapInArrow(lambda x: _pack(x, width), "node bigint, shingles binary"), "packs")
+
+    packs = fetched(leaders.select(F.explode(F.array("node", "leader")).alias("node")).distinct())
 
     # Members meet their leader in groups of bounded size: a leader's row is repeated for each salt in use.
     salts = leaders.groupBy("leader").agg(F.ceil(F.count("*") / 256).cast("bigint").alias("salts"))
@@ -262,26 +283,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first_links = saved(small_links.unionByName(grouped.mapInArrow(lambda x: _with_leader(x, percent), "a bigint, b bigint")), "links")
     roots = components(first_links)
 
-    # What is left: sets that share an entry, fit in size and position, and are in different components so far.
-    placed = entries.join(roots, "node", "left").select("s", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    placed = saved(placed, "placed")
+    # What is left: sets that share entries, may still be linked, and are in different components so far.
+    placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = saved(placed.select("s", "q", "node", "n", "pos", "root"), "placed")
     mixed_lists = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("s")
     open_ = placed.join(mixed_lists, "s")
-    a, b = open_.alias("a"), open_.alias("b")
-    need = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
-    pairs = (
-        a.join(b, F.col("a.s") == F.col("b.s"))
-        .where(
-            (F.col("a.node") < F.col("b.node"))
-            & (F.col("a.root") != F.col("b.root"))
-            & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
-        )
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        .distinct()
-    )
-    pairs = saved(pairs, "pairs")
-    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    packs = packs.join(sent_if_small(ends), "node", "left_semi")
+    a = open_.select("s", "q", F.col("node").alias("a"), "n", "pos", F.col("root").alias("root_a"))
+    # The larger set of a pair is in the size class of the smaller one or in the next.
+    b = open_.select("s", F.explode(F.array("q", F.col("q") - 1)).alias("q"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("root_b"))
+    larger = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    near = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need
+    pairs = saved(_possible(a.join(b, ["s", "q"]).where(larger & near & (F.col("root_a") != F.col("root_b"))), percent).select("a", "b"), "pairs")
+    packs = fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     both = pairs.join(packs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(packs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     last_links = both.mapInArrow(lambda x: _pairs(x, percent), "a bigint, b bigint")
