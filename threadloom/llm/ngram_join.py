@@ -29,7 +29,7 @@ from threadloom.llm.graph import components
 from threadloom.session import saved
 
 #: Shingles that are ordered by their frequency instead of their hash: at most so many, 16 bytes each in every task.
-FREQUENT = 400_000
+FREQUENT = 200_000
 #: Shingles counted together in a task, and the least count there that is passed on.  Any order gives the same result; this
 #: one keeps what many documents share out of the inverted lists.
 CHUNK, LOCAL = 5_000_000, 2
@@ -207,6 +207,18 @@ def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _least_count(often: DataFrame) -> int:
+    """The least count that at most FREQUENT shingles reach (one more than the largest, if too many share that)."""
+    classes = often.groupBy(F.least(F.col("count"), F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c"))
+    least, held = 100_001, 0
+    for r in classes.collect():
+        held += r.n
+        if held > FREQUENT:
+            break
+        least = r.c
+    return least
+
+
 def _possible(met: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, k) that the shared entries (a, n, pos, b, m, at) leave possible; k: how many entries they share.
 
@@ -232,7 +244,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     counted = saved(rows.select("text").mapInArrow(lambda x: _count(x, width), "what int, value bigint, count bigint").groupBy("what", "value").agg(F.sum("count").alias("count")), "counts")
     small = best_boundary({r.value: r["count"] for r in counted.where("what = 0 AND count > 0").collect()}, percent)
-    top = counted.where("what = 1").orderBy(F.desc("count"), "value").limit(FREQUENT).toPandas()
+    often = counted.where("what = 1").select("value", "count")
+    top = often.where(F.col("count") >= _least_count(often)).toPandas()
     known = top["value"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     frequent = (known[order], top["count"].to_numpy(np.int64)[order])
