@@ -331,3 +331,30 @@ def test_flagship_packs_cover_every_conversation(spark, sf):
     convs = table(spark, sf, "conversations").where("role <> 'system'").select("conv_id").distinct().count()
     assert len(packs) == 3 * convs and {p.target for p in packs} == set(X.TARGETS)
     assert all("## Previous Conversation Summary" in p.system_prompt for p in packs)
+
+
+def test_vectors_of_other_lengths_do_not_change_a_score(spark):
+    from threadloom.operators import search
+
+    docs = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 2.0, 0.0]), ("z", None), ("v", [])], "id string, vector array<double>")
+    asked = [(1, [2.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, None)]
+    want = {(1, "x"): 1.0, (2, "y"): 1.0}
+    for rows in (asked, asked[:1], asked[1:2]):
+        queries = spark.createDataFrame(rows, "query_id bigint, vector array<double>")
+        got = {(r.query_id, r.id): r.score for r in search.vector_top_k(docs, queries).collect()}
+        assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if k[0] in [r[0] for r in rows]}
+
+
+def test_no_bucket_of_a_long_conversation_is_large(spark):
+    from threadloom.operators import budget
+
+    n = 200_000
+    rows = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.lit("message").alias("level"), F.col("id").alias("first_turn"), F.col("id").alias("last_turn"),
+        F.lit(5).alias("token_count"), F.lit("text").alias("content"),
+    )
+    items = budget.summary_items(rows)
+    largest = items.groupBy(budget.drop_bucket(F.col("priority"))).count().agg(F.max("count"), F.sum("count")).first()
+    assert largest[0] <= 1024 and largest[1] == n
+    kept = budget.select_within(items, 5_000).where("NOT dropped").agg(F.count("*"), F.sum("final_tokens"), F.max("o2")).first()
+    assert tuple(kept) == (1_000, 5_000, 999)

@@ -79,6 +79,18 @@ def protected_items(rows: DataFrame, kind: str, text: Column, ix: str) -> DataFr
     return rows.select(*_item(kind, F.col(ix), 3, [F.col(ix)], T.token_estimate(text), F.lit(GLOBAL_WEIGHT)))
 
 
+def drop_bucket(priority: Column) -> Column:
+    """Follows the order in which items go: priority, then newest first.
+
+    The place of a message summary is (level, turn), of a topic (level, first turn), of an entity (count, turn), of the others
+    (position): blocks of 1,024 turns or positions of equal priority are the most that one task puts in order.
+    """
+    block = lambda c: -F.floor(F.coalesce(F.col(c), F.lit(0)) / 1024)
+    paired = F.col("cat") < 2
+    first = F.when(paired, -F.col("o1")).otherwise(block("o1"))
+    return F.struct(priority.alias("p"), (-F.col("cat")).alias("c"), first.alias("o1"), F.when(paired, block("o2")).otherwise(0).alias("o2"))
+
+
 def select_within(items: DataFrame, budget: int = TOKEN_BUDGET) -> DataFrame:
     """Add `dropped` and `final_tokens`.
 
@@ -104,7 +116,7 @@ def select_within(items: DataFrame, budget: int = TOKEN_BUDGET) -> DataFrame:
         F.explode(F.when(saved_tokens > 0, two_turns).otherwise(one_turn)).alias("e"),
     ).select("conv_id", "kind", "item_id", "total", *ORDER, "e.*")
     newest_first = [F.asc("p"), *[F.desc(c) for c in ORDER]]
-    bucket = F.struct(F.col("p").alias("p"), (-F.col("cat")).alias("c"), (-F.floor(F.col("o1") / 1024)).alias("o"))
+    bucket = drop_bucket(F.col("p"))
     placed = ordered.running_sum(events, ["conv_id"], newest_first, F.col("saving"), bucket, "gone_before", inclusive=False)
     applied = placed.where(F.col("total") - F.col("gone_before") > budget)
     outcome = applied.groupBy("conv_id", "kind", "item_id").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import ordered
@@ -110,5 +110,8 @@ def rank_models(classified: DataFrame, scores: DataFrame, available: list[str] |
         models = models.where(F.col("model_id").isin(available))
     pairs = models.withColumn("task_type", F.explode(scores.select(F.collect_set("task_type")).scalar()))
     filled = pairs.join(scores, ["model_id", "task_type"], "left").withColumn("score", F.coalesce("score", F.lit(NO_SCORE)))
-    ranked = ordered.top_rows(filled, ["task_type"], [F.desc("score"), F.asc("model_id")], n or 1_000)
+    order = [F.desc("score"), F.asc("model_id")]
+    ranked = filled.withColumn("rank", F.row_number().over(Window.partitionBy("task_type").orderBy(*order)))
+    if n is not None:
+        ranked = ranked.where(F.col("rank") <= n)
     return classified.join(ranked, "task_type")

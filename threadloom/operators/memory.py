@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import dims, ordered
 from threadloom.functions import text as T
 from threadloom.functions.substrings import GRAM, grams
+from threadloom.session import saved
 
 HALF_LIFE = 30.0
 REINFORCEMENT = 0.1
@@ -214,8 +215,35 @@ def _conflict_texts(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return active, texts.withColumn("tokens", tokens).withColumn("size", F.size("tokens"))
 
 
-def conflicting_texts(decisions: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """Pairs of distinct texts (and single texts with themselves) that conflict.
+def _meeting(texts: DataFrame, min_overlap: float) -> DataFrame:
+    """(user_id, a, b) of texts whose token sets may overlap enough; a = b stands for two copies of one text.
+
+    Pairs without a `named` text are not formed.
+
+    Tokens are ranked by how few of the user's texts have them.  Two sets that overlap by a share t have a token in
+    common among the first size - ceil(t * size) + 1 of each, so the frequent tokens of a user bring nobody together.
+    """
+    words = texts.select("user_id", "text_id", "named", F.explode("tokens").alias("token"))
+    spread = words.groupBy("user_id", "token").agg(F.count("*").alias("df"))
+    ranked = words.join(spread, ["user_id", "token"]).groupBy("user_id", "text_id", "named").agg(
+        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity")
+    )
+    need = F.ceil(F.size("by_rarity") * F.lit(min_overlap) - 1e-9)
+    leading = ranked.select(
+        "user_id", "text_id", "named", F.size("by_rarity").alias("size"),
+        F.explode(F.slice("by_rarity", F.lit(1), (F.size("by_rarity") - need + 1).cast("int"))).alias("t"),
+    ).select("user_id", "text_id", "named", "size", "t.token")
+    # The named texts meet all texts; with every text named this is the plain join.
+    a = leading.where("named").select("user_id", "token", F.col("text_id").alias("a"), F.col("size").alias("size_a"))
+    b = leading.select("user_id", "token", F.col("text_id").alias("b"), F.col("size").alias("size_b"), F.col("named").alias("named_b"))
+    fits = F.least("size_a", "size_b") >= F.lit(min_overlap) * F.greatest("size_a", "size_b") - 1e-9
+    once = (F.col("a") <= F.col("b")) | ~F.col("named_b")
+    met = a.join(b, ["user_id", "token"]).where(once & fits)
+    return met.select("user_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def conflicting_texts(decisions: DataFrame, min_overlap: float = MIN_OVERLAP, about: str | None = None) -> DataFrame:
+    """Pairs of distinct texts (and single texts with themselves) that conflict; with `about`, one of them has to name it.
 
     Only texts with a shared token or with opposing words can qualify, so two equi-joins find every pair: one on the
     token, one from a word to its opposite.  No pair without a reason is ever formed.
@@ -224,34 +252,29 @@ def conflicting_texts(decisions: DataFrame, min_overlap: float = MIN_OVERLAP) ->
         raise ValueError("a threshold of zero or less makes every pair a conflict; use a positive one")
     spark = decisions.sparkSession
     _, texts = _conflict_texts(decisions)
-    words = texts.select("user_id", "text_id", "size", F.explode("tokens").alias("token"))
-    a = words.select("user_id", "token", F.col("text_id").alias("a"), F.col("size").alias("size_a"))
-    b = words.select("user_id", "token", F.col("text_id").alias("b"), F.col("size").alias("size_b"))
-    # a = b stands for two copies of one text in different sessions.
-    shared = (
-        a.join(b, ["user_id", "token"])
-        .where(F.col("a") <= F.col("b"))
-        .groupBy("user_id", "a", "b", "size_a", "size_b")
-        .agg(F.count("*").alias("n"))
-    )
-    overlap = F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n"))
-    overlapping = shared.select("user_id", "a", "b", overlap.alias("overlap"), F.lit(False).alias("opposing"))
+    texts = texts.withColumn("named", F.lit(True) if about is None else F.contains(F.lower("text"), F.lit(about.lower())))
+    words = texts.select("user_id", "text_id", "size", "named", F.explode("tokens").alias("token"))
     against = F.broadcast(dims.opposing_choices(spark))  # a fixed dictionary of fewer than 100 rows
-    sides = words.join(against, words["token"] == against["word"]).select("user_id", "text_id", "against").distinct()
+    sides = words.join(against, words["token"] == against["word"]).select("user_id", "text_id", "against", "named").distinct()
     opposed = (
         sides.join(
-            words.select("user_id", F.col("text_id").alias("other"), F.col("token").alias("against")),
+            words.select("user_id", F.col("text_id").alias("other"), F.col("token").alias("against"), F.col("named").alias("other_named")),
             ["user_id", "against"],
         )
+        .where("named OR other_named")
         .select("user_id", F.least("text_id", "other").alias("a"), F.greatest("text_id", "other").alias("b"))
         .distinct()
-        .withColumns({"overlap": F.lit(0.0), "opposing": F.lit(True)})
+        .withColumn("opposing", F.lit(True))
     )
-    both = (
-        overlapping.unionByName(opposed)
-        .groupBy("user_id", "a", "b")
-        .agg(F.max("overlap").alias("overlap"), F.bool_or("opposing").alias("opposing"))
+    pairs = _meeting(texts, min_overlap).withColumn("opposing", F.lit(False)).unionByName(opposed)
+    pairs = pairs.groupBy("user_id", "a", "b").agg(F.bool_or("opposing").alias("opposing"))
+    sets = texts.select("user_id", "text_id", "tokens")
+    both = pairs.join(sets.selectExpr("user_id", "text_id AS a", "tokens AS ta"), ["user_id", "a"]).join(
+        sets.selectExpr("user_id", "text_id AS b", "tokens AS tb"), ["user_id", "b"]
     )
+    common = F.size(F.array_intersect("ta", "tb"))
+    union = F.size("ta") + F.size("tb") - common
+    both = both.withColumn("overlap", F.coalesce(F.try_divide(common, union), F.lit(0.0)))
     return both.where(F.col("opposing") | (F.col("overlap") >= min_overlap)).select(
         "user_id",
         "a",
@@ -294,10 +317,10 @@ def conflict_groups(decisions: DataFrame, min_overlap: float = MIN_OVERLAP) -> D
     )
 
 
-def conflict_pairs(decisions: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+def conflict_pairs(decisions: DataFrame, min_overlap: float = MIN_OVERLAP, about: str | None = None) -> DataFrame:
     """The conflicts themselves: one row per pair of decisions of different sessions, earlier session first."""
     active, _ = _conflict_texts(decisions)
-    conflicts = conflicting_texts(decisions, min_overlap)
+    conflicts = conflicting_texts(decisions, min_overlap, about)
     side = active.select("user_id", "text_id", "session_seq", "item_ix", "description")
     left = side.selectExpr("user_id", "text_id AS a", "session_seq AS seq_a", "item_ix AS ix_a", "description AS text_a")
     right = side.selectExpr("user_id", "text_id AS b", "session_seq AS seq_b", "item_ix AS ix_b", "description AS text_b")
@@ -323,9 +346,10 @@ def conflict_pairs(decisions: DataFrame, min_overlap: float = MIN_OVERLAP) -> Da
     )
 
 
-def conflicts_for_entity(conflicts: DataFrame, name: str) -> DataFrame:
+def conflicts_for_entity(decisions: DataFrame, name: str, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """Conflicts with the name in one of the two descriptions; only pairs with such a text are formed."""
     needle = F.lit(name.lower())
-    return conflicts.where(
+    return conflict_pairs(decisions, min_overlap, name).where(
         F.contains(F.lower("decision_a"), needle) | F.contains(F.lower("decision_b"), needle)
     )
 
@@ -347,16 +371,28 @@ def entity_session_counts(entities: DataFrame) -> DataFrame:
 
 
 def decided_keys(keys: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Entity keys that occur as a substring in some decision text of the user (equi-joins on short substrings)."""
+    """Entity keys that occur as a substring in some decision text of the user.
+
+    Most keys are words of the texts and are settled by an equality.  For the rest only the texts of their users are cut
+    up: a key without white space lies inside one piece between white space, so short substrings of distinct pieces are
+    joined and long keys verified on the pieces found; a key with white space is looked up in the texts of its user.
+    """
     texts = decisions.select("user_id", F.lower("description").alias("text")).distinct()
-    cut = grams(texts, ["user_id"])
-    short = keys.where(F.length("key") <= GRAM)
-    held = cut.select("user_id", F.col("gram").alias("key")).distinct()
-    short_hits = short.join(held, ["user_id", "key"], "left_semi")
-    long = keys.where(F.length("key") > GRAM).withColumn("gram", F.substring("key", 1, GRAM))
-    found = long.join(cut.where(F.length("gram") == GRAM), ["user_id", "gram"])
+    words = texts.select("user_id", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("key")).distinct()
+    whole = keys.join(words, ["user_id", "key"], "left_semi").select("user_id", "key")
+    rest = saved(keys.join(whole, ["user_id", "key"], "left_anti").select("user_id", "key"), "keys")
+    asked = texts.join(rest.select("user_id").distinct(), "user_id", "left_semi")
+    pieces = asked.select("user_id", F.explode(F.array_distinct(F.split("text", "\\s+"))).alias("text")).distinct()
+    cut = grams(pieces, ["user_id"])
+    spaced = F.col("key").rlike("\\s")
+    short = rest.where((F.length("key") <= GRAM) & ~spaced)
+    short_hits = short.join(cut.select("user_id", F.col("gram").alias("key")), ["user_id", "key"], "left_semi")
+    long = rest.where((F.length("key") > GRAM) & ~spaced).withColumn("gram", F.substring("key", 1, GRAM))
+    found = long.join(cut.where(F.length("gram") == GRAM), ["user_id", "gram"]).unionByName(
+        rest.where(spaced).join(asked, "user_id").withColumn("gram", F.lit(""))
+    )
     long_hits = found.where(F.contains(F.col("text"), F.col("key"))).select("user_id", "key").distinct()
-    return short_hits.select("user_id", "key").unionByName(long_hits)
+    return whole.unionByName(short_hits).unionByName(long_hits)
 
 
 def undecided_topics(entities: DataFrame, decisions: DataFrame, min_sessions: int = 2) -> DataFrame:

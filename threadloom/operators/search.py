@@ -163,8 +163,8 @@ def dense_vectors(ids: DataFrame, sparse: DataFrame, size: int = VOCABULARY_SIZE
 # -- scoring of documents against blocks of queries ----------------------------------------------------------------------
 
 
-def _matrix(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of an Arrow list column as rows scaled to length 1, and which rows have a usable vector."""
+def _matrix(column, dim: int) -> np.ndarray:
+    """The vectors of `dim` numbers in an Arrow list column as rows scaled to length 1; other rows are zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -174,7 +174,7 @@ def _matrix(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
         flat = column.filter(pa.array(usable)).flatten().to_numpy(zero_copy_only=False)
         rows[usable] = np.asarray(flat, dtype=np.float64).reshape(-1, dim)
     norms = np.sqrt((rows * rows).sum(axis=1))
-    return rows / np.where(norms > 0, norms, 1.0)[:, None], sizes > 0
+    return rows / np.where(norms > 0, norms, 1.0)[:, None]
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -186,21 +186,29 @@ def _best_of_batches(
     batches: Iterator[pa.RecordBatch], block: dict, mode: str, k: int, minimum: float | None, half_life: float
 ) -> Iterator[pa.RecordBatch]:
     """Score Arrow batches of documents against one block of queries; emit rows that may be among the best k."""
-    unit, has_query_vector = block["unit"], block["has_vector"]
+    has_query_vector = block["has_vector"]
     floor = np.full(len(block["ids"]), -np.inf if minimum is None else minimum)
+    # The token matrix of a slice stays at some 32 MB however many tokens the block asks for.
+    step = min(SLICE_ROWS, max(16, 8_000_000 // max(1, len(block["asked"]))))
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(start, SLICE_ROWS)
-            vectors, has_vector = _matrix(part.column("vector"), unit.shape[1])
-            semantic = vectors @ unit.T
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            # Only vectors of the query's own length are similar to it; every length is scored by itself.
+            has_vector = pc.fill_null(pc.list_value_length(part.column("vector")), 0).to_numpy(zero_copy_only=False) > 0
+            semantic = np.zeros((part.num_rows, len(block["ids"])))
+            for places, unit in block["by_length"]:
+                semantic[:, places] = _matrix(part.column("vector"), unit.shape[1]) @ unit.T
             keyword = np.zeros_like(semantic)
             if mode == "hybrid" or mode == "keyword":
                 sizes = part.column("n_tokens").to_numpy(zero_copy_only=False)
-                for i, hits in enumerate(part.column("tokens").to_pylist()):
-                    for token in hits or ():
-                        keyword[i, block["asked"][token]] += 1
-                    union = sizes[i] + block["n_tokens"] - keyword[i]
-                    keyword[i] = np.divide(keyword[i], union, out=np.zeros_like(keyword[i]), where=union > 0)
+                tokens = part.column("tokens")
+                owner = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+                place = pc.index_in(tokens.flatten(), block["asked"]).to_numpy(zero_copy_only=False)
+                held = np.zeros((part.num_rows, len(block["asked"])), np.float32)
+                held[owner, place] = 1
+                keyword = (held @ block["asks"]).astype(np.float64)
+                union = sizes[:, None] + block["n_tokens"][None, :] - keyword
+                keyword = np.divide(keyword, union, out=np.zeros_like(keyword), where=union > 0)
             age = part.column("age_days").to_numpy(zero_copy_only=False)
             recency = np.ones(len(age)) if half_life <= 0 else np.where(age <= 0, 1.0, np.exp(-np.log(2) / half_life * age))
             both = has_vector[:, None] & has_query_vector[None, :]
@@ -261,20 +269,27 @@ def _score(
     result = None
     for rows in _blocks(queries):
         vectors = [list(r["vector"]) if r["vector"] else [] for r in rows]
-        dim = max((len(v) for v in vectors), default=0)
-        raw = np.array([v if len(v) == dim else [0.0] * dim for v in vectors], dtype=np.float64).reshape(len(rows), dim)
-        norms = np.sqrt((raw * raw).sum(axis=1))
+        by_length = []
+        for dim in sorted({len(v) for v in vectors} - {0}):
+            places = np.array([i for i, v in enumerate(vectors) if len(v) == dim])
+            raw = np.array([vectors[i] for i in places], dtype=np.float64)
+            norms = np.sqrt((raw * raw).sum(axis=1))
+            by_length.append((places, raw / np.where(norms > 0, norms, 1.0)[:, None]))
         asked: dict[str, list[int]] = {}
         for i, r in enumerate(rows):
             for token in set(r["tokens"] or ()):
                 asked.setdefault(token, []).append(i)
+        asks = np.zeros((len(asked), len(rows)), np.float32)  # which query asks for which token
+        for place, token in enumerate(sorted(asked)):
+            asks[place, asked[token]] = 1
         shared = spark.sparkContext.broadcast(
             {
                 "ids": pa.array([r["query_id"] for r in rows], arrow_id),
-                "unit": raw / np.where(norms > 0, norms, 1.0)[:, None],
+                "by_length": by_length,
                 "has_vector": np.array([len(v) > 0 for v in vectors]),
                 "n_tokens": np.array([len(set(r["tokens"] or ())) for r in rows], dtype=np.float64),
-                "asked": {t: np.array(ix) for t, ix in asked.items()},
+                "asked": pa.array(sorted(asked), pa.string()),
+                "asks": asks,
             }
         )
         # Documents carry only the tokens some query of the block asks for (at most a block's worth), cut in the JVM.

@@ -32,7 +32,7 @@ VIEWS = {
     ),
     "v_keywords_of": f"SELECT * FROM (VALUES {values(KEYWORDS)}) AS t(word, task_type, class_order)",
     "v_scores_of": f"SELECT * FROM (VALUES {values(fixed.MODEL_SCORES)}) AS t(model_id, task_type, score)",
-    "v_work": f"SELECT conv_id * 1000 + turn AS task_id, {PLANT_SQL} AS task FROM v_messages",
+    "v_work": f"SELECT conv_id || ':' || turn AS task_id, {PLANT_SQL} AS task FROM v_messages",
     "v_class_hits": (
         "SELECT task_id, task_type, class_order, count(*) AS hits FROM (SELECT task_id,"
         " unnest(list_distinct(regexp_extract_all(lower(task), '[a-z]+'))) AS word FROM v_work) JOIN v_keywords_of USING (word)"
@@ -98,7 +98,7 @@ def work(spark, sf_dir):
         hit = F.col("conv_id") % 6 == k
         extra = F.when(hit, v) if extra is None else extra.when(hit, v)
     task = F.concat("full_text", extra.otherwise(""))
-    return m.select((F.col("conv_id") * 1000 + F.col("turn")).alias("task_id"), task.alias("task"))
+    return m.select(F.concat_ws(":", "conv_id", "turn").alias("task_id"), task.alias("task"))
 
 
 @query(

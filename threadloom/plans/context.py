@@ -192,10 +192,10 @@ CONTEXT_TEXT = (
     " LEFT JOIN (SELECT conv_id, string_agg('- **' || name || '** [' || type || ']', chr(10) ORDER BY nth) AS lines FROM"
     " (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY importance DESC, rank) AS nth FROM v_scored_entities) WHERE"
     " nth <= 15 GROUP BY 1) e ON e.conv_id = c.conv_id"
-    " LEFT JOIN (SELECT conv_id, string_agg('- ' || substr(full_text, 1, 30) || CASE WHEN turn % 2 = 0 THEN chr(10) || '"
+    " LEFT JOIN (SELECT conv_id, string_agg('- ' || full_text || CASE WHEN turn % 2 = 0 THEN chr(10) || '"
     "  Rationale: ' || role ELSE '' END, chr(10) ORDER BY turn) AS lines FROM v_messages WHERE turn % 3 = 0 GROUP BY 1) d ON"
     " d.conv_id = c.conv_id"
-    " LEFT JOIN (SELECT conv_id, string_agg('- ' || substr(full_text, 1, 20), chr(10) ORDER BY turn) AS lines FROM v_messages"
+    " LEFT JOIN (SELECT conv_id, string_agg('- ' || full_text, chr(10) ORDER BY turn) AS lines FROM v_messages"
     " WHERE turn % 3 = 1 GROUP BY 1) k ON k.conv_id = c.conv_id"
     " LEFT JOIN (SELECT conv_id, count(*) AS n, string_agg('- ' || CASE WHEN title <> '' THEN title ELSE 'document ()' END,"
     " chr(10) ORDER BY ix) FILTER (WHERE nth <= 5) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY"
@@ -210,11 +210,11 @@ def decisions_and_tasks(spark, sf_dir):
     status = lambda k: F.when(kind == k, "active").otherwise("superseded")
     rationale = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("")
     decisions = m.select(
-        "conv_id", F.col("turn").alias("ix"), F.substring("full_text", 1, 30).alias("description"),
+        "conv_id", F.col("turn").alias("ix"), F.col("full_text").alias("description"),
         rationale.alias("rationale"), status(0).alias("status"),
     )
     tasks = m.select(
-        "conv_id", F.col("turn").alias("ix"), F.substring("full_text", 1, 20).alias("description"), status(1).alias("status")
+        "conv_id", F.col("turn").alias("ix"), F.col("full_text").alias("description"), status(1).alias("status")
     )
     return decisions, tasks
 
@@ -248,7 +248,7 @@ How would you like to continue?' END AS last
     LEFT JOIN (SELECT conv_id, string_agg('Here''s the ' || CASE WHEN title <> '' THEN title ELSE 'document' END || ':' ||
     chr(10) || content, '' ORDER BY ix) AS quoted FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ix) AS nth
     FROM v_artifacts) WHERE nth <= 5 GROUP BY 1) a ON a.conv_id = t.conv_id
-    LEFT JOIN (SELECT conv_id, string_agg(substr(full_text, 1, 20), ', ' ORDER BY turn) AS list FROM (SELECT *, row_number()
+    LEFT JOIN (SELECT conv_id, string_agg(substr(full_text, 1, 80), ', ' ORDER BY turn) AS list FROM (SELECT *, row_number()
     OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM v_messages WHERE turn % 3 = 1) WHERE nth <= 3 GROUP BY 1) k ON
     k.conv_id = t.conv_id)
 """.replace("Do not\nrepeat", "Do not repeat").replace("previous\nconversation", "previous conversation").replace("'.\nHow", "'. How"),

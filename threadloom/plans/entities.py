@@ -233,13 +233,13 @@ def mention_totals(spark, sf_dir):
 SELECT conv_id, low, arg_min(name, (-n, first_place)) AS name, CAST(sum(n) AS BIGINT) AS mention_count, min(lo) AS first_turn,
     max(hi) AS last_turn FROM (SELECT conv_id, lower(w) AS low, w AS name, count(*) AS n, min(turn) AS lo, max(turn) AS hi,
     min(turn * 100000 + ix) AS first_place FROM (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS ix
-    FROM (SELECT conv_id, turn, regexp_extract_all(full_text, '[A-Za-z]{5,}') AS ws FROM v_messages)) GROUP BY ALL) GROUP BY
+    FROM (SELECT conv_id, turn, regexp_extract_all(full_text, '[A-Za-z]+') AS ws FROM v_messages)) GROUP BY ALL) GROUP BY
     ALL
 """,
 )
 def entity_exact_merge(spark, sf_dir):
-    """Every word of five letters or more as a mention under its own spelling; spellings of one name meet."""
-    words = F.regexp_extract_all("full_text", F.lit("[A-Za-z]{5,}"), F.lit(0))
+    """Every word of plain letters as a mention under its own spelling; spellings of one name meet."""
+    words = F.regexp_extract_all("full_text", F.lit("[A-Za-z]+"), F.lit(0))
     m = load(spark, sf_dir, "v_messages").select("conv_id", "turn", F.posexplode(words).alias("ix", "name"))
     mentions = m.select(
         "conv_id", "turn", F.lit(7).alias("source"), F.col("ix").cast("bigint").alias("ix"), F.col("name").alias("key"),

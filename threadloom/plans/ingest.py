@@ -157,17 +157,17 @@ for _name, _ids, _make, _dialect, _fmt, _llm in (
 
 
 def spoken(spark, sf_dir):
-    return load(spark, sf_dir, "v_messages").where("role <> 'system'").withColumn("id", F.expr("conv_id * 1000 + turn"))
+    return load(spark, sf_dir, "v_messages").where("role <> 'system'").withColumn("id", F.expr("concat_ws(':', conv_id, turn)"))
 
 
 TOOL_BLOCKS = """
-SELECT conv_id * 1000 + turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.tool AS tool_name, b.call AS
+SELECT conv_id || ':' || turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.tool AS tool_name, b.call AS
     tool_call_id FROM (SELECT *, unnest([
     {{'ix': 0, 'kind': 'text', 'txt': {strip}, 'tool': '', 'call': ''}},
     {{'ix': 1, 'kind': 'tool_call', 'txt': '{{"n":' || turn || '}}', 'tool': 'lookup', 'call': 'c' || turn}},
     {{'ix': 2, 'kind': 'tool_call', 'txt': '{{}}', 'tool': 'legacy', 'call': ''}}]) AS b FROM v_messages WHERE role <>
     'system')
-UNION ALL SELECT conv_id * 1000 + turn, b.ix + 3, b.kind, b.txt, b.tool, b.call FROM (SELECT *, unnest([
+UNION ALL SELECT conv_id || ':' || turn, b.ix + 3, b.kind, b.txt, b.tool, b.call FROM (SELECT *, unnest([
     {{'ix': 0, 'kind': 'text', 'txt': {strip}, 'tool': '', 'call': ''}},
     {{'ix': 1, 'kind': 'tool_result', 'txt': full_text, 'tool': 'lookup', 'call': 'c' || turn}}]) AS b FROM v_messages WHERE
     role <> 'system')
@@ -208,7 +208,7 @@ def openai_tool_calls(spark, sf_dir):
 @query(
     "openai_content_parts", "N3",
     f"""
-SELECT conv_id * 1000 + turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.url AS url, b.alt AS alt_text
+SELECT conv_id || ':' || turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.url AS url, b.alt AS alt_text
 FROM (SELECT *, unnest([{{'ix': 0, 'kind': 'text', 'txt': {sql_strip('full_text')}, 'url': '', 'alt': ''}},
     {{'ix': 1, 'kind': 'image', 'txt': '', 'url': 'https://img.example.com/' || turn, 'alt': 'User provided image'}},
     {{'ix': 2, 'kind': 'text', 'txt': '[Audio input]', 'url': '', 'alt': ''}}]) AS b FROM v_messages WHERE role <> 'system')
@@ -225,7 +225,7 @@ def openai_content_parts(spark, sf_dir):
 
 
 RESPONSES = f"""
-SELECT conv_id * 1000 + turn AS conv_id, '{{fmt}}' AS source_format, '{{model}}' AS source_model, turn + {{extra}} AS
+SELECT conv_id || ':' || turn AS conv_id, '{{fmt}}' AS source_format, '{{model}}' AS source_model, turn + {{extra}} AS
     total_tokens, 'assistant' AS role, {sql_strip('full_text')} AS full_text FROM v_messages WHERE role <> 'system'
 """
 
@@ -275,7 +275,7 @@ def gemini_responses(spark, sf_dir):
 @query(
     "claude_typed_blocks", "N9",
     f"""
-SELECT conv_id * 1000 + turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.url AS url, b.tool AS tool_name,
+SELECT conv_id || ':' || turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.url AS url, b.tool AS tool_name,
     b.call AS tool_call_id FROM (SELECT *, unnest([
     {{'ix': 0, 'kind': 'thinking', 'txt': full_text, 'url': '', 'tool': '', 'call': ''}},
     {{'ix': 1, 'kind': 'text', 'txt': {sql_strip('full_text')}, 'url': '', 'tool': '', 'call': ''}},
@@ -301,7 +301,7 @@ def claude_typed_blocks(spark, sf_dir):
 @query(
     "gemini_typed_parts", "N12",
     f"""
-SELECT conv_id * 1000 + turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.lang AS language, b.tool AS
+SELECT conv_id || ':' || turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.lang AS language, b.tool AS
     tool_name FROM (SELECT *, unnest([
     {{'ix': 0, 'kind': 'text', 'txt': {sql_strip('full_text')}, 'lang': '', 'tool': ''}},
     {{'ix': 1, 'kind': 'file', 'txt': '', 'lang': '', 'tool': ''}},
@@ -379,7 +379,7 @@ def fenced(spark, sf_dir):
 @query(
     "fenced_blocks", "N16",
     f"""
-SELECT conv_id * 1000 + turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.lang AS language FROM (SELECT *,
+SELECT conv_id || ':' || turn AS conv_id, b.ix AS block_ix, b.kind AS type, b.txt AS text, b.lang AS language FROM (SELECT *,
     unnest([{{'ix': 0, 'kind': 'text', 'txt': {sql_strip('full_text')}, 'lang': ''}},
     {{'ix': 1, 'kind': 'code', 'txt': 'def f' || turn || '():' || chr(10) || '    pass', 'lang': 'python'}},
     {{'ix': 2, 'kind': 'text', 'txt': {sql_strip('reverse(full_text)')}, 'lang': ''}},
@@ -393,7 +393,7 @@ def fenced_blocks(spark, sf_dir):
 @query(
     "block_rendering", "N18",
     f"""
-SELECT conv_id * 1000 + turn AS conv_id, {sql_strip('full_text')} || chr(10) || chr(10) || '```python' || chr(10) || 'def f'
+SELECT conv_id || ':' || turn AS conv_id, {sql_strip('full_text')} || chr(10) || chr(10) || '```python' || chr(10) || 'def f'
     || turn || '():' || chr(10) || '    pass' || chr(10) || '```' || chr(10) || chr(10) || {sql_strip('reverse(full_text)')}
     || chr(10) || chr(10) || '```' || chr(10) || 'open' || chr(10) || '```' AS full_text FROM v_messages WHERE role <>
     'system'
@@ -403,18 +403,36 @@ def block_rendering(spark, sf_dir):
     return fenced(spark, sf_dir)[1].select("conv_id", "full_text")
 
 
-@query(
-    "conversation_profiles", "N19",
-    """
-SELECT conv_id * 1000 + turn AS conv_id, 1 AS message_count, 1 AS user_messages, TRUE AS has_code, FALSE AS has_tool_usage,
-    'python' AS languages FROM v_messages WHERE role <> 'system'
-""".replace("1 AS", "CAST(1 AS BIGINT) AS"),
-)
+PROFILES = f"""
+WITH x AS (SELECT *, {sql_strip('full_text')} AS body, CASE (conv_id + turn) % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' END AS lang
+    FROM v_messages WHERE role <> 'system'),
+y AS (SELECT *, body || CASE WHEN lang IS NULL THEN '' ELSE CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) END || '```' || lang || chr(10)
+    || 'run ' || turn || chr(10) || '```' END AS shown FROM x),
+s AS (SELECT conv_id, arg_max(full_text, turn) AS t FROM v_messages WHERE role = 'system' GROUP BY 1)
+SELECT c.conv_id, coalesce(n, 0) AS message_count, CAST(coalesce(u, 0) AS BIGINT) AS user_messages, CAST(coalesce(a, 0) AS BIGINT) AS
+    assistant_messages, CAST(0 AS BIGINT) AS other_messages, coalesce(code, FALSE) AS has_code, FALSE AS has_tool_usage,
+    coalesce(languages, '') AS languages, CAST(coalesce(chars, 0) AS BIGINT) AS text_chars, md5(concat_ws(chr(10) || chr(10), nullif(t, ''),
+    texts)) AS text_md5 FROM (SELECT DISTINCT conv_id FROM v_messages) c LEFT JOIN s USING (conv_id) LEFT JOIN (SELECT conv_id, count(*) AS n,
+    count_if(role = 'user') AS u, count_if(role = 'assistant') AS a, bool_or(lang IS NOT NULL) AS code, string_agg(DISTINCT lang, ',' ORDER BY
+    lang) AS languages, sum(length(shown)) AS chars, string_agg(nullif(shown, ''), chr(10) || chr(10) ORDER BY turn) AS texts FROM y GROUP BY
+    1) USING (conv_id)
+"""
+
+
+@query("conversation_profiles", "N19", PROFILES)
 def conversation_profiles(spark, sf_dir):
-    c, m = fenced(spark, sf_dir)
-    return D.profiles(c, m).select(
-        "conv_id", "message_count", "user_messages", "has_code", "has_tool_usage",
-        F.array_join("languages_used", ",").alias("languages"),
+    """Whole conversations with a code block in two of five messages."""
+    kind = (F.col("conv_id") + F.col("turn")) % 5
+    fence = lambda lang: F.concat(F.lit(f"\n```{lang}\nrun "), F.col("turn").cast("string"), F.lit("\n```"))
+    coded = F.concat("full_text", F.when(kind == 0, fence("python")).when(kind == 1, fence("sql")).otherwise(""))
+    content = F.when(F.col("role") == "system", F.col("full_text")).otherwise(coded)
+    listed = turns(spark, sf_dir, [F.col("role"), content.alias("content")])
+    raw = F.to_json(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))
+    c, m = D.normalize(listed.select("conv_id", raw.alias("raw")), ("openai",))
+    profiled = D.profiles(c, m).join(D.all_text(c, m), "conv_id")
+    return profiled.select(
+        F.expr(f"conv_id div {PARTS}").alias("conv_id"), "message_count", "user_messages", "assistant_messages", "other_messages",
+        "has_code", "has_tool_usage", F.array_join("languages_used", ",").alias("languages"), "text_chars", F.md5("all_text").alias("text_md5"),
     )
 
 
@@ -425,14 +443,14 @@ def conversation_profiles(spark, sf_dir):
     "text_import", "S1",
     """
 SELECT doc_id, octet_length(encode(raw)) AS size_bytes, CASE WHEN doc_id % 3 = 1 THEN 'text_json' ELSE 'text_plain' END AS
-    kind FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  {"lang":"' || lang || '"}' ELSE '{broken ' ||
-    lang END AS raw FROM documents)
+    kind FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  [' || to_json(text) || ']' ELSE '{broken ' ||
+    text END AS raw FROM documents)
 """,
 )
 def text_import(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
-        "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('  {\"lang\":\"', lang, '\"}') ELSE concat('{broken ', lang)"
+        "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('  ', to_json(array(text))) ELSE concat('{broken ', text)"
         " END AS raw",
     )
     return I.import_texts(docs).select("doc_id", F.col("size_bytes").cast("bigint").alias("size_bytes"), "kind")
@@ -516,7 +534,7 @@ def exchange_log(spark, sf_dir):
     """An API log around the messages: three providers and some entries that fit none."""
     m = spoken(spark, sf_dir)
     text, n = quoted(), F.col("turn").cast("string")
-    kind = F.col("id") % 4
+    kind = F.col("turn") % 4
     request = (
         F.when(kind <= 1, F.concat(F.lit('{"model":"m","system":"s","messages":[{"role":"user","content":'), text, F.lit("}]}")))
         .when(kind == 2, F.concat(F.lit('{"model":"m","contents":[{"role":"user","parts":[{"text":'), text, F.lit("}]}]}")))
@@ -538,7 +556,7 @@ def exchange_log(spark, sf_dir):
 @query(
     "exchange_provider", "S8",
     """
-SELECT conv_id * 1000 + turn AS exchange_id, CASE (conv_id * 1000 + turn) % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic'
+SELECT conv_id || ':' || turn AS exchange_id, CASE turn % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic'
     WHEN 2 THEN 'google' END AS provider FROM v_messages WHERE role <> 'system'
 """,
 )
@@ -549,9 +567,9 @@ def exchange_provider(spark, sf_dir):
 @query(
     "exchange_rows", "S5 S6 S7",
     """
-SELECT conv_id * 1000 + turn AS exchange_id, CASE (conv_id * 1000 + turn) % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic'
+SELECT conv_id || ':' || turn AS exchange_id, CASE turn % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic'
     ELSE 'google' END AS provider, 'm' AS model, full_text AS response_content, turn AS request_tokens, CAST(5 AS BIGINT) AS
-    response_tokens FROM v_messages WHERE role <> 'system' AND (conv_id * 1000 + turn) % 4 < 3
+    response_tokens FROM v_messages WHERE role <> 'system' AND turn % 4 < 3
 """,
 )
 def exchange_rows(spark, sf_dir):
@@ -561,10 +579,9 @@ def exchange_rows(spark, sf_dir):
 @query(
     "exchange_messages", "S5 S6 S7",
     f"""
-SELECT conv_id * 1000 + turn AS conv_id, CAST(i AS INT) AS turn, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END AS role,
-    {sql_strip('full_text')} || CASE WHEN i = 1 AND (conv_id * 1000 + turn) % 4 = 1 THEN chr(10) || chr(10) || '[Tool call:
-    b({{}})]' ELSE '' END AS full_text FROM v_messages, (VALUES (0), (1)) r(i) WHERE role <> 'system' AND (conv_id * 1000 +
-    turn) % 4 < 3
+SELECT conv_id || ':' || turn AS conv_id, CAST(i AS INT) AS turn, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END AS role,
+    {sql_strip('full_text')} || CASE WHEN i = 1 AND turn % 4 = 1 THEN chr(10) || chr(10) || '[Tool call:
+    b({{}})]' ELSE '' END AS full_text FROM v_messages, (VALUES (0), (1)) r(i) WHERE role <> 'system' AND turn % 4 < 3
 """.replace("[Tool call:\n    b", "[Tool call: b"),
 )
 def exchange_messages(spark, sf_dir):

@@ -11,7 +11,7 @@ from threadloom.operators import memory as M
 from threadloom.plans.registry import query
 from threadloom.plans.summaries import sql_strip, sql_terms
 from threadloom.session import saved
-from threadloom.sources.testviews import load, table
+from threadloom.sources.testviews import USER, load, table
 
 DECAY = (
     "round(least(1.0, greatest(0.05, least(1.0, {imp}) * exp(-ln(2.0) / 30 * greatest({age}, 0.0)))), 6)"
@@ -24,6 +24,9 @@ OPPOSING = ", ".join(
     )
 )
 
+#: Task chains stay inside blocks of sixty documents.
+OWNER = "CAST(floor(doc_id / 60) AS BIGINT)"
+
 VIEWS = {
     "v_ents": (
         "SELECT user_id, session_seq, age_days, type, importance, CASE WHEN session_seq % 2 = 0 THEN upper(name) ELSE"
@@ -62,11 +65,11 @@ VIEWS = {
         " WHERE length(name) >= 9"
     ),
     "v_memory_sessions": (
-        "SELECT doc_id % 20 AS user_id, doc_id AS session_seq, doc_id % 40 AS message_count, n_chars // 4 AS total_tokens"
+        f"SELECT {USER} AS user_id, doc_id AS session_seq, doc_id % 40 AS message_count, n_chars // 4 AS total_tokens"
         " FROM documents"
     ),
     "v_prefs": (
-        "SELECT doc_id % 20 AS user_id, doc_id AS session_seq, CAST(doc_id % 60 AS DOUBLE) AS age_days, CASE doc_id % 3"
+        f"SELECT {USER} AS user_id, doc_id AS session_seq, CAST(doc_id % 60 AS DOUBLE) AS age_days, CASE doc_id % 3"
         " WHEN 0 THEN 'formal' WHEN 1 THEN 'casual' ELSE 'technical' END AS tone, CASE doc_id % 2 WHEN 0 THEN 'concise'"
         " ELSE 'detailed' END AS detail_level, lang, source FROM documents"
     ),
@@ -140,10 +143,10 @@ VIEWS = {
         " session_seq END) = 1) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seen) <= 10)"
     ),
     "v_conv_tokens": (
-        "SELECT conv_id, unnest(regexp_extract_all(full_text, '[A-Za-z]{12,}')) AS name FROM v_messages"
+        "SELECT conv_id, unnest(regexp_extract_all(full_text, '[A-Za-z]+')) AS name FROM v_messages"
     ),
     "v_links": (
-        "SELECT doc_id % 20 AS user_id, doc_id AS node, CASE WHEN doc_id % 120 = 100 THEN NULL WHEN doc_id % 60 IN (0, 20)"
+        f"SELECT {OWNER} AS user_id, doc_id AS node, CASE WHEN doc_id % 120 = 100 THEN NULL WHEN doc_id % 60 IN (0, 20)"
         " THEN doc_id + 20 WHEN doc_id % 60 = 40 THEN doc_id - 40 WHEN doc_id % 60 > 20 THEN doc_id - 20 END AS next FROM"
         " documents"
     ),
@@ -185,7 +188,7 @@ def edges(spark, sf_dir, e=None):
 
 def sessions(spark, sf_dir):
     return table(spark, sf_dir, "documents").selectExpr(
-        "doc_id % 20 AS user_id", "doc_id AS session_seq", "doc_id % 40 AS message_count", "n_chars div 4 AS total_tokens"
+        f"{USER} AS user_id", "doc_id AS session_seq", "doc_id % 40 AS message_count", "n_chars div 4 AS total_tokens"
     )
 
 
@@ -267,7 +270,7 @@ JOIN (SELECT user_id, string_agg(k || '=' || v, ',' ORDER BY k) AS formats FROM
 )
 def preference_merge(spark, sf_dir):
     prefs = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id % 20 AS user_id", "doc_id AS session_seq", "CAST(doc_id % 60 AS DOUBLE) AS age_days",
+        f"{USER} AS user_id", "doc_id AS session_seq", "CAST(doc_id % 60 AS DOUBLE) AS age_days",
         "CASE doc_id % 3 WHEN 0 THEN 'formal' WHEN 1 THEN 'casual' ELSE 'technical' END AS tone",
         "CASE doc_id % 2 WHEN 0 THEN 'concise' ELSE 'detailed' END AS detail_level",
         "array(lang, source) AS domain_expertise",
@@ -342,7 +345,7 @@ SELECT user_id, session_a, session_b, conflict_type FROM v_conflicts WHERE conta
     VIEWS,
 )
 def conflicts_for_entity(spark, sf_dir):
-    out = M.conflicts_for_entity(M.conflict_pairs(tech_decisions(spark, sf_dir)), "The")
+    out = M.conflicts_for_entity(tech_decisions(spark, sf_dir), "The")
     return out.select("user_id", "session_a", "session_b", "conflict_type")
 
 
@@ -433,8 +436,8 @@ def recent_sessions(spark, sf_dir):
 @query(
     "integrity_violations", "B21",
     """
-WITH n AS (SELECT user_id, name AS label FROM v_ents UNION ALL SELECT doc_id % 20, 'ghost' || doc_id FROM documents),
-t AS (SELECT doc_id % 20 AS user_id, doc_id, unnest([doc_id - 20, doc_id + 40]) AS dep FROM documents),
+WITH n AS (SELECT user_id, name AS label FROM v_ents UNION ALL SELECT CAST(floor(doc_id / 50) AS BIGINT), 'ghost' || doc_id FROM documents),
+t AS (SELECT CAST(floor(doc_id / 50) AS BIGINT) AS user_id, doc_id, unnest([doc_id - 20, doc_id + 40]) AS dep FROM documents),
 names AS (SELECT DISTINCT user_id, name FROM v_ents), labels AS (SELECT DISTINCT user_id, label FROM n)
 SELECT user_id, 'relationship_target' AS check, src_name AS owner, dst_name AS ref FROM v_edges e WHERE NOT EXISTS (SELECT 1
     FROM names x WHERE x.user_id = e.user_id AND x.name = e.dst_name)
@@ -445,9 +448,9 @@ UNION ALL SELECT user_id, 'edge_source', dst_name, src_name FROM v_edges e WHERE
 UNION ALL SELECT user_id, 'edge_target', src_name, dst_name FROM v_edges e WHERE NOT EXISTS (SELECT 1 FROM labels x WHERE
     x.user_id = e.user_id AND x.label = e.dst_name)
 UNION ALL SELECT user_id, 'task_dependency', CAST(doc_id AS VARCHAR), CAST(dep AS VARCHAR) FROM t WHERE dep NOT IN (SELECT
-    doc_id FROM documents)
+    doc_id FROM documents) OR floor(dep / 50) <> user_id
 UNION ALL SELECT user_id, 'superseded_by', CAST(session_seq AS VARCHAR), CAST(session_seq + 20 AS VARCHAR) FROM v_decisions
-    WHERE status = 'superseded' AND session_seq + 20 NOT IN (SELECT doc_id FROM documents)
+    WHERE status = 'superseded' AND (session_seq + 20 NOT IN (SELECT doc_id FROM documents) OR floor((session_seq + 20) / 50) <> user_id)
 """,
     VIEWS,
 )
@@ -455,10 +458,10 @@ def integrity_violations(spark, sf_dir):
     e = shared_entities(spark, sf_dir)
     links = edges(spark, sf_dir, e)
     docs = table(spark, sf_dir, "documents")
-    ghosts = docs.selectExpr("doc_id % 20 AS user_id", "concat('ghost', doc_id) AS label")
+    ghosts = docs.selectExpr(f"{USER} AS user_id", "concat('ghost', doc_id) AS label")
     nodes = e.select("user_id", F.col("name").alias("label")).unionByName(ghosts)
     todo = docs.selectExpr(
-        "doc_id % 20 AS user_id", "doc_id AS task_id", "array(doc_id - 20, doc_id + 40) AS dependencies"
+        f"{USER} AS user_id", "doc_id AS task_id", "array(doc_id - 20, doc_id + 40) AS dependencies"
     )
     decided = decisions(spark, sf_dir).selectExpr(
         "user_id", "session_seq AS decision_id", "CASE WHEN status = 'superseded' THEN session_seq + 20 END AS superseded_by"
@@ -470,7 +473,7 @@ def integrity_violations(spark, sf_dir):
     "quality_warnings", "B22",
     """
 WITH d AS (SELECT conv_id, count(*) AS message_count FROM v_messages GROUP BY 1),
-e AS (SELECT DISTINCT conv_id, name FROM v_conv_tokens WHERE length(name) > 12)
+e AS (SELECT DISTINCT conv_id, name FROM v_conv_tokens WHERE length(name) <> 12)
 SELECT conv_id, 'no_global_summary' AS warning, CAST(NULL AS VARCHAR) AS subject FROM d WHERE conv_id % 7 = 0
 UNION ALL SELECT conv_id, 'ratio_not_positive', NULL FROM d WHERE conv_id % 10 = 0
 UNION ALL SELECT conv_id, 'orphan_score', name FROM (SELECT DISTINCT conv_id, name FROM v_conv_tokens) WHERE length(name) =
@@ -489,9 +492,9 @@ def quality_warnings(spark, sf_dir):
     )
     levels = m.select("conv_id", F.when(F.col("conv_id") % 7 != 0, "global").otherwise("message").alias("level"))
     found = m.select(
-        "conv_id", F.explode(F.regexp_extract_all("full_text", F.lit("[A-Za-z]{12,}"), F.lit(0))).alias("entity")
+        "conv_id", F.explode(F.regexp_extract_all("full_text", F.lit("[A-Za-z]+"), F.lit(0))).alias("entity")
     ).distinct()
-    known = found.where(F.length("entity") > 12).select("conv_id", F.col("entity").alias("name"))
+    known = found.where(F.length("entity") != 12).select("conv_id", F.col("entity").alias("name"))
     topics = m.select(
         "conv_id", F.col("role").alias("label"), (F.col("turn") + F.col("conv_id") % 3).alias("message_index")
     )
@@ -503,13 +506,13 @@ def quality_warnings(spark, sf_dir):
     """
 WITH RECURSIVE r(start, node) AS (SELECT node, next FROM v_links WHERE next IS NOT NULL UNION SELECT r.start, l.next FROM r
     JOIN v_links l ON l.node = r.node WHERE l.next IS NOT NULL)
-SELECT DISTINCT start % 20 AS user_id, start AS node FROM r WHERE node IN (SELECT start FROM r WHERE start = node)
+SELECT DISTINCT CAST(floor(start / 60) AS BIGINT) AS user_id, start AS node FROM r WHERE node IN (SELECT start FROM r WHERE start = node)
 """,
     VIEWS,
 )
 def task_cycles(spark, sf_dir):
     links = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id % 20 AS user_id", "doc_id AS node",
+        f"{OWNER} AS user_id", "doc_id AS node",
         "CASE WHEN doc_id % 120 = 100 THEN NULL WHEN doc_id % 60 IN (0, 20) THEN doc_id + 20 WHEN doc_id % 60 = 40 THEN"
         " doc_id - 40 WHEN doc_id % 60 > 20 THEN doc_id - 20 END AS next",
     )

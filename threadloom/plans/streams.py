@@ -8,6 +8,8 @@ from threadloom.functions import dims
 from threadloom.functions import text as T
 from threadloom.plans.registry import query
 from threadloom.plans.reports import LOCAL
+from threadloom.plans.safety import FLAGS_SQL, PLANT_SQL, UNSAFE
+from threadloom.plans.safety import VIEWS as PLANTED_VIEWS
 from threadloom.plans.summaries import sql_strip
 from threadloom.sources.testviews import load, table
 from threadloom.streaming import jobs as J
@@ -193,22 +195,29 @@ def stream_connections(spark, sf_dir):
 
 
 @query(
-    "stream_sanitized", "X8", "SELECT conv_id, turn, TRUE AS is_safe, 0 AS injection_count FROM v_messages",
+    "stream_sanitized", "X8",
+    f"""
+SELECT conv_id, turn, NOT ({UNSAFE}) AS is_safe, CAST(coalesce(n, 0) AS INT) AS injection_count FROM v_planted LEFT JOIN (SELECT conv_id, turn,
+    count(*) AS n FROM ({FLAGS_SQL}) GROUP BY ALL) USING (conv_id, turn)
+""",
+    PLANTED_VIEWS,
 )
 def stream_sanitized(spark, sf_dir):
+    """The conversations with planted attacks and secrets, sanitized on arrival."""
     messages = stream_of(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "text AS full_text")
+    messages = messages.withColumn("full_text", F.expr(PLANT_SQL))
     out = J.stream_sanitized(messages, J.fresh(spark, "sanitized"))
     return out.select("conv_id", "turn", "is_safe", "injection_count")
 
 
 @query(
     "stream_normalized", "X8",
-    f"SELECT conv_id * 1000 + turn AS conv_id, CAST(0 AS INT) AS turn, 'user' AS role, {sql_strip('full_text')} AS full_text FROM v_messages",
+    f"SELECT conv_id || ':' || turn AS conv_id, CAST(0 AS INT) AS turn, 'user' AS role, {sql_strip('full_text')} AS full_text FROM v_messages",
 )
 def stream_normalized(spark, sf_dir):
     rows = stream_of(spark, sf_dir, "conversations")
     export = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
-    exports = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), export.alias("raw"))
+    exports = rows.select(F.concat_ws(":", "conv_id", "turn").alias("conv_id"), export.alias("raw"))
     return J.stream_normalized(exports, J.fresh(spark, "normalized"), "openai").select("conv_id", "turn", "role", "full_text")
 
 

@@ -179,13 +179,13 @@ def sentence_split(spark, sf_dir):
     "message_text_costs", "T7 T12",
     f"""
 SELECT conv_id, turn, CAST(CASE WHEN length(full_text) = 0 THEN 0 ELSE greatest(1, length(full_text) // 4) END AS INT)
-    AS tokens, {sql_strip('lower(substr(full_text, 1, 12))')} AS name_key FROM v_messages
+    AS tokens, {sql_strip('lower(full_text)')} AS name_key FROM v_messages
 """,
 )
 def message_text_costs(spark, sf_dir):
     return messages(spark, sf_dir).select(
         "conv_id", "turn", T.token_estimate(F.col("full_text")).alias("tokens"),
-        T.name_key(F.substring("full_text", 1, 12)).alias("name_key"),
+        T.name_key(F.col("full_text")).alias("name_key"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -25,18 +26,23 @@ def local_session(name: str = "threadloom", cores: str = "8") -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=None)
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="threadloom-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared folder the cluster names in spark.checkpoint.dir.
 
     Executors and driver both see that folder, so what is written there survives the loss of an executor.  Where the
-    setting is missing (tests on one machine) a temporary folder is chosen once per application.
+    setting is missing, on one machine (tests), a temporary folder is chosen once per application; the session's own
+    settings are left alone.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -550,6 +550,7 @@ def profiles(conversations: DataFrame, messages: DataFrame) -> DataFrame:
         F.count("*").alias("message_count"),
         F.count_if(F.col("role") == "user").alias("user_messages"),
         F.count_if(F.col("role") == "assistant").alias("assistant_messages"),
+        F.count_if(F.col("role").isin("system", "tool")).alias("other_messages"),
         F.bool_or(code).alias("has_code"),
         F.bool_or(tools).alias("has_tool_usage"),
         F.sum(F.length("full_text")).alias("text_chars"),
@@ -558,7 +559,17 @@ def profiles(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return joined.select(
         *conversations.columns,
-        *[F.coalesce(c, zero).alias(c) for c in ("message_count", "user_messages", "assistant_messages", "text_chars")],
+        *[F.coalesce(c, zero).alias(c) for c in ("message_count", "user_messages", "assistant_messages", "other_messages", "text_chars")],
         *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_code", "has_tool_usage")],
         F.coalesce("languages_used", F.array().cast("array<string>")).alias("languages_used"),
     )
+
+
+def all_text(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """(conv_id, all_text): the system instruction and every text, in order, with blank lines between them."""
+    said = messages.where(F.col("full_text") != "").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "full_text"))).alias("said")
+    )
+    texts = F.coalesce(F.transform("said", lambda m: m["full_text"]), F.array().cast("array<string>"))
+    opening = F.when(F.col("system_instruction") != "", F.array("system_instruction")).otherwise(F.array().cast("array<string>"))
+    return conversations.join(said, "conv_id", "left").select("conv_id", F.array_join(F.concat(opening, texts), "\n\n").alias("all_text"))

@@ -15,21 +15,15 @@ from threadloom.functions import ordered
 from threadloom.functions import text as T
 
 
-TEXT_TABLES = {"documents", "conversations", "pages"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.  A text table that comes in fewer files than there are cores is spread over them first.
+    """A driver table as it is; how files are split is a setting of the session."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    Such a table is small (a file of one row group is one task, whatever its split size), while the regular expressions
-    run on its texts are not.  A table in many files is read as it is, without a shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
 
+#: Users own fifty consecutive documents, so their number grows with the table.
+USER = "CAST(floor(doc_id / 50) AS BIGINT)"
+#: The gazetteer holds every word that one document in so many has.
+TERM_SHARE = 4
 
 SQL = {
     "v_messages": "SELECT conv_id, turn, role, text AS full_text FROM conversations",
@@ -37,7 +31,7 @@ SQL = {
         "SELECT CAST(doc_id AS STRING) AS id, text AS content, lang, source, CAST(doc_id % 90 AS DOUBLE) AS age_days"
         " FROM documents"
     ),
-    "v_queries": "SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark",
+    "v_queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
     "v_sessions": (
         "SELECT o_orderkey AS session_id, o_custkey AS user_id,"
         " CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 25 END AS team_id, o_orderpriority AS source_llm,"
@@ -94,23 +88,24 @@ SQL = {
         "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents"
     ),
     "v_session_entities": (
-        "SELECT doc_id % 20 AS user_id, doc_id AS session_seq, CAST(doc_id % 60 AS DOUBLE) AS age_days, tok AS name,"
+        f"SELECT {USER} AS user_id, doc_id AS session_seq, CAST(doc_id % 60 AS DOUBLE) AS age_days, tok AS name,"
         " CASE WHEN length(tok) % 2 = 0 THEN 'tech' ELSE 'concept' END AS type,"
-        " least(1.0, count(*) / 20.0) AS importance FROM v_tokens WHERE length(tok) >= 6 GROUP BY doc_id, tok"
+        " least(1.0, count(*) / 20.0) AS importance FROM v_tokens GROUP BY doc_id, tok"
+        f" UNION ALL SELECT {USER}, doc_id, CAST(doc_id % 60 AS DOUBLE), 'topic ' || lang, 'concept', 0.2 FROM documents"
     ),
     "v_decisions": (
-        "SELECT doc_id % 20 AS user_id, doc_id AS session_seq, 0 AS item_ix, substr(text, 1, 40) AS description,"
+        f"SELECT {USER} AS user_id, doc_id AS session_seq, 0 AS item_ix, text AS description,"
         " '' AS rationale, doc_id % 7 AS decided_at, CASE doc_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'superseded'"
         " ELSE 'reverted' END AS status FROM documents"
     ),
     "v_tasks": (
-        "SELECT doc_id % 20 AS user_id, doc_id AS session_seq, 0 AS item_ix, substr(text, 1, 25) AS description,"
+        f"SELECT {USER} AS user_id, doc_id AS session_seq, 0 AS item_ix, text AS description,"
         " CAST(doc_id % 60 AS DOUBLE) AS age_days, (doc_id % 10) / 10.0 AS priority,"
         " CASE doc_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'blocked' ELSE 'active' END AS status FROM documents"
     ),
     "v_gazetteer": (
-        "SELECT tok AS term, upper(tok) AS canonical, 'tech' AS type FROM (SELECT tok, row_number() OVER (ORDER BY"
-        " count(DISTINCT doc_id) DESC, tok) AS rk FROM v_tokens WHERE length(tok) >= 5 GROUP BY tok) WHERE rk <= 200"
+        "SELECT tok AS term, upper(tok) AS canonical, 'tech' AS type FROM v_tokens GROUP BY tok"
+        f" HAVING count(DISTINCT doc_id) * {TERM_SHARE} >= (SELECT count(*) FROM documents)"
     ),
     "v_embeddings": "SELECT CAST(vec_id AS STRING) AS id, embedding AS vector, label FROM embeddings",
 }
@@ -198,19 +193,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents")
         return docs.select("doc_id", F.explode(T.terms("text")).alias("tok"))
     if name == "v_session_entities":
-        tokens = load(spark, sf_dir, "v_tokens").where(F.length("tok") >= 6)
+        tokens = load(spark, sf_dir, "v_tokens")
         counted = tokens.groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
+        # One entity per document that its text does not name.
+        topics = table(spark, sf_dir, "documents").selectExpr(
+            f"{USER} AS user_id", "doc_id AS session_seq", "CAST(doc_id % 60 AS DOUBLE) AS age_days", "concat('topic ', lang) AS name",
+            "'concept' AS type", "CAST(0.2 AS DOUBLE) AS importance",
+        )
         return counted.select(
-            (F.col("doc_id") % 20).alias("user_id"),
+            F.expr(USER).alias("user_id"),
             F.col("doc_id").alias("session_seq"),
             (F.col("doc_id") % 60).cast("double").alias("age_days"),
             F.col("tok").alias("name"),
             F.when(F.length("tok") % 2 == 0, "tech").otherwise("concept").alias("type"),
             F.least(F.lit(1.0), F.col("n") / F.lit(20.0)).alias("importance"),
-        )
+        ).unionByName(topics)
     if name == "v_gazetteer":
-        tokens = load(spark, sf_dir, "v_tokens").where(F.length("tok") >= 5)
-        by_doc = tokens.distinct().groupBy("tok").agg(F.count("*").alias("df"))
-        top = by_doc.orderBy(F.desc("df"), "tok").limit(200)
-        return top.select(F.col("tok").alias("term"), F.upper("tok").alias("canonical"), F.lit("tech").alias("type"))
+        by_doc = load(spark, sf_dir, "v_tokens").distinct().groupBy("tok").agg(F.count("*").alias("df"))
+        n = table(spark, sf_dir, "documents").count()
+        often = by_doc.where(F.col("df") * TERM_SHARE >= n)
+        return often.select(F.col("tok").alias("term"), F.upper("tok").alias("canonical"), F.lit("tech").alias("type"))
     raise KeyError(name)
