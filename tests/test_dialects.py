@@ -105,3 +105,15 @@ def test_file_import_reasons(spark):
     accepted, rejected = I.import_files(spark.createDataFrame(rows, "path string, content binary"))
     assert {r.path: r.reason for r in rejected.collect()} == {"a/x.json": "invalid_json", "a/x.exe": "unsupported", "a/x.txt": "empty"}
     assert {r.path: r.raw for r in accepted.collect()} == {"a/x.md": "ü", "a/noext": "ok"}
+
+
+@pytest.mark.parametrize("name", ["openai_messages", "claude_messages", "gemini_messages", "transcript_messages", "openai_conversations", "claude_conversations", "gemini_conversations", "transcript_conversations"])
+def test_conversations_in_parts_come_back_whole(spark, sf, monkeypatch, name):
+    """Exports of at most three turns give the same messages and heads as whole exports."""
+    import __spark_entry__
+    from threadloom.plans import ingest
+
+    run = __spark_entry__.queries()[name]
+    whole = sorted(map(tuple, run(spark, sf).collect()), key=str)
+    monkeypatch.setattr(ingest, "PART", 3)
+    assert sorted(map(tuple, run(spark, sf).collect()), key=str) == whole
