@@ -28,7 +28,7 @@ from threadloom.llm.common import ragged, slices
 #: Bytes of text per DuckDB call, tokens per decoding call, and entries in each generation of a worker's memory.
 PIECE = 2 << 20
 DECODE_TOKENS = 1 << 19
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: A single pretoken beyond this many bytes needs as many recursion steps; it is merged with a heap instead, same rule.
 LONG_WORD = 1024
 #: White space as the rank files' pattern means it (Unicode White_Space, without the separators U+001C to U+001F).
@@ -109,7 +109,7 @@ class Codec:
             for k in range(1, len(t))
             if t[:k] in self.ranks and t[k:] in self.ranks
         ]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         left, right, token = (np.array(c, np.int64) for c in zip(*merges, strict=True))
         self._fill("merges", pa.table({"pair": left * 65536 + right, "t": token.astype(np.int32)}))
         order = sorted(self.ranks.items(), key=lambda x: x[1])
