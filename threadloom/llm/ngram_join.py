@@ -229,6 +229,14 @@ def _possible(met: DataFrame, percent: int) -> DataFrame:
     return pairs.where(most >= F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))).select("a", "b", "k")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, k) whose ends are in different components x < y."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ra, rb = F.coalesce("root_a", "a"), F.coalesce("root_b", "b")
+    return placed.where(ra != rb).select("a", "b", "k", F.least(ra, rb).alias("x"), F.greatest(ra, rb).alias("y"))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """(key, n_shingles, component_id) per row: the set size and the smallest key reachable by links, itself included.
 
@@ -307,12 +315,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     larger = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     near = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need
-    pairs = saved(_possible(a.join(b, ["s", "q"]).where(larger & near & (F.col("root_a") != F.col("root_b"))), percent).select("a", "b"), "pairs")
-    packs = fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    both = pairs.join(packs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(packs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    last_links = both.mapInArrow(lambda x: _pairs(x, percent), "a bigint, b bigint")
-    roots = components(first_links.unionByName(last_links))
+    pairs = _possible(a.join(b, ["s", "q"]).where(larger & near & (F.col("root_a") != F.col("root_b"))), percent)
+    pairs = saved(pairs, "pairs")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Those of the written pairs (a, b) whose sets are linked."""
+        packs = fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        both = pairs.join(packs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        both = both.join(packs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+        return both.mapInArrow(lambda x: _pairs(x, percent), "a bigint, b bigint")
+
+    # Of two components first the pair that shares most; what it joins needs no other pair.  Then all that are left.
+    best = saved(_apart(pairs, roots).groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b"), "best")
+    links = saved(first_links.unionByName(compared(best)), "links")
+    roots = components(links)
+    left = saved(_apart(pairs, roots).select("a", "b").join(best, ["a", "b"], "left_anti"), "left")
+    if not left.isEmpty():
+        roots = components(links.unionByName(compared(left)))
 
     # Back to documents: a component's name is its smallest key.
     least_key = sets.where("n > 0").groupBy("digest").agg(F.min("key").alias("least"))
