@@ -125,3 +125,13 @@ def test_unusual_rows(spark):
     got = lm.score_documents(spark.createDataFrame(only_held_out, "doc_id bigint, text string")).collect()
     assert {(r.held_out, r.n_known, r.train_tokens, round(abs(r.base_score), 9)) for r in got} == {(True, 0, 0, 0.0)}
     assert lm.score_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_every_training_document_is_learned_from(spark):
+    """Documents of each eighth of the hash alone change the weights."""
+    share = lambda k: zlib.crc32(str(k).encode()) // 5 % 8
+    for r in range(8):
+        keys = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 != 1 and share(k) == r][:3]
+        docs = spark.createDataFrame([(k, "to be or not to be " * 9) for k in keys], "doc_id bigint, text string").coalesce(1)
+        before, after = (lm.flat(lm.fit(docs, rounds=n)[0].weights) for n in (0, lm.ROUNDS))
+        assert not np.array_equal(before, after), r

@@ -5,8 +5,8 @@ classes of symbols, then over the symbols of the class.  A word without a symbol
 share among such words, from counts over all training documents, so probabilities of all words add up to one.
 
 Documents run in lanes; the state is carried from window to window to the end of a document and reset between documents.
-Training runs in the tasks that hold the documents (whole documents, a stated share of them per round); after each round
-the weights are averaged, weighted by tokens.
+Training runs in the tasks that hold the documents; the rounds share all training documents among them, so every document is
+learned from once.  After each round the weights are averaged, weighted by tokens.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from threadloom.session import saved
 SYMBOLS, CLASSES, STATE = 512, 24, 16
 LANES, WINDOW = 512, 64
 TRAIN_LANES, TRAIN_WINDOW = 64, 16
-#: Rounds of training; in round r the weights learn from training documents whose crc32 div 5 is r modulo LEARN_EVERY.
-ROUNDS, LEARN_EVERY, RATE = 2, 8, 0.08
+#: Rounds of training; in round r the weights learn from training documents whose crc32 div 5 is r modulo the rounds.
+ROUNDS, RATE = 2, 0.08
 #: Words with at least N / FREQUENT occurrences travel to every task (so at most FREQUENT of them); the rest are joined.
 FREQUENT = 50_000
 #: Words counted together in a task, and bytes of text scored together.
@@ -323,7 +323,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
     model = Model(initial(mass[place], shape), shape, word[order], c[order], symbols[order], other, int(n), int(v), tail_n, tail_v)
     crc = F.crc32(F.coalesce(F.col("key").cast("string"), F.lit("")))
     for r in range(rounds):
-        share = part.where(F.floor(crc / 5) % LEARN_EVERY == r).select("text")
+        share = part.where(F.floor(crc / 5) % rounds == r).select("text")
         sums = share.mapInArrow(_trainer(model), "position int, value double, weight double").groupBy("position")
         got = sums.agg(F.sum(F.col("value") * F.col("weight")).alias("s"), F.sum("weight").alias("w")).toPandas()
         if len(got):
