@@ -135,3 +135,25 @@ def test_every_training_document_is_learned_from(spark):
         docs = spark.createDataFrame([(k, "to be or not to be " * 9) for k in keys], "doc_id bigint, text string").coalesce(1)
         before, after = (lm.flat(lm.fit(docs, rounds=n)[0].weights) for n in (0, lm.ROUNDS))
         assert not np.array_equal(before, after), r
+
+
+def test_symbols_grow_with_the_vocabulary(spark):
+    """Every word that occurs often enough has a symbol of its own; classes are about the root of the symbols."""
+    for v in (300, 2_000):
+        docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(v))) for k in range(30)], "doc_id bigint, text string").coalesce(2)
+        model, _ = lm.fit(docs, rounds=1)
+        assert len(model.words) == v + 1 and len(set(model.symbols.tolist())) == v + 1 and model.other not in model.symbols
+        assert 0.5 * v**0.5 <= len(model.shape.start) - 1 <= 2 * v**0.5
+
+
+def test_symbols_grow_beyond_the_share_threshold(spark, monkeypatch):
+    """The threshold grows with the root of the tokens, so that a word's needed share shrinks with the input."""
+    monkeypatch.setattr(lm, "FREQUENT", 10)
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(200))) for k in range(30)], "doc_id bigint, text string")
+    assert len(lm.fit(docs, rounds=0)[0].words) == 201
+
+
+def test_tables_of_weights():
+    w, _, _ = tiny(4)
+    back = lm.from_table(lm.table_of(w), w)
+    assert all(np.allclose(a, b) and a.shape == b.shape for a, b in zip(w, back))

@@ -1,6 +1,7 @@
 """A gated recurrent language model: trained in numpy by truncated backpropagation, used for whole-document likelihoods.
 
-Symbols are the most frequent words, an end mark and one symbol for all other words.  The output is factored: softmax over
+Symbols are the words at or above a count threshold, an end mark and one symbol for all other words; their number grows with
+the input (see FREQUENT and ROOTS).  The output is factored: softmax over
 classes of symbols, then over the symbols of the class.  A word without a symbol of its own is the `other` symbol times its
 share among such words, from counts over all training documents, so probabilities of all words add up to one.
 
@@ -12,6 +13,8 @@ learned from once.  After each round the weights are averaged, weighted by token
 from __future__ import annotations
 
 import heapq
+import math
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,16 +27,17 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import hashes, ragged, raw, words_of
 from threadloom.session import saved
 
-#: Symbols, classes, size of the state; lanes and steps of a window in scoring and in training.
-SYMBOLS, CLASSES, STATE = 512, 24, 16
+#: Size of the state; lanes and steps of a window in scoring and in training.
+STATE = 16
 LANES, WINDOW = 512, 64
 TRAIN_LANES, TRAIN_WINDOW = 64, 16
 #: Rounds of training; in round r the weights learn from training documents whose crc32 div 5 is r modulo the rounds.
 ROUNDS, RATE = 2, 0.08
-#: Words with at least N / FREQUENT occurrences travel to every task (so at most FREQUENT of them); the rest are joined.
-FREQUENT = 50_000
-#: Words counted together in a task, and bytes of text scored together.
-CHUNK, PIECE = 2_000_000, 8 << 20
+#: Words with at least N / FREQUENT or sqrt(N) / ROOTS of N occurrences, and at least 2, have symbols and travel to every task (at
+#: most FREQUENT or ROOTS * sqrt(N) of them, whichever is more); the rest are joined.
+FREQUENT, ROOTS = 50_000, 8
+#: Words counted together in a task, bytes of text scored together, and rows of weights sent together.
+CHUNK, PIECE, SENT = 2_000_000, 8 << 20, 4096
 #: The end mark takes a value that no word hash is left with.
 END = np.uint64(0)
 
@@ -60,8 +64,9 @@ class Layout(NamedTuple):
     of: np.ndarray
 
 
-def layout(counts: np.ndarray, classes: int = CLASSES) -> Layout:
-    """Neighbouring symbols in order of frequency, cut into classes of about equal mass."""
+def layout(counts: np.ndarray, classes: int | None = None) -> Layout:
+    """Neighbouring symbols in order of frequency, cut into classes of about equal mass, about the root of their number."""
+    classes = classes or math.isqrt(len(counts) - 1) + 1
     mass = np.cumsum(counts + 1.0) / np.sum(counts + 1.0)
     of = np.minimum((mass - 1e-12) * classes, classes - 1).astype(np.int64)
     of = np.unique(of, return_inverse=True)[1]
@@ -201,6 +206,8 @@ def train(w: Weights, shape: Layout, documents: list[np.ndarray], lanes: int = T
     if not documents:
         return w
     packed = pack(documents, lanes, len(w.inputs) - 1)
+    g = Weights(*[np.zeros_like(x) for x in w])
+    used = np.zeros(0, np.int64)
     n = w.state.shape[0]
     h = np.zeros((packed.symbol.shape[1], n), np.float32)
     for begin in range(0, len(packed.symbol), window):
@@ -211,7 +218,9 @@ def train(w: Weights, shape: Layout, documents: list[np.ndarray], lanes: int = T
             new, kept = step(w, h, packed.previous[t, :live])
             steps.append((t, h, new, kept))
             h = new
-        g = Weights(*[np.zeros_like(x) for x in w])
+        g.inputs[used] = 0
+        for x in g[1:]:
+            x.fill(0)
         symbols = np.concatenate([packed.symbol[t, : len(a)] for t, a, _, _ in steps])
         _, dh = log_probabilities(w, shape, np.concatenate([s[2] for s in steps]), symbols, g)
         ends = np.cumsum([len(s[1]) for s in steps])
@@ -230,24 +239,41 @@ def train(w: Weights, shape: Layout, documents: list[np.ndarray], lanes: int = T
             pushed.append(gates)
             sources.append(packed.previous[t, :live])
             carried = np.where(packed.first[t, :live, None], np.float32(0), d * z + inward @ w.state.T)
-        np.add.at(g.inputs, np.concatenate(sources), np.concatenate(pushed))
-        for x, dx, s in zip(w, g, squares, strict=True):
-            dx /= np.sqrt(len(symbols))
+        used, place = np.unique(np.concatenate(sources), return_inverse=True)
+        rows = np.zeros((len(used), 3 * n), g.inputs.dtype)
+        np.add.at(rows, place, np.concatenate(pushed))
+        scale = np.sqrt(len(symbols))
+        g.inputs[used] = rows = rows / scale
+        squares[0][used] += rows * rows
+        w.inputs[used] -= RATE * rows / np.sqrt(squares[0][used])
+        for x, dx, s in zip(w[1:], g[1:], squares[1:], strict=True):
+            dx /= scale
             s += dx * dx
             x -= RATE * dx / np.sqrt(s)
     return w
 
 
-def flat(w: Weights) -> np.ndarray:
-    return np.concatenate([x.ravel() for x in w])
+def table_of(w: Weights) -> np.ndarray:
+    """All weights as rows: what belongs to one symbol in one row, the rest behind them in rows of the same width."""
+    n, v = w.to_symbol.shape
+    own = np.zeros((v + 1, 4 * n + 1), w.inputs.dtype)
+    own[:, : 3 * n] = w.inputs
+    own[:v, 3 * n : 4 * n] = w.to_symbol.T
+    own[:v, 4 * n] = w.symbol_bias
+    rest = np.concatenate([w.state.ravel(), w.to_class.ravel(), w.class_bias])
+    return np.concatenate([own, np.pad(rest, (0, -len(rest) % own.shape[1])).reshape(-1, own.shape[1])])
+
 
+def from_table(rows: np.ndarray, like: Weights) -> Weights:
+    n, v = like.to_symbol.shape
+    rest, sizes = rows[v + 1 :].ravel(), np.cumsum([like.state.size, like.to_class.size, like.class_bias.size])
+    state, to_class, class_bias = np.split(rest[: sizes[-1]], sizes[:-1])
+    parts = [rows[: v + 1, : 3 * n], state.reshape(like.state.shape), to_class.reshape(like.to_class.shape), class_bias, rows[:v, 3 * n : 4 * n].T, rows[:v, 4 * n]]
+    return Weights(*[np.ascontiguousarray(x, np.float32) for x in parts])
 
-def shaped(values: np.ndarray, like: Weights) -> Weights:
-    out, at = [], 0
-    for x in like:
-        out.append(values[at : at + x.size].reshape(x.shape).astype(np.float32))
-        at += x.size
-    return Weights(*out)
+
+def flat(w: Weights) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in w])
 
 
 class Model(NamedTuple):
@@ -255,9 +281,9 @@ class Model(NamedTuple):
 
     weights: Weights
     shape: Layout
-    words: np.ndarray  # sorted hashes of frequent words (and of all symbols)
+    words: np.ndarray  # sorted hashes of frequent words
     counts: np.ndarray
-    symbols: np.ndarray  # of each frequent word; `other` for words without one
+    symbols: np.ndarray  # of each frequent word
     other: int
     n: int  # training tokens
     v: int  # distinct training tokens
@@ -302,21 +328,20 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
     part = docs.where(~held_out(key)).select(F.col(key).alias("key"), F.col(text).alias("text"))
     counts = saved(count_words(part.select("text")), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # c * FREQUENT >= n holds for FREQUENT words at most; the symbols are the most frequent of all.
-    frequent = counts.where((F.col("c") * FREQUENT >= n) & (F.col("c") > 1)).toPandas()
+    least = max(2, min(-(-n // FREQUENT), math.isqrt(n) // ROOTS))
+    frequent = counts.where(F.col("c") >= least).toPandas()
     word, c = frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64)
     if END not in word:
         ends = counts.where("word = 0").select("c").first()
         word, c = np.append(word, END), np.append(c, ends.c if ends else 0)
-    rank = np.lexsort((word, -c, word != END))[: SYMBOLS - 1]  # the end mark always has a symbol
-    rank = rank[np.lexsort((word[rank], -c[rank]))]
+    rank = np.lexsort((word, -c))
     tail_n, tail_v = int(n - c[rank].sum()), int(max(0, v - np.sum(c[rank] > 0)))
     mass = np.append(c[rank], tail_n).astype(float)
     place = np.lexsort((np.arange(len(mass)), -mass))
     number = np.empty(len(mass), np.int64)
     number[place] = np.arange(len(mass))
     other = int(number[-1])
-    symbols = np.full(len(word), other)
+    symbols = np.empty(len(word), np.int64)
     symbols[rank] = number[:-1]
     shape = layout(mass[place])
     order = np.argsort(word)
@@ -324,12 +349,13 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
     crc = F.crc32(F.coalesce(F.col("key").cast("string"), F.lit("")))
     for r in range(rounds):
         share = part.where(F.floor(crc / 5) % rounds == r).select("text")
-        sums = share.mapInArrow(_trainer(model), "position int, value double, weight double").groupBy("position")
-        got = sums.agg(F.sum(F.col("value") * F.col("weight")).alias("s"), F.sum("weight").alias("w")).toPandas()
-        if len(got):
-            values = flat(model.weights).astype(float)
-            values[got["position"].to_numpy()] = (got["s"] / got["w"]).to_numpy()
-            model = model._replace(weights=shaped(values, model.weights))
+        rows = share.mapInArrow(_trainer(model), "row int, change array<float>, weight double")
+        got = rows.repartition("row").mapInArrow(_summed, "row int, change array<float>").toArrow()
+        if got.num_rows:
+            values = table_of(model.weights)
+            change = got.column("change").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
+            values[got.column("row").to_numpy()] += change
+            model = model._replace(weights=from_table(values, model.weights))
     return model, counts
 
 
@@ -356,14 +382,32 @@ def _trainer(model: Model):
                 documents.append(np.where(known, model.symbols[at], model.other))
                 n += len(h)
             w = train(w, model.shape, documents)
-        values = flat(w)
-        if n:
-            columns = [np.arange(len(values), dtype=np.int32), values.astype(float), np.full(len(values), float(n))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["position", "value", "weight"])
+        change = table_of(w) - table_of(model.weights)
+        rows = np.flatnonzero(change.any(axis=1))
+        for at in range(0, len(rows), SENT):
+            some = rows[at : at + SENT]
+            sizes = [change.shape[1]] * len(some)
+            columns = [pa.array(some, pa.int32()), ragged(change[some].ravel(), sizes, pa.float32()), pa.array(np.full(len(some), float(n)))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "change", "weight"])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean change of each row of the weights, over the tasks that changed it, weighted by their tokens."""
+    sums: dict[int, np.ndarray] = {}
+    weights: Counter[int] = Counter()
+    for batch in batches:
+        change = batch.column("change").flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
+        for row, x, weight in zip(batch.column("row").to_pylist(), change, batch.column("weight").to_pylist(), strict=True):
+            sums[row] = sums[row] + x * weight if row in sums else x * weight
+            weights[row] += weight
+    if sums:
+        means = np.stack([x / weights[row] for row, x in sums.items()]).astype(np.float32)
+        columns = [pa.array(list(sums), pa.int32()), ragged(means.ravel(), [means.shape[1]] * len(means), pa.float32())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "change"])
+
+
 def _scorer(model: Model):
     base_all = np.log10(model.n + 0.5 * (model.v + 1))
     base_tail = np.log10(model.tail_n + 0.5 * (model.tail_v + 1))
@@ -377,13 +421,11 @@ def _scorer(model: Model):
                 at, known = model.look_up(h)
                 symbol = np.where(known, model.symbols[at], model.other)
                 documents.append(symbol)
-                tail = symbol == model.other
                 seen = logs[at[known]].sum()
-                seen_tail = logs[at[known & tail]].sum()
                 words, counts = np.unique(h[~known], return_counts=True)
                 rare.append(words)
                 times.append(counts)
-                rows.append((len(h), int((model.counts[at[known]] > 0).sum()), seen - len(h) * base_all, seen_tail - tail.sum() * base_tail))
+                rows.append((len(h), int((model.counts[at[known]] > 0).sum()), seen - len(h) * base_all, -np.sum(~known) * base_tail))
             neural = score(model.weights, model.shape, documents) / np.log(10)
             size, known, base, tail = zip(*rows, strict=True)
             lists = [len(x) for x in rare]
