@@ -201,3 +201,22 @@ def test_sentence_spans_of_unusual_rows(spark):
     assert kept == {(1, False): 2, (None, True): 1, (2, True): 1}
     assert set(got[0].asDict()) == {"doc_id", "text", "n_bytes", "node", "n_units", "n_removed"}
     assert sentence_spans.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_passages_inside_long_sentences_are_found_at_any_offset(spark):
+    """Passages of 51 words and more in the middle of sentences, at shifted offsets; no 51 words of a later one stay."""
+    rng = random.Random(12)
+    fresh = iter(range(10**6))
+    own = lambda n: [f"own{next(fresh)}" for _ in range(n)]
+    rows, passages = [], []
+    for p in range(40):
+        passage = [f"p{p}w{i}" + ("." if p % 2 and rng.random() < 0.07 else "") for i in range(rng.randint(51, 80))]
+        passages.append(passage)
+        for copy in range(2):
+            rows.append((2 * p + copy, " ".join(own(rng.randint(1, 60)) + passage + own(rng.randint(1, 60)))))
+    got = {r.doc_id: r.text.split() for r in sentence_spans.deduplicate(spark.createDataFrame([(*r, "", "") for r in rows], DOCS)).collect()}
+    for p, passage in enumerate(passages):
+        assert got[2 * p] == rows[2 * p][1].split()
+        assert set(w for w in rows[2 * p + 1][1].split() if w.startswith("own")) <= set(got[2 * p + 1])
+        left = [w for w in got[2 * p + 1] if w in set(passage)]
+        assert len(left) < 2 * sentence_spans.PIECE_WORDS, (p, left)

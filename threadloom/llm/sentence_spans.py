@@ -1,6 +1,8 @@
 """Substring deduplication over sliding sentence spans.
 
-A text is cut into units: sentences, long ones into pieces of at most PIECE_WORDS words.  Every run of consecutive units
+A text is cut into units: at the ends of sentences, and behind the word of least hash in every window of PIECE_WORDS words.  Both
+depend only on the words around, so a passage gets the same units at any offset, except within PIECE_WORDS words of its ends; one
+of 3 * PIECE_WORDS + MIN_WORDS - 2 words or more always has a run of whole units.  Every run of consecutive units
 that just reaches MIN_WORDS words is hashed, forwards from each unit and backwards from each unit; runs meet in one global
 aggregation, and every unit covered by a repeated run is removed unless it lies in the run's first occurrence.
 """
@@ -17,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import hashes as word_hashes
 from threadloom.llm.common import mixed, ragged, raw
 
-PIECE_WORDS = 16
+#: The most words of a unit that is no first or last one of a text.
+PIECE_WORDS = 9
 #: A run has at least two units and at least this many words.
 MIN_WORDS = 24
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n\s*")
-_PIECE = re.compile(rb"(?:\S+\s*){1,%d}" % PIECE_WORDS)
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -36,27 +40,23 @@ class Units(NamedTuple):
 
 def units_of(text: bytes) -> Units:
     """Units with their white space behind them; leading white space belongs to the first unit."""
-    starts, words, hashes = [], [], []
-
-    def add(start: int, ws: list[bytes]) -> None:
-        starts.append(start)
-        words.append(len(ws))
-        hashes.append(xxhash.xxh3_64_intdigest(b" ".join(ws)))
-
     low = text.lower()
-    begin = 0
-    for end in [*(m.end() for m in _SENTENCE.finditer(low)), len(low)]:
-        ws = low[begin:end].split()
-        if len(ws) > PIECE_WORDS:
-            at = begin + len(low[begin:end]) - len(low[begin:end].lstrip())
-            for m in _PIECE.finditer(low, at, end):
-                add(m.start(), m.group().split())
-        elif ws:
-            add(begin, ws)
-        begin = end
-    if starts:
-        starts[0] = 0
-    return Units(starts, np.array(words, np.int64), np.array(hashes, np.uint64))
+    ws = low.split()
+    n = len(ws)
+    if not n:
+        return Units([], np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    space = np.concatenate([[True], _IS_SPACE[np.frombuffer(low, np.uint8)]])
+    at = np.flatnonzero(space[:-1] & ~space[1:])
+    opens = np.zeros(n + 1, bool)
+    opens[0] = True
+    opens[np.searchsorted(at, [m.end() for m in _SENTENCE.finditer(low)])] = True
+    if n >= PIECE_WORDS:
+        windows = np.lib.stride_tricks.sliding_window_view(word_hashes(ws), PIECE_WORDS)[:, ::-1]
+        opens[np.arange(PIECE_WORDS, n + 1) - windows.argmin(axis=1)] = True
+    first = np.flatnonzero(opens[:n])
+    last = [*first[1:].tolist(), n]
+    hashes = [xxhash.xxh3_64_intdigest(b" ".join(ws[i:j])) for i, j in zip(first.tolist(), last, strict=True)]
+    return Units([0, *at[first[1:]].tolist()], np.diff(first, append=n), np.array(hashes, np.uint64))
 
 
 def runs(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
