@@ -117,3 +117,14 @@ def test_conversations_in_parts_come_back_whole(spark, sf, monkeypatch, name):
     whole = sorted(map(tuple, run(spark, sf).collect()), key=str)
     monkeypatch.setattr(ingest, "PART", 3)
     assert sorted(map(tuple, run(spark, sf).collect()), key=str) == whole
+
+
+def test_profiles_of_conversations_in_parts_come_back_whole(spark, sf, monkeypatch):
+    """Exports of at most three turns give the same profiles as whole exports, one per conversation."""
+    import __spark_entry__
+    from threadloom.plans import ingest
+
+    run = __spark_entry__.queries()["conversation_profiles"]
+    whole = sorted(map(tuple, run(spark, sf).collect()))
+    monkeypatch.setattr(ingest, "PART", 3)
+    assert sorted(map(tuple, run(spark, sf).collect())) == whole

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.plans.registry import query
 from threadloom.plans.summaries import sql_strip
-from threadloom.session import shared_folder
+from threadloom.session import saved, shared_folder
 from threadloom.sources import dialects as D
 from threadloom.sources import imports as I
 from threadloom.sources.testviews import load, table
@@ -429,9 +429,12 @@ def conversation_profiles(spark, sf_dir):
     listed = turns(spark, sf_dir, [F.col("role"), content.alias("content")])
     raw = F.to_json(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))
     c, m = D.normalize(listed.select("conv_id", raw.alias("raw")), ("openai",))
+    m = saved(whole(m.select("conv_id", "turn", "role", "blocks", "full_text")), "whole-messages")
+    heads = c.select("conv_id", "source_format", "source_llm", "system_instruction", F.lit(0).alias("message_count"))
+    c = whole_heads(heads).drop("message_count")
     profiled = D.profiles(c, m).join(D.all_text(c, m), "conv_id")
     return profiled.select(
-        F.expr(f"conv_id div {PARTS}").alias("conv_id"), "message_count", "user_messages", "assistant_messages", "other_messages",
+        "conv_id", "message_count", "user_messages", "assistant_messages", "other_messages",
         "has_code", "has_tool_usage", F.array_join("languages_used", ",").alias("languages"), "text_chars", F.md5("all_text").alias("text_md5"),
     )
 
