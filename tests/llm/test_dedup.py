@@ -220,3 +220,30 @@ def test_passages_inside_long_sentences_are_found_at_any_offset(spark):
         assert set(w for w in rows[2 * p + 1][1].split() if w.startswith("own")) <= set(got[2 * p + 1])
         left = [w for w in got[2 * p + 1] if w in set(passage)]
         assert len(left) < 2 * sentence_spans.PIECE_WORDS, (p, left)
+
+
+def test_a_name_with_many_ranges_is_not_compared_in_one_task(spark, monkeypatch):
+    """A passage in many documents with differing contexts, some of them repeated: right results, and no long list of one name."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    hot, near = letters(150), [letters(60) for _ in range(4)]
+    texts = [letters(120) + rng.choice([letters(60), *near]) + hot + rng.choice([letters(60), *near]) + letters(120) for _ in range(60)]
+    monkeypatch.setattr(suffix_dedup, "MANY", 5)
+    merge = suffix_dedup._merge
+
+    def short(batches):
+        names = collections.Counter()
+
+        def counted():
+            for batch in batches:
+                names.update(batch.column("name").to_pylist())
+                assert max(names.values(), default=0) <= 5
+                yield batch
+
+        yield from merge(counted())
+
+    monkeypatch.setattr(suffix_dedup, "_merge", short)
+    rows = [(k, t, "", "") for k, t in enumerate(texts)]
+    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    want = [(k, *x) for k, x in enumerate(brute_removed([t.encode() for t in texts]))]
+    assert sorted(map(tuple, got)) == want and any(x[2] for x in want)

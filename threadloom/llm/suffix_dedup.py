@@ -10,7 +10,8 @@ aligning their offsets, and nothing is ranked over the whole corpus:
 2. recursion on longer strings: ranges of starts with such a name are named by all bytes they see.  Equal names again: every
    start in the range is a repeat.
 3. merge of the rest: the remaining ranges of a name are brought together with their bytes, with one range per name of step
-   2; their LENGTH-byte prefixes are named and sorted, and neighbours compared.
+   2; their LENGTH-byte prefixes are named and sorted, and neighbours compared.  Where a name has more than MANY such ranges, the
+   hashes of the prefixes are counted and joined instead, so that no task holds a whole name.
 
 Names are 64-bit hashes.  Copies of whole texts are counted by digest and take part once per task.
 """
@@ -36,6 +37,8 @@ GRAM = 100
 _SEGMENT, _BITS = 1 << 19, 20
 #: Bytes of ranges whose prefixes are sorted together.
 _TOGETHER = 4 << 20
+#: Most ranges of a name that one task compares.
+MANY = 1_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -166,6 +169,22 @@ def _seen_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, start, open, prefix): the name of each string that starts in a wanted range."""
+    for batch in batches:
+        for mark, body, wanted in zip(batch.column("mark").to_pylist(), raw(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+            data = np.frombuffer(body.as_py(), np.uint8)
+            parts = []
+            for w in wanted:
+                with np.errstate(over="ignore"):
+                    name = mixed(np.array([w["name"]], np.int64).view(np.uint64))
+                    prefix = mixed(Rolling(data[w["low"] : w["high"] + LENGTH]).all(LENGTH) ^ name)
+                n = len(prefix)
+                parts.append((np.full(n, mark, np.int64), np.arange(n) + w["low"], np.full(n, w["open"]), prefix.view(np.int64)))
+            columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["mark", "start", "open", "prefix"])
+
+
 def _compare(rows: list[tuple[int, int, int, bool, bytes]]) -> pa.RecordBatch:
     """Covered stretches (mark, low, high) of the open ranges: starts whose string occurs in another range of the name."""
     sizes = np.array([len(r[4]) for r in rows])
@@ -263,12 +282,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     crowd = classes.groupBy("name").agg(F.count("*").alias("classes"))
     judged = ranges.join(classes.join(crowd, "name"), ["name", "outer"]).where("c > 1 OR classes > 1")
     judged = saved(judged, "judged")
-    wanted = judged.where("classes > 1 AND (c = 1 OR mark = first)").groupBy("mark").agg(
-        F.collect_list(F.struct("name", "low", "high", (F.col("c") == 1).alias("open"))).alias("wanted")
-    )
-    seen = involved.select("mark", "text").join(wanted, "mark").mapInArrow(_seen_bytes, "name bigint, mark bigint, low bigint, open boolean, bytes binary")
+    compared = judged.where("classes > 1 AND (c = 1 OR mark = first)")
+
+    def wanted(some: str) -> DataFrame:
+        listed = F.collect_list(F.struct("name", "low", "high", (F.col("c") == 1).alias("open"))).alias("wanted")
+        return involved.select("mark", "text").join(compared.where(some).groupBy("mark").agg(listed), "mark")
+
+    seen = wanted(f"classes <= {MANY}").mapInArrow(_seen_bytes, "name bigint, mark bigint, low bigint, open boolean, bytes binary")
+    starts = saved(wanted(f"classes > {MANY}").mapInArrow(_prefixes, "mark bigint, start bigint, open boolean, prefix bigint"), "starts")
+    again = starts.groupBy("prefix").count().where("count > 1").select("prefix")
+    met = starts.where("open").join(again, "prefix", "left_semi").select("mark", F.col("start").alias("low"), F.col("start").alias("high"))
     stretches = seen.repartition("name").sortWithinPartitions("name").mapInArrow(_merge, "mark bigint, low bigint, high bigint")
-    stretches = stretches.unionByName(judged.where("c > 1").select("mark", "low", "high"))
+    stretches = stretches.unionByName(met).unionByName(judged.where("c > 1").select("mark", "low", "high"))
     lists = stretches.groupBy("mark").agg(F.collect_list(F.struct("low", "high")).alias("stretches"))
     partly = involved.select("mark", "text").join(lists, "mark").mapInArrow(_removed, "mark bigint, n_removed bigint, n_spans bigint, kept binary")
     base = texts.select("mark", "key", "n_bytes", "digest", "sha256").join(copies, "digest", "left").drop("digest")
