@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat_format, decontaminate, ngram_join, quality_rules, recurrent_lm, sentence_spans, suffix_dedup, token_counts, warc_revisit
+from threadloom.llm import bpe, chat_format, decontaminate, ngram_join, quality_rules, recurrent_lm, sentence_spans, spelling_variants, suffix_dedup, token_counts, warc_revisit
 from threadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,9 @@ def op7(spark, sf_dir):
 @query("op2_recurrent_lm")
 def op2(spark, sf_dir):
     return recurrent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    found = spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
