@@ -159,14 +159,10 @@ def _dealer(index: Index, done: int, batch: int):
                 halves.append(x @ book.T + size * radius + 0.5 + 1e-9 * size * reach)
             owner, c1, c2, left = [], [], [], []
             for i in range(len(q)):
-                walk = visits(halves[0][i], halves[1][i], count)
-                for k, (bound, x, y) in enumerate(walk):
-                    if k == done + batch:
+                for k, (bound, x, y) in enumerate(visits(halves[0][i], halves[1][i], count)):
+                    windows = [w for w in open_windows[i] if w["lo"] <= bound]
+                    if k == done + batch or not windows:
                         break
-                    if k == done:
-                        windows = [w for w in open_windows[i] if w["lo"] <= bound and w["lo"] <= w["hi"]]
-                        if not windows:
-                            break
                     if k >= done:
                         owner.append(i)
                         c1.append(x)
