@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat_format, decontaminate, hard_negatives, ngram_join, quality_rules, recurrent_lm, sentence_spans, spelling_variants, suffix_dedup, token_counts, warc_revisit
+from threadloom.llm import bpe, chat_format, decontaminate, hard_negatives, ngram_join, quality_rules, recurrent_lm, secret_crf, sentence_spans, spelling_variants, suffix_dedup, token_counts, warc_revisit
 from threadloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,6 +194,19 @@ def op2(spark, sf_dir):
     return recurrent_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op12_secret_crf")
+def op12(spark, sf_dir):
+    found = secret_crf.secret_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in secret_crf.KINDS[:3]),
+        F.sha2(secret_crf.listed(base), 256).alias("base_sha256"),
+        secret_crf.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op13_spelling_variants")
 def op13(spark, sf_dir):
     found = spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
