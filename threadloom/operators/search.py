@@ -44,27 +44,17 @@ def latest_documents(batches: DataFrame, version: str = "version") -> DataFrame:
     return newest.select("id", "doc.*")
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, *carried: str) -> DataFrame:
     """Term frequency per (token, id), with the document's length so that scoring needs no second join.
 
-    All occurrences of a token in a document sit in one row, so they are counted there (runs of the sorted tokens) and no
-    shuffle of occurrences takes place; postings leave the scan ready to be filtered or written.
+    Occurrences of a document are counted in the task that reads it, so one row per posting is shuffled.  `carried` columns
+    go along; with any of them, a document without tokens keeps one row of a null token and length 0.
     """
-    ordered_tokens = once(docs.select("id", "content"), s=F.array_sort(T.terms("content")))
-    first = F.filter(
-        F.sequence(F.lit(1), F.size("s")),
-        lambda i: (i == 1) | (F.get("s", i - 1) != F.get("s", i - 2)),
-    )
-    runs = once(ordered_tokens.where(F.size("s") > 0).select("id", "s"), starts=first)
-    counted = F.transform(
-        "starts",
-        lambda p, k: F.struct(
-            F.get("s", p - 1).alias("token"),
-            (F.coalesce(F.get("starts", k + 1), F.size("s") + 1) - p).cast("bigint").alias("tf"),
-        ),
-    )
-    rows = runs.select("id", F.size("s").alias("length"), F.explode_outer(counted).alias("t"))
-    return rows.select("t.token", "id", "length", "t.tf")
+    found = once(docs.select("id", *carried, "content"), s=F.coalesce(T.terms("content"), F.array().cast("array<string>")))
+    each = F.explode_outer("s") if carried else F.explode("s")
+    rows = found.select("id", *carried, F.size("s").alias("length"), each.alias("token"))
+    counted = rows.groupBy("token", "id", *carried, "length").agg(F.count("token").alias("tf"))
+    return counted.select("token", "id", *carried, "length", "tf")
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -83,13 +73,15 @@ def remove_documents(posts: DataFrame, sizes: DataFrame, removed: DataFrame) ->
 # -- BM25 ------------------------------------------------------------------------------------------------------------
 
 
+def asked_tokens(queries: DataFrame) -> DataFrame:
+    """(query_id, token, qtf): how often each query asks for a token."""
+    tokens = queries.select("query_id", F.explode(T.terms("query")).alias("token"))
+    return tokens.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+
+
 def bm25(queries: DataFrame, posts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Score of every document that shares a token with a query; a repeated query token counts again."""
-    asked = (
-        queries.select("query_id", F.explode(T.terms("query")).alias("token"))
-        .groupBy("query_id", "token")
-        .agg(F.count("*").alias("qtf"))
-    )
+    asked = asked_tokens(queries)
     # Only the postings of asked tokens go on; document frequency is computed on them, so rare-token statistics of the
     # rest of the vocabulary are never aggregated.
     wanted = posts.join(asked.select("token").distinct(), "token", "left_semi")

@@ -183,7 +183,7 @@ def env_var_mentions(spark, sf_dir):
 @query(
     "code_symbol_mentions", "E6",
     """
-SELECT conv_id * 1000 + turn AS conv_id, CAST(0 AS INT) AS turn, 'symbol:f' || turn AS key, 'f' || turn AS name FROM
+SELECT conv_id || ':' || turn AS conv_id, CAST(0 AS INT) AS turn, 'symbol:f' || turn AS key, 'f' || turn AS name FROM
     v_messages WHERE role <> 'system' AND turn >= 0
 """,
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.operators import search as S
+from threadloom.operators.index import SearchIndex, result_page
 from threadloom.plans.registry import query
 from threadloom.plans.summaries import sql_terms
 from threadloom.session import saved
@@ -92,13 +93,13 @@ SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences, max(tf) AS
     VIEWS,
 )
 def index_build(spark, sf_dir):
-    # Two versions of the corpus arrive; the later one replaces the earlier one document by document.
+    # An older version of a third of the corpus is indexed first; a second segment replaces it document by document.
     d = docs(spark, sf_dir)
-    old = d.where(F.col("age_days") < 30).withColumns({"content": F.concat(F.lit("stale "), "content"), "version": F.lit(1)})
-    merged = S.latest_documents(old.unionByName(d.withColumn("version", F.lit(2))))
-    return S.postings(merged).groupBy("token").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("max_tf")
-    )
+    stale = F.col("age_days") < 30
+    old = d.withColumn("content", F.when(stale, F.concat(F.lit("stale "), "content")).otherwise(F.col("content")))
+    index = SearchIndex.build(old).apply(d.where(stale))
+    counted = index.postings().groupBy("token").agg(F.sum("tf").alias("occurrences"), F.max("tf").alias("max_tf"))
+    return index.vocabulary().join(counted, "token")
 
 
 @query(
@@ -111,9 +112,40 @@ SELECT count(*) AS documents, round(avg(length), 6) AS average_length, (SELECT c
 )
 def index_removal(spark, sf_dir):
     d = docs(spark, sf_dir)
-    posts, sizes = S.remove_documents(S.postings(d), S.lengths(d), d.where("lang = 'fr'").select("id"))
-    stats = sizes.agg(F.count("*").alias("documents"), F.round(F.avg("length"), 6).alias("average_length"))
-    return stats.withColumn("postings", posts.select(F.count("*")).scalar())
+    nothing = d.where(F.lit(False))
+    index = SearchIndex.build(d).apply(nothing, d.where("lang = 'fr'").select("id"))
+    n, average = index.statistics()
+    counted = index.postings().select(F.count("*").alias("postings"))
+    return counted.select(F.lit(n).alias("documents"), F.round(F.lit(average), 6).alias("average_length"), "postings")
+
+
+RENEWED = {
+    **VIEWS,
+    "v_docs": (
+        "SELECT CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 100 = 0 THEN 'renewed ' || coalesce(text, '') ELSE text END AS content"
+        " FROM documents WHERE doc_id % 100 <> 1"
+    ),
+}
+
+
+@query(
+    "index_upkeep", "R1 R2",
+    """
+SELECT p.token, df, CAST(sum(tf) AS BIGINT) AS occurrences, (SELECT count(*) FROM v_lengths) AS documents,
+    (SELECT round(avg(length), 6) FROM v_lengths) AS average_length FROM v_posts p JOIN v_df f ON f.token = p.token GROUP BY ALL
+""",
+    RENEWED,
+)
+def index_upkeep(spark, sf_dir):
+    """One document in a hundred is added anew and one removed; the index is merged on read and then compacted."""
+    d = docs(spark, sf_dir)
+    number = F.col("id").cast("bigint") % 100
+    renewed = d.where(number == 0).withColumn("content", F.concat(F.lit("renewed "), F.coalesce("content", F.lit(""))))
+    index = SearchIndex.build(d).apply(renewed, d.where(number == 1).select("id")).compact()
+    n, average = index.statistics()
+    counted = index.postings().groupBy("token").agg(F.sum("tf").alias("occurrences"))
+    rows = index.vocabulary().join(counted, "token")
+    return rows.withColumns({"documents": F.lit(n), "average_length": F.round(F.lit(average), 6)})
 
 
 @query("bm25_search", "R3", "SELECT query_id, id, score FROM v_bm25", VIEWS)
@@ -132,6 +164,20 @@ def bm25_filtered(spark, sf_dir):
     return S.with_metadata(S.bm25(asked(spark, sf_dir), *index(spark, sf_dir)), d, {"lang": "en", "source": first})
 
 
+@query(
+    "bm25_filtered_page", "R4 R5",
+    """
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank,
+    count(*) OVER (PARTITION BY query_id) AS total FROM v_bm25 JOIN v_docs USING (id) WHERE lang = 'en'
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10
+""",
+    VIEWS,
+)
+def bm25_filtered_page(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return result_page(asked(spark, sf_dir), SearchIndex.build(d), 1, 10, d.where("lang = 'en'"))
+
+
 @query(
     "bm25_page", "R5 R6 T11",
     """
@@ -149,9 +195,8 @@ FROM (SELECT *, greatest(0, p - 50) AS s0, least(length(content), p + 150) AS e0
     VIEWS,
 )
 def bm25_page(spark, sf_dir):
-    q = asked(spark, sf_dir)
-    page = S.result_page(S.bm25(q, *index(spark, sf_dir)), 2, 5)
-    return S.with_snippets(page, docs(spark, sf_dir), q)
+    q, d = asked(spark, sf_dir), docs(spark, sf_dir)
+    return S.with_snippets(result_page(q, SearchIndex.build(d), 2, 5), d, q)
 
 
 @query("tfidf_vocabulary", "R7", "SELECT token, df, round(idf, 9) AS idf, dim FROM v_vocab", VIEWS)
