@@ -3,9 +3,9 @@
 The index is three tables: postings(token, id, length, tf), lengths(id, length) and vocabulary(token, df).  They are ordinary
 DataFrames: build them once, write them, and join any number of query batches to them.
 
-Scoring of vectors is brute force by definition (every document gets a score).  Instead of pairing documents with
-queries in a cross join, the queries travel to the documents in blocks of at most QUERY_BLOCK rows; each task scores its
-own Arrow batches against the block with one matrix product and passes on only what can still be among the best k.
+Scoring of vectors is brute force by definition (every document gets a score).  Documents are dealt into buckets and queries
+into blocks; a (bucket, block) tile is one task's matrix product and passes on its best k per query.  Nothing travels through
+the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import ordered
 from threadloom.functions import text as T
 from threadloom.functions.barrier import once
+from threadloom.session import saved
 
 K1 = 1.5
 B = 0.75
@@ -31,6 +32,9 @@ RECALL_HALF_LIFE = 30.0
 RECALL_MIN_SCORE = 0.01
 RECALL_RESULTS = 20
 QUERY_BLOCK = 1024
+#: A tile of the block-nested join has about QUERY_BLOCK queries and so many documents; answers of MERGED tiles are merged at once.
+TILE_DOCUMENTS = 2048
+MERGED = 256
 SLICE_ROWS = 1024
 
 
@@ -195,9 +199,9 @@ def _best_of_batches(
                 sizes = part.column("n_tokens").to_numpy(zero_copy_only=False)
                 tokens = part.column("tokens")
                 owner = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
-                place = pc.index_in(tokens.flatten(), block["asked"]).to_numpy(zero_copy_only=False)
+                place = pc.fill_null(pc.index_in(tokens.flatten(), block["asked"]), -1).to_numpy(zero_copy_only=False)
                 held = np.zeros((part.num_rows, len(block["asked"])), np.float32)
-                held[owner, place] = 1
+                held[owner[place >= 0], place[place >= 0]] = 1
                 keyword = (held @ block["asks"]).astype(np.float64)
                 union = sizes[:, None] + block["n_tokens"][None, :] - keyword
                 keyword = np.divide(keyword, union, out=np.zeros_like(keyword), where=union > 0)
@@ -235,71 +239,82 @@ def _best_of_batches(
             )
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    """The queries in blocks of at most QUERY_BLOCK rows, whatever their number."""
-    block: list = []
-    for row in queries.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+def _query_block(queries: pa.Table) -> dict:
+    """What the queries of a tile ask for, in the form _best_of_batches works on."""
+    vectors = queries.column("vector").combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    by_length = [(np.flatnonzero(sizes == dim), _matrix(vectors, int(dim))[sizes == dim]) for dim in np.unique(sizes[sizes > 0])]
+    tokens = queries.column("tokens").combine_chunks()
+    n_tokens = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    coded = tokens.flatten().dictionary_encode()
+    asks = np.zeros((len(coded.dictionary), queries.num_rows), np.float32)  # which query asks for which token
+    asks[coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(queries.num_rows), n_tokens)] = 1
+    return {
+        "ids": queries.column("query_id").combine_chunks(),
+        "by_length": by_length,
+        "has_vector": sizes > 0,
+        "n_tokens": n_tokens.astype(np.float64),
+        "asked": coded.dictionary,
+        "asks": asks,
+    }
+
+
+def _tile(mode: str, k: int, minimum: float | None, half_life: float):
+    """Best k documents of a bucket for every query of a block: a state that merges with the states of other buckets."""
+
+    def score(queries: pa.Table, docs: pa.Table) -> pa.Table:
+        names = ["query_id", "id", "score", "keyword_score", "semantic_score", "recency_factor"]
+        kept = []
+        if queries.num_rows:
+            for batch in _best_of_batches(iter(docs.combine_chunks().to_batches()), _query_block(queries), mode, k, minimum, half_life):
+                kept.append(batch)
+        if not kept:
+            types = [queries.schema.field("query_id").type, pa.string(), *[pa.float64()] * 4]
+            return pa.table([pa.array([], t) for t in types], names=names)
+        found = pa.Table.from_batches(kept).sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
+        query = found.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query)))
+        return found.filter(pa.array(place < k))
+
+    return score
+
+
+def _dealt(rows: DataFrame, key: str, own: str, parts: int, other: str, copies: int) -> DataFrame:
+    """Rows dealt by a hash of their key into `parts`, one copy for each of the other side's parts."""
+    each = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
+    return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(other, F.explode(each))
 
 
 def _score(
     docs: DataFrame, queries: DataFrame, mode: str, k: int, minimum: float | None, half_life: float
 ) -> DataFrame:
-    """docs(id, vector, tokens, age_days) x queries(query_id, vector, tokens) -> best k per query."""
-    spark = docs.sparkSession
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    arrow_id = pa.int64() if id_type in ("bigint", "int") else pa.string()
-    schema = (
-        f"query_id {'bigint' if arrow_id == pa.int64() else 'string'}, id string, score double, keyword_score double,"
-        " semantic_score double, recency_factor double"
+    """docs(id, vector, tokens, age_days) x queries(query_id, vector, tokens) -> best k per query.
+
+    A block-nested join: documents are dealt into buckets and queries into blocks, every (bucket, block) tile is one group of a
+    cogroup and returns its best k per query, and the tiles' answers are merged in two steps.  Both sides are written once.
+    """
+    narrow = docs.select(
+        F.col("id").cast("string").alias("id"),
+        F.col("vector").cast("array<double>").alias("vector"),
+        "tokens",
+        F.size("tokens").cast("double").alias("n_tokens"),
+        F.col("age_days").cast("double").alias("age_days"),
     )
-    result = None
-    for rows in _blocks(queries):
-        vectors = [list(r["vector"]) if r["vector"] else [] for r in rows]
-        by_length = []
-        for dim in sorted({len(v) for v in vectors} - {0}):
-            places = np.array([i for i, v in enumerate(vectors) if len(v) == dim])
-            raw = np.array([vectors[i] for i in places], dtype=np.float64)
-            norms = np.sqrt((raw * raw).sum(axis=1))
-            by_length.append((places, raw / np.where(norms > 0, norms, 1.0)[:, None]))
-        asked: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            for token in set(r["tokens"] or ()):
-                asked.setdefault(token, []).append(i)
-        asks = np.zeros((len(asked), len(rows)), np.float32)  # which query asks for which token
-        for place, token in enumerate(sorted(asked)):
-            asks[place, asked[token]] = 1
-        shared = spark.sparkContext.broadcast(
-            {
-                "ids": pa.array([r["query_id"] for r in rows], arrow_id),
-                "by_length": by_length,
-                "has_vector": np.array([len(v) > 0 for v in vectors]),
-                "n_tokens": np.array([len(set(r["tokens"] or ())) for r in rows], dtype=np.float64),
-                "asked": pa.array(sorted(asked), pa.string()),
-                "asks": asks,
-            }
-        )
-        # Documents carry only the tokens some query of the block asks for (at most a block's worth), cut in the JVM.
-        wanted = F.lit(sorted(asked)) if asked else F.array().cast("array<string>")
-        narrowed = docs.select(
-            F.col("id").cast("string").alias("id"),
-            F.col("vector").cast("array<double>").alias("vector"),
-            F.array_intersect("tokens", wanted).alias("tokens"),
-            F.size("tokens").cast("double").alias("n_tokens"),
-            F.col("age_days").cast("double").alias("age_days"),
-        )
-        scored = narrowed.mapInArrow(
-            lambda it, s=shared: _best_of_batches(it, s.value, mode, k, minimum, half_life), schema
-        )
-        result = scored if result is None else result.unionByName(scored)
-    if result is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    return ordered.top_rows(result, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    narrow = saved(narrow, "documents")
+    asked = saved(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), "tokens"), "queries")
+    buckets, blocks = max(1, -(-narrow.count() // TILE_DOCUMENTS)), max(1, -(-asked.count() // QUERY_BLOCK))
+    tile = ["bucket", "block"]
+    left = _dealt(asked, "query_id", "block", blocks, "bucket", buckets).select(*tile, "query_id", "vector", "tokens")
+    right = _dealt(narrow, "id", "bucket", buckets, "block", blocks).select(*tile, "id", "vector", "tokens", "n_tokens", "age_days")
+    query_id = asked.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {query_id}, id string, score double, keyword_score double, semantic_score double, recency_factor double"
+    found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_tile(mode, k, minimum, half_life), schema)
+    best = [F.desc("score"), F.asc("id")]
+    if buckets > MERGED:
+        found = found.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(-(-buckets // MERGED))))
+        found = ordered.top_rows(found, ["query_id", "part"], best, k).drop("part", "rank")
+    return ordered.top_rows(found, ["query_id"], best, k)
 
 
 _NO_TOKENS = "CAST(array() AS array<string>)"
