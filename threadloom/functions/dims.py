@@ -47,12 +47,12 @@ def technology_terms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "term string, canonical string, type string, place int")
 
 
-def opposing_choices(spark: SparkSession) -> DataFrame:
-    """Both directions of every opposing pair, one row per (word, opposing word)."""
+def opposing_words() -> list[tuple[str, str]]:
+    """Both directions of every opposing pair as (word, opposing word)."""
     rows = []
     for left, right in fixed.OPPOSING_CHOICES:
         rows += [(a, b) for a in left for b in right] + [(b, a) for a in left for b in right]
-    return spark.createDataFrame(sorted(set(rows)), "word string, against string")
+    return sorted(set(rows))
 
 
 def type_weight(column):

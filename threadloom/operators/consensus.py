@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import ordered
 from threadloom.functions import text as T
+from threadloom.functions.tiles import common_counts, in_tiles, incidence
 
 STRONG, PARTIAL = 0.4, 0.2
 NO_SCORE = 0.5
@@ -19,12 +22,24 @@ def valid_answers(answers: DataFrame) -> DataFrame:
     return answers.where(ok).select("prompt_id", "answer_id", T.phrases("content").alias("phrases"))
 
 
+def _similarity(table: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.Table:
+    """Sum over the pairs of a tile: Jaccard similarity of two sets, as often as there are answers with them."""
+    owner, code, _ = incidence(table.column("phrases"))
+    size = np.bincount(owner, minlength=table.num_rows)
+    copies = table.column("copies").to_numpy().astype(np.float64)
+    common = common_counts(owner, code, table.num_rows, left, right).astype(np.float64)
+    union = size[left][:, None] + size[right][None, :] - common
+    similar = np.divide(common, union, out=np.zeros_like(common), where=union > 0) * copies[left][:, None] * copies[right][None, :]
+    if len(left) == len(right) and (left == right).all():
+        similar = np.triu(similar, 1)
+    return pa.table([table.column("prompt_id").slice(0, 1), pa.array([similar.sum()])], names=["prompt_id", "similarity"])
+
+
 def agreement(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     """Mean Jaccard similarity over all pairs of answers per prompt, with its level.
 
     Answers with the same phrases are counted together first, so copies cost nothing: k copies stand for k(k-1)/2 pairs
-    of similarity 1.  Different sets only meet where they share a phrase (an equi-join spread over prompt and phrase);
-    all other pairs have similarity 0 and are part of the denominator alone.
+    of similarity 1.  Different sets meet in tiles of a bounded number of rows, each of which passes on one sum.
     """
     valid = valid_answers(answers)
     n = valid.groupBy("prompt_id").agg(F.count("*").alias("answers"))
@@ -37,17 +52,8 @@ def agreement(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     copies = sets.where((F.col("copies") > 1) & (F.col("size") > 0)).select(
         "prompt_id", (F.col("copies") * (F.col("copies") - 1) / 2).alias("similarity")
     )
-    words = sets.select("prompt_id", "set_id", "size", "copies", F.explode("phrases").alias("phrase"))
-    a = words.selectExpr("prompt_id", "phrase", "set_id AS a", "size AS size_a", "copies AS copies_a")
-    b = words.selectExpr("prompt_id", "phrase", "set_id AS b", "size AS size_b", "copies AS copies_b")
-    shared = (
-        a.join(b, ["prompt_id", "phrase"])
-        .where(F.col("a") < F.col("b"))
-        .groupBy("prompt_id", "a", "b", "size_a", "size_b", "copies_a", "copies_b")
-        .agg(F.count("*").alias("n"))
-    )
-    jaccard = F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n"))
-    across = shared.select("prompt_id", (jaccard * F.col("copies_a") * F.col("copies_b")).alias("similarity"))
+    prompt = sets.schema["prompt_id"].dataType.simpleString()
+    across = in_tiles(sets, ["prompt_id"], "set_id", _similarity, f"prompt_id {prompt}, similarity double")
     total = across.unionByName(copies).groupBy("prompt_id").agg(F.sum("similarity").alias("similarity"))
     joined = prompts.select("prompt_id").join(n, "prompt_id", "left").join(total, "prompt_id", "left")
     count = F.coalesce("answers", F.lit(0))

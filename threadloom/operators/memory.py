@@ -6,12 +6,15 @@ over (user, name) or (user, token) groups everywhere; no step collects the items
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import dims, ordered
 from threadloom.functions import text as T
-from threadloom.functions.substrings import GRAM, grams
+from threadloom.functions.substrings import occurring
+from threadloom.functions.tiles import common_counts, in_tiles, incidence
 from threadloom.session import saved
 
 HALF_LIFE = 30.0
@@ -215,67 +218,60 @@ def _conflict_texts(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return active, texts.withColumn("tokens", tokens).withColumn("size", F.size("tokens"))
 
 
-def _meeting(texts: DataFrame, min_overlap: float) -> DataFrame:
-    """(user_id, a, b) of texts whose token sets may overlap enough; a = b stands for two copies of one text.
-
-    Pairs without a `named` text are not formed.
-
-    Tokens are ranked by how few of the user's texts have them.  Two sets that overlap by a share t have a token in
-    common among the first size - ceil(t * size) + 1 of each, so the frequent tokens of a user bring nobody together.
-    """
-    words = texts.select("user_id", "text_id", "named", F.explode("tokens").alias("token"))
-    spread = words.groupBy("user_id", "token").agg(F.count("*").alias("df"))
-    ranked = words.join(spread, ["user_id", "token"]).groupBy("user_id", "text_id", "named").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity")
-    )
-    need = F.ceil(F.size("by_rarity") * F.lit(min_overlap) - 1e-9)
-    leading = ranked.select(
-        "user_id", "text_id", "named", F.size("by_rarity").alias("size"),
-        F.explode(F.slice("by_rarity", F.lit(1), (F.size("by_rarity") - need + 1).cast("int"))).alias("t"),
-    ).select("user_id", "text_id", "named", "size", "t.token")
-    # The named texts meet all texts; with every text named this is the plain join.
-    a = leading.where("named").select("user_id", "token", F.col("text_id").alias("a"), F.col("size").alias("size_a"))
-    b = leading.select("user_id", "token", F.col("text_id").alias("b"), F.col("size").alias("size_b"), F.col("named").alias("named_b"))
-    fits = F.least("size_a", "size_b") >= F.lit(min_overlap) * F.greatest("size_a", "size_b") - 1e-9
-    once = (F.col("a") <= F.col("b")) | ~F.col("named_b")
-    met = a.join(b, ["user_id", "token"]).where(once & fits)
-    return met.select("user_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _tile_of_texts(min_overlap: float):
+    """Conflicting pairs of one tile of a user's texts: by overlap of token sets or by opposing words, with a `named` text."""
+    against = {}
+    for word, other in dims.opposing_words():
+        against.setdefault(word, set()).add(other)
+    words = sorted(against)
+    opposes = np.array([[float(v in against[w]) for v in words] for w in words], np.float32)
+
+    def meet(table: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.Table:
+        owner, code, values = incidence(table.column("tokens"))
+        n = table.num_rows
+        size = np.bincount(owner, minlength=n)
+        common = common_counts(owner, code, n, left, right).astype(np.float64)
+        union = size[left][:, None] + size[right][None, :] - common
+        overlap = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+        known = {v: i for i, v in enumerate(values)}
+        place = np.full(len(values), -1)
+        for w, v in enumerate(words):
+            if v in known:
+                place[known[v]] = w
+        has = np.zeros((n, len(words)), np.float32)
+        hit = place[code] >= 0
+        has[owner[hit], place[code[hit]]] = 1
+        opposing = (has[left] @ opposes @ has[right].T) > 0
+        named = table.column("named").to_numpy()
+        ids = table.column("text_id").to_numpy()
+        keep = (opposing | (overlap >= min_overlap)) & (named[left][:, None] | named[right][None, :])
+        if len(left) == len(right) and (left == right).all():
+            keep &= left[:, None] <= right[None, :]
+        i, j = np.nonzero(keep)
+        x, y = ids[left[i]], ids[right[j]]
+        user = table.column("user_id").combine_chunks().take(pa.array(np.zeros(len(i), np.int64)))
+        columns = [user, pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(overlap[i, j]), pa.array(opposing[i, j])]
+        return pa.table(columns, names=["user_id", "a", "b", "overlap", "opposing"])
+
+    return meet
 
 
 def conflicting_texts(decisions: DataFrame, min_overlap: float = MIN_OVERLAP, about: str | None = None) -> DataFrame:
     """Pairs of distinct texts (and single texts with themselves) that conflict; with `about`, one of them has to name it.
 
-    Only texts with a shared token or with opposing words can qualify, so two equi-joins find every pair: one on the
-    token, one from a word to its opposite.  No pair without a reason is ever formed.
+    The texts of a user meet in tiles of a bounded number of rows, so neither a user with many texts nor a frequent token is
+    one task; a tile counts common tokens of all its pairs and passes on the conflicts only.
     """
     if min_overlap <= 0:
         raise ValueError("a threshold of zero or less makes every pair a conflict; use a positive one")
-    spark = decisions.sparkSession
     _, texts = _conflict_texts(decisions)
-    texts = texts.withColumn("named", F.lit(True) if about is None else F.contains(F.lower("text"), F.lit(about.lower())))
-    words = texts.select("user_id", "text_id", "size", "named", F.explode("tokens").alias("token"))
-    against = F.broadcast(dims.opposing_choices(spark))  # a fixed dictionary of fewer than 100 rows
-    sides = words.join(against, words["token"] == against["word"]).select("user_id", "text_id", "against", "named").distinct()
-    opposed = (
-        sides.join(
-            words.select("user_id", F.col("text_id").alias("other"), F.col("token").alias("against"), F.col("named").alias("other_named")),
-            ["user_id", "against"],
-        )
-        .where("named OR other_named")
-        .select("user_id", F.least("text_id", "other").alias("a"), F.greatest("text_id", "other").alias("b"))
-        .distinct()
-        .withColumn("opposing", F.lit(True))
-    )
-    pairs = _meeting(texts, min_overlap).withColumn("opposing", F.lit(False)).unionByName(opposed)
-    pairs = pairs.groupBy("user_id", "a", "b").agg(F.bool_or("opposing").alias("opposing"))
-    sets = texts.select("user_id", "text_id", "tokens")
-    both = pairs.join(sets.selectExpr("user_id", "text_id AS a", "tokens AS ta"), ["user_id", "a"]).join(
-        sets.selectExpr("user_id", "text_id AS b", "tokens AS tb"), ["user_id", "b"]
-    )
-    common = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - common
-    both = both.withColumn("overlap", F.coalesce(F.try_divide(common, union), F.lit(0.0)))
-    return both.where(F.col("opposing") | (F.col("overlap") >= min_overlap)).select(
+    named = F.lit(True) if about is None else F.contains(F.lower("text"), F.lit(about.lower()))
+    texts = texts.select("user_id", "text_id", "tokens", named.alias("named"))
+    if about is not None:
+        texts = texts.join(texts.where("named").select("user_id").distinct(), "user_id", "left_semi")
+    user = texts.schema["user_id"].dataType.simpleString()
+    schema = f"user_id {user}, a bigint, b bigint, overlap double, opposing boolean"
+    return in_tiles(texts, ["user_id"], "text_id", _tile_of_texts(min_overlap), schema).select(
         "user_id",
         "a",
         "b",
@@ -373,30 +369,19 @@ def entity_session_counts(entities: DataFrame) -> DataFrame:
 def decided_keys(keys: DataFrame, decisions: DataFrame) -> DataFrame:
     """Entity keys that occur as a substring in some decision text of the user.
 
-    Most keys are words of the texts and are settled by an equality.  For the rest only the texts of their users are cut
-    up: a key without white space lies inside one piece between white space, so short substrings of distinct pieces are
-    joined and long keys verified on the pieces found; a key with white space is looked up in the texts of its user.
+    Most keys are words of the texts and are settled by an equality; the rest, with blanks or as parts of words, are looked up
+    by their rarest gram.
     """
     texts = decisions.select("user_id", F.lower("description").alias("text")).distinct()
     words = texts.select("user_id", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("key")).distinct()
     whole = keys.join(words, ["user_id", "key"], "left_semi").select("user_id", "key")
-    rest = saved(keys.join(whole, ["user_id", "key"], "left_anti").select("user_id", "key"), "keys")
-    asked = texts.join(rest.select("user_id").distinct(), "user_id", "left_semi")
-    pieces = asked.select("user_id", F.explode(F.array_distinct(F.split("text", "\\s+"))).alias("text")).distinct()
-    cut = grams(pieces, ["user_id"])
-    spaced = F.col("key").rlike("\\s")
-    short = rest.where((F.length("key") <= GRAM) & ~spaced)
-    short_hits = short.join(cut.select("user_id", F.col("gram").alias("key")), ["user_id", "key"], "left_semi")
-    long = rest.where((F.length("key") > GRAM) & ~spaced).withColumn("gram", F.substring("key", 1, GRAM))
-    found = long.join(cut.where(F.length("gram") == GRAM), ["user_id", "gram"]).unionByName(
-        rest.where(spaced).join(asked, "user_id").withColumn("gram", F.lit(""))
-    )
-    long_hits = found.where(F.contains(F.col("text"), F.col("key"))).select("user_id", "key").distinct()
-    return whole.unionByName(short_hits).unionByName(long_hits)
+    rest = saved(keys.join(whole, ["user_id", "key"], "left_anti").select("user_id", F.col("key").alias("needle")), "keys")
+    inside = occurring(rest, texts, ["user_id"])
+    return whole.unionByName(inside.select("user_id", F.col("needle").alias("key")))
 
 
 def undecided_topics(entities: DataFrame, decisions: DataFrame, min_sessions: int = 2) -> DataFrame:
-    frequent = entity_session_counts(entities).where(F.col("sessions") >= min_sessions)
+    frequent = saved(entity_session_counts(entities).where(F.col("sessions") >= min_sessions), "frequent")
     decided = decided_keys(frequent.select("user_id", "key"), decisions)
     return frequent.join(decided, ["user_id", "key"], "left_anti").select(
         "user_id",
