@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import dims, fixed
 from threadloom.functions import text as T
+from threadloom.functions.barrier import once
 from threadloom.functions.substrings import containing
 from threadloom.session import saved
 
 WORD = r"[a-z0-9_\-]+"
+GAP = r"[^a-z0-9_\-]+"
 CONTEXT = 100
 PREFIX = 4
 NEAR_CONFIDENCE = 0.7
@@ -77,34 +79,68 @@ def symbol_mentions(blocks: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "m.source", placed, "m.key", "m.name", "m.type")
 
 
+def _parts(text: Column) -> Column:
+    """Alternately what is between words and a word: gap, word, gap, ..., word, gap; line breaks stand around the text."""
+    padded = F.concat(F.lit("\n"), text, F.lit("\n"))
+    return F.regexp_extract_all(padded, F.lit(f"{WORD}|{GAP}"), F.lit(0))
+
+
+def term_runs(dictionary: DataFrame) -> DataFrame:
+    """The dictionary with each term's run (from its first word to its last), its number of words and the marks around it."""
+    n = F.size("__parts")
+    cut = once(dictionary, __parts=_parts(F.col("term"))).where(n >= 3)
+    lead, trail = F.substr(F.get("__parts", F.lit(0)), F.lit(2)), F.get("__parts", n - 1)
+    return cut.select(
+        *dictionary.columns,
+        F.array_join(F.slice("__parts", F.lit(2), n - 2), "").alias("run"),
+        F.floor((n - 1) / 2).cast("int").alias("width"),
+        lead.alias("lead"),
+        F.substr(trail, F.lit(1), F.length(trail) - 1).alias("trail"),
+    )
+
+
 def term_mentions(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Whole-word dictionary matches, at most one per term and message.
 
-    dictionary(term, canonical, type, place).  One-word terms are an equi-join on the distinct words of a message.  A term
-    of several parts is looked up by its first word in the same pass and then verified on the text, so the dictionary is
-    never scanned per message.  Only words that start such a term carry the text along.  The join side is chosen by its
-    size at run time; nothing is forced into memory.
+    dictionary(term, canonical, type, place).  A message passes on its runs of one up to w words with exactly what stands
+    between them, w being the most words of any term; an equi-join on (width, run) meets the dictionary, so neither the
+    dictionary is scanned per message nor a pattern built per row.  Marks around a term (as in `.net` or `c++`) are compared
+    with what stands around the run, which must go on beyond them without a word.  A term without a word matches nothing.
+    The join side is chosen by its size at run time; nothing is forced into memory.
     """
-    terms = dictionary.withColumn("head", F.regexp_extract("term", rf"^{WORD}", 0))
-    several = terms.where(F.col("head") != F.col("term"))
-    starts = several.select(F.collect_set("head")).scalar()
-    lowered = messages.select("conv_id", "turn", F.lower("full_text").alias("lowered")).withColumn(
-        "words", F.array_distinct(_all("lowered", WORD))
-    )
-    lowered = lowered.withColumn("starting", F.array_intersect("words", starts))
-    words = F.transform(
-        "words",
-        lambda w: F.struct(w.alias("head"), F.when(F.array_contains("starting", w), F.col("lowered")).alias("text")),
-    )
-    tokens = lowered.select("conv_id", "turn", F.explode(words).alias("w")).select("conv_id", "turn", "w.*")
-    before, after = r"(?<![a-zA-Z0-9_\-])\Q", r"\E(?![a-zA-Z0-9_\-])"
-    pattern = F.concat(F.lit(before), F.col("term"), F.lit(after))
-    whole = (F.col("head") == F.col("term")) | F.rlike(F.col("text"), pattern)
-    hits = tokens.join(terms, "head").where(whole)
-    return hits.select(
+    runs = saved(term_runs(dictionary), "terms")
+    # One row per width that some term has; the widths are few because terms are short.
+    widths = runs.groupBy("width").agg(F.max(F.length(F.concat("lead", "trail")) > 0).alias("marked")).orderBy("width").collect()
+    none = F.lit(None).cast("string")
+    lowered = once(messages.select("conv_id", "turn", "full_text"), parts=_parts(F.lower("full_text")))
+    n_words = F.floor((F.size("parts") - 1) / 2).cast("int")
+
+    def windows(width: int, marked: bool) -> Column:
+        def window(k: Column) -> Column:
+            run = F.array_join(F.slice("parts", 2 * k, F.lit(2 * width - 1)), "")
+            before, after = F.get("parts", 2 * k - 2), F.get("parts", 2 * k + 2 * width - 2)
+            return F.struct(
+                F.lit(width).alias("width"), run.alias("run"),
+                (before if marked else none).alias("before"), (after if marked else none).alias("after"),
+            )
+
+        starts = F.when(n_words >= width, F.sequence(F.lit(1), n_words - width + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, window))
+
+    if not widths:
+        every = F.array().cast("array<struct<width:int,run:string,before:string,after:string>>")
+    else:
+        every = F.concat(*(windows(r["width"], r["marked"]) for r in widths))
+    rows = lowered.select("conv_id", "turn", F.explode(every).alias("w")).select("conv_id", "turn", "w.*")
+    opens = (F.col("lead") == "") | (F.endswith("before", "lead") & (F.col("before") != F.col("lead")))
+    closes = (F.col("trail") == "") | (F.startswith("after", "trail") & (F.col("after") != F.col("trail")))
+    hits = rows.join(runs, ["width", "run"]).where(opens & closes)
+    found = hits.select(
         "conv_id", "turn", F.lit(SOURCES["term"]).alias("source"), F.col("place").cast("bigint").alias("ix"),
-        F.concat(F.lit("tech:"), F.lower("canonical")).alias("key"), F.col("canonical").alias("name"), "type",
+        F.concat(F.lit("tech:"), F.lower("canonical")).alias("key"), F.col("canonical").alias("name"), "type", "term",
     )
+    # Only runs between different marks can meet one term twice.
+    return (found.distinct() if any(r["marked"] for r in widths) else found).drop("term")
 
 
 def all_mentions(messages: DataFrame, dictionary: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
