@@ -19,15 +19,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group linked by four fifths of common five-word shingles: the one of the smallest id."""
+    """One document of every group linked by four fifths of common five-word shingles: the one of the smallest id.
+
+    Documents without words are linked with nothing and stay.  Rows of one id stay or go together; documents without an id
+    cannot be told apart, so all of them stay if one of them stands for its group.
+    """
     groups = ngram_join.jaccard_components(docs, width=5, percent=80)
-    keep = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi").select(*docs.columns)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without sentence spans that an earlier document has; a document of which nothing is left goes."""
-    shorter = sentence_spans.deduplicate(docs).where("n_removed < n_units")
+    """Texts without sentence spans that an earlier document has; a document of which nothing is left goes.
+
+    A null text or one without words has nothing to remove and stays.
+    """
+    shorter = sentence_spans.deduplicate(docs).where("n_removed < n_units OR n_removed = 0")
     return shorter.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
