@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -79,13 +80,49 @@ def test_changes(spark, sf, split_events):
     assert rows(got, "capture_id", "message_count") == rows(want, "capture_id", "message_count")
 
 
-def test_closed_connections_are_among_the_silent_ones(spark, sf, split_events):
-    got = J.stream_connections(P.beats(stream(spark, split_events)), J.fresh(spark, "t"))
+def test_connections_end_with_the_clock(spark, sf, split_events):
     want = J.dropped_connections(P.beats(table(spark, sf, "events")))
-    closed = {(r.connection_id, r.last_seen) for r in got.collect()}
+    path = J.fresh(spark, "t")
+    before = {(r.connection_id, r.last_seen) for r in J.stream_connections(P.beats(stream(spark, split_events)), path).collect()}
+    last = P.beats(table(spark, sf, "events")).agg(F.max("ts").alias("ts")).first().ts
+    now = last + timedelta(seconds=J.STALE_SECONDS + 60)
+    after = [(r.connection_id, r.last_seen) for r in J.stream_connections(P.beats(stream(spark, split_events)), path, now=now).collect()]
     silent = {(r.connection_id, r.last_seen) for r in want.collect()}
-    # The stream closes a session only once the watermark has passed it; the newest ones stay open.
-    assert closed and closed <= silent
+    # Without a tick the newest sessions stay open; with it every session ends, each once.
+    assert before < silent and set(after) == silent and len(after) == len(silent)
+
+
+def test_sessions_join_whatever_the_order():
+    at = np.array([500, 0, 100, 221, 900], dtype=np.int64) * 1_000_000
+    one = np.ones(5, dtype=np.int64)
+    starts, ends, beats = J._sessions(at, at, one)
+    assert list(starts // 1_000_000) == [0, 221, 500, 900] and list(ends // 1_000_000) == [100, 221, 500, 900] and list(beats) == [2, 1, 1, 1]
+
+
+def test_months_close_and_late_rows_become_corrections(spark, tmp_path):
+    schema = "user_id bigint, ts timestamp, metric string, amount bigint"
+    day = lambda m, d: datetime(2024, m, d, 12)
+    batches = [
+        [(1, day(1, 5), "shifts", 2), (2, day(1, 30), "shifts", 1), (1, day(1, 6), J.LIFETIME, 1)],
+        [(1, day(2, 2), "shifts", 4), (2, day(1, 31), "shifts", 1)],
+        [(1, day(2, 10), "shifts", 1)],
+        [(1, day(1, 7), "shifts", 10), (1, day(3, 20), "shifts", 8), (None, None, None, None)],
+    ]
+    folder, path = str(tmp_path / "usage"), J.fresh(spark, "t")
+    closed = []
+    for rows_ in batches:
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(folder)
+        got = J.stream_metered(J.read_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema), path)
+        closed.append({r.period for r in spark.read.schema(J.CLOSED).parquet(f"{path}/closed").collect()} if len(closed) > 1 else set())
+        assert rows(got, "user_id", "period", "metric", "count") == rows(J.metered(spark.read.parquet(folder)), "user_id", "period", "metric", "count")
+    # January is over once February is past the delay; its late row is a correction and the closed rows stay as they were.
+    assert closed[2] == {"2024-01"} and closed[3] == {"2024-01", "2024-02"}
+    late = J.corrections(spark, path).collect()
+    assert [(r.user_id, r.period, r["count"]) for r in late] == [(1, "2024-01", 10)]
+    # A replayed batch changes nothing.
+    before = rows(J.counters(spark, path), "user_id", "period", "metric", "count")
+    J._meter(spark.createDataFrame(batches[3], schema), 3, path, "3 days")
+    assert rows(J.counters(spark, path), "user_id", "period", "metric", "count") == before
 
 
 def test_distinct_messages_stream(spark, split_events):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from threadloom.functions import dims
@@ -177,21 +179,26 @@ def beats(events):
 BEATS = "SELECT user_id % 10 AS connection_id, event_id, epoch_us(ts) // 40 AS us FROM events"
 
 
-@query(
-    "dropped_connections", "X7",
-    f"""
+DROPPED = f"""
 SELECT connection_id, us AS last_seen FROM (SELECT *, lead(us) OVER (PARTITION BY connection_id ORDER BY us, event_id) AS later
     FROM ({BEATS})) WHERE later IS NULL OR later - us > 120000000
-""",
-)
+"""
+
+
+@query("dropped_connections", "X7", DROPPED)
 def dropped_connections(spark, sf_dir):
     out = J.dropped_connections(beats(table(spark, sf_dir, "events")))
     return out.withColumn("last_seen", F.unix_micros("last_seen"))
 
 
-@query("stream_connections", "X7")
+@query("stream_connections", "X7", DROPPED)
 def stream_connections(spark, sf_dir):
-    return J.stream_connections(beats(stream_of(spark, sf_dir, "events")), J.fresh(spark, "connections"))
+    """All sessions of all connections: after the last beat the clock moves on by the limit and the delay."""
+    last = beats(table(spark, sf_dir, "events")).agg(F.max("ts").alias("ts")).first().ts
+    now = last + timedelta(seconds=J.STALE_SECONDS + 60)
+    stream = beats(stream_of(spark, sf_dir, "events"))
+    out = J.stream_connections(stream, J.fresh(spark, "connections"), "10 seconds", now)
+    return out.select("connection_id", F.unix_micros("last_seen").alias("last_seen"))
 
 
 @query(

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from threadloom.operators import stores
 from threadloom.operators import versions as V
 from threadloom.plans.registry import query
+from threadloom.session import shared_folder
 from threadloom.sources.testviews import load, table
 
 VIEWS = {
@@ -169,15 +172,30 @@ def storage_stats(spark, sf_dir):
     return out.withColumn("average_ratio", F.round("average_ratio", 6))
 
 
-@query(
-    "versioned_sink", "S10",
-    """
+SINK = """
 SELECT session_id, version, version = max(version) OVER (PARTITION BY session_id) AS is_current FROM (SELECT session_id,
     version FROM v_contexts UNION ALL SELECT o_orderkey, coalesce(m, 0) + 1 FROM orders LEFT JOIN (SELECT session_id,
     max(version) AS m FROM v_contexts GROUP BY 1) ON session_id = o_orderkey)
-""",
-)
+"""
+
+
+def version_store(spark, sf_dir):
+    """Two batches of a version store: the stored contexts, then one more context for each order."""
+    path = shared_folder(spark, "version-store")
+    first = load(spark, sf_dir, "v_contexts").selectExpr("session_id", "version AS arrival")
+    stores.append_batch(first, path, 0)
+    stores.append_batch(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS session_id", "o_orderkey AS arrival"), path, 1)
+    return path, stores.with_columns(first.drop("arrival").schema, version=LongType())
+
+
+@query("versioned_sink", "S10", SINK)
 def versioned_sink(spark, sf_dir):
-    stored = load(spark, sf_dir, "v_contexts").select("session_id", F.col("version").cast("bigint").alias("version"))
-    arriving = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS session_id", "o_orderkey AS arrival")
-    return V.append_versions(stored, arriving)
+    path, schema = version_store(spark, sf_dir)
+    return stores.stored_versions(spark, path, schema)
+
+
+@query("versioned_sink_heads", "S10", f"SELECT session_id, version FROM ({SINK}) WHERE is_current")
+def versioned_sink_heads(spark, sf_dir):
+    """Current versions as they lie in the store."""
+    path, schema = version_store(spark, sf_dir)
+    return stores.stored_versions(spark, path, schema).where("is_current").drop("is_current")

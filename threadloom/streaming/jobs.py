@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from threadloom.functions import ordered
-from threadloom.operators import safety
+from threadloom.operators import safety, stores
 from threadloom.session import shared_folder
 from threadloom.sources import dialects
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LIFETIME = "consensus_trials"
 MAX_FAILURES = 10
 STALE_SECONDS = 120
@@ -38,7 +40,14 @@ def read_stream(spark: SparkSession, folder: str, name: str, schema: StructType,
 
 def run_available(writer) -> None:
     """Process what is there, then stop."""
-    query = writer.trigger(availableNow=True).start()
+    spark = SparkSession.active()
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        # A query copies the settings of its session when it starts.
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
     query.awaitTermination()
 
 
@@ -71,10 +80,14 @@ def newest(captures: DataFrame) -> DataFrame:
     return best.select("conversation_id", "c.*")
 
 
-def stream_newest(captures: DataFrame, path: str) -> DataFrame:
-    """Each micro-batch is reduced to one row per conversation before it is written; readers reduce once more."""
-    to_batches(captures, path, newest, "append")
-    return newest(captures.sparkSession.read.parquet(f"{path}/data").drop("batch_id"))
+def stream_newest(captures: DataFrame, path: str, buckets: int = stores.BUCKETS) -> DataFrame:
+    """A store of one row per conversation: a micro-batch replaces the buckets of its conversations; readers only scan."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stores.merge(batch, f"{path}/data", ["conversation_id"], newest, buckets)
+
+    run_available(captures.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint"))
+    return stores.bucket_rows(captures.sparkSession, f"{path}/data", captures.schema)
 
 
 # -- change suppression: pass a capture on only when its message count changed --------------------------------------------------
@@ -136,12 +149,74 @@ def metered(usage: DataFrame) -> DataFrame:
     return usage.groupBy("user_id", period.alias("period"), "metric").agg(F.sum("amount").alias("count"))
 
 
-def stream_metered(usage: DataFrame, path: str) -> DataFrame:
-    """Counters in update mode: a late event still counts in its own month; the newest batch of a counter is its value."""
-    to_batches(metered(usage), path)
-    written = usage.sparkSession.read.parquet(f"{path}/data")
-    keys = ["user_id", "period", "metric"]
-    return written.groupBy(*keys).agg(F.max_by("count", "batch_id").alias("count"))
+_COUNTER = [StructField("user_id", LongType()), StructField("metric", StringType()), StructField("count", LongType())]
+LEDGER = StructType([*_COUNTER, StructField("period", StringType()), StructField("batch", LongType())])
+CLOSED = StructType([*_COUNTER, StructField("through", LongType()), StructField("period", StringType())])
+#: The newest event time (microseconds) after each micro-batch.
+MARKS = StructType([StructField("high", LongType()), StructField("batch", LongType())])
+
+
+def _months(after: pd.Timestamp, until: pd.Timestamp) -> list[str]:
+    """The months that end after one moment and not after the other."""
+    return [str(m) for m in pd.period_range(after, until, freq="M") if after < (m + 1).start_time <= until]
+
+
+def _meter(batch: DataFrame, batch_id: int, path: str, delay: str) -> None:
+    """One micro-batch of usage: its counters go to the ledger, months that are over go to the closed table."""
+    spark = batch.sparkSession
+    counted = metered(batch).select("user_id", "metric", "count", "period", F.lit(batch_id).cast("bigint").alias("batch"))
+    stores.opened(spark, f"{path}/ledger", LEDGER)
+    stores.replace_partitions(counted, f"{path}/ledger", "period", "batch")
+    marks = stores.opened(spark, f"{path}/marks", MARKS)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    seen = batch.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    before = marks.where(F.col("batch") < batch_id).agg(F.max("high").alias("high")).first().high
+    high = max((t for t in (before, seen.high) if t is not None), default=None)
+    if high is None:
+        return
+    stores.replace_partitions(spark.createDataFrame([(high, batch_id)], MARKS), f"{path}/marks", "batch")
+    low = seen.low if before is None else before
+    grace = pd.Timedelta(delay)
+    over = _months(pd.Timestamp(low, unit="us") - grace, pd.Timestamp(high, unit="us") - grace)
+    if over:
+        ledger = stores.opened(spark, f"{path}/ledger", LEDGER).where(F.col("period").isin(over) & (F.col("batch") <= batch_id))
+        closed = ledger.groupBy("user_id", "metric", "period").agg(F.sum("count").alias("count"))
+        rows = closed.withColumn("through", F.lit(batch_id).cast("bigint"))
+        stores.opened(spark, f"{path}/closed", CLOSED)
+        stores.replace_partitions(rows.select(*CLOSED.fieldNames()), f"{path}/closed", "period")
+
+
+def counters(spark: SparkSession, path: str) -> DataFrame:
+    """Counter per user, period and metric: closed months as they lie, open months and corrections from the ledger."""
+    closed = stores.opened(spark, f"{path}/closed", CLOSED)
+    until = closed.groupBy("period").agg(F.max("through").alias("through"))
+    ledger = stores.opened(spark, f"{path}/ledger", LEDGER).join(F.broadcast(until), "period", "left")
+    rest = ledger.where(F.col("through").isNull() | (F.col("batch") > F.col("through")))
+    both = closed.drop("through").unionByName(rest.select("user_id", "metric", "count", "period"))
+    return both.groupBy("user_id", "period", "metric").agg(F.sum("count").alias("count"))
+
+
+def corrections(spark: SparkSession, path: str) -> DataFrame:
+    """What arrived for a month after it was closed."""
+    until = stores.opened(spark, f"{path}/closed", CLOSED).groupBy("period").agg(F.max("through").alias("through"))
+    ledger = stores.opened(spark, f"{path}/ledger", LEDGER).join(F.broadcast(until), "period")
+    return ledger.where(F.col("batch") > F.col("through")).select("user_id", "period", "metric", "count", "batch")
+
+
+def stream_metered(usage: DataFrame, path: str, delay: str = "3 days") -> DataFrame:
+    """Usage counters without streaming state.
+
+    A micro-batch is counted and laid into a ledger by period and batch (a replay replaces its own partitions).  Once the
+    newest event is `delay` past the end of a month, the month's counters are added up into the closed table, which says
+    through which batch they count.  Later rows of a closed month stay in the ledger as corrections: nothing is dropped
+    and no closed month is written again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _meter(batch, batch_id, path, delay)
+
+    run_available(usage.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint"))
+    return counters(usage.sparkSession, path)
 
 
 # -- token-bucket limiter ------------------------------------------------------------------------------------------------------------
@@ -305,15 +380,113 @@ def dropped_connections(beats: DataFrame, bucket_seconds: int = 86_400) -> DataF
     return gone.select("connection_id", F.col("ts").alias("last_seen"))
 
 
-def stream_connections(beats: DataFrame, path: str, delay: str = "10 seconds") -> DataFrame:
-    """Connections as sessions of heartbeats; a session closes after the limit without one (append mode, watermark)."""
-    alive = (
-        beats.withWatermark("ts", delay)
-        .groupBy("connection_id", F.session_window("ts", f"{STALE_SECONDS} seconds").alias("s"))
-        .agg(F.max("ts").alias("last_seen"), F.count("*").alias("beats"))
+CONNECTIONS = "connection_id bigint, last_seen timestamp, beats bigint"
+_LIMIT = STALE_SECONDS * 1_000_000
+
+
+def _sessions(starts: np.ndarray, ends: np.ndarray, beats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join intervals that are at most the limit apart (microseconds)."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach, beats = starts[order], np.maximum.accumulate(ends[order]), beats[order]
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] - reach[:-1] > _LIMIT]))
+    last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
+    return starts[first], reach[last], np.add.reduceat(beats, first)
+
+
+class _Connections(StatefulProcessor):
+    """Open sessions of a connection; an event-time timer ends a session once no beat can prolong it any more."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start BIGINT, end BIGINT, beats BIGINT")
+
+    def _keep(self, sessions, passed_ms: int) -> pd.DataFrame:
+        """Store what is still open, set its timer, and return what is over."""
+        starts, ends, beats = sessions
+        # Rounded up to whole milliseconds; beats not after the watermark never arrive.
+        expiry = -((-(ends + _LIMIT)) // 1000)
+        over = expiry <= passed_ms
+        left = [(int(a), int(b), int(n)) for a, b, n in zip(starts[~over], ends[~over], beats[~over])]
+        if left:
+            self.open.put(left)
+            self.handle.registerTimer(int(expiry[~over].min()))
+        else:
+            self.open.clear()
+        return pd.DataFrame({"end": ends[over], "beats": beats[over]})
+
+    def _stored(self):
+        rows = list(self.open.get()) if self.open.exists() else []
+        columns = np.array([tuple(r) for r in rows], dtype=np.int64).reshape(-1, 3)
+        return columns[:, 0], columns[:, 1], columns[:, 2]
+
+    def _out(self, key, over: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "connection_id": [key[0]] * len(over),
+                "last_seen": pd.to_datetime(over["end"].to_numpy(), unit="us", utc=True),
+                "beats": over["beats"].to_numpy(),
+            }
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            # Ticks only move the watermark.
+            for _ in rows:
+                pass
+            return
+        state = self._stored()
+        for chunk in rows:
+            at = chunk["us"].to_numpy(dtype=np.int64)
+            one = np.ones(len(at), dtype=np.int64)
+            state = _sessions(*[np.concatenate(c) for c in zip(state, (at, at, one))])
+        over = self._keep(state, timerValues.getCurrentWatermarkInMs())
+        if len(over):
+            yield self._out(key, over)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self._stored()
+        if len(state[0]):
+            over = self._keep(state, timerValues.getCurrentWatermarkInMs())
+            if len(over):
+                yield self._out(key, over)
+
+    def close(self) -> None:
+        pass
+
+
+def _connections(beats: DataFrame, ticks: DataFrame, path: str, delay: str) -> None:
+    # Connections and ticks are one event-time column, so either moves the watermark.
+    both = beats.select("connection_id", F.col("ts").cast("timestamp").alias("ts")).unionByName(
+        ticks.select(F.lit(None).cast("bigint").alias("connection_id"), "ts")
+    )
+    timed = both.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    out = timed.groupBy("connection_id").transformWithStateInPandas(
+        statefulProcessor=_Connections(), outputStructType=CONNECTIONS, outputMode="Append", timeMode="EventTime"
     )
-    to_files(alive.select("connection_id", "last_seen", "beats"), path)
-    return beats.sparkSession.read.parquet(f"{path}/data")
+    to_files(out, path)
+
+
+def tick(spark: SparkSession, path: str, moment) -> None:
+    """Tell the connection job what time it is: everything silent for the limit before that moment is over."""
+    schema = StructType([StructField("ts", TimestampType())])
+    spark.createDataFrame([(moment,)], schema).coalesce(1).write.mode("append").parquet(f"{path}/ticks")
+
+
+def stream_connections(beats: DataFrame, path: str, delay: str = "10 seconds", now=None) -> DataFrame:
+    """Ends of the sessions of connections, from heartbeats in event time.
+
+    A session ends after the limit without a beat.  The watermark follows the newest beat of all connections and the ticks
+    of `tick`, so a silent system closes its last sessions too: with `now` given, the beats that are there are worked off,
+    then the clock moves to `now`, and all sessions silent for the limit before `now` minus `delay` end.
+    """
+    spark = beats.sparkSession
+    ticks = StructType([StructField("ts", TimestampType())])
+    stores.opened(spark, f"{path}/ticks", ticks)
+    _connections(beats, spark.readStream.schema(ticks).parquet(f"{path}/ticks"), path, delay)
+    if now is not None:
+        tick(spark, path, now)
+        _connections(beats, spark.readStream.schema(ticks).parquet(f"{path}/ticks"), path, delay)
+    return spark.read.parquet(f"{path}/data")
 
 
 # -- sanitize and normalize on arrival -----------------------------------------------------------------------------------------------------
@@ -332,6 +505,5 @@ def stream_normalized(exports: DataFrame, path: str, dialect: str) -> DataFrame:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new output folder, and the state store the stateful jobs need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """A new output folder."""
     return shared_folder(spark, name)
