@@ -5,7 +5,7 @@ All inputs are tables keyed by conv_id whose size per conversation the token bud
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import ordered
@@ -276,6 +276,16 @@ def write_packs(pack_rows: DataFrame, path: str) -> None:
     pack_rows.write.mode("append").partitionBy("target").parquet(path)
 
 
+def stored_packs(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The packs of the targets that a table `wanted(target, ...)` names, with its other columns.
+
+    `wanted` has one row per target at most.  The join on the partition column prunes at run time: partitions of targets
+    that the filters on `wanted` leave out are never listed for reading.
+    """
+    packs = spark.read.parquet(path)
+    return packs.join(F.broadcast(wanted.dropDuplicates(["target"])), "target")
+
+
 def previews(pack_rows: DataFrame, stats: DataFrame) -> DataFrame:
     """What a pack would hold, without the pack."""
     sizes = pack_rows.select("conv_id", "target", F.col("token_estimate").alias("estimated_output_tokens"))

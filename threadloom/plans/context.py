@@ -13,7 +13,7 @@ from threadloom.plans import ingest as PI
 from threadloom.plans.registry import query
 from threadloom.plans.summaries import VIEWS as SUMMARY_VIEWS
 from threadloom.plans.summaries import messages
-from threadloom.session import saved
+from threadloom.session import saved, shared_folder
 from threadloom.sources import dialects as D
 
 BUDGET = 300
@@ -269,15 +269,137 @@ def openai_packs(spark, sf_dir):
     )
 
 
-for _target, _ids in (("claude", "O3 O5"), ("gemini", "O4 O5")):
+# One row per conversation and target, in the words of each target.
+_PICK_UP = "Please pick up where we left off."
+_PACK_TEXTS = """
+SELECT t.conv_id, n, coalesce(k.n_tasks, 0) AS n_tasks, context_summary, three, five, claude, gemini, quoted, n_claude FROM
+    v_context_text t JOIN (SELECT conv_id, count(*) AS n FROM v_messages GROUP BY 1) m ON m.conv_id = t.conv_id
+LEFT JOIN (SELECT conv_id, max(nth) AS n_tasks, string_agg(substr(full_text, 1, 80), ', ' ORDER BY turn) FILTER (nth <= 3) AS three,
+    string_agg('- ' || substr(full_text, 1, 100), chr(10) ORDER BY turn) FILTER (nth <= 5) AS five FROM (SELECT *, row_number() OVER
+    (PARTITION BY conv_id ORDER BY turn) AS nth FROM v_messages WHERE turn % 3 = 1) GROUP BY 1) k ON k.conv_id = t.conv_id
+LEFT JOIN (SELECT conv_id, count(*) AS n_claude, list({'type': 'text', 'text': 'Previous artifact (' || label || '):' || chr(10) || content} ORDER BY
+    ix) AS claude, list({'text': 'Previous ' || label || ':' || chr(10) || content} ORDER BY ix) AS gemini FROM (SELECT *, CASE WHEN title <> ''
+    THEN title ELSE 'document' END AS label, row_number() OVER (PARTITION BY conv_id ORDER BY ix) AS nth FROM v_artifacts) WHERE
+    nth <= 5 AND content <> '' GROUP BY 1) a ON a.conv_id = t.conv_id
+LEFT JOIN (SELECT conv_id, string_agg('Here''s the ' || CASE WHEN title <> '' THEN title ELSE 'document' END || ':' || chr(10) || content, ''
+    ORDER BY ix) AS quoted FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ix) AS nth FROM v_artifacts) WHERE
+    nth <= 5 GROUP BY 1) q ON q.conv_id = t.conv_id
+"""
 
-    @query(f"{_target}_packs", _ids)
-    def _packs(spark, sf_dir, target=_target):
-        text = saved(context_text(spark, sf_dir), "context")
-        heads = messages(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("message_count")).withColumns(
-            {"source_llm": F.lit("openai"), "entity_count": F.lit(0), "summary_count": F.lit(0)}
-        )
-        _, tasks = decisions_and_tasks(spark, sf_dir)
-        return X.packs(X.pack_inputs(heads, text, tasks, artifacts(spark, sf_dir)), [target])
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
+
+def _sql_system(handover: str, closing: str) -> str:
+    return (
+        f"{_sql_text(handover)} || chr(10) || 'The original conversation had ' || n || ' messages.' || chr(10) || chr(10) ||"
+        f" context_summary || chr(10) || chr(10) || {_sql_text(closing)}"
+    )
+
+
+_CLAUDE_OPENING = (
+    _sql_text("I'm continuing a conversation from another AI assistant. You should have the full context in your system prompt. ")
+    + f" || CASE WHEN n_tasks > 0 THEN 'We have ' || n_tasks || ' open task(s). Please pick up where we left off.' ELSE '{_PICK_UP}' END"
+)
+_CLAUDE_ANSWER = (
+    f"CASE WHEN n_tasks > 0 THEN {_sql_text(X.READY)} || 'Here are the open tasks:' || chr(10) || five || chr(10) || chr(10) ||"
+    f" 'What would you like to work on?' ELSE {_sql_text(X.READY)} || 'I''m ready to continue. What would you like to do next?' END"
+)
+_GEMINI_OPENING = (
+    _sql_text("I'm continuing a conversation from another AI. ")
+    + " || CASE WHEN n_tasks > 0 THEN 'We have ' || n_tasks || ' open task(s). Please continue where we left off.' ELSE"
+    " 'Please continue where we left off.' END"
+)
+_GEMINI_ANSWER = (
+    "CASE WHEN n_tasks > 0 THEN 'I have the full context. Open tasks: ' || three || '. What would you like to focus on?' ELSE"
+    f" {_sql_text(X.READY)} || 'How can I help?' END"
+)
+VIEWS |= {
+    "v_pack_texts": _PACK_TEXTS,
+    "v_claude": (
+        f"SELECT conv_id, {_sql_system(X.HANDOVER, X.CLOSING_CLAUDE)} AS system_prompt, CAST(to_json([{{'type': 'text', 'text': {_CLAUDE_OPENING}}}])"
+        f" AS VARCHAR) AS first, CAST(to_json(list_concat([{{'type': 'text', 'text': {_CLAUDE_ANSWER}}}], coalesce(claude, []))) AS VARCHAR) AS second"
+        " FROM v_pack_texts"
+    ),
+    "v_gemini": (
+        f"SELECT conv_id, {_sql_system(X.HANDOVER_GEMINI, X.CLOSING_GEMINI)} AS system_prompt, CAST(to_json([{{'text': {_GEMINI_OPENING}}}]) AS"
+        f" VARCHAR) AS first, CAST(to_json(list_concat([{{'text': {_GEMINI_ANSWER}}}], coalesce(gemini, []))) AS VARCHAR) AS second FROM"
+        " v_pack_texts"
+    ),
+    # The open-format pack by its length only: system text, quoted artifacts and the closing message.
+    "v_openai_length": (
+        "SELECT conv_id, length('You are continuing a conversation that was started with a different AI assistant.' || chr(10) || 'The"
+        " conversation had ' || n || ' messages and covered the following context:' || chr(10) || chr(10) || context_summary || chr(10) ||"
+        f" {_sql_text(X.CLOSING_OPENAI)}) + coalesce(length(quoted), 0) + length({_sql_text(X.READY)} || CASE WHEN n_tasks > 0 THEN 'The open tasks"
+        " are: ' || three || '. How would you like to continue?' ELSE 'How would you like to continue?' END) AS chars FROM v_pack_texts"
+    ),
+    "v_all_packs": (
+        "SELECT conv_id, 'claude' AS target, length(system_prompt || first || second) AS chars FROM v_claude UNION ALL SELECT conv_id, 'gemini',"
+        " length(system_prompt || first || second) FROM v_gemini UNION ALL SELECT conv_id, 'openai', chars FROM v_openai_length"
+    ),
+}
+
+
+def pack_rows(spark, sf_dir, targets=None):
+    text = saved(context_text(spark, sf_dir), "context")
+    heads = messages(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("message_count")).withColumns(
+        {"source_llm": F.lit("openai"), "entity_count": F.lit(0), "summary_count": F.lit(0)}
+    )
+    _, tasks = decisions_and_tasks(spark, sf_dir)
+    return X.packs(X.pack_inputs(heads, text, tasks, artifacts(spark, sf_dir)), targets)
+
+
+def _pack_sql(target, small, large, first, second):
+    return f"""
+SELECT conv_id, '{target}' AS target, system_prompt, '[{{"role":"user",{first}:' || first || '}},{{"role":"{second[0]}",{second[1]}:' || second || '}}]'
+    AS messages, CAST(greatest(1, length(system_prompt || first || second) // 4) AS INT) AS token_estimate, CASE WHEN greatest(1,
+    length(system_prompt || first || second) // 4) > {X.LARGE_CONTEXT} THEN '{large}' ELSE '{small}' END AS model_suggestion,
+    'openai' AS source_llm, CAST(0 AS INT) AS entity_count, CAST(0 AS INT) AS summary_count FROM v_{target}
+"""
+
+
+@query("claude_packs", "O3 O5", _pack_sql("claude", *X.MODELS["claude"], '"content"', ("assistant", '"content"')), VIEWS)
+def claude_packs(spark, sf_dir):
+    return pack_rows(spark, sf_dir, ["claude"])
+
+
+@query("gemini_packs", "O4 O5", _pack_sql("gemini", *X.MODELS["gemini"], '"parts"', ("model", '"parts"')), VIEWS)
+def gemini_packs(spark, sf_dir):
+    return pack_rows(spark, sf_dir, ["gemini"])
+
+
+PROVIDERS = [("openai", "OpenAI"), ("claude", "Anthropic"), ("gemini", "Google")]
+
+
+@query(
+    "pack_store", "O6",
+    """
+SELECT conv_id, target, CASE target WHEN 'claude' THEN 'Anthropic' ELSE 'Google' END AS provider, CAST(greatest(1, chars // 4) AS INT)
+    AS token_estimate FROM v_all_packs WHERE target <> 'openai'
+""",
+    VIEWS,
+)
+def pack_store(spark, sf_dir):
+    """All packs written once by target; two providers read back by a join on the partition column."""
+    path = shared_folder(spark, "packs")
+    X.write_packs(pack_rows(spark, sf_dir), path)
+    wanted = spark.createDataFrame(PROVIDERS, "target string, provider string").where("provider IN ('Anthropic', 'Google')")
+    return X.stored_packs(spark, path, wanted).select("conv_id", "target", "provider", "token_estimate")
+
+
+@query(
+    "pack_previews", "O7",
+    """
+SELECT conv_id, target, 'openai' AS source_format, n AS message_count, CAST(0 AS INT) AS entity_count, CAST(0 AS INT) AS summary_count,
+    CAST(greatest(1, chars // 4) AS INT) AS estimated_output_tokens, 'openai' AS source_llm FROM v_all_packs JOIN (SELECT conv_id, n FROM
+    v_pack_texts) USING (conv_id)
+""",
+    VIEWS,
+)
+def pack_previews(spark, sf_dir):
+    """Previews of the packs whose texts SQL can say."""
+    stats = messages(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("message_count")).withColumns(
+        {"source_format": F.lit("openai"), "entity_count": F.lit(0), "summary_count": F.lit(0)}
+    )
+    return X.previews(pack_rows(spark, sf_dir), stats).withColumn("source_llm", F.lit("openai"))

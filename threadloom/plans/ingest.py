@@ -15,7 +15,7 @@ from threadloom.plans.summaries import sql_strip
 from threadloom.session import saved, shared_folder
 from threadloom.sources import dialects as D
 from threadloom.sources import imports as I
-from threadloom.sources.testviews import load, table
+from threadloom.sources.testviews import USER, load, table
 
 # What every plain dialect must give back: system turns gone, the rest renumbered and trimmed.
 ROUND_TRIP = (
@@ -472,31 +472,60 @@ def json_import(spark, sf_dir):
     "file_import", "S3",
     """
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'file_text' WHEN 1 THEN 'file_json' WHEN 2 THEN 'unsupported' ELSE 'file_text' END
-    AS outcome, length(text) AS chars FROM documents
+    AS outcome, CASE WHEN doc_id % 4 <> 2 THEN md5(text) END AS text_md5 FROM documents
 """,
 )
 def file_import(spark, sf_dir):
-    """Documents as files: UTF-8 text, JSON, an unknown type, and Latin-1 bytes."""
+    """Documents as files: UTF-8 text, JSON, an unknown type, and Latin-1 bytes; the decoded text is compared."""
     docs = table(spark, sf_dir, "documents")
-    latin = F.expr("encode(translate(text, '\\u0153\\u0152\\u2019', 'oO '), 'ISO-8859-1')")
-    quoted_text = F.to_json(F.array("text"))
     files = docs.select(
-        "doc_id",
-        F.length("text").alias("chars"),
         F.concat(
-            F.lit("in/d"), F.col("doc_id").cast("string"), F.expr("element_at(array('.md', '.json', '.exe', ''), CAST(doc_id % 4 + 1 AS INT))")
+            F.lit("in/"), F.col("doc_id").cast("string"), F.expr("element_at(array('/d.md', '/d.json', '/d.exe', '/d'), CAST(doc_id % 4 + 1 AS INT))")
         ).alias("path"),
-        F.expr("doc_id % 4").alias("k"),
-        F.when(F.expr("doc_id % 4 = 1"), quoted_text.cast("binary"))
-        .when(F.expr("doc_id % 4 = 3 AND text RLIKE '^[\\\\x00-\\\\u00FF]*$'"), latin)
+        F.when(F.expr("doc_id % 4 = 1"), F.to_json(F.array("text")).cast("binary"))
+        .when(F.expr("doc_id % 4 = 3 AND text RLIKE '^[\\x00-\\u00FF]*$'"), F.encode("text", "ISO-8859-1"))
         .otherwise(F.col("text").cast("binary"))
         .alias("content"),
     )
-    accepted, rejected = I.import_files(files.select("path", "content"))
-    both = accepted.select("path", F.col("kind").alias("outcome")).unionByName(
-        rejected.select("path", F.col("reason").alias("outcome"))
+    accepted, rejected = I.import_files(files)
+    inner = F.when(F.col("kind") == "file_json", F.variant_get("doc", "$[0]", "string")).otherwise(F.col("raw"))
+    both = accepted.select("path", F.col("kind").alias("outcome"), F.md5(inner.cast("binary")).alias("text_md5")).unionByName(
+        rejected.select("path", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("text_md5"))
+    )
+    return both.select(F.split_part("path", F.lit("/"), F.lit(2)).cast("bigint").alias("doc_id"), "outcome", "text_md5")
+
+
+@query(
+    "folder_import", "S1 S2 S3",
+    f"""
+SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'file_text' WHEN 1 THEN 'file_json' ELSE 'unsupported' END AS outcome, CASE WHEN
+    user_id % 3 = 0 THEN CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) END AS size_bytes, CASE WHEN user_id % 3 < 2 THEN
+    md5(string_agg(text || chr(10), '' ORDER BY doc_id)) END AS text_md5 FROM (SELECT *, {USER} AS user_id FROM documents)
+    GROUP BY user_id
+""",
+)
+def folder_import(spark, sf_dir):
+    """The documents of each user as one real file in a tree of folders, found again by a recursive scan."""
+    root, target = shared_folder(spark, "uploads"), shared_folder(spark, "imported")
+    docs = table(spark, sf_dir, "documents").withColumn("user_id", F.expr(USER))
+    placed = docs.repartition("user_id").sortWithinPartitions("user_id", "doc_id")
+    placed.where("user_id % 3 = 0").select("user_id", "text").write.partitionBy("user_id").text(f"{root}/texts")
+    whole = docs.where("user_id % 3 = 1").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    whole.select("user_id", F.col("t.text").alias("texts")).write.partitionBy("user_id").json(f"{root}/json")
+    placed.where("user_id % 3 = 2").select("user_id", "text").write.partitionBy("user_id").csv(f"{root}/tables")
+    accepted, rejected = I.import_folder(spark, root, target, "part-*")
+    texts = F.variant_get(F.parse_json("raw"), "$.texts", "array<string>")
+    inner = F.when(F.col("kind") == "file_json", F.concat(F.array_join(texts, "\n"), F.lit("\n"))).otherwise(F.col("raw"))
+    both = accepted.select(
+        "path", F.col("kind").alias("outcome"), F.when(F.col("kind") == "file_text", F.col("size_bytes")).alias("size_bytes"),
+        F.md5(inner.cast("binary")).alias("text_md5"),
+    ).unionByName(
+        rejected.select(
+            "path", F.col("reason").alias("outcome"), F.lit(None).cast("bigint").alias("size_bytes"),
+            F.lit(None).cast("string").alias("text_md5"),
+        )
     )
-    return files.join(both, "path").select("doc_id", "outcome", F.col("chars").cast("bigint").alias("chars"))
+    return both.withColumn("user_id", F.regexp_extract("path", "/user_id=([0-9]+)/", 1).cast("bigint")).drop("path")
 
 
 def captures(spark, sf_dir):

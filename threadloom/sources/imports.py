@@ -16,12 +16,6 @@ CAPTURE_SCHEMA = (
 TEXT_FILES = ["txt", "md", "markdown", ""]
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; the path is the id."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("id"), F.col("value").alias("raw"))
-
-
 def import_texts(texts: DataFrame) -> DataFrame:
     """Classify raw texts: kind, size in bytes and the parsed document; blank texts are dropped."""
     body = T.strip("raw")
@@ -42,12 +36,20 @@ def extension(path: Column) -> Column:
     return F.when(F.contains(name, F.lit(".")), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise(F.lit(""))
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def scan_folder(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
+    """Every file below a folder as one row: path, content, and the size and time of the file.
 
+    The scan is split by files over the cluster; where only path, size or time is asked for, no content is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
+    return files.select(
+        F.col("_metadata.file_path").alias("path"), "content",
+        F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("modified"),
+    )
 
-def import_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files(path, content) -> (accepted, rejected).  UTF-8 first, Latin-1 where the bytes are not UTF-8."""
+
+def _judged(files: DataFrame) -> DataFrame:
+    """Decoded text, parsed JSON and the reason for a refusal (NULL where a file is accepted)."""
     decoded = files.withColumns(
         {
             "extension": extension(F.col("path")),
@@ -64,14 +66,44 @@ def import_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when((F.col("extension") == "json") & F.col("doc").isNull(), "invalid_json")
         .when((F.col("extension") != "json") & ~F.col("extension").isin(TEXT_FILES), "unsupported")
     )
-    judged = checked.withColumn("reason", reason)
     kind = F.when(F.col("extension") == "json", "file_json").otherwise("file_text")
-    accepted = judged.where(F.col("reason").isNull()).select(
-        "path", kind.alias("kind"), "size_bytes", "raw", "doc"
-    )
+    return checked.withColumns({"reason": reason, "kind": kind})
+
+
+def import_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files(path, content) -> (accepted, rejected).  UTF-8 first, Latin-1 where the bytes are not UTF-8."""
+    judged = _judged(files)
+    accepted = judged.where(F.col("reason").isNull()).select("path", "kind", "size_bytes", "raw", "doc")
     return accepted, judged.where(F.col("reason").isNotNull()).select("path", "extension", "size_bytes", "reason")
 
 
+def import_folder(spark: SparkSession, root: str, target: str, names: str = "*") -> tuple[DataFrame, DataFrame]:
+    """Import a folder tree into two tables below `target`, (accepted, rejected), in one pass over the files.
+
+    accepted(path, kind, size_bytes, modified, raw) holds the decoded text, rejected(path, extension, size_bytes, modified,
+    reason) no content.  Files of no importable type are told by their names and never opened.
+    """
+    files = scan_folder(spark, root, names)
+    named = files.withColumn("extension", extension(F.col("path")))
+    known = F.col("extension").isin([*TEXT_FILES, "json"])
+    columns = ["path", "extension", "kind", "size_bytes", "modified", "reason", "raw"]
+    opened = _judged(files).where(known).withColumn("size_bytes", F.col("file_size")).select(*columns)
+    # A second scan of the names alone: the content column is pruned from it.
+    refused = named.where(~known).select(
+        "path", "extension", F.lit(None).cast("string").alias("kind"), F.col("file_size").alias("size_bytes"), "modified",
+        F.when(F.col("file_size") == 0, "empty").otherwise("unsupported").alias("reason"),
+        F.lit(None).cast("string").alias("raw"),
+    )
+    for part in (opened, refused):
+        part.withColumn("accepted", F.col("reason").isNull()).write.mode("append").partitionBy("accepted").parquet(target)
+    schema = opened.withColumn("accepted", F.lit(True)).schema
+    rows = spark.read.schema(schema).parquet(target)
+    return (
+        rows.where("accepted").select("path", "kind", "size_bytes", "modified", "raw"),
+        rows.where("NOT accepted").select("path", "extension", "size_bytes", "modified", "reason"),
+    )
+
+
 def import_captures(captures: DataFrame, now: Column | None = None) -> DataFrame:
     """captures(capture_id, payload JSON) -> one session row per valid capture; works on batches and on streams."""
     table = F.create_map(*[F.lit(x) for pair in fixed.PLATFORM_PROVIDER.items() for x in pair])
