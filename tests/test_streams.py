@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -68,6 +69,17 @@ def test_limiter_denies_when_empty(spark):
     assert [r.allowed for r in J.limited(asked).orderBy("request_id").collect()] == [True, False]
 
 
+def test_a_peek_takes_nothing(spark):
+    now = datetime(2024, 1, 1)
+    data = [(1, i, now + timedelta(seconds=i), 0, 2, i == 1) for i in range(4)]
+    asked = spark.createDataFrame(data, "user_id bigint, request_id bigint, ts timestamp, requests_per_hour int, burst_size int, peek boolean")
+    got = J.limited(asked).orderBy("request_id").collect()
+    assert [(r.allowed, r.remaining, r["limit"]) for r in got] == [(True, 1, 2), (True, 1, 2), (True, 0, 2), (False, 0, 2)]
+    assert got[-1].reset_in_seconds == got[-1].retry_after == float("inf")
+    streamed = J._verdicts(pd.DataFrame([(1, i, 0, 2, float(i), i == 1) for i in range(4)], columns=["user_id", "request_id", "requests_per_hour", "burst_size", "seconds", "peek"]), ((None,), 0.0, None))
+    assert list(streamed[0]["allowed"]) == [True, True, True, False]
+
+
 def test_health(spark, sf, split_events):
     got = J.stream_delivery_health(P.hooks(stream(spark, split_events)), J.fresh(spark, "t"))
     want = J.delivery_health(P.hooks(table(spark, sf, "events")))

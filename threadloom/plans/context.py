@@ -15,6 +15,7 @@ from threadloom.plans.summaries import VIEWS as SUMMARY_VIEWS
 from threadloom.plans.summaries import messages
 from threadloom.session import saved, shared_folder
 from threadloom.sources import dialects as D
+from threadloom.sources.testviews import table
 
 BUDGET = 300
 
@@ -369,9 +370,6 @@ def gemini_packs(spark, sf_dir):
     return pack_rows(spark, sf_dir, ["gemini"])
 
 
-PROVIDERS = [("openai", "OpenAI"), ("claude", "Anthropic"), ("gemini", "Google")]
-
-
 @query(
     "pack_store", "O6",
     """
@@ -381,10 +379,13 @@ SELECT conv_id, target, CASE target WHEN 'claude' THEN 'Anthropic' ELSE 'Google'
     VIEWS,
 )
 def pack_store(spark, sf_dir):
-    """All packs written once by target; two providers read back by a join on the partition column."""
+    """All packs written once by target; those of two providers (a filtered table) read by a join on the partition column."""
     path = shared_folder(spark, "packs")
     X.write_packs(pack_rows(spark, sf_dir), path)
-    wanted = spark.createDataFrame(PROVIDERS, "target string, provider string").where("provider IN ('Anthropic', 'Google')")
+    wanted = table(spark, sf_dir, "region").where("r_regionkey IN (1, 2)").selectExpr(
+        "try_element_at(array('openai', 'claude', 'gemini'), CAST(r_regionkey + 1 AS INT)) AS target",
+        "try_element_at(array('OpenAI', 'Anthropic', 'Google'), CAST(r_regionkey + 1 AS INT)) AS provider",
+    )
     return X.stored_packs(spark, path, wanted).select("conv_id", "target", "provider", "token_estimate")
 
 

@@ -132,23 +132,51 @@ def stream_usage_metering(spark, sf_dir):
     return J.stream_metered(usage, J.fresh(spark, "metered"))
 
 
-def requests(spark, events):
-    """Requests of all users on three plans; time runs 600 times as fast, so that limits are reached."""
+def requests(spark, events, peek=None):
+    """Requests of all users on two plans; time runs 600 times as fast, so that limits are reached."""
     plans = dims.tiers(spark).where(F.col("tier").isin("free", "enterprise")).select("tier", "requests_per_hour", "burst_size")
     tier = F.when(F.col("user_id") % 10 == 0, "enterprise").otherwise("free")
     base = F.timestamp_micros(F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 600"))
-    rows = events.select("user_id", F.col("event_id").alias("request_id"), base.alias("ts"), tier.alias("tier"))
+    flag = F.lit(False) if peek is None else peek
+    rows = events.select("user_id", F.col("event_id").alias("request_id"), base.alias("ts"), tier.alias("tier"), flag.alias("peek"))
     return rows.join(F.broadcast(plans), "tier").drop("tier")
 
 
-@query("rate_limiter", "X5")
+def limiter_sql(peek="FALSE"):
+    """The bucket of each user, request by request."""
+    return f"""
+WITH RECURSIVE asked AS (SELECT user_id, event_id AS request_id, (epoch_us(ts) // 600) / 1e6 AS s, requests_per_hour AS rph,
+    requests_per_hour + burst_size AS cap, {peek} AS peek, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 600, event_id) AS
+    nth FROM events JOIN v_tiers ON tier = CASE WHEN user_id % 10 = 0 THEN 'enterprise' ELSE 'free' END),
+bucket(user_id, request_id, nth, last, rph, cap, had, peek) AS (SELECT user_id, request_id, nth, s, rph, cap, CAST(cap AS DOUBLE), peek FROM
+    asked WHERE nth = 1 UNION ALL SELECT a.user_id, a.request_id, a.nth, a.s, a.rph, a.cap, least(CAST(a.cap AS DOUBLE), had - CASE WHEN had
+    >= 1 AND NOT b.peek THEN 1 ELSE 0 END + (a.s - b.last) * (CAST(a.rph AS DOUBLE) / 3600e0)), a.peek FROM bucket b JOIN asked a ON
+    a.user_id = b.user_id AND a.nth = b.nth + 1)
+SELECT user_id, request_id, rph = -1 OR had >= 1 AS allowed, CAST(CASE WHEN rph = -1 THEN -1 WHEN had < 1 THEN 0 ELSE floor(had - CASE WHEN
+    peek THEN 0 ELSE 1 END) END AS BIGINT) AS remaining, CAST(CASE WHEN rph = -1 THEN -1 ELSE cap END AS BIGINT) AS "limit", CASE WHEN rph = -1
+    OR had >= 1 THEN 0.0 ELSE round((1 - had) / (CAST(rph AS DOUBLE) / 3600e0), 3) END AS reset_in_seconds, CASE WHEN rph = -1
+    OR had >= 1 THEN 0.0 ELSE round((1 - had) / (CAST(rph AS DOUBLE) / 3600e0), 3) END AS retry_after FROM bucket
+"""
+
+
+def rounded(verdicts):
+    return verdicts.withColumns({c: F.round(c, 3) for c in ("reset_in_seconds", "retry_after")})
+
+
+@query("rate_limiter", "X5", limiter_sql(), VIEWS)
 def rate_limiter(spark, sf_dir):
-    return J.limited(requests(spark, table(spark, sf_dir, "events")))
+    return rounded(J.limited(requests(spark, table(spark, sf_dir, "events"))))
+
+
+@query("rate_limiter_peeks", "X5", limiter_sql("event_type = 'error'"), VIEWS)
+def rate_limiter_peeks(spark, sf_dir):
+    """Error events only look at their bucket."""
+    return rounded(J.limited(requests(spark, table(spark, sf_dir, "events"), F.col("event_type") == "error")))
 
 
-@query("stream_rate_limiter", "X5")
+@query("stream_rate_limiter", "X5", limiter_sql(), VIEWS)
 def stream_rate_limiter(spark, sf_dir):
-    return J.stream_limited(requests(spark, stream_of(spark, sf_dir, "events")), J.fresh(spark, "limited"))
+    return rounded(J.stream_limited(requests(spark, stream_of(spark, sf_dir, "events")), J.fresh(spark, "limited")))
 
 
 def hooks(events):

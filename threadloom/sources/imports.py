@@ -81,7 +81,8 @@ def import_folder(spark: SparkSession, root: str, target: str, names: str = "*")
     """Import a folder tree into two tables below `target`, (accepted, rejected), in one pass over the files.
 
     accepted(path, kind, size_bytes, modified, raw) holds the decoded text, rejected(path, extension, size_bytes, modified,
-    reason) no content.  Files of no importable type are told by their names and never opened.
+    reason) no content.  Files of no importable type are told by their names and never opened.  Spark's scans pass over files
+    of no bytes, so these are in neither table.
     """
     files = scan_folder(spark, root, names)
     named = files.withColumn("extension", extension(F.col("path")))
@@ -91,7 +92,7 @@ def import_folder(spark: SparkSession, root: str, target: str, names: str = "*")
     # A second scan of the names alone: the content column is pruned from it.
     refused = named.where(~known).select(
         "path", "extension", F.lit(None).cast("string").alias("kind"), F.col("file_size").alias("size_bytes"), "modified",
-        F.when(F.col("file_size") == 0, "empty").otherwise("unsupported").alias("reason"),
+        F.lit("unsupported").alias("reason"),
         F.lit(None).cast("string").alias("raw"),
     )
     for part in (opened, refused):

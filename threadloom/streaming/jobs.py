@@ -222,18 +222,41 @@ def stream_metered(usage: DataFrame, path: str, delay: str = "3 days") -> DataFr
 # -- token-bucket limiter ------------------------------------------------------------------------------------------------------------
 
 
-def take(tokens: float, last: float | None, now: float, capacity: int, rate: float) -> tuple[bool, float, float, float]:
-    """One request against one bucket: (allowed, tokens left, new last time, seconds to wait)."""
+def take(
+    tokens: float, last: float | None, now: float, capacity: int, rate: float, peek: bool = False
+) -> tuple[bool, float, float, float]:
+    """One request against one bucket: (allowed, tokens left, new last time, seconds to wait).  A peek takes nothing."""
     if last is not None:
         # An event older than the last refill brings no refill.
         tokens = min(capacity, tokens + max(0.0, now - last) * rate)
         now = max(now, last)
     if tokens >= 1.0:
-        return True, tokens - 1.0, now, 0.0
+        return True, tokens if peek else tokens - 1.0, now, 0.0
     return False, tokens, now, (1.0 - tokens) / rate if rate > 0 else float("inf")
 
 
-LIMITER_COLUMNS = "user_id bigint, request_id bigint, allowed boolean, remaining bigint, retry_after double"
+LIMITER_COLUMNS = (
+    "user_id bigint, request_id bigint, allowed boolean, remaining bigint, limit bigint, reset_in_seconds double,"
+    " retry_after double"
+)
+
+
+def _verdicts(batch: pd.DataFrame, state: tuple, piece: str | None = None) -> tuple[pd.DataFrame, tuple]:
+    """Verdicts of rows in order; `state` is (what the bucket belongs to, tokens, last time) and travels along."""
+    owner, tokens, last = state
+    out = []
+    for r in batch.itertuples():
+        if r.requests_per_hour == UNLIMITED:
+            out.append((r.user_id, r.request_id, True, UNLIMITED, UNLIMITED, 0.0, 0.0))
+            continue
+        capacity = int(r.requests_per_hour + r.burst_size)
+        mine = (capacity,) if piece is None else (r.user_id, getattr(r, piece), capacity)
+        if owner != mine:
+            owner, tokens, last = mine, float(capacity), None
+        ok, tokens, last, wait = take(tokens, last, r.seconds, capacity, r.requests_per_hour / 3600.0, bool(r.peek))
+        out.append((r.user_id, r.request_id, ok, int(tokens) if ok else 0, capacity, wait, wait))
+    names = [c.split()[0] for c in LIMITER_COLUMNS.split(", ")]
+    return pd.DataFrame(out, columns=names), (owner, tokens, last)
 
 
 class _Limiter(StatefulProcessor):
@@ -242,31 +265,23 @@ class _Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["seconds", "request_id"], kind="stable")
-        tokens, last, known = self.bucket.get() if self.bucket.exists() else (0.0, None, None)
-        out = []
-        for r in batch.itertuples():
-            if r.requests_per_hour == UNLIMITED:
-                out.append((r.user_id, r.request_id, True, UNLIMITED, 0.0))
-                continue
-            capacity = int(r.requests_per_hour + r.burst_size)
-            if known != capacity:
-                tokens, last, known = float(capacity), None, capacity
-            ok, tokens, last, wait = take(tokens, last, r.seconds, capacity, r.requests_per_hour / 3600.0)
-            out.append((r.user_id, r.request_id, ok, int(tokens) if ok else 0, wait))
-        if known is not None:
-            self.bucket.update((tokens, last, known))
-        yield pd.DataFrame(out, columns=["user_id", "request_id", "allowed", "remaining", "retry_after"])
+        tokens, last, capacity = self.bucket.get() if self.bucket.exists() else (0.0, None, None)
+        out, (owner, tokens, last) = _verdicts(batch, ((capacity,), tokens, last))
+        if owner[0] is not None:
+            self.bucket.update((tokens, last, owner[0]))
+        yield out
 
     def close(self) -> None:
         pass
 
 
 def _with_seconds(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).drop("ts")
+    timed = requests.withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).drop("ts")
+    return timed if "peek" in timed.columns else timed.withColumn("peek", F.lit(False))
 
 
 def stream_limited(requests: DataFrame, path: str) -> DataFrame:
-    """requests(user_id, request_id, ts, requests_per_hour, burst_size) -> verdict per request."""
+    """requests(user_id, request_id, ts, requests_per_hour, burst_size[, peek]) -> verdict per request."""
     out = _with_seconds(requests).groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=_Limiter(), outputStructType=LIMITER_COLUMNS, outputMode="Append", timeMode="None"
     )
@@ -276,23 +291,14 @@ def stream_limited(requests: DataFrame, path: str) -> DataFrame:
 
 def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Requests sorted by (user, segment, time) in constant memory: the bucket travels along the sorted rows."""
-    current, tokens, last = None, 0.0, None
+    state = (None, 0.0, None)
     for batch in batches:
-        out = []
-        for r in batch.itertuples():
-            if r.requests_per_hour == UNLIMITED:
-                out.append((r.user_id, r.request_id, True, UNLIMITED, 0.0))
-                continue
-            capacity = int(r.requests_per_hour + r.burst_size)
-            if current != (r.user_id, r.segment, capacity):
-                current, tokens, last = (r.user_id, r.segment, capacity), float(capacity), None
-            ok, tokens, last, wait = take(tokens, last, r.seconds, capacity, r.requests_per_hour / 3600.0)
-            out.append((r.user_id, r.request_id, ok, int(tokens) if ok else 0, wait))
-        yield pd.DataFrame(out, columns=["user_id", "request_id", "allowed", "remaining", "retry_after"])
+        out, state = _verdicts(batch, state, "segment")
+        yield out
 
 
 def limited(requests: DataFrame) -> DataFrame:
-    """The limiter over stored requests.
+    """The limiter over stored requests; a row whose `peek` is true asks for the state of its bucket and takes nothing.
 
     A pause long enough to refill the bucket makes everything after it independent of what came before, so a user's
     requests are cut there and the pieces run in parallel.  Within a piece rows stream through a task in order.
