@@ -190,6 +190,15 @@ def audit_by_resource(audit: DataFrame, limit: int) -> DataFrame:
     return ordered.top_rows(audit, keys, [F.desc("created_at"), F.desc("id")], limit, "position")
 
 
+def listing(rows: DataFrame, key: str) -> DataFrame:
+    """All rows of each user, newest first, with their position; a user of any number of rows is cut by creation day."""
+    order = [F.desc("created_at"), F.desc(key)]
+    # Days count down along the order.
+    day = -F.unix_date(F.col("created_at").cast("date"))
+    out = ordered.running_sum(rows, ["user_id"], order, F.lit(1), day, "position")
+    return out.withColumn("position", F.col("position").cast("bigint"))
+
+
 def action_counts(audit: DataFrame, since: str) -> DataFrame:
     recent = F.col("created_at") >= F.lit(since).cast("timestamp_ntz")
     return audit.groupBy("user_id", "action").agg(F.count_if(recent).alias("count"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.plans.registry import query
+from threadloom.plans.reports import LOCAL, local
 from threadloom.plans.summaries import sql_strip
 from threadloom.session import saved, shared_folder
 from threadloom.sources import dialects as D
@@ -546,18 +547,20 @@ def captures(spark, sf_dir):
 @query(
     "capture_ingest", "S4",
     """
-SELECT conv_id * 1000000 + turn // 5000 AS capture_id, CASE WHEN conv_id % 5 = 0 THEN 'Captured Conversation' ELSE 'Talk ' || conv_id END AS title,
+SELECT conv_id AS session_id, CASE WHEN conv_id % 5 = 0 THEN 'Captured Conversation' ELSE 'Talk ' || conv_id END AS title,
     CASE conv_id % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'google' ELSE 'other' END AS source_llm,
     CAST(count(*) AS INT) AS message_count, CAST(sum(length(full_text)) // 4 AS BIGINT) AS total_tokens,
     'auto-capture,' || CASE conv_id % 4 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude' WHEN 2 THEN 'gemini' ELSE 'other' END AS
     tags, CAST(CASE WHEN conv_id % 7 = 0 THEN 1717200000 ELSE 1714979289 END AS BIGINT) AS captured_at
-FROM v_messages GROUP BY conv_id, turn // 5000
+FROM v_messages GROUP BY conv_id
 """,
 )
 def capture_ingest(spark, sf_dir):
-    out = I.import_captures(captures(spark, sf_dir), now=F.timestamp_seconds(F.lit(1717200000)))
+    """Whole conversations: a capture holds PART turns at most, the parts of a conversation become one session row."""
+    parts = I.import_captures(captures(spark, sf_dir), now=F.timestamp_seconds(F.lit(1717200000)))
+    out = I.join_captures(parts, F.expr(f"capture_id div {PARTS}"), F.col("capture_id") % PARTS)
     return out.select(
-        "capture_id", "title", "source_llm", "message_count", "total_tokens", F.array_join("tags", ",").alias("tags"),
+        "session_id", "title", "source_llm", "message_count", "total_tokens", F.array_join("tags", ",").alias("tags"),
         F.unix_seconds("captured_at").alias("captured_at"),
     )
 
@@ -645,6 +648,48 @@ def relational_scan(spark, sf_dir):
     )
 
 
+# Per relational table: the view it comes from, its columns, what it is grouped by and what is summed.
+RELATIONAL = {
+    "users": ("v_users", ["user_id AS id", "tier AS subscription_tier"], "subscription_tier", None),
+    "teams": ("v_teams", ["team_id AS id", "name", "is_active"], "is_active", None),
+    "team_members": ("v_team_members", ["team_id", "user_id", "role"], "role", None),
+    "sessions": (
+        "v_sessions", ["session_id AS id", "user_id", "team_id", "source_llm", "message_count", "total_tokens", "is_archived", "deleted_at"],
+        "source_llm", "total_tokens",
+    ),
+    "contexts": ("v_contexts", ["session_id", "version", "blob_size_bytes", "compression_ratio"], "version", "blob_size_bytes"),
+    "api_keys": ("v_keys", ["key_id AS id", "user_id", "is_active", "created_at"], "is_active", None),
+    "webhooks": ("v_webhooks", ["webhook_id AS id", "user_id", "events", "is_active", "created_at"], "events", None),
+    "audit_logs": ("v_audit", ["id", "user_id", "action", "resource_type", "resource_id", "created_at"], "action", None),
+    "shift_records": ("v_shifts", ["user_id", "source_llm", "target_llm", "source_tokens", "target_tokens"], "target_llm", "source_tokens"),
+}
+
+
+@query(
+    "relational_tables", "S9",
+    "\nUNION ALL ".join(
+        f"SELECT '{name}' AS table_name, CAST({key.replace('subscription_tier', 'tier')} AS VARCHAR) AS category, count(*) AS entries,"
+        f" {f'CAST(sum({amount}) AS BIGINT)' if amount else 'CAST(NULL AS BIGINT)'} AS amount FROM {view} GROUP BY 2"
+        for name, (view, _, key, amount) in RELATIONAL.items()
+    ),
+    LOCAL,
+)
+def relational_tables(spark, sf_dir):
+    """All nine tables in their declared schemas, written and scanned back; each scan reads two columns at most."""
+    root = shared_folder(spark, "tables")
+    out = None
+    for name, (view, columns, key, amount) in RELATIONAL.items():
+        source = local(spark, sf_dir, view) if view in LOCAL else load(spark, sf_dir, view)
+        I.append_rows(I.conform(source.selectExpr(*columns), name), f"{root}/{name}")
+        total = F.sum(amount).cast("bigint") if amount else F.lit(None).cast("bigint")
+        part = I.read_table(spark, root, name).groupBy(F.col(key).cast("string").alias("category")).agg(
+            F.count("*").alias("entries"), total.alias("amount")
+        )
+        part = part.select(F.lit(name).alias("table_name"), "category", "entries", "amount")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "audit_sink", "S11",
     "SELECT action, count(*) AS entries, count(DISTINCT id) AS distinct_ids FROM v_audit GROUP BY 1",

@@ -326,6 +326,20 @@ def key_listing(spark, sf_dir):
     return out.select("user_id", "key_id", "position")
 
 
+@query(
+    "webhook_listing", "A16",
+    """
+SELECT user_id, webhook_id, events, is_active, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, webhook_id DESC) AS
+    position FROM v_webhooks
+""",
+    LOCAL,
+)
+def webhook_listing(spark, sf_dir):
+    return R.listing(local(spark, sf_dir, "v_webhooks"), "webhook_id").select(
+        "user_id", "webhook_id", "events", "is_active", "position"
+    )
+
+
 @query(
     "event_subscribers", "A17",
     """

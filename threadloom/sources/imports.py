@@ -119,6 +119,7 @@ def import_captures(captures: DataFrame, now: Column | None = None) -> DataFrame
         F.col("p.model").alias("source_model"),
         F.size("p.messages").alias("message_count"),
         F.floor(chars / 4).cast("bigint").alias("total_tokens"),
+        chars.alias("total_chars"),
         F.array(F.lit("auto-capture"), platform).alias("tags"),
         F.col("p.url").alias("url"),
         moment.alias("captured_at"),
@@ -126,6 +127,22 @@ def import_captures(captures: DataFrame, now: Column | None = None) -> DataFrame
     )
 
 
+def join_captures(parts: DataFrame, session: Column, part: Column) -> DataFrame:
+    """Captures of one conversation that came in several parts as one session row: counts add up, the first part names it.
+
+    Only heads meet here; the messages stay in the rows of their parts, so a conversation of any length is no single row.
+    """
+    heads = parts.select(session.alias("session_id"), part.alias("part"), *[c for c in parts.columns if c != "messages"])
+    first = F.min_by(F.struct("title", "source_llm", "source_model", "tags", "url"), "part")
+    joined = heads.groupBy("session_id").agg(
+        first.alias("h"),
+        F.sum("message_count").cast("int").alias("message_count"),
+        F.floor(F.sum("total_chars") / 4).cast("bigint").alias("total_tokens"),
+        F.max("captured_at").alias("captured_at"),
+    )
+    return joined.select("session_id", "h.*", "message_count", "total_tokens", "captured_at")
+
+
 def exchange_provider(request: str = "req", response: str = "resp") -> Column:
     """Which API an exchange belongs to; NULL when it cannot be told."""
     return F.expr(f"""CASE
@@ -224,6 +241,12 @@ RELATIONAL_SCHEMAS = {
 }
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a relational table in its declared types; what is not there is NULL."""
+    fields = [c.strip().split() for c in RELATIONAL_SCHEMAS[name].split(",")]
+    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A relational table from parquet with its declared schema (no inference; columns not used are not read)."""
     return spark.read.schema(RELATIONAL_SCHEMAS[name]).parquet(f"{root}/{name}")
