@@ -2,7 +2,10 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from threadloom.operators import export as X
+from threadloom.operators import reports as R
 from threadloom.session import shared_folder
 from threadloom.sources import imports as I
 
@@ -41,3 +44,34 @@ def test_pack_store_prunes_targets_at_run_time(spark, tmp_path):
     read = X.stored_packs(spark, path, wanted)
     assert "dynamicpruning" in read._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.conv_id for r in read.collect()) == list(range(1, 30, 3))
+
+
+def test_captures_in_parts_are_one_session(spark):
+    payload = '{"platform": "claude", "model": "m", "title": "%s", "url": "u", "captured_at": "%s", "messages": [%s]}'
+    message = '{"role": "user", "content": "%s"}'
+    rows = [
+        (7_000_001, payload % ("second", "2024-05-07T00:00:00Z", message % "abc")),
+        (7_000_000, payload % ("first", "2024-05-06T00:00:00Z", ", ".join([message % "abcd", message % "x"]))),
+        (8_000_000, payload % ("", "never", message % "")),
+        (9_000_000, None),
+        (9_000_001, '{"messages": []}'),
+    ]
+    parts = I.import_captures(spark.createDataFrame(rows, "capture_id bigint, payload string"), F.timestamp_seconds(F.lit(0)))
+    got = I.join_captures(parts, F.expr("capture_id div 1000000"), F.col("capture_id") % 1000000).orderBy("session_id").collect()
+    assert [(r.session_id, r.title, r.message_count, r.total_tokens) for r in got] == [
+        (7, "first", 3, 2), (8, "Captured Conversation", 1, 0)
+    ]
+    assert got[0].source_llm == "anthropic" and got[1].captured_at.timestamp() == 0
+
+
+def test_missing_columns_are_null(spark):
+    made = I.conform(spark.range(2).selectExpr("id AS user_id"), "webhooks")
+    assert made.columns == [c.split()[0] for c in I.RELATIONAL_SCHEMAS["webhooks"].split(", ")]
+    assert [(r.user_id, r.url) for r in made.collect()] == [("0", None), ("1", None)]
+
+
+def test_listing_of_a_user_over_many_days(spark):
+    rows = spark.range(40).selectExpr("1L AS user_id", "id AS k", "date_add(DATE'2024-01-01', CAST(id % 10 AS INT)) AS created_at")
+    got = [(r.k, r.position) for r in R.listing(rows, "k").orderBy("position").collect()]
+    want = sorted(range(40), key=lambda k: (-(k % 10), -k))
+    assert got == [(k, i + 1) for i, k in enumerate(want)]
