@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ragged, slices
+from threadloom.llm.common import lean, ragged, slices
 
 #: Bytes of text per DuckDB call, tokens per decoding call, and entries in each generation of a worker's memory.
 PIECE = 2 << 20
@@ -234,7 +234,7 @@ def _apply(df: DataFrame, column: str, columns: list[str], types: list[str], mak
         for piece in slices(batches, column, PIECE):
             yield pa.RecordBatch.from_arrays([*piece.columns, *make(piece.column(column))], names=[*piece.schema.names, *columns])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _lists(encoded: list[bytes]) -> pa.Array:
@@ -262,7 +262,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
             decoded = codec(path, pattern).decode(sequences)
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(decoded, pa.binary())], names=[*keep, out])
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:

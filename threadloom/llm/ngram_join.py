@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import digest, hashes, mixed, ragged, raw, runs_of, sent_if_small, words_of
+from threadloom.llm.common import digest, hashes, lean, mixed, ragged, raw, runs_of, sent_if_small, slices, words_of
 from threadloom.llm.graph import components
 from threadloom.session import saved
 
@@ -33,6 +33,8 @@ FREQUENT = 200_000
 #: Shingles counted together in a task, and the least count there that is passed on.  Any order gives the same result; this
 #: one keeps what many documents share out of the inverted lists.
 CHUNK, LOCAL = 5_000_000, 2
+#: Bytes of text, and of packed sets, that a task turns into arrays at once.
+PIECE = 8 << 20
 #: Sizes for which subsets may be enumerated; the cost in rows of an entry of an inverted list, and of fetching and comparing
 #: a set that is found in lists (subsets need no comparison).
 MOST_SMALL, SCANNED, COMPARED = 49, 4, 24
@@ -67,6 +69,7 @@ def best_boundary(sizes: dict[int, int], percent: int) -> int:
     return min(cost, key=lambda x: (cost[x], x))
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(what, value, count): what 0: how many sets of a size; 1: a shingle that is frequent in this part of the table."""
     held, n = [], 0
@@ -77,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         values, counts = values[counts >= LOCAL], counts[counts >= LOCAL]
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(values.view(np.int64)), pa.array(counts)], ["what", "value", "count"])
 
-    for batch in batches:
+    for batch in slices(batches, "text", PIECE):
         for text in raw(batch.column("text")):
             s = shingles(text.as_py(), width)
             sizes[min(len(s), MOST_SMALL + 1)] += 1
@@ -97,7 +100,7 @@ def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int, width: int, perce
         mark = TaskContext.get().partitionId() << 33
         known, rank = frequent
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches, "text", PIECE):
             n, digests, carriers, prefixes, subs, ks = [], [], [], [], [], []
             for text in raw(batch.column("text")):
                 s = shingles(text.as_py(), width)
@@ -130,7 +133,7 @@ def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int, width: int, perce
                 ["mark", "key", "n", "digest", "carrier", "prefix", "subsets", "sizes"],
             )
 
-    return run
+    return lean(run)
 
 
 def _prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -162,9 +165,10 @@ def packed(s: np.ndarray) -> bytes:
     return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
-def unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+def unpacked(b: pa.Buffer | bytes) -> np.ndarray:
+    values = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(values), 8), np.uint8)
+    out[:, 2:] = values
     return out.reshape(-1).view("<u8")
 
 
@@ -173,9 +177,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(node, words) of the documents whose set is the wanted one."""
-    for batch in batches:
+    for batch in slices(batches, "text", PIECE):
         nodes, sets = [], []
         for text, node, want in zip(raw(batch.column("text")), batch.column("node").to_pylist(), batch.column("digest").to_pylist(), strict=True):
             s = shingles(text.as_py(), width)
@@ -185,25 +190,29 @@ def _pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
+@lean
 def _with_leader(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (leader, salt, node, shingles), sorted, the leader's own row first: the members linked with their leader."""
     at, lead = None, None
     for batch in batches:
         a, b = [], []
-        for leader, salt, node, data in zip(*[batch.column(c).to_pylist() for c in ("leader", "salt", "node", "shingles")], strict=True):
+        ids = [batch.column(c).to_pylist() for c in ("leader", "salt", "node")]
+        for leader, salt, node, data in zip(*ids, batch.column("shingles"), strict=True):
             if (leader, salt) != at:
                 at, lead = (leader, salt), None
             if node == leader:
-                lead = unpacked(data)
-            elif lead is not None and linked(lead, unpacked(data), percent):
+                lead = unpacked(data.as_buffer())
+            elif lead is not None and linked(lead, unpacked(data.as_buffer()), percent):
                 a.append(leader)
                 b.append(node)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+@lean
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [linked(unpacked(x), unpacked(y), percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        both = zip(batch.column("x"), batch.column("y"), strict=True)
+        keep = [linked(unpacked(x.as_buffer()), unpacked(y.as_buffer()), percent) for x, y in both]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
