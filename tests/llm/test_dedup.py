@@ -90,6 +90,17 @@ def test_boundary_follows_the_sizes():
     assert ngram_join.allowed(10, 90) == 1 and ngram_join.allowed(9, 90) == 0 and ngram_join.subset_count(20, 90) == 1 + 20 + 190
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    bits = lambda x: int(np.unpackbits(x.view(np.uint8)).sum())
+    for n in (0, 1, 40, 300, 3_000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+        for lost in (0, 1, n // 20, n // 2, n):
+            b = np.unique(np.concatenate([a[lost:], rng.integers(0, 2**64, lost, np.uint64, endpoint=False)]))
+            apart = bits(ngram_join.parities(a) ^ ngram_join.parities(b))
+            assert apart <= len(np.setxor1d(a, b)) and apart % 2 == len(np.setxor1d(a, b)) % 2
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7), (1001, 1000)]
     roots = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

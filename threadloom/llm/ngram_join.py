@@ -38,6 +38,8 @@ PIECE = 8 << 20
 #: Sizes for which subsets may be enumerated; the cost in rows of an entry of an inverted list, and of fetching and comparing
 #: a set that is found in lists (subsets need no comparison).
 MOST_SMALL, SCANNED, COMPARED = 49, 4, 24
+#: Columns that hold the parities of a set.
+PARITIES = ["p0", "p1", "p2", "p3"]
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -94,14 +96,14 @@ def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 
 
 def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int, width: int, percent: int):
-    """(mark, key, n, digest, carrier, prefix, subsets, sizes) per document; carriers bring the entries of a set."""
+    """(mark, key, n, digest, carrier, prefix, subsets, sizes, parities) per document; carriers bring the entries of a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = TaskContext.get().partitionId() << 33
         known, rank = frequent
         seen: set[bytes] = set()
         for batch in slices(batches, "text", PIECE):
-            n, digests, carriers, prefixes, subs, ks = [], [], [], [], [], []
+            n, digests, carriers, prefixes, subs, ks, odd = [], [], [], [], [], [], []
             for text in raw(batch.column("text")):
                 s = shingles(text.as_py(), width)
                 d = digest(s.tobytes())
@@ -114,6 +116,8 @@ def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int, width: int, perce
                 sub, k = _subsets(s, percent) if first and len(s) <= small else (s[:0], [])
                 subs.append(sub)
                 ks.append(k)
+                odd.append(parities(s))
+            odd = np.stack(odd)
             if len(seen) > 200_000:
                 seen.clear()
             marks = np.arange(mark, mark + len(n))
@@ -129,8 +133,9 @@ def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int, width: int, perce
                     ragged(flat(prefixes), [len(x) for x in prefixes], pa.int64()),
                     ragged(flat(subs), [len(x) for x in subs], pa.int64()),
                     ragged(np.array([k for x in ks for k in x], np.int32), [len(x) for x in ks], pa.int32()),
+                    *[pa.array(odd[:, i]) for i in range(len(PARITIES))],
                 ],
-                ["mark", "key", "n", "digest", "carrier", "prefix", "subsets", "sizes"],
+                ["mark", "key", "n", "digest", "carrier", "prefix", "subsets", "sizes", *PARITIES],
             )
 
     return lean(run)
@@ -145,6 +150,12 @@ def _prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) ->
     return s[: allowed(len(s), percent) + 1]
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """256 bits as four 64-bit values: how often, even or odd, the set has a shingle that belongs to the bit."""
+    odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _subsets(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
     """A hash of every subset that lacks at most allowed(n) shingles, and its size."""
     with np.errstate(over="ignore"):
@@ -259,7 +270,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     order = np.argsort(known)
     frequent = (known[order], top["count"].to_numpy(np.int64)[order])
 
-    schema = f"mark bigint, key {kind}, n int, digest binary, carrier boolean, prefix array<bigint>, subsets array<bigint>, sizes array<int>"
+    schema = f"mark bigint, key {kind}, n int, digest binary, carrier boolean, prefix array<bigint>, subsets array<bigint>, sizes array<int>, " + ", ".join(f"{p} bigint" for p in PARITIES)
     sets = saved(rows.mapInArrow(_sets(frequent, small, width, percent), schema), "sets")
     # One node per set: the least mark among the rows that carry its entries.
     nodes = saved(sets.where("carrier").groupBy("digest").agg(F.min("mark").alias("node")), "nodes")
@@ -306,16 +317,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     roots = components(first_links)
 
     # What is left: sets that share entries, may still be linked, and are in different components so far.
-    placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = saved(placed.select("s", "q", "node", "n", "pos", "root"), "placed")
+    placed = entries.join(carriers.where(F.size("prefix") > 0).select("node", *PARITIES), "node").join(roots, "node", "left")
+    placed = saved(placed.select("s", "q", "node", "n", "pos", F.coalesce("root", "node").alias("root"), *PARITIES), "placed")
     mixed_lists = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("s")
     open_ = placed.join(mixed_lists, "s")
-    a = open_.select("s", "q", F.col("node").alias("a"), "n", "pos", F.col("root").alias("root_a"))
+    a = open_.select("s", "q", F.col("node").alias("a"), "n", "pos", F.col("root").alias("root_a"), *[F.col(p).alias(f"{p}_a") for p in PARITIES])
     # The larger set of a pair is in the size class of the smaller one or in the next.
-    b = open_.select("s", F.explode(F.array("q", F.col("q") - 1)).alias("q"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("root_b"))
+    b = open_.select("s", F.explode(F.array("q", F.col("q") - 1)).alias("q"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("root_b"), *[F.col(p).alias(f"{p}_b") for p in PARITIES])
     larger = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     near = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need
+    apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
+    near = near & (apart <= F.col("n") + F.col("m") - 2 * need)
     pairs = saved(_possible(a.join(b, ["s", "q"]).where(larger & near & (F.col("root_a") != F.col("root_b"))), percent).select("a", "b"), "pairs")
     packs = fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     both = pairs.join(packs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
