@@ -141,3 +141,17 @@ def test_distinct_messages_stream(spark, split_events):
     got = J.stream_distinct_messages(P.identified(stream(spark, split_events)), J.fresh(spark, "t"), "400 days")
     assert got.count() == got.select("identity").distinct().count() == P.identified(spark.read.parquet(split_events)).select("identity").distinct().count()
     assert F is not None
+
+
+@pytest.mark.parametrize("parts", (1, 3))
+def test_tables_of_one_or_many_files(spark, tmp_path, parts):
+    """A table may be one file or a folder of files; a stream reads all of it."""
+    said = [(c, t, "user", f" words {c} {t} ") for c in range(4) for t in range(5)]
+    made = spark.createDataFrame(said, "conv_id bigint, turn int, role string, text string").repartition(parts)
+    if parts > 1:
+        made.write.parquet(str(tmp_path / "conversations.parquet"))
+    else:
+        made.toPandas().to_parquet(tmp_path / "conversations.parquet", index=False)
+    got = {(r["conv_id"], r["full_text"]) for r in P.stream_normalized(spark, str(tmp_path)).collect()}
+    assert got == {(f"{c}:{t}", text.strip()) for c, t, _, text in said}
+    assert P.stream_sanitized(spark, str(tmp_path)).count() == len(said)

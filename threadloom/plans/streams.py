@@ -41,8 +41,11 @@ VIEWS = {
 
 
 def stream_of(spark, sf_dir, name):
-    schema = table(spark, sf_dir, name).schema
-    return J.read_stream(spark, sf_dir, f"{name}.parquet", schema)
+    """A stream over a whole table, which is one file of the folder or a folder of files itself."""
+    rows = table(spark, sf_dir, name)
+    if any(f.endswith(f"/{name}.parquet") for f in rows.inputFiles()):
+        return J.read_stream(spark, sf_dir, f"{name}.parquet", rows.schema)
+    return J.read_stream(spark, f"{sf_dir}/{name}.parquet", "*", rows.schema)
 
 
 def with_zone(df, *columns):
