@@ -150,3 +150,18 @@ def test_tiles_answer_as_one_product(spark, monkeypatch):
         assert {tuple(r) for r in S._score(d, q, mode, 4, None, 30.0).collect()} == rows and len(rows) == 48
     empty = q.where("query_id < 0")
     assert S._score(d, empty, "vector", 4, None, 0.0).count() == 0 and S._score(d.where("id = ''"), q, "hybrid", 4, None, 0.0).count() == 0
+
+
+def test_every_vector_asks(spark, tmp_path):
+    """The best of every vector, not of some."""
+    from threadloom.plans.search import embedding_top_k
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(30, 4))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["query_id"], r["rank"]): r["id"] for r in embedding_top_k(spark, str(tmp_path)).collect()}
+    unit = vectors.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    best = np.argsort(-(unit @ unit.T), axis=1)[:, :10]
+    assert got == {(q, n): str(i) for q, found in enumerate(best) for n, i in enumerate(found, 1)}
