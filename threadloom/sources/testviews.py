@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import ordered
 from threadloom.functions import text as T
+from threadloom.functions.copies import by_repetition, value_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,6 +165,37 @@ _BASES = {
 }
 
 
+def session_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_session_entities with `item_ix`, an entity's place in its session by name.
+
+    A document whose id is its own is counted and numbered where it is read: no word of it is shuffled.
+    """
+    # One entity per document that its text does not name: no token holds a blank.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("topic "), "lang").alias("topic"))
+    once, copies = by_repetition(docs, "doc_id")
+    tokens = F.coalesce(T.terms("text"), F.array().cast("array<string>"))
+    counted = value_counts(once.select("doc_id", F.concat(tokens, F.array("topic")).alias("s")), "s")
+    rows = counted.select("doc_id", F.posexplode("s").alias("at", "v")).select(
+        "doc_id", F.col("v.value").alias("name"), F.col("v.n").alias("n"), (F.col("at") + 1).alias("item_ix")
+    )
+    if copies is not None:
+        counted = copies.select("doc_id", F.explode(T.terms("text")).alias("name")).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+        both = counted.unionByName(copies.select("doc_id", F.col("topic").alias("name"), F.lit(1).cast("bigint").alias("n")))
+        within = Window.partitionBy("doc_id").orderBy("name")
+        rows = rows.unionByName(both.withColumn("item_ix", F.row_number().over(within)))
+    topic = F.coalesce(F.contains("name", F.lit(" ")), F.lit(True))
+    kind = F.when(~topic & (F.length("name") % 2 == 0), "tech").otherwise("concept")
+    return rows.select(
+        F.expr(USER).alias("user_id"),
+        F.col("doc_id").alias("session_seq"),
+        (F.col("doc_id") % 60).cast("double").alias("age_days"),
+        "name",
+        kind.alias("type"),
+        F.when(topic, 0.2).otherwise(F.least(F.lit(1.0), F.col("n") / F.lit(20.0))).alias("importance"),
+        "item_ix",
+    )
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # The two views with a window are cut along their order here, because one key may hold a third of the rows.
     if name == "v_contexts":
@@ -193,24 +225,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents")
         return docs.select("doc_id", F.explode(T.terms("text")).alias("tok"))
     if name == "v_session_entities":
-        tokens = load(spark, sf_dir, "v_tokens")
-        counted = tokens.groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
-        # One entity per document that its text does not name.
-        topics = table(spark, sf_dir, "documents").selectExpr(
-            f"{USER} AS user_id", "doc_id AS session_seq", "CAST(doc_id % 60 AS DOUBLE) AS age_days", "concat('topic ', lang) AS name",
-            "'concept' AS type", "CAST(0.2 AS DOUBLE) AS importance",
-        )
-        return counted.select(
-            F.expr(USER).alias("user_id"),
-            F.col("doc_id").alias("session_seq"),
-            (F.col("doc_id") % 60).cast("double").alias("age_days"),
-            F.col("tok").alias("name"),
-            F.when(F.length("tok") % 2 == 0, "tech").otherwise("concept").alias("type"),
-            F.least(F.lit(1.0), F.col("n") / F.lit(20.0)).alias("importance"),
-        ).unionByName(topics)
+        return session_entities(spark, sf_dir).drop("item_ix")
     if name == "v_gazetteer":
-        by_doc = load(spark, sf_dir, "v_tokens").distinct().groupBy("tok").agg(F.count("*").alias("df"))
-        n = table(spark, sf_dir, "documents").count()
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        once, copies = by_repetition(docs, "doc_id")
+        # A document's words are made distinct where it is read; only ids that come again need a shuffle of their words.
+        tokens = once.select(F.explode(F.array_distinct(T.terms("text"))).alias("tok"))
+        if copies is not None:
+            tokens = tokens.unionByName(copies.select("doc_id", F.explode(T.terms("text")).alias("tok")).distinct().select("tok"))
+        by_doc = tokens.groupBy("tok").agg(F.count("*").alias("df"))
+        n = docs.count()
         often = by_doc.where(F.col("df") * TERM_SHARE >= n)
         return often.select(F.col("tok").alias("term"), F.upper("tok").alias("canonical"), F.lit("tech").alias("type"))
     raise KeyError(name)
