@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import dims, ordered
@@ -35,6 +35,11 @@ def position() -> Column:
     return F.struct("session_seq", "item_ix")
 
 
+def _text_key(text: Column) -> Column:
+    """Stands for a text where only its equality counts, so that no shuffle carries the text for it."""
+    return F.sha2(T.name_key(text), 256)
+
+
 # -- entities ----------------------------------------------------------------------------------------------------------
 
 
@@ -58,37 +63,44 @@ def alias_hits(entities: DataFrame) -> DataFrame:
 def merge_entities(entities: DataFrame) -> DataFrame:
     """One entity per user and name key: the strongest after decay wins, aliases and sessions are united."""
     keyed = _keyed(entities)
-    payload = F.struct("name", "type", "first_mentioned_at")
+    fields = ["user_id", "key", "kind", "name", "type", "first_mentioned_at", "decayed", "session_seq", "item_ix"]
+    # Declared aliases (kind 1) and names that ask for the entity of an alias (kind 2) travel with the entities (kind 0): the rows
+    # of a user and key meet in one shuffle.
+    declared = F.col("alias").alias("name"), F.col("key"), F.lit(1).alias("kind")
+    asking = F.col("name"), T.name_key(F.col("alias")).alias("key"), F.lit(2).alias("kind")
+    each = keyed.select("*", F.explode("aliases").alias("alias"))
+    rest = [c for c in fields if c not in ("name", "key", "kind")]
+    asked = each.where(T.name_key(F.col("alias")) != F.col("key")).select(*rest, *asking)
+    rows = keyed.select(*rest, "name", "key", F.lit(0).alias("kind")).unionByName(each.select(*rest, *declared)).unionByName(asked)
+    rows = rows.where(F.col("user_id").isNotNull() & F.col("key").isNotNull()).repartition("user_id", "key")
+    own = F.col("kind") == 0
+    nth = F.row_number().over(Window.partitionBy("user_id", "key", "kind", "session_seq").orderBy("item_ix"))
     rank = F.struct(F.col("decayed"), -F.col("session_seq"), -F.col("item_ix"))
-    best = keyed.groupBy("user_id", "key").agg(
-        F.max_by(payload, rank).alias("winner"),
+    named = rows.withColumn("opens", F.when(nth == 1, 1).otherwise(0)).groupBy("user_id", "key", "kind", "name").agg(
+        F.max_by(F.struct("name", "type", "first_mentioned_at"), rank).alias("winner"),
+        F.max(rank).alias("rank"),
         F.max("decayed").alias("best"),
-        F.count("*").alias("mentions"),
-        F.min(position()).alias("first_seen"),
-    )
-    sessions = (
-        keyed.select("user_id", "key", "session_seq").distinct().groupBy("user_id", "key").agg(F.count("*").alias("sessions"))
-    )
+        F.count("*").alias("n"),
+        F.min(position()).alias("seen"),
+        F.max(position()).alias("last"),
+        F.sum("opens").alias("sessions"),
+    )
+    merged = named.groupBy("user_id", "key").agg(
+        F.max_by("winner", F.when(own, F.col("rank"))).alias("winner"),
+        F.max(F.when(own, F.col("best"))).alias("best"),
+        F.sum(F.when(own, F.col("n"))).alias("mentions"),
+        F.sum(F.when(own, F.col("sessions"))).alias("sessions"),
+        F.min(F.when(own, F.col("seen"))).alias("first_seen"),
+        F.collect_list(F.struct("kind", "name", "n", "seen", "last")).alias("names"),
+    ).where("mentions > 0")
+
     # Names of every occurrence but the first one count as aliases, as do all declared aliases and cross hits.
-    spellings = (
-        keyed.groupBy("user_id", "key", "name")
-        .agg(F.count("*").alias("n"), F.min(position()).alias("seen"))
-        .join(best.select("user_id", "key", "first_seen"), ["user_id", "key"])
-        .where((F.col("n") > 1) | (F.col("seen") > F.col("first_seen")))
-        .select("user_id", "key", F.col("name").alias("alias"))
-    )
-    declared = keyed.select("user_id", "key", F.explode("aliases").alias("alias"))
-    added = alias_hits(entities).withColumnRenamed("added", "alias")
-    aliases = (
-        declared.unionByName(spellings)
-        .unionByName(added)
-        .distinct()
-        .groupBy("user_id", "key")
-        .agg(F.collect_list("alias").alias("found"))
-    )
-    joined = best.join(sessions, ["user_id", "key"]).join(aliases, ["user_id", "key"], "left")
-    found = F.coalesce("found", F.array().cast("array<string>"))
-    return joined.select(
+    def is_alias(x: Column) -> Column:
+        again = (x["kind"] == 0) & ((x["n"] > 1) | (x["seen"] > F.col("first_seen")))
+        return x["name"].isNotNull() & ((x["kind"] == 1) | again | ((x["kind"] == 2) & (x["last"] > F.col("first_seen"))))
+
+    found = F.array_distinct(F.transform(F.filter("names", is_alias), lambda x: x["name"]))
+    return merged.select(
         "user_id",
         "key",
         F.col("winner.name").alias("name"),
@@ -187,7 +199,7 @@ def consolidation_totals(
     hits = alias_hits(entities).groupBy("user_id").agg(F.count("*").alias("cross_hits"))
 
     def distinct_keys(df, name):
-        keys = df.select("user_id", T.name_key(F.col("description")).alias("key")).distinct()
+        keys = df.select("user_id", _text_key(F.col("description")).alias("key")).distinct()
         return keys.groupBy("user_id").agg(F.count("*").alias(name))
 
     joined = (
@@ -355,8 +367,10 @@ def conflicts_for_entity(decisions: DataFrame, name: str, min_overlap: float = M
 
 def entity_session_counts(entities: DataFrame) -> DataFrame:
     """Sessions per entity key and the highest importance, where only the first row of a name in a session counts."""
-    keyed = entities.withColumn("key", T.name_key(F.col("name")))
-    first = keyed.groupBy("user_id", "key", "session_seq").agg(
+    key = T.name_key(F.col("name"))
+    # Both groupings work on what one shuffle brings together.
+    met = entities.select("user_id", "session_seq", "item_ix", "importance", "name").repartition("user_id", key)
+    first = met.withColumn("key", key).groupBy("user_id", "key", "session_seq").agg(
         F.min_by(F.struct("importance", "name"), "item_ix").alias("f")
     )
     return first.groupBy("user_id", "key").agg(
@@ -374,7 +388,7 @@ def decided_keys(keys: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     texts = decisions.select("user_id", F.lower("description").alias("text")).distinct()
     words = texts.select("user_id", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("key")).distinct()
-    whole = keys.join(words, ["user_id", "key"], "left_semi").select("user_id", "key")
+    whole = saved(keys.join(words, ["user_id", "key"], "left_semi").select("user_id", "key"), "whole")
     rest = saved(keys.join(whole, ["user_id", "key"], "left_anti").select("user_id", F.col("key").alias("needle")), "keys")
     inside = occurring(rest, texts, ["user_id"])
     return whole.unionByName(inside.select("user_id", F.col("needle").alias("key")))
@@ -382,6 +396,10 @@ def decided_keys(keys: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def undecided_topics(entities: DataFrame, decisions: DataFrame, min_sessions: int = 2) -> DataFrame:
     frequent = saved(entity_session_counts(entities).where(F.col("sessions") >= min_sessions), "frequent")
+    return _undecided(frequent, decisions)
+
+
+def _undecided(frequent: DataFrame, decisions: DataFrame) -> DataFrame:
     decided = decided_keys(frequent.select("user_id", "key"), decisions)
     return frequent.join(decided, ["user_id", "key"], "left_anti").select(
         "user_id",
@@ -393,11 +411,13 @@ def undecided_topics(entities: DataFrame, decisions: DataFrame, min_sessions: in
 
 
 def stalled_tasks(tasks: DataFrame, threshold: float = STALLED_DAYS) -> DataFrame:
-    keyed = tasks.withColumn("key", T.name_key(F.col("description")))
+    active = F.col("status") == "active"
+    # Only texts of active tasks can come out.
+    keyed = tasks.withColumn("key", _text_key(F.col("description"))).withColumn("description", F.when(active, F.col("description")))
     rank = F.struct(F.col("age_days"), -F.col("session_seq"), -F.col("item_ix"))
     summed = keyed.groupBy("user_id", "key").agg(
-        F.max_by(F.struct("description", "age_days", "priority"), F.when(F.col("status") == "active", rank)).alias("t"),
-        F.count_if(F.col("status") == "active").alias("active"),
+        F.max_by(F.struct("description", "age_days", "priority"), F.when(active, rank)).alias("t"),
+        F.count_if(active).alias("active"),
         F.count_if(F.col("status") == "completed").alias("completed"),
     )
     stalled = summed.where(
@@ -413,7 +433,11 @@ def stalled_tasks(tasks: DataFrame, threshold: float = STALLED_DAYS) -> DataFram
 
 
 def unclear_entities(entities: DataFrame, min_sessions: int = 3, low: float = 0.3) -> DataFrame:
-    unclear = entity_session_counts(entities).where((F.col("sessions") >= min_sessions) & (F.col("importance") < low))
+    return _unclear(entity_session_counts(entities), min_sessions, low)
+
+
+def _unclear(counts: DataFrame, min_sessions: int = 3, low: float = 0.3) -> DataFrame:
+    unclear = counts.where((F.col("sessions") >= min_sessions) & (F.col("importance") < low))
     return unclear.select(
         "user_id",
         F.lit("unclear_entity").alias("gap_type"),
@@ -424,11 +448,9 @@ def unclear_entities(entities: DataFrame, min_sessions: int = 3, low: float = 0.
 
 
 def gap_report(entities: DataFrame, decisions: DataFrame, tasks: DataFrame) -> DataFrame:
-    gaps = (
-        undecided_topics(entities, decisions)
-        .unionByName(stalled_tasks(tasks))
-        .unionByName(unclear_entities(entities))
-    )
+    # Entities of a single session make no gap; the others are counted once for both rules.
+    frequent = saved(entity_session_counts(entities).where(F.col("sessions") >= 2), "frequent")
+    gaps = _undecided(frequent, decisions).unionByName(stalled_tasks(tasks)).unionByName(_unclear(frequent))
     order = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     return gaps.withColumn("severity_order", order)
 
@@ -436,12 +458,11 @@ def gap_report(entities: DataFrame, decisions: DataFrame, tasks: DataFrame) -> D
 def distinct_counts(entities: DataFrame, decisions: DataFrame, tasks: DataFrame) -> DataFrame:
     """Distinct entity names, decision texts and task texts per user."""
 
-    def keys(df, column, kind):
-        return df.select("user_id", F.lit(kind).alias("kind"), T.name_key(F.col(column)).alias("key"))
+    def keys(df, key, kind):
+        return df.select("user_id", F.lit(kind).alias("kind"), key.alias("key"))
 
-    every = keys(entities, "name", "e").unionByName(keys(decisions, "description", "d")).unionByName(
-        keys(tasks, "description", "t")
-    )
+    text = _text_key(F.col("description"))
+    every = keys(entities, T.name_key(F.col("name")), "e").unionByName(keys(decisions, text, "d")).unionByName(keys(tasks, text, "t"))
     return (
         every.distinct()
         .groupBy("user_id")
@@ -457,10 +478,11 @@ def distinct_counts(entities: DataFrame, decisions: DataFrame, tasks: DataFrame)
 
 
 def digest_entities(entities: DataFrame, minimum: float = 0.3, n: int = 10) -> DataFrame:
-    keyed = entities.withColumn("key", T.name_key(F.col("name")))
+    # The best of a key has the highest importance, so rows below the minimum decide nothing.
+    keyed = entities.where(F.col("importance") >= minimum).withColumn("key", T.name_key(F.col("name")))
     rank = F.struct(F.col("importance"), -F.col("session_seq"), -F.col("item_ix"))
     best = keyed.groupBy("user_id", "key").agg(F.max_by(F.struct("name", "type", "importance"), rank).alias("b"))
-    rows = best.select("user_id", "key", "b.*").where(F.col("importance") >= minimum)
+    rows = best.select("user_id", "key", "b.*")
     top = ordered.top_rows(rows, ["user_id"], [F.desc("importance"), F.asc("key")], n)
     detail = F.concat("type", F.lit(" entity (importance: "), F.format_number("importance", 2), F.lit(")"))
     return top.select(
@@ -469,7 +491,7 @@ def digest_entities(entities: DataFrame, minimum: float = 0.3, n: int = 10) -> D
 
 
 def digest_decisions(decisions: DataFrame, n: int = 10) -> DataFrame:
-    active = decisions.where(F.col("status") == "active").withColumn("key", T.name_key(F.col("description")))
+    active = decisions.where(F.col("status") == "active").withColumn("key", _text_key(F.col("description")))
     first = active.groupBy("user_id", "key").agg(
         F.min_by(F.struct("description", "rationale", "session_seq", "item_ix"), position()).alias("d")
     )
@@ -486,7 +508,7 @@ def digest_decisions(decisions: DataFrame, n: int = 10) -> DataFrame:
 
 def digest_tasks(tasks: DataFrame, n: int = 10) -> DataFrame:
     """The first task per text, replaced by a later completed one; in first-seen order."""
-    keyed = tasks.withColumn("key", T.name_key(F.col("description")))
+    keyed = tasks.withColumn("key", _text_key(F.col("description")))
     fields = F.struct("description", "status", "priority")
     done = F.col("status") == "completed"
     merged = keyed.groupBy("user_id", "key").agg(

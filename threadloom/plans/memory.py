@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import chains, fixed
@@ -11,7 +10,7 @@ from threadloom.operators import memory as M
 from threadloom.plans.registry import query
 from threadloom.plans.summaries import sql_strip, sql_terms
 from threadloom.session import saved
-from threadloom.sources.testviews import USER, load, table
+from threadloom.sources.testviews import USER, load, session_entities, table
 
 DECAY = (
     "round(least(1.0, greatest(0.05, least(1.0, {imp}) * exp(-ln(2.0) / 30 * greatest({age}, 0.0)))), 6)"
@@ -154,9 +153,7 @@ VIEWS = {
 
 
 def entities(spark, sf_dir):
-    base = load(spark, sf_dir, "v_session_entities")
-    within = Window.partitionBy("session_seq").orderBy("name")
-    return base.withColumn("item_ix", F.row_number().over(within)).select(
+    return session_entities(spark, sf_dir).select(
         "user_id",
         "session_seq",
         "item_ix",
