@@ -165,3 +165,23 @@ def test_every_vector_asks(spark, tmp_path):
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     best = np.argsort(-(unit @ unit.T), axis=1)[:, :10]
     assert got == {(q, n): str(i) for q, found in enumerate(best) for n, i in enumerate(found, 1)}
+
+
+@pytest.mark.parametrize("sent", (1000, 0))
+def test_scores_are_added_where_a_document_is(spark, monkeypatch, sent):
+    """BM25 equals plain scoring, ids that repeat included; the pairs of query and token are not shuffled by query."""
+    monkeypatch.setattr(S, "SENT_TOKENS", sent)
+    docs = {i: t for i, t in texts(80, 6) if t is not None}
+    frame = spark.createDataFrame(list(docs.items()), "id string, content string")
+    asked = spark.createDataFrame([(1, "w5 common w7 w7"), (2, "common usual"), (3, None), (4, "nothing")], "query_id bigint, query string")
+    hits = S.bm25(asked, S.postings(frame), S.lengths(frame))
+    got = {(r["query_id"], r["id"]): r["score"] for r in hits.collect()}
+    want = {(q, i): round(s, 6) for q, text in ((1, "w5 common w7 w7"), (2, "common usual")) for i, s in scores(docs, text).items()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v > 0}, abs=2e-6)
+    by_pair = "hashpartitioning(query_id" in hits._jdf.queryExecution().executedPlan().toString()
+    assert by_pair == (sent == 0)
+    twice = frame.unionByName(spark.createDataFrame([("d003", docs["d003"]), ("d004", "w1 w1"), (None, "w2"), (None, "w2 w2 w9")], "id string, content string"))
+    posts = {(r["token"], r["id"], r["length"]): r["tf"] for r in S.postings(twice).collect()}
+    n = len(tokens(docs["d003"]))
+    assert all(posts[w, "d003", n] == 2 * tokens(docs["d003"]).count(w) for w in tokens(docs["d003"]))
+    assert posts["w1", "d004", 2] == 2 and posts["w2", None, 1] == 1 and posts["w2", None, 3] == 2

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import ordered
 from threadloom.functions import text as T
 from threadloom.functions.barrier import once
+from threadloom.functions.copies import by_repetition, value_counts
 from threadloom.session import saved
 
 K1 = 1.5
@@ -36,6 +37,8 @@ QUERY_BLOCK = 1024
 TILE_DOCUMENTS = 2048
 MERGED = 256
 SLICE_ROWS = 1024
+#: The asked tokens of a batch of queries are sent to all tasks up to this number; beyond it their joins shuffle.
+SENT_TOKENS = 200_000
 
 
 # -- index -----------------------------------------------------------------------------------------------------------
@@ -51,14 +54,20 @@ def latest_documents(batches: DataFrame, version: str = "version") -> DataFrame:
 def postings(docs: DataFrame, *carried: str) -> DataFrame:
     """Term frequency per (token, id), with the document's length so that scoring needs no second join.
 
-    Occurrences of a document are counted in the task that reads it, so one row per posting is shuffled.  `carried` columns
-    go along; with any of them, a document without tokens keeps one row of a null token and length 0.
+    Occurrences are counted in the row that holds them; only documents whose id comes again are shuffled.  `carried` columns
+    go along and tell the rows of an id apart; with any of them, a document without tokens keeps one row of a null token and
+    length 0.
     """
-    found = once(docs.select("id", *carried, "content"), s=F.coalesce(T.terms("content"), F.array().cast("array<string>")))
-    each = F.explode_outer("s") if carried else F.explode("s")
-    rows = found.select("id", *carried, F.size("s").alias("length"), each.alias("token"))
-    counted = rows.groupBy("token", "id", *carried, "length").agg(F.count("token").alias("tf"))
-    return counted.select("token", "id", *carried, "length", "tf")
+    tokens = F.coalesce(T.terms("content"), F.array().cast("array<string>"))
+    own, copies = (docs, None) if carried else by_repetition(docs.select("id", "content"), "id")
+    found = once(own.select("id", *carried, "content"), s=tokens).select("id", *carried, F.size("s").alias("length"), "s")
+    each = F.inline_outer("s") if carried else F.inline("s")
+    posts = value_counts(found, "s").select("id", *carried, "length", each)
+    posts = posts.select(F.col("value").alias("token"), "id", *carried, "length", F.coalesce("n", F.lit(0)).cast("bigint").alias("tf"))
+    if copies is None:
+        return posts
+    rows = once(copies, s=tokens).select("id", F.size("s").alias("length"), F.explode("s").alias("token"))
+    return posts.unionByName(rows.groupBy("token", "id", "length").agg(F.count("*").alias("tf")))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -85,18 +94,26 @@ def asked_tokens(queries: DataFrame) -> DataFrame:
 
 def bm25(queries: DataFrame, posts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Score of every document that shares a token with a query; a repeated query token counts again."""
-    asked = asked_tokens(queries)
+    asked = saved(asked_tokens(queries), "asked")
+    few = asked.count() <= SENT_TOKENS
+
+    def sent(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
     # Only the postings of asked tokens go on; document frequency is computed on them, so rare-token statistics of the
     # rest of the vocabulary are never aggregated.
-    wanted = posts.join(asked.select("token").distinct(), "token", "left_semi")
+    wanted = posts.join(sent(asked.select("token").distinct()), "token", "left_semi")
     n = sizes.select(F.count("*")).scalar()
     average = sizes.select(F.avg("length")).scalar()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighted = asked.join(vocabulary(wanted), "token").select("query_id", "token", (idf * F.col("qtf")).alias("weight"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / average)
     impact = wanted.select("id", "token", (F.col("tf") * (K1 + 1) / norm).alias("impact"))
+    if few:
+        # The postings of a document meet before they are joined, so its scores are added up where they arise.
+        impact = impact.repartition("id")
     return (
-        impact.join(weighted, "token")
+        impact.join(sent(weighted), "token")
         .groupBy("query_id", "id")
         .agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score"))
         .where(F.col("score") > 0)
