@@ -39,7 +39,8 @@ def containing(needles: DataFrame, texts: DataFrame, keys: Sequence[str], shorte
     keys = list(keys)
     cut = grams(texts, keys, shortest)
     usable = needles.where(F.length("needle") >= shortest).withColumn("gram", F.substring("needle", 1, GRAM))
-    pairs = usable.join(cut, [*keys, "gram"])
+    # Both sides grow with the input: neither is collected for a broadcast.
+    pairs = usable.join(cut.hint("merge"), [*keys, "gram"])
     inside = (F.length("needle") <= GRAM) | F.contains(F.col("text"), F.col("needle"))
     return pairs.where(inside & (F.col("needle") != F.col("text"))).select(*keys, "needle", "text").distinct()
 

@@ -24,6 +24,11 @@ NEAR_CONFIDENCE = 0.7
 SOURCES = {"file_path": 1, "url": 2, "endpoint": 3, "import": 4, "env_var": 5, "symbol": 6, "term": 7}
 
 
+def _grown(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is never collected on the driver for a broadcast."""
+    return rows.hint("merge")
+
+
 # -- mentions ---------------------------------------------------------------------------------------------------------------
 
 
@@ -187,7 +192,9 @@ def _relations(items: DataFrame) -> DataFrame:
         .unionByName(pairs.select("conv_id", F.col("text").alias("low"), F.col("needle").alias("peer_low"), F.lit(2).alias("kind")))
     )
     peers = items.select("conv_id", F.col("low").alias("peer_low"), F.col("key").alias("peer"), F.col("ord").alias("peer_ord"))
-    met = items.select("conv_id", "low", "key", "ord").join(directed, ["conv_id", "low"]).join(peers, ["conv_id", "peer_low"])
+    met = items.select("conv_id", "low", "key", "ord").join(_grown(directed), ["conv_id", "low"]).join(
+        _grown(peers), ["conv_id", "peer_low"]
+    )
     return met.where(F.col("peer_ord") < F.col("ord")).select("conv_id", "key", "ord", "peer", "kind")
 
 
@@ -196,7 +203,7 @@ def _with_ends(state: DataFrame) -> DataFrame:
     named = state.where("shown")
     order = Window.partitionBy("conv_id", "slot").orderBy("ord")
     ends = named.select("conv_id", "key", F.lead("ord").over(order).alias("until"))
-    return state.join(ends, ["conv_id", "key"], "left")
+    return state.join(_grown(ends), ["conv_id", "key"], "left")
 
 
 def resolve(raw: DataFrame) -> DataFrame:
@@ -224,12 +231,12 @@ def resolve(raw: DataFrame) -> DataFrame:
     state, mark = saved(_with_ends(state), "slots"), None
     while True:
         shown = state.where("shown").select("conv_id", F.col("key").alias("peer"), "slot", "founded", "until")
-        visible = relations.join(shown, ["conv_id", "peer"]).where(
+        visible = relations.join(_grown(shown), ["conv_id", "peer"]).where(
             (F.col("kind") == 0) | F.col("until").isNull() | (F.col("until") >= F.col("ord"))
         )
         choice = F.min(F.struct((F.col("kind") > 0).alias("other_name"), "founded", "kind", "slot"))
         chosen = visible.groupBy("conv_id", "key").agg(choice.alias("c"))
-        state = items.select("conv_id", "key", "ord").join(chosen, ["conv_id", "key"], "left").select(
+        state = items.select("conv_id", "key", "ord").join(_grown(chosen), ["conv_id", "key"], "left").select(
             "conv_id", "key", "ord",
             F.coalesce("c.slot", "key").alias("slot"),
             F.coalesce("c.founded", "ord").alias("founded"),
@@ -239,18 +246,18 @@ def resolve(raw: DataFrame) -> DataFrame:
         before, mark = mark, state.agg(F.bit_xor(F.xxhash64("conv_id", "key", "slot", "shown"))).first()[0]
         if before == mark:
             break
-    members = state.join(items.drop("ord"), ["conv_id", "key"])
+    members = state.join(_grown(items.drop("ord")), ["conv_id", "key"])
     last = F.max_by(F.struct("ord", "name", "type", "low"), F.when(F.col("shown"), F.col("ord")))
     heads = members.groupBy("conv_id", "slot").agg(
         last.alias("last"),
         F.min_by(F.struct("mention_count", "at"), "ord").alias("founder"),
         F.max(F.when(F.col("shown") & F.col("until").isNotNull(), F.struct("ord", "name"))).alias("former"),
     )
-    later = members.join(heads.select("conv_id", "slot", "last"), ["conv_id", "slot"]).where(
+    later = members.join(_grown(heads.select("conv_id", "slot", "last")), ["conv_id", "slot"]).where(
         (F.col("ord") > F.col("last.ord")) & (F.col("low") != F.col("last.low"))
     )
     more = later.groupBy("conv_id", "slot").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("more"))
-    described = heads.join(more, ["conv_id", "slot"], "left").select(
+    described = heads.join(_grown(more), ["conv_id", "slot"], "left").select(
         "conv_id", "slot",
         F.col("last.name").alias("canonical"), F.col("last.type").alias("canonical_type"),
         F.col("founder.mention_count").alias("slot_count"), F.col("founder.at").alias("slot_at"),
@@ -261,12 +268,12 @@ def resolve(raw: DataFrame) -> DataFrame:
             )
         ).alias("aliases"),
     )
-    return state.select("conv_id", "key", "slot").join(described, ["conv_id", "slot"]).drop("slot")
+    return state.select("conv_id", "key", "slot").join(_grown(described), ["conv_id", "slot"]).drop("slot")
 
 
 def entities_of(raw: DataFrame, resolved: DataFrame) -> DataFrame:
     """One row per canonical entity with summed mentions, extent, aliases and its rank in the list."""
-    joined = raw.join(resolved, ["conv_id", "key"])
+    joined = raw.join(_grown(resolved), ["conv_id", "key"])
     return joined.groupBy("conv_id", F.lower("canonical").alias("low")).agg(
         F.first("canonical").alias("name"),
         F.first("canonical_type").alias("type"),
@@ -356,7 +363,7 @@ def verb_edges(messages: DataFrame, entities: DataFrame) -> DataFrame:
         .where(F.length("gram") >= 2)
     )
     named = entities.select("conv_id", "low", "rank", F.substring("low", 1, PREFIX).alias("gram"))
-    found = grams.join(named, ["conv_id", "gram"]).where(
+    found = grams.join(_grown(named), ["conv_id", "gram"]).where(
         F.substring(F.col("window"), F.col("at"), F.length("low")) == F.col("low")
     )
     nearest = found.groupBy("conv_id", "turn", "verb", "relationship", "pos").agg(
