@@ -371,3 +371,23 @@ def test_no_bucket_of_a_long_conversation_is_large(spark):
     assert largest[0] <= 1024 and largest[1] == n
     kept = budget.select_within(items, 5_000).where("NOT dropped").agg(F.count("*"), F.sum("final_tokens"), F.max("o2")).first()
     assert tuple(kept) == (1_000, 5_000, 999)
+
+
+def test_redaction_by_plainer_patterns_loses_no_match(spark):
+    texts = [
+        "sk-" + "a" * 20, "AIza" + "b" * 35, "gho_" + "c" * 36, "xoxp-1", "AKIA" + "A" * 16, "d" * 32 + "_live_1", "bEArER x", "BEARER\tab=",
+        "4111 1111-1111 1111", "3411 111111 11111", "341 111111 11111", "6011 1111 1111 1111", "4١٢٣ 1111 1111 1111", "123 45-6789",
+        "١٢٣٤٥٦٧٨٩", "a@b.co", "x@y", "1-(2) 3-4", "1)2", "(555)555-5555", "1 (234) 5.6", "+1.(2).3-4",
+        "1.2.3.4", "1.2.3", "١.٢.3.4", "no digit", "", None,
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(len(texts) * (i + 1) + j, f"{a} {b}") for i, a in enumerate(texts) for j, b in enumerate(texts) if a is not None and b is not None]
+    df = spark.createDataFrame(rows, "id int, full_text string")
+    # A renamed severity keeps the plainer patterns out.
+    plain = [(label, "", p) for label, _, p in fixed.PII_PATTERNS]
+    columns = ["id", "cleaned", F.to_json("pii_counts").alias("counts"), "pii_count"]
+    fast, slow = S.redact(df).select(*columns), S.redact(df, patterns=plain).select(*columns)
+    assert sorted(fast.collect()) == sorted(slow.collect())
+    assert fast.where("pii_count > 0").count() > 20
+    shown = S.redact(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(need in shown for need in fixed.PII_NEEDS.values())

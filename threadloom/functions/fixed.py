@@ -298,6 +298,17 @@ PII_PATTERNS = [
     ),
 ]
 
+# What a text must hold for a pattern above to match: a plainer pattern that finds every such text, and perhaps others.
+PII_NEEDS = {
+    "API_KEY": r"sk-|AIza|gh[po]_|xox[bp]-|AKIA|_live_",
+    "BEARER_TOKEN": r"[Bb][Ee][Aa][Rr][Ee][Rr]",
+    "CREDIT_CARD": r"(?U)[3-6]\d\d",
+    "SSN": r"(?U)\d{3}[-\s]?\d{2}[-\s]?\d{4}",
+    "EMAIL": r"@",
+    "PHONE": r"(?U)\d(?:\)?[-.\s]?\(?\d){3}",
+    "IP_ADDRESS": r"(?U)\d\.\d",
+}
+
 # --- fixed values: prompt-injection patterns: (description, severity, case-insensitive pattern) ---------------------
 INJECTION_PATTERNS = [
     ("System prompt override attempt", "high", r"(?i)ignore\s+(all\s+)?previous\s+instructions"),

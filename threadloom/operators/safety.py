@@ -14,19 +14,21 @@ from threadloom.session import saved
 def redact(df: DataFrame, text: str = "full_text", patterns=None) -> DataFrame:
     """Add `cleaned`, `pii_counts` (label -> matches) and `pii_count`.
 
-    The patterns run in order, each on the text the earlier ones left.  Every stage is its own projection: the planner
-    keeps them apart because a stage's text is used twice (count and replace), so no pattern is evaluated twice.
+    The patterns run in order, each on the text the earlier ones left.  A pattern counts where its plainer form finds
+    something, and replaces where it counted.  Every stage is its own projection: the planner keeps them apart because a
+    stage's text and count are used several times, so no pattern is evaluated twice.
     """
     patterns = fixed.PII_PATTERNS if patterns is None else patterns
     staged = df.withColumn("__t0", F.col(text))
-    for i, (label, _, pattern) in enumerate(patterns):
+    for i, rule in enumerate(patterns):
+        label, _, pattern = rule
         before, after = f"__t{i}", f"__t{i + 1}"
-        staged = staged.withColumns(
-            {
-                f"__n{i}": F.regexp_count(before, F.lit(pattern)),
-                after: F.regexp_replace(before, pattern, f"[{label}_REDACTED]"),
-            }
-        )
+        n = F.regexp_count(before, F.lit(pattern))
+        if rule in fixed.PII_PATTERNS:
+            n = F.when(~F.rlike(F.col(before), F.lit(fixed.PII_NEEDS[label])), F.lit(0)).otherwise(n)
+        replaced = F.regexp_replace(before, pattern, f"[{label}_REDACTED]")
+        staged = staged.withColumn(f"__n{i}", n)
+        staged = staged.withColumn(after, F.when(F.col(f"__n{i}") > 0, replaced).otherwise(F.col(before)))
     counts = [F.col(f"__n{i}") for i in range(len(patterns))]
     pairs = [x for (label, _, _), c in zip(patterns, counts) for x in (F.lit(label), c)]
     out = staged.withColumns(
