@@ -14,6 +14,7 @@ from threadloom.operators import export as X
 from threadloom.operators import memory as M
 from threadloom.operators import reports as R
 from threadloom.operators import safety as S
+from threadloom.operators import versions as V
 from threadloom.plans import entities as PE
 from threadloom.plans import safety as PS
 from threadloom.sources.testviews import table
@@ -391,3 +392,44 @@ def test_redaction_by_plainer_patterns_loses_no_match(spark):
     assert fast.where("pii_count > 0").count() > 20
     shown = S.redact(df)._jdf.queryExecution().optimizedPlan().toString()
     assert all(need in shown for need in fixed.PII_NEEDS.values())
+
+
+# -- versions -------------------------------------------------------------------------------------------------------------
+
+
+def test_diff_compares_gathered_versions(spark):
+    """Against plain Python, with repeated pairs and names, nulls, and versions that nothing is known of."""
+    rng = random.Random(8)
+    ids, names = [*range(7), None], ["a", "b", "a b", " ", "", "é", None]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(30)]
+    entities = [(v, n, rng.choice([0.0, -0.0, 0.5, None])) for v in [*ids[:5], None] for n in names if rng.random() < 0.6]
+    entities += [(5, n, i) for n in ("a", "a", "b") for i in (0.5, None)]
+    decisions = [(rng.choice(ids), rng.choice(["x", "y", "", None])) for _ in range(20)]
+    meta = [(i, i and 2 * i, "s" if i in (0, 3) else None) for i in [*ids, 3]]
+    out = V.diff(
+        spark.createDataFrame(pairs, "old_id long, new_id long"),
+        spark.createDataFrame(entities, "version_id long, name string, importance double"),
+        spark.createDataFrame(decisions, "version_id long, description string"),
+        spark.createDataFrame(decisions[:9], "version_id long, description string"),
+        spark.createDataFrame(meta, "version_id long, message_count long, global_summary string"),
+    )
+    want = []
+    for o, n in pairs:
+        if o is None or n is None:
+            continue
+        a, b = ([(x, i) for v, x, i in entities if v == k and x is not None] for k in (o, n))
+        m = pairs.count((o, n))
+        added = sorted([x for x, _ in b if x not in dict(a)] * m)
+        removed = sorted([x for x, _ in a if x not in dict(b)] * m)
+        changed = sorted([x for x, i in a for y, j in b if x == y and i != j] * m * m)
+        numbers = []
+        for rows in (decisions, decisions[:9]):
+            p, q = ({d for v, d in rows if v == k} for k in (o, n))
+            numbers += [m * (len(q - p) + (None in p & q)), m * (len(p - q) + (None in p & q))]
+        for _, c, s in [x for x in meta if x[0] == o]:
+            for _, d, t in [x for x in meta if x[0] == n]:
+                want.append((o, n, added, removed, changed, *numbers, d - c, s != t))
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    # Texts leave their rows as digests, and only a pair's two versions are shuffled: nothing meets row by row.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan

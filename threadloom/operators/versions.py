@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import chains, ordered
@@ -78,58 +78,84 @@ def history(versions: DataFrame, starts: DataFrame, max_depth: int = 50) -> Data
     return chains.walk(starts, links, ["graph_id"], max_depth - 1)
 
 
-def diff(pairs: DataFrame, entities: DataFrame, decisions: DataFrame, tasks: DataFrame, meta: DataFrame) -> DataFrame:
-    """Changes between snapshots: pairs(old_id, new_id), everything else keyed by version_id."""
-    keys = ["old_id", "new_id"]
+def _repeated(values: Column, times: Column) -> Column:
+    return F.when(times == 1, values).otherwise(F.flatten(F.transform(values, lambda v: F.array_repeat(v, times.cast("int")))))
+
+
+def _name(state: Column) -> Column:
+    return F.substr(state, F.instr(state, " ") + 1)
 
-    def both_sides(df, columns):
-        old = pairs.join(df.withColumnRenamed("version_id", "old_id"), "old_id").select(
-            *keys, *[F.col(c).alias(f"old_{c}") if c != columns[0] else F.col(c) for c in columns], F.lit(1).alias("in_old")
-        )
-        new = pairs.join(df.withColumnRenamed("version_id", "new_id"), "new_id").select(
-            *keys, *[F.col(c).alias(f"new_{c}") if c != columns[0] else F.col(c) for c in columns], F.lit(1).alias("in_new")
-        )
-        return old.join(new, [*keys, columns[0]], "full_outer")
-
-    added, removed = F.col("in_old").isNull(), F.col("in_new").isNull()
-    e = both_sides(entities, ["name", "importance"])
-    changed = ~added & ~removed & ~F.col("old_importance").eqNullSafe(F.col("new_importance"))
-
-    def names(condition):
-        return F.array_sort(F.collect_list(F.when(condition, F.col("name"))))
-
-    by_entity = e.groupBy(*keys).agg(
-        names(added).alias("entities_added"), names(removed).alias("entities_removed"),
-        names(changed).alias("entities_modified"),
+
+def _entity_changes(old: str, new: str) -> tuple[Column, Column, Column]:
+    """Names added, removed and changed between two arrays of states: an importance as text, a blank, the name.
+
+    Names of a version are its own as a rule; where one comes again, every combination of its rows counts.
+    """
+    a, b = F.transform(old, _name), F.transform(new, _name)
+    added, removed = F.array_except(b, a), F.array_except(a, b)
+    differing = F.transform(F.array_except(new, old), _name)
+    own = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    others = lambda x: F.filter(new, lambda y: (_name(x) == _name(y)) & (x != y))
+    every = F.flatten(F.transform(old, lambda x: F.transform(others(x), _name)))
+    keep = lambda names, some: F.filter(names, lambda n: F.array_contains(some, n))
+    return (
+        F.when(own, added).otherwise(keep(b, added)),
+        F.when(own, removed).otherwise(keep(a, removed)),
+        F.when(own, F.array_except(differing, added)).otherwise(every),
     )
 
-    def counts(df, label):
-        rows = both_sides(df.select("version_id", "description").distinct(), ["description"])
-        return rows.groupBy(*keys).agg(
-            F.count_if(added).alias(f"{label}_added"), F.count_if(removed).alias(f"{label}_removed")
-        )
+
+def diff(pairs: DataFrame, entities: DataFrame, decisions: DataFrame, tasks: DataFrame, meta: DataFrame) -> DataFrame:
+    """Changes between snapshots: pairs(old_id, new_id), everything else keyed by version_id.
+
+    The content of a version is gathered into one row, its texts as digests; a pair meets its two versions and is compared
+    in its row.  A repeated pair repeats what is found on either side, and what is found on both once for each combination.
+    """
+    keys = ["old_id", "new_id"]
+    # -0.0 is 0.0; an entity without a name is never listed.
+    importance = F.coalesce((F.col("importance") + 0).cast("string"), F.lit("?"))
+    rows = entities.where(F.col("name").isNotNull()).select("version_id", F.concat(importance, F.lit(" "), "name").alias("entities"))
+    for label, df in (("decisions", decisions), ("tasks", tasks)):
+        # A description of null differs from every other.
+        text = F.sha2("description", 256)
+        listed = df.select("version_id", text.alias(label), text.isNull().cast("int").alias(f"{label}_null"))
+        rows = rows.unionByName(listed, allowMissingColumns=True)
+    labels = ["decisions", "tasks"]
+    sets = [x for c in labels for x in (F.collect_set(c).alias(c), F.coalesce(F.max(f"{c}_null"), F.lit(0)).alias(f"{c}_null"))]
+    versions = rows.where(F.col("version_id").isNotNull()).groupBy("version_id").agg(F.collect_list("entities").alias("entities"), *sets)
 
     old_meta = meta.selectExpr("version_id AS old_id", "message_count AS old_count", "global_summary AS old_summary")
     new_meta = meta.selectExpr("version_id AS new_id", "message_count AS new_count", "global_summary AS new_summary")
-    joined = (
-        pairs.join(by_entity, keys, "left")
-        .join(counts(decisions, "decisions"), keys, "left")
-        .join(counts(tasks, "tasks"), keys, "left")
-        .join(old_meta, "old_id")
-        .join(new_meta, "new_id")
-    )
-    empty = F.array().cast("array<string>")
-    lists = [F.coalesce(c, empty).alias(c) for c in ("entities_added", "entities_removed", "entities_modified")]
-    numbers = [
-        F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-        for c in ("decisions_added", "decisions_removed", "tasks_added", "tasks_removed")
-    ]
-    return joined.select(
-        *keys, *lists, *numbers,
+    times = pairs.groupBy(*keys).agg(F.count("*").alias("times"))
+    asked = pairs.join(times, keys).join(old_meta, "old_id").join(new_meta, "new_id")
+    asked = asked.select(
+        *keys, "times",
         (F.col("new_count") - F.col("old_count")).alias("message_delta"),
         (~F.col("old_summary").eqNullSafe(F.col("new_summary"))).alias("summary_changed"),
     )
 
+    none, parts = F.array().cast("array<string>"), ["entities", *labels, *[f"{c}_null" for c in labels]]
+
+    def side(name):
+        return versions.select(F.col("version_id").alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in parts]).hint("merge")
+
+    both = asked.join(side("old"), "old_id", "left").join(side("new"), "new_id", "left")
+    empty = {f"{n}_{c}": F.coalesce(f"{n}_{c}", F.lit(0) if c.endswith("null") else none) for n in ("old", "new") for c in parts}
+    both, times = both.withColumns(empty), F.col("times")
+    added, removed, changed = _entity_changes("old_entities", "new_entities")
+    numbers = []
+    for label in labels:
+        for what, here, there in (("added", "new", "old"), ("removed", "old", "new")):
+            n = F.size(F.array_except(f"{here}_{label}", f"{there}_{label}")) + F.col(f"{here}_{label}_null")
+            numbers.append((n * times).alias(f"{label}_{what}"))
+    return both.select(
+        *keys,
+        _repeated(F.array_sort(added), times).alias("entities_added"),
+        _repeated(F.array_sort(removed), times).alias("entities_removed"),
+        _repeated(F.array_sort(changed), times * times).alias("entities_modified"),
+        *numbers, "message_delta", "summary_changed",
+    )
+
 
 def storage_stats(contexts: DataFrame) -> DataFrame:
     """Blob sizes and the mean compression ratio per session, from metadata columns only."""
