@@ -433,3 +433,39 @@ def test_diff_compares_gathered_versions(spark):
     # Texts leave their rows as digests, and only a pair's two versions are shuffled: nothing meets row by row.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_integrity_counts_names_and_labels_once(spark, shared):
+    """Against plain Python, with repeats and nulls; nodes and edge ends share one row per value of a user."""
+    rng = random.Random(18)
+    users, names = [1, 2, None], ["a", "b", "c", "d", None]
+    some = lambda n, *kinds: [tuple(rng.choice(k) for k in kinds) for _ in range(n)]
+    entities, nodes = some(6, users, names), some(14, users, names)
+    related, edges = some(20, users, names, names), some(20, users, names, names)
+    tasks = some(12, users, [1, 2, 3, None], [[1, 9], [None], [2, 2, 8], None])
+    decided = some(12, users, [1, 2, 3, None], [1, 2, 9, None])
+    related = edges if shared else related
+    links = spark.createDataFrame(edges, "user_id long, src_name string, dst_name string")
+    out = M.integrity_violations(
+        spark.createDataFrame(entities, "user_id long, name string"),
+        links if shared else spark.createDataFrame(related, "user_id long, src_name string, dst_name string"),
+        spark.createDataFrame(nodes, "user_id long, label string"),
+        links,
+        spark.createDataFrame(tasks, "user_id long, task_id long, dependencies array<long>"),
+        spark.createDataFrame(decided, "user_id long, decision_id long, superseded_by long"),
+        entity_nodes=shared,
+    )
+    nodes = nodes + entities if shared else nodes
+    text = lambda x: None if x is None else str(x)
+    refs = [(u, "relationship_target", a, b, entities) for u, a, b in related]
+    refs += [(u, "graph_node", x, x, entities) for u, x in nodes]
+    refs += [(u, "edge_source", b, a, nodes) for u, a, b in edges] + [(u, "edge_target", a, b, nodes) for u, a, b in edges]
+    refs += [(u, "task_dependency", t, d, [x[:2] for x in tasks]) for u, t, ds in tasks for d in ds or []]
+    refs += [(u, "superseded_by", d, s, [x[:2] for x in decided]) for u, d, s in decided]
+    want = [(u, check, text(owner), ref and str(ref)) for u, check, owner, ref, known in refs if ref is not None and (u is None or (u, ref) not in known)]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    # Two checks of their own (tasks and decisions) make values distinct; the others read one table of counts.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 2

@@ -565,24 +565,60 @@ def recent_sessions(sessions: DataFrame, now: str, days: int) -> DataFrame:
 # -- integrity ---------------------------------------------------------------------------------------------------------------
 
 
+def references(rows: DataFrame, check: str, owner: str, ref: str) -> DataFrame:
+    """One row per reference that is not null, with the check it belongs to."""
+    refs = rows.select("user_id", F.lit(check).alias("check"), F.col(owner).cast("string").alias("owner"), F.col(ref).cast("string").alias("ref"))
+    return refs.where(F.col("ref").isNotNull())
+
+
 def dangling(rows: DataFrame, check: str, owner: str, ref: str, targets: DataFrame, target: str) -> DataFrame:
     """References of `rows` that no row of `targets` answers, within the user."""
-    refs = rows.select("user_id", F.col(owner).cast("string").alias("owner"), F.col(ref).cast("string").alias("ref"))
     known = targets.select("user_id", F.col(target).cast("string").alias("ref")).distinct()
-    missing = refs.where(F.col("ref").isNotNull()).join(known, ["user_id", "ref"], "left_anti")
-    return missing.select("user_id", F.lit(check).alias("check"), "owner", "ref")
+    missing = references(rows, check, owner, ref).join(known, ["user_id", "ref"], "left_anti")
+    return missing.select("user_id", "check", "owner", "ref")
 
 
 def integrity_violations(
-    entities: DataFrame, relationships: DataFrame, nodes: DataFrame, edges: DataFrame, tasks: DataFrame, decisions: DataFrame
+    entities: DataFrame, relationships: DataFrame, nodes: DataFrame, edges: DataFrame, tasks: DataFrame, decisions: DataFrame,
+    entity_nodes: bool = False,
 ) -> DataFrame:
-    """Relationship targets, graph nodes, edge ends, task dependencies and supersessions that point nowhere."""
+    """Relationship targets, graph nodes, edge ends, task dependencies and supersessions that point nowhere.
+
+    With `entity_nodes` every row of `entities` is a node labelled by its name as well, beside `nodes`.  Names and labels are
+    counted together, one row per value of a user; a node refers to its own label, so nodes need no other row.  The other
+    references to names and labels meet these rows at once; a table that is given as relationships and edges comes once.
+    """
     dependencies = tasks.select("user_id", "task_id", F.explode("dependencies").alias("dependency"))
+    tagged = lambda df, c, name, label: df.select("user_id", F.col(c).cast("string").alias("ref"), F.lit(name).alias("name"), F.lit(label).alias("label"))
+    values = tagged(entities, "name", 1, int(entity_nodes)).unionByName(tagged(nodes, "label", 0, 1)).where(F.col("ref").isNotNull())
+    # Nothing answers a reference without a user; without these rows both readers below share one shuffle.
+    lost = values.where(F.col("user_id").isNull() & (F.col("label") == 1))
+    values = values.where(F.col("user_id").isNotNull())
+    known = values.groupBy("user_id", "ref").agg(F.max("name").alias("names"), F.sum("label").alias("labels"))
+
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), "labels"))
+    unanswered = known.where((F.col("names") == 0) & (F.col("labels") > 0)).select("user_id", "ref", copies)
+    loose_nodes = unanswered.select("user_id", "ref").unionByName(lost.select("user_id", "ref"))
+    graph_nodes = loose_nodes.select("user_id", F.lit("graph_node").alias("check"), F.col("ref").alias("owner"), "ref")
+
+    def ends(rows: DataFrame, owner: str, ref: str, checks: dict[str, str]) -> DataFrame:
+        """References with the checks that fail where none of the names or labels answers."""
+        refs = references(rows, "", owner, ref).drop("check")
+        return refs.select("*", *[F.lit(checks.get(k)).cast("string").alias(k) for k in ("of_name", "of_label")])
+
+    sources = ends(edges, "dst_name", "src_name", {"of_label": "edge_source"})
+    if relationships is edges:
+        every = sources.unionByName(ends(edges, "src_name", "dst_name", {"of_name": "relationship_target", "of_label": "edge_target"}))
+    else:
+        every = sources.unionByName(ends(edges, "src_name", "dst_name", {"of_label": "edge_target"}))
+        every = every.unionByName(ends(relationships, "src_name", "dst_name", {"of_name": "relationship_target"}))
+    none = lambda c: F.coalesce(c, F.lit(0)) == 0
+    met = every.join(known, ["user_id", "ref"], "left").where(none("names") | none("labels"))
+    failed = F.array(F.when(none("names"), F.col("of_name")), F.when(none("labels"), F.col("of_label")))
+    loose = met.select("user_id", F.explode(failed).alias("check"), "owner", "ref").where(F.col("check").isNotNull())
+
     return (
-        dangling(relationships, "relationship_target", "src_name", "dst_name", entities, "name")
-        .unionByName(dangling(nodes, "graph_node", "label", "label", entities, "name"))
-        .unionByName(dangling(edges, "edge_source", "dst_name", "src_name", nodes, "label"))
-        .unionByName(dangling(edges, "edge_target", "src_name", "dst_name", nodes, "label"))
+        loose.unionByName(graph_nodes)
         .unionByName(dangling(dependencies, "task_dependency", "task_id", "dependency", tasks, "task_id"))
         .unionByName(dangling(decisions, "superseded_by", "decision_id", "superseded_by", decisions, "decision_id"))
     )

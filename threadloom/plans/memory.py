@@ -452,18 +452,18 @@ UNION ALL SELECT user_id, 'superseded_by', CAST(session_seq AS VARCHAR), CAST(se
     VIEWS,
 )
 def integrity_violations(spark, sf_dir):
-    e = shared_entities(spark, sf_dir)
+    e = saved(entities(spark, sf_dir).select("user_id", "session_seq", "name"), "names")
     links = edges(spark, sf_dir, e)
     docs = table(spark, sf_dir, "documents")
     ghosts = docs.selectExpr(f"{USER} AS user_id", "concat('ghost', doc_id) AS label")
-    nodes = e.select("user_id", F.col("name").alias("label")).unionByName(ghosts)
     todo = docs.selectExpr(
         f"{USER} AS user_id", "doc_id AS task_id", "array(doc_id - 20, doc_id + 40) AS dependencies"
     )
     decided = decisions(spark, sf_dir).selectExpr(
         "user_id", "session_seq AS decision_id", "CASE WHEN status = 'superseded' THEN session_seq + 20 END AS superseded_by"
     )
-    return M.integrity_violations(e, links, nodes, links, todo, decided)
+    # Every entity is a node of the graph, and so are the ghosts.
+    return M.integrity_violations(e, links, ghosts, links, todo, decided, entity_nodes=True)
 
 
 @query(
