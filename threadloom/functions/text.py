@@ -40,8 +40,7 @@ def phrases(text) -> Column:
 
 def content_words(tokens) -> Column:
     """Drop summary stop words, keeping repeats."""
-    stop = string_array(fixed.SUMMARY_STOP_WORDS)
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: ~t.isin(list(fixed.SUMMARY_STOP_WORDS)))
 
 
 def keywords(text) -> Column:

@@ -121,16 +121,17 @@ def term_mentions(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
     n_words = F.floor((F.size("parts") - 1) / 2).cast("int")
 
     def windows(width: int, marked: bool) -> Column:
-        def window(k: Column) -> Column:
-            run = F.array_join(F.slice("parts", 2 * k, F.lit(2 * width - 1)), "")
-            before, after = F.get("parts", 2 * k - 2), F.get("parts", 2 * k + 2 * width - 2)
-            return F.struct(
-                F.lit(width).alias("width"), run.alias("run"),
-                (before if marked else none).alias("before"), (after if marked else none).alias("after"),
-            )
+        def run(k: Column) -> Column:
+            return F.get("parts", 2 * k - 1) if width == 1 else F.array_join(F.slice("parts", 2 * k, F.lit(2 * width - 1)), "")
+
+        def window(run: Column, before: Column, after: Column) -> Column:
+            return F.struct(F.lit(width).alias("width"), run.alias("run"), before.alias("before"), after.alias("after"))
 
         starts = F.when(n_words >= width, F.sequence(F.lit(1), n_words - width + 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(starts, window))
+        if marked:
+            return F.transform(starts, lambda k: window(run(k), F.get("parts", 2 * k - 2), F.get("parts", 2 * k + 2 * width - 2)))
+        # Repeats are left out among plain texts: among structs every one would be compared with every other.
+        return F.transform(F.array_distinct(F.transform(starts, run)), lambda r: window(r, none, none))
 
     if not widths:
         every = F.array().cast("array<struct<width:int,run:string,before:string,after:string>>")
@@ -144,7 +145,7 @@ def term_mentions(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
         "conv_id", "turn", F.lit(SOURCES["term"]).alias("source"), F.col("place").cast("bigint").alias("ix"),
         F.concat(F.lit("tech:"), F.lower("canonical")).alias("key"), F.col("canonical").alias("name"), "type", "term",
     )
-    # Only runs between different marks can meet one term twice.
+    # Runs that are compared with their marks keep their repeats until here.
     return (found.distinct() if any(r["marked"] for r in widths) else found).drop("term")
 
 

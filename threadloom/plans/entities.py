@@ -100,8 +100,8 @@ def graph_inputs(spark, sf_dir):
     """Mentions, raw entities, resolution and relationships of the one-word terms, written once and shared."""
     m = messages(spark, sf_dir)
     mentions = saved(E.term_mentions(m, one_word_terms(spark, sf_dir)), "mentions")
-    raw = E.raw_entities(mentions)
-    resolved = E.resolve_exact(raw)
+    raw = saved(E.raw_entities(mentions), "raw")
+    resolved = saved(E.resolve_exact(raw), "resolved")
     return m, mentions, raw, resolved
 
 
