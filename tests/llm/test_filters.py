@@ -95,3 +95,17 @@ def test_contamination_of_unusual_rows(spark):
     assert dc.cleaned(docs, bench).columns == docs.columns
     assert dc.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert dc.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_one_block_of_patterns_needs_one_worker_per_task(spark):
+    """Idle workers of a second step stay beside the next stage of the pipeline and count against an executor's memory."""
+    bench = spark.createDataFrame([("q1", "alpha beta gamma"), ("q2", "delta epsilon")], "item_id string, text string")
+    rows = [(1, "Alpha beta, gamma!"), (None, "x delta epsilon alpha"), (1, None), (1, "Alpha beta, gamma!")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    steps = lambda found: found._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    one, two = dc.contamination(docs, bench), dc.contamination(docs, bench, block_bytes=1)
+    assert (steps(one), steps(two)) == (1, 2)
+    want = [(1, 3, 3, ["q1"], True), (None, 4, 2, ["q2"], True), (1, 0, 0, [], False), (1, 3, 3, ["q1"], True)]
+    for found in (one, two):
+        got = [(r.doc_id, r.n_words, r.n_hit, r.hit_items, r.contaminated) for r in found.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import raw
+from threadloom.llm.common import lean, raw
 
 WINDOW = 13
 #: Bytes of benchmark text in one block of patterns; a larger benchmark is searched in several blocks, one after another.
@@ -112,16 +112,18 @@ def contamination(
     A word is hit when it lies in an occurrence of any pattern; contaminated: n_hit > 0 and 20 * n_hit >= n_words.  Null
     texts have no words, null benchmark texts no patterns, a null item id counts as the empty string.  Repeated rows are
     searched alike; result columns replace input columns of the same name.  Documents are read once per benchmark block
-    in a chain of narrow steps: nothing is shuffled, and a task holds one block of tables and one Arrow batch.
+    in a chain of narrow steps: nothing is shuffled, and a task holds one block of tables and one Arrow batch.  The last
+    block is searched by the worker that counts, so a benchmark of one block needs one Python worker per task.
     """
     results = ["n_words", "n_hit", "hit_items", "contaminated"]
     docs = docs.drop(*results)
     state = docs.select("*", F.lit(None).cast("array<struct<a:int,b:int>>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    blocks = list(map(compile_patterns, _blocks(bench, item, item_text, block_bytes))) or [[]]
-    for tables in blocks:
-        state = state.mapInArrow(_pass(tables, text), state.schema)
+    *earlier, last = list(map(compile_patterns, _blocks(bench, item, item_text, block_bytes))) or [[]]
+    for tables in earlier:
+        state = state.mapInArrow(lean(_pass(tables, text)), state.schema)
+    search_last, count = _pass(last, text), _count(text)
     schema = docs.select("*", F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.lit(None).cast("array<string>").alias("hit_items")).schema
-    counted = state.mapInArrow(_count(text), schema)
+    counted = state.mapInArrow(lean(lambda batches: count(search_last(batches))), schema)
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
