@@ -5,9 +5,12 @@ Two sets of n and m shingles are linked when 100 * common >= p * union, that is
 * Small sets.  Linked sets share a subset that either of them gets by deleting at most n - ceil(pn / 100) shingles.  All those
   subsets are enumerated; sets that meet on a subset of k shingles are linked when p (n + m) <= (100 + p) k, and linking
   each to the smallest set of the bucket connects the same sets as linking all pairs.
-* Large sets.  Their shingles are ordered, very frequent ones last; linked sets share one of the first n - ceil(pn / 100) + 1.
-  Inverted lists over these are scanned twice: first each set is compared with one leader only, which joins groups of copies
-  without forming their pairs; then the pairs whose sets are still in different components are compared.
+* Large sets.  The shingles of a set are dealt by hash into parts, more parts than two linked sets of that size class can have
+  different shingles, so linked sets have equal parts.  As in prefix filtering, each set lists all but some of its parts, those
+  of very frequent shingles and empty ones last, and linked sets are listed under a common part.  A part holds several shingles,
+  so texts that are not near copies seldom meet, however large the corpus.
+  In rounds, each set is compared with one leader of its lists, which joins groups of near copies without forming their pairs;
+  then the pairs whose sets are still in different components are compared.
 * The boundary between both is where the number of rows, estimated from the sizes of all sets, is least.
 
 Equal sets are one node from the start, so copies cost one row per document.
@@ -15,7 +18,9 @@ Equal sets are one node from the start, so copies cost one row per document.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import digest, hashes, lean, mixed, ragged, raw, runs_of, sent_if_small, slices, words_of
 from threadloom.llm.graph import components
+from threadloom.llm.sentence_spans import BITMAP_BITS, _bitmap
 from threadloom.session import saved
 
 #: Shingles that are ordered by their frequency instead of their hash: at most so many, 16 bytes each in every task.
@@ -38,8 +44,10 @@ PIECE = 8 << 20
 #: Sizes for which subsets may be enumerated; the cost in rows of an entry of an inverted list, and of fetching and comparing
 #: a set that is found in lists (subsets need no comparison).
 MOST_SMALL, SCANNED, COMPARED = 49, 4, 24
+#: Rounds with leaders: at most so many, and none once the pairs left make at most so many rows per listed part.
+ROUNDS, PAIRS_PER_ENTRY = 3, 2
 #: Columns that hold the parities of a set.
-PARITIES = ["p0", "p1", "p2", "p3"]
+PARITIES = [f"p{i}" for i in range(16)]
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -96,14 +104,14 @@ def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 
 
 def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int, width: int, percent: int):
-    """(mark, key, n, digest, carrier, prefix, subsets, sizes, parities) per document; carriers bring the entries of a set."""
+    """(mark, key, n, digest, carrier, parts, own, subsets, sizes, parities) per document; carriers bring the entries of a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = TaskContext.get().partitionId() << 33
         known, rank = frequent
         seen: set[bytes] = set()
         for batch in slices(batches, "text", PIECE):
-            n, digests, carriers, prefixes, subs, ks, odd = [], [], [], [], [], [], []
+            n, digests, carriers, listed, own, subs, ks, odd = [], [], [], [], [], [], [], []
             for text in raw(batch.column("text")):
                 s = shingles(text.as_py(), width)
                 d = digest(s.tobytes())
@@ -112,7 +120,9 @@ def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int, width: int, perce
                 n.append(len(s))
                 digests.append(d)
                 carriers.append(first)
-                prefixes.append(_prefix(s, known, rank, percent) if first and 100 * len(s) > percent * small else s[:0])
+                parts = _parts(s, known, rank, percent) if first and 100 * len(s) > percent * small else [s[:0], s[:0]]
+                listed.append(np.concatenate(parts))
+                own.append(len(parts[0]))
                 sub, k = _subsets(s, percent) if first and len(s) <= small else (s[:0], [])
                 subs.append(sub)
                 ks.append(k)
@@ -130,29 +140,74 @@ def _sets(frequent: tuple[np.ndarray, np.ndarray], small: int, width: int, perce
                     pa.array(n, pa.int32()),
                     pa.array(digests, pa.binary()),
                     pa.array(carriers),
-                    ragged(flat(prefixes), [len(x) for x in prefixes], pa.int64()),
+                    ragged(flat(listed), [len(x) for x in listed], pa.int64()),
+                    pa.array(own, pa.int32()),
                     ragged(flat(subs), [len(x) for x in subs], pa.int64()),
                     ragged(np.array([k for x in ks for k in x], np.int32), [len(x) for x in ks], pa.int32()),
                     *[pa.array(odd[:, i]) for i in range(len(PARITIES))],
                 ],
-                ["mark", "key", "n", "digest", "carrier", "prefix", "subsets", "sizes", *PARITIES],
+                ["mark", "key", "n", "digest", "carrier", "parts", "own", "subsets", "sizes", *PARITIES],
             )
 
     return lean(run)
 
 
-def _prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set: rare ones by hash, then the frequent ones, the most frequent last."""
+@lru_cache
+def _classes(percent: int) -> list[int]:
+    """The least size of each size class; linked sets are in the same class or in neighbouring ones."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
+
+
+def class_of(n: int, percent: int) -> int:
+    return bisect_right(_classes(percent), n) - 1
+
+
+def dealt(level: int, percent: int) -> tuple[int, int]:
+    """(parts, listed parts) of the sets that may be linked with one of this size class as the smaller one.
+
+    Such a pair has less than `listed` different shingles, so more than `parts - listed` of its parts are equal.  Both sets
+    leave out their `parts - listed` weakest parts in one order, so the strongest equal part is listed by both.
+    """
+    n = _classes(percent)[level + 1] - 1
+    listed = (n + n * 100 // percent) * (100 - percent) // (100 + percent) + 1
+    return listed + listed // 3, listed
+
+
+def _parts(s: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Hashes of the listed parts of a set: as the smaller one of a pair in its own size class, and for that of the class below."""
+    rare = np.zeros(len(s), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        common = np.where(known[at] == s, rank[at], 0)
-        s = s[np.lexsort((s, common))]
-    return s[: allowed(len(s), percent) + 1]
+        rare = np.where(known[at] == s, rank[at], 0)
+    q = class_of(len(s), percent)
+    out = []
+    with np.errstate(over="ignore"):
+        m = mixed(s)
+        for level in (q, q - 1):
+            if level < 0:
+                out.append(s[:0])
+                continue
+            parts, listed = dealt(level, percent)
+            part = ((m >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            starts = np.searchsorted(part[order], np.arange(parts))
+            size = np.diff(starts, append=len(s))
+            full = np.flatnonzero(size)
+            total, least = np.zeros(parts, np.uint64), np.full(parts, np.iinfo(np.int64).max)
+            total[full] = np.add.reduceat(mixed(m + np.uint64(1))[order], starts[full])
+            least[full] = np.minimum.reduceat(rare[order], starts[full])
+            h = mixed(total + mixed(np.arange(parts).astype(np.uint64) + (np.uint64(level) << np.uint64(32))) + size.astype(np.uint64))
+            # Parts with a rare shingle first, larger ones before smaller ones; empty ones last.
+            out.append(h[np.lexsort((h, -size, least))[:listed]])
+    return out
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """256 bits as four 64-bit values: how often, even or odd, the set has a shingle that belongs to the bit."""
-    odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """1,024 bits as sixteen 64-bit values: how often, even or odd, the set has a shingle that belongs to the bit."""
+    odd = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -239,14 +294,32 @@ def _least_count(often: DataFrame) -> int:
     return least
 
 
-def _possible(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, k) that the shared entries (a, n, pos, b, m, at) leave possible; k: how many entries they share.
+def _listed(bitmap: np.ndarray):
+    """(s, node, n, own) of the listed parts whose bit is set; own: listed as the smaller set of a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("parts")
+            values = parts.flatten().to_numpy(zero_copy_only=False)
+            bit = values.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+            hit = np.flatnonzero((bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+            counts = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), counts)
+            at = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+            own = at < batch.column("own").to_numpy()[owner]
+            owners = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(values[hit]), batch.column("mark").take(owners), batch.column("n").take(owners), pa.array(own[hit])], ["s", "node", "n", "own"])
+
+    return lean(run)
 
-    What comes before the last shared entry and is not shared is missing in the other set, because both keep one order.
-    """
-    pairs = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"), F.max("pos").alias("pos"), F.max("at").alias("at"))
-    most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) - 1 + F.col("k")
-    return pairs.where(most >= F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))).select("a", "b", "k")
+
+def _leaders(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(node, leader): of the leaders of its lists that are in another component, the one that shares most parts with it."""
+    chance = F.xxhash64("node", F.lit(turn))
+    heads = placed.groupBy("s").agg(F.min(F.struct(chance.alias("chance"), "node", "n", "root")).alias("head"))
+    met = placed.join(heads, "s").where((F.col("root") != F.col("head.root")) & (percent * F.greatest("n", "head.n") <= 100 * F.least("n", "head.n")))
+    shared = met.groupBy("node", F.col("head.node").alias("leader")).agg(F.count("*").alias("k"))
+    return shared.groupBy("node").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -270,11 +343,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     order = np.argsort(known)
     frequent = (known[order], top["count"].to_numpy(np.int64)[order])
 
-    schema = f"mark bigint, key {kind}, n int, digest binary, carrier boolean, prefix array<bigint>, subsets array<bigint>, sizes array<int>, " + ", ".join(f"{p} bigint" for p in PARITIES)
+    schema = f"mark bigint, key {kind}, n int, digest binary, carrier boolean, parts array<bigint>, own int, subsets array<bigint>, sizes array<int>, " + ", ".join(f"{p} bigint" for p in PARITIES)
     sets = saved(rows.mapInArrow(_sets(frequent, small, width, percent), schema), "sets")
     # One node per set: the least mark among the rows that carry its entries.
     nodes = saved(sets.where("carrier").groupBy("digest").agg(F.min("mark").alias("node")), "nodes")
-    carriers = sets.join(nodes.select("node"), sets["mark"] == F.col("node"))
+    again = saved(sets.where("carrier").select("mark", "digest").join(nodes, "digest").where("mark <> node").select("mark"), "again")
+    carriers = sets.where("carrier").join(sent_if_small(again), "mark", "left_anti").withColumn("node", F.col("mark"))
 
     buckets = carriers.where(F.size("subsets") > 0).select("node", "n", F.explode(F.arrays_zip("subsets", "sizes")).alias("z"))
     buckets = buckets.select("node", "n", F.col("z.subsets").alias("h"), F.col("z.sizes").alias("k"))
@@ -285,17 +359,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .select(F.col("least.node").alias("a"), F.col("node").alias("b"))
     )
 
-    # Linked sets are in the same size class or in neighbouring ones.
-    size_class = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).alias("q")
-    entries = carriers.where(F.size("prefix") > 0).select("node", "n", F.posexplode("prefix").alias("pos", "s"))
-    lists = entries.groupBy("s").count().where("count > 1").select("s")
-    entries = saved(entries.join(lists, "s").select("s", size_class, "node", "n", "pos"), "entries")
-    heads = entries.groupBy("s", "q").agg(F.count("*").alias("c"), F.min("node").alias("leader")).where("c > 1").drop("c")
-    first = entries.join(heads, ["s", "q"]).select("s", "q", "leader", "node", "n", "pos")
-    lead = first.where("node = leader").select("s", "q", F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"))
-    met = first.where("node <> leader").select("s", "q", F.col("node").alias("a"), "n", "pos").join(lead, ["s", "q"])
-    leaders = _possible(met, percent).groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("leader"))
-    leaders = saved(leaders.withColumnRenamed("a", "node"), "leaders")
+    large = carriers.where(F.size("parts") > 0)
+    common = large.select(F.explode("parts").alias("run")).groupBy("run").agg(F.count("*").alias("c")).where("c > 1")
+    common = saved(common.select("run"), "common")
+    marked = large.select("mark", "n", "own", "parts").mapInArrow(_listed(_bitmap(common)), "s bigint, node bigint, n int, own boolean")
+    entries = saved(marked.join(common, F.col("s") == F.col("run"), "left_semi"), "entries")
 
     def fetched(wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted nodes, from their documents; a repeated row comes twice, which does no harm."""
@@ -304,37 +372,45 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         texts = rows.join(owners, F.col("key").eqNullSafe(F.col("__key"))).select("node", "digest", "text")
         return saved(texts.mapInArrow(lambda x: _pack(x, width), "node bigint, shingles binary"), "packs")
 
-    packs = fetched(leaders.select(F.explode(F.array("node", "leader")).alias("node")).distinct())
-
-    # Members meet their leader in groups of bounded size: a leader's row is repeated for each salt in use.
-    salts = leaders.groupBy("leader").agg(F.ceil(F.count("*") / 256).cast("bigint").alias("salts"))
-    members = leaders.join(salts, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"))
-    heads = salts.select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    roles = saved(members.unionByName(heads), "roles")
-    grouped = packs.join(sent_if_small(roles), "node").repartition("leader", "salt")
-    grouped = grouped.sortWithinPartitions("leader", "salt", F.col("node") != F.col("leader")).select("leader", "salt", "node", "shingles")
-    first_links = saved(small_links.unionByName(grouped.mapInArrow(lambda x: _with_leader(x, percent), "a bigint, b bigint")), "links")
-    roots = components(first_links)
-
-    # What is left: sets that share entries, may still be linked, and are in different components so far.
-    placed = entries.join(carriers.where(F.size("prefix") > 0).select("node", *PARITIES), "node").join(roots, "node", "left")
-    placed = saved(placed.select("s", "q", "node", "n", "pos", F.coalesce("root", "node").alias("root"), *PARITIES), "placed")
-    mixed_lists = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("s")
-    open_ = placed.join(mixed_lists, "s")
-    a = open_.select("s", "q", F.col("node").alias("a"), "n", "pos", F.col("root").alias("root_a"), *[F.col(p).alias(f"{p}_a") for p in PARITIES])
-    # The larger set of a pair is in the size class of the smaller one or in the next.
-    b = open_.select("s", F.explode(F.array("q", F.col("q") - 1)).alias("q"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("root_b"), *[F.col(p).alias(f"{p}_b") for p in PARITIES])
+    def led(leaders: DataFrame) -> DataFrame:
+        """(a, b) of the members that are linked with their leader."""
+        packs = fetched(leaders.select(F.explode(F.array("node", "leader")).alias("node")).distinct())
+        # Members meet their leader in groups of bounded size: a leader's row is repeated for each salt in use.
+        salts = leaders.groupBy("leader").agg(F.ceil(F.count("*") / 256).cast("bigint").alias("salts"))
+        members = leaders.join(salts, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"))
+        heads = salts.select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+        roles = saved(members.unionByName(heads), "roles")
+        grouped = packs.join(sent_if_small(roles), "node").repartition("leader", "salt")
+        grouped = grouped.sortWithinPartitions("leader", "salt", F.col("node") != F.col("leader")).select("leader", "salt", "node", "shingles")
+        return grouped.mapInArrow(lambda x: _with_leader(x, percent), "a bigint, b bigint")
+
+    links, placed = small_links, entries.withColumn("root", F.col("node"))
+    for turn in range(ROUNDS):
+        links = saved(links.unionByName(led(saved(_leaders(placed, turn, percent), "leaders"))), "links")
+        roots = components(links)
+        # What is left: lists of sets that are in different components so far.
+        placed = saved(placed.drop("root").join(roots, "node", "left").select("s", "node", "n", "own", F.coalesce("root", "node").alias("root")), "placed")
+        mixed_lists = placed.groupBy("s", "root").agg(F.count("*").alias("c")).groupBy("s")
+        mixed_lists = mixed_lists.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inside")).where("c * c > inside")
+        mixed_lists = saved(mixed_lists.select("s", "c", ((F.col("c") * F.col("c") - F.col("inside")) / 2).alias("rows")), "mixed")
+        left = mixed_lists.agg(F.sum("c").alias("c"), F.sum("rows").alias("rows")).first()
+        placed = placed.join(mixed_lists.select("s"), "s", "left_semi")
+        if not left.c or left.rows <= PAIRS_PER_ENTRY * left.c:
+            break
+    odd = sets.where("carrier").select(F.col("mark").alias("node"), *PARITIES)
+    placed = saved(placed.join(odd, "node"), "placed")
+    a = placed.where("own").select("s", F.col("node").alias("a"), "n", F.col("root").alias("root_a"), *[F.col(p).alias(f"{p}_a") for p in PARITIES])
+    b = placed.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), *[F.col(p).alias(f"{p}_b") for p in PARITIES])
     larger = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
-    near = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need
     apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
-    near = near & (apart <= F.col("n") + F.col("m") - 2 * need)
-    pairs = saved(_possible(a.join(b, ["s", "q"]).where(larger & near & (F.col("root_a") != F.col("root_b"))), percent).select("a", "b"), "pairs")
+    near = (F.col("n") >= need) & (apart <= F.col("n") + F.col("m") - 2 * need)
+    pairs = saved(a.join(b, "s").where(larger & near & (F.col("root_a") != F.col("root_b"))).select("a", "b").distinct(), "pairs")
     packs = fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     both = pairs.join(packs.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(packs.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     last_links = both.mapInArrow(lambda x: _pairs(x, percent), "a bigint, b bigint")
-    roots = components(first_links.unionByName(last_links))
+    roots = components(links.unionByName(last_links))
 
     # Back to documents: a component's name is its smallest key.
     least_key = sets.where("n > 0").groupBy("digest").agg(F.min("key").alias("least"))
