@@ -101,6 +101,38 @@ def test_parities_never_exceed_the_difference():
             assert apart <= len(np.setxor1d(a, b)) and apart % 2 == len(np.setxor1d(a, b)) % 2
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_list_a_common_part(percent):
+    rng = np.random.default_rng(percent)
+    draw = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
+    often = draw(60)
+    rank = rng.integers(1, 50, len(often))
+    for n in [1, 2, 5, 9, 10, 11, 40, 41, 150, 700] * 6:
+        a = np.unique(np.concatenate([draw(n), rng.choice(often, min(n, 30))]))
+        # Lose and gain shingles while the sets stay linked.
+        lost = 0
+        while True:
+            b = np.union1d(a[lost + 1 :], draw((lost + 1) * (n % 2)))
+            if not len(b) or not ngram_join.linked(a, b, percent):
+                break
+            lost += 1
+        b = np.union1d(a[lost:], draw(lost * (n % 2)))
+        if not ngram_join.linked(a, b, percent):
+            continue
+        small, large = sorted((a, b), key=len)
+        own = ngram_join._parts(small, often, rank, percent)[0]
+        assert np.isin(own, np.concatenate(ngram_join._parts(large, often, rank, percent))).any()
+
+
+def test_sets_with_a_tenth_in_common_do_not_meet():
+    rng = np.random.default_rng(1)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    shared = rng.integers(0, 2**64, 30, np.uint64, endpoint=False)
+    for _ in range(20):
+        a, b = (np.concatenate(ngram_join._parts(np.union1d(shared, rng.integers(0, 2**64, 270, np.uint64, endpoint=False)), *none, 90)) for _ in range(2))
+        assert not len(np.intersect1d(a, b))
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7), (1001, 1000)]
     roots = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
