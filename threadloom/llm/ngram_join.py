@@ -191,6 +191,9 @@ def _parts(s: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) ->
                 out.append(s[:0])
                 continue
             parts, listed = dealt(level, percent)
+            # The most shingles of a pair with this set; of a smaller class, its sets end before this one's.
+            both = len(s) + (len(s) * 100 // percent if level == q else _classes(percent)[q] - 1)
+            listed = min(listed, both * (100 - percent) // (100 + percent) + 1)
             part = ((m >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             starts = np.searchsorted(part[order], np.arange(parts))
