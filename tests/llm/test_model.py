@@ -157,3 +157,40 @@ def test_tables_of_weights():
     w, _, _ = tiny(4)
     back = lm.from_table(lm.table_of(w), w)
     assert all(np.allclose(a, b) and a.shape == b.shape for a, b in zip(w, back))
+
+
+def test_rows_of_a_place_are_added_in_order():
+    """The sums by place equal numpy's one by one additions bit for bit, for places that come once and often."""
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 40):
+        place = np.concatenate([np.arange(n), rng.integers(0, n, 60), np.zeros(25, int)])
+        values = rng.normal(size=(len(place), 5)).astype(np.float32)
+        want = np.zeros((n, 5), np.float32)
+        np.add.at(want, place, values)
+        assert np.array_equal(lm._summed_by(place, values, n), want)
+
+
+def test_classes_are_worked_on_together(monkeypatch):
+    """The scores of many classes are raised at once, with the same likelihoods and gradients as class after class."""
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            if name == "exp":
+                calls.append(name)
+            return getattr(np, name)
+
+    w, shape, _ = tiny(6, symbols=160, classes=40, size=3)
+    symbol = np.random.default_rng(9).integers(0, 160, 300)
+    h = np.random.default_rng(10).normal(0, 1, (300, 3))
+    runs = []
+    monkeypatch.setattr(lm, "np", Counted())
+    for together in (1 << 16, 0):
+        monkeypatch.setattr(lm, "TOGETHER", together, raising=False)
+        gradients = lm.Weights(*[np.zeros_like(x) for x in w])
+        del calls[:]
+        out, dh = lm.log_probabilities(w, shape, h, symbol, gradients)
+        runs.append((len(calls), out, dh, gradients))
+    assert runs[0][0] <= 6 and runs[1][0] > 40
+    assert np.array_equal(runs[0][1], runs[1][1]) and np.array_equal(runs[0][2], runs[1][2])
+    assert all(np.array_equal(a, b) for a, b in zip(runs[0][3], runs[1][3]))

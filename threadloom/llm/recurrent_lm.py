@@ -36,6 +36,12 @@ ROUNDS, RATE = 2, 0.08
 #: Words with at least N / FREQUENT or sqrt(N) / ROOTS of N occurrences, and at least 2, have symbols and travel to every task (at
 #: most FREQUENT or ROOTS * sqrt(N) of them, whichever is more); the rest are joined.
 FREQUENT, ROOTS = 50_000, 8
+#: In a window of training, symbols that come so often are added up one by one, rarer ones together.
+OFTEN = 8
+#: Scores of symbols that are worked on at once, some 256 KB of them.
+TOGETHER = 1 << 16
+#: Weights that are changed at once, so that they stay in the processor's cache.
+PART = 1 << 14
 #: Words counted together in a task, bytes of text scored together, and rows of weights sent together.
 CHUNK, PIECE, SENT = 2_000_000, 8 << 20, 4096
 #: The end mark takes a value that no word hash is left with.
@@ -88,57 +94,102 @@ def initial(counts: np.ndarray, shape: Layout, size: int = STATE, seed: int = 7)
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def halved(x: np.ndarray, n: int) -> np.ndarray:
+    """A copy with the columns of the gates halved, as step() takes them."""
+    x = x.copy()
+    x[..., : 2 * n] *= 0.5
+    return x
 
 
-def step(w: Weights, h: np.ndarray, previous: np.ndarray):
-    """One step of the gated unit for all lanes: the new state, and what backpropagation needs."""
+def step(x: np.ndarray, state: np.ndarray, h: np.ndarray):
+    """One step of the gated unit for all lanes: the new state, and what backpropagation needs.
+
+    `x` are the inputs' rows and `state` the weights of the state, both halved for the gates: they are 0.5 tanh(y / 2) + 0.5.
+    """
     n = h.shape[1]
-    x, g = w.inputs[previous], h @ w.state
-    gates = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-    z, r = gates[:, :n], gates[:, n:]
-    inner = g[:, 2 * n :]
+    g = h @ state
+    gates = np.tanh(x[:, : 2 * n] + g[:, : 2 * n])
+    gates *= 0.5
+    gates += 0.5
+    z, r, inner = gates[:, :n], gates[:, n:], g[:, 2 * n :]
     c = np.tanh(x[:, 2 * n :] + r * inner)
-    return c + z * (h - c), (z, r, inner, c)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    h = h - c
+    h *= z
+    h += c
+    return h, (z, r, inner, c)
 
 
 def log_probabilities(w: Weights, shape: Layout, h: np.ndarray, symbol: np.ndarray, gradients: Weights | None = None):
     """Natural log of P(symbol | state) per row; with `gradients`, they are added up and the gradient of h is returned too."""
     rows = np.arange(len(symbol))
-    group = shape.of[symbol]
-    lp = _log_softmax(h @ w.to_class + w.class_bias)
-    out = lp[rows, group]
-    dh = None
+    group, widths = shape.of[symbol], np.diff(shape.start)
+    x = h @ w.to_class
+    x += w.class_bias
+    x -= np.maximum.reduce(x, axis=1, keepdims=True)
+    total = np.log(np.add.reduce(np.exp(x), axis=1))
+    out = x[rows, group] - total
     if gradients is not None:
-        d = np.exp(lp)
+        x -= total[:, None]
+        d = np.exp(x, out=x)
         d[rows, group] -= 1
         dh = d @ w.to_class.T
         gradients.to_class[...] += h.T @ d
-        gradients.class_bias[...] += d.sum(axis=0)
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(len(shape.start)))
-    for k in np.unique(group):
-        mine = order[bounds[k] : bounds[k + 1]]
-        a, b = shape.start[k], shape.start[k + 1]
-        if b - a == 1:
-            continue
-        hk, inner = h[mine], symbol[mine] - a
-        lp = _log_softmax(hk @ w.to_symbol[:, a:b] + w.symbol_bias[a:b])
-        line = np.arange(len(mine))
-        out[mine] += lp[line, inner]
+        gradients.class_bias[...] += np.add.reduce(d, axis=0)
+    # Rows are brought in the order of their classes once.  What has to be done class by class is done there, the rest for
+    # the scores of several classes at once, which lie one after another.
+    chosen = np.flatnonzero(widths[group] > 1)
+    chosen = chosen[np.argsort(group[chosen], kind="stable")]
+    mine, states = group[chosen], h[chosen]
+    bounds = np.searchsorted(mine, np.arange(len(shape.start)))
+    ends = np.cumsum(widths[mine])
+    own = ends - widths[mine] + symbol[chosen] - shape.start[mine]
+    of_symbol, back = np.zeros(len(chosen), out.dtype), None if gradients is None else np.zeros_like(states)
+    for classes in _together(np.diff(bounds) * widths):
+        first, last = bounds[classes[0]], bounds[classes[-1] + 1]
+        at = ends[first] - widths[classes[0]]
+        x, total = np.empty(ends[last - 1] - at, out.dtype), np.empty(last - first, out.dtype)
+        parts = []
+        for k in classes:
+            (i, j), (a, b) = bounds[k : k + 2].tolist(), shape.start[k : k + 2].tolist()
+            end = int(ends[j - 1] - at)
+            of = slice(end - (j - i) * (b - a), end)
+            scores = x[of].reshape(j - i, b - a)
+            np.matmul(states[i:j], w.to_symbol[:, a:b], out=scores)
+            scores += w.symbol_bias[a:b]
+            scores -= np.maximum.reduce(scores, axis=1, keepdims=True)
+            parts.append((i, j, a, b, of, scores))
+        grown = np.exp(x)
+        for i, j, _, _, of, scores in parts:
+            np.add.reduce(grown[of].reshape(scores.shape), axis=1, out=total[i - first : j - first])
+        np.log(total, out=total)
+        of_symbol[first:last] = x[own[first:last] - at] - total
         if gradients is not None:
-            d = np.exp(lp)
-            d[line, inner] -= 1
-            dh[mine] += d @ w.to_symbol[:, a:b].T
-            gradients.to_symbol[:, a:b] += hk.T @ d
-            gradients.symbol_bias[a:b] += d.sum(axis=0)
-    return (out, dh) if gradients is not None else out
+            for i, j, _, _, _, scores in parts:
+                scores -= total[i - first : j - first, None]
+            np.exp(x, out=x)
+            x[own[first:last] - at] -= 1
+            for i, j, a, b, _, d in parts:
+                np.matmul(d, w.to_symbol[:, a:b].T, out=back[i:j])
+                gradients.to_symbol[:, a:b] += states[i:j].T @ d
+                gradients.symbol_bias[a:b] += np.add.reduce(d, axis=0)
+    out[chosen] += of_symbol
+    if gradients is None:
+        return out
+    dh[chosen] += back
+    return out, dh
+
+
+def _together(sizes: np.ndarray) -> Iterator[list[int]]:
+    """The numbers of the sizes above zero, in order, in runs of sizes that add up to about TOGETHER."""
+    run, held = [], 0
+    for k in np.flatnonzero(sizes).tolist():
+        if run and held + sizes[k] > TOGETHER:
+            yield run
+            run, held = [], 0
+        run.append(k)
+        held += sizes[k]
+    if run:
+        yield run
 
 
 class Lanes(NamedTuple):
@@ -150,6 +201,10 @@ class Lanes(NamedTuple):
     first: np.ndarray
     length: np.ndarray  # of each lane
 
+    def live(self) -> np.ndarray:
+        """How many lanes reach each step; they are the first ones."""
+        return np.searchsorted(-self.length, -np.arange(len(self.symbol)), "left")
+
 
 def pack(documents: list[np.ndarray], lanes: int, start: int) -> Lanes:
     """Put each document on the lane that is shortest so far, the longest document first."""
@@ -183,22 +238,49 @@ def score(w: Weights, shape: Layout, documents: list[np.ndarray], lanes: int = L
     if not documents:
         return total
     packed = pack(documents, lanes, len(w.inputs) - 1)
-    h = np.zeros((packed.symbol.shape[1], w.state.shape[0]), np.float32)
+    starts, live = packed.first.any(axis=1), packed.live()
+    n = w.state.shape[0]
+    inputs, state = halved(w.inputs, n), halved(w.state, n)
+    h = np.zeros((packed.symbol.shape[1], n), np.float32)
     for begin in range(0, len(packed.symbol), window):
-        states, symbols, owners = [], [], []
+        span = slice(begin, begin + window)
+        states = []
         for t in range(begin, min(begin + window, len(packed.symbol))):
-            live = int(np.searchsorted(-packed.length, -t, "left"))
-            h = h[:live]
-            h = np.where(packed.first[t, :live, None], np.float32(0), h)
-            h, _ = step(w, h, packed.previous[t, :live])
+            h = _begun(h[: live[t]], packed.first[t], starts[t])
+            h, _ = step(inputs[packed.previous[t, : live[t]]], state, h)
             states.append(h)
-            symbols.append(packed.symbol[t, :live])
-            owners.append(packed.document[t, :live])
-        lp = log_probabilities(w, shape, np.concatenate(states), np.concatenate(symbols))
-        total += np.bincount(np.concatenate(owners), lp, minlength=len(total))
+        there = np.arange(packed.symbol.shape[1]) < live[span, None]
+        lp = log_probabilities(w, shape, np.concatenate(states), packed.symbol[span][there])
+        total += np.bincount(packed.document[span][there], lp, minlength=len(total))
     return total
 
 
+def _begun(h: np.ndarray, first: np.ndarray, any_first: bool) -> np.ndarray:
+    """The states with those of lanes on which a document begins set to zero."""
+    return np.where(first[: len(h), None], np.float32(0), h) if any_first else h
+
+
+def _summed_by(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Row p of the result adds up the rows of `values` whose place is p < n, one after another; every place occurs."""
+    order = np.argsort(place, kind="stable")
+    begin = np.searchsorted(place[order], np.arange(n))
+    count = np.diff(begin, append=len(place))
+    by_count = np.argsort(-count, kind="stable")
+    begin, count = begin[by_count], count[by_count]
+    # Places that come often are summed on their own, the others together, the second row of each, the third and so on.
+    sums = values[order[begin]]
+    often = int(np.searchsorted(-count, -OFTEN))
+    for i, (b, c) in enumerate(zip(begin[:often].tolist(), count[:often].tolist(), strict=True)):
+        sums[i] = np.add.reduce(values[order[b : b + c]], axis=0)
+    for k in range(1, OFTEN):
+        some = int(np.searchsorted(-count, -k))
+        if some > often:
+            sums[often:some] += values[order[begin[often:some] + k]]
+    out = np.empty_like(sums)
+    out[by_count] = sums
+    return out
+
+
 def train(w: Weights, shape: Layout, documents: list[np.ndarray], lanes: int = TRAIN_LANES, window: int = TRAIN_WINDOW) -> Weights:
     """One pass of truncated backpropagation over the documents, with Adagrad; returns the new weights."""
     w = Weights(*[x.copy() for x in w])
@@ -206,50 +288,74 @@ def train(w: Weights, shape: Layout, documents: list[np.ndarray], lanes: int = T
     if not documents:
         return w
     packed = pack(documents, lanes, len(w.inputs) - 1)
+    starts, live = packed.first.any(axis=1), packed.live()
     g = Weights(*[np.zeros_like(x) for x in w])
+    scratch = np.empty((2, PART), w.state.dtype)
     used = np.zeros(0, np.int64)
-    n = w.state.shape[0]
-    h = np.zeros((packed.symbol.shape[1], n), np.float32)
+    n, width = w.state.shape[0], packed.symbol.shape[1]
+    # What the steps of a window leave for backpropagation, by step and lane.
+    before, after, z, r, inner, c = (np.zeros((window, width, n), w.state.dtype) for _ in range(6))
+    gates, inward = (np.zeros((window, width, 3 * n), w.state.dtype) for _ in range(2))
+    h = np.zeros((width, n), np.float32)
     for begin in range(0, len(packed.symbol), window):
-        steps = []
-        for t in range(begin, min(begin + window, len(packed.symbol))):
-            live = int(np.searchsorted(-packed.length, -t, "left"))
-            h = np.where(packed.first[t, :live, None], np.float32(0), h[:live])
-            new, kept = step(w, h, packed.previous[t, :live])
-            steps.append((t, h, new, kept))
-            h = new
+        span = slice(begin, begin + window)
+        lengths = live[span].tolist()
+        size = len(lengths)
+        x, state = halved(w.inputs[packed.previous[span]], n), halved(w.state, n)
+        for i, m in enumerate(lengths):
+            before[i, :m] = h = _begun(h[:m], packed.first[begin + i], starts[begin + i])
+            h, kept = step(x[i, :m], state, h)
+            after[i, :m], z[i, :m], r[i, :m], inner[i, :m], c[i, :m] = h, *kept
         g.inputs[used] = 0
-        for x in g[1:]:
-            x.fill(0)
-        symbols = np.concatenate([packed.symbol[t, : len(a)] for t, a, _, _ in steps])
-        _, dh = log_probabilities(w, shape, np.concatenate([s[2] for s in steps]), symbols, g)
-        ends = np.cumsum([len(s[1]) for s in steps])
+        for part in g[1:]:
+            part.fill(0)
+        there = np.arange(width) < live[span, None]
+        full = lengths[-1] == width
+        symbols = packed.symbol[span][there]
+        _, dh = log_probabilities(w, shape, after[:size].reshape(-1, n) if full else after[:size][there], symbols, g)
+        not_z, not_r, bent, apart = 1 - z, 1 - r, 1 - c * c, before - c
         carried = np.zeros((0, n), np.float32)
-        pushed, sources = [], []
-        for (t, before, _, (z, r, inner, c)), end in zip(reversed(steps), reversed(ends), strict=True):
-            live = len(before)
-            d = dh[end - live : end]
+        end = len(symbols)
+        # The steps of a window are kept from the last to the first, the order in which their gradients are added.
+        for i in range(size - 1, -1, -1):
+            m, k = lengths[i], size - 1 - i
+            d = dh[end - m : end]
+            end -= m
             d[: len(carried)] += carried
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dr = dc * inner * r * (1 - r)
-            gates = np.concatenate([dz, dr, dc], axis=1)
-            inward = np.concatenate([dz, dr, dc * r], axis=1)
-            g.state[...] += before.T @ inward
-            pushed.append(gates)
-            sources.append(packed.previous[t, :live])
-            carried = np.where(packed.first[t, :live, None], np.float32(0), d * z + inward @ w.state.T)
-        used, place = np.unique(np.concatenate(sources), return_inverse=True)
-        rows = np.zeros((len(used), 3 * n), g.inputs.dtype)
-        np.add.at(rows, place, np.concatenate(pushed))
+            dz, dr, dc = gates[k, :m, :n], gates[k, :m, n : 2 * n], gates[k, :m, 2 * n :]
+            np.multiply(d, not_z[i, :m], out=dc)
+            dc *= bent[i, :m]
+            np.multiply(d, apart[i, :m], out=dz)
+            dz *= z[i, :m]
+            dz *= not_z[i, :m]
+            np.multiply(dc, inner[i, :m], out=dr)
+            dr *= r[i, :m]
+            dr *= not_r[i, :m]
+            into = inward[k, :m]
+            into[:, : 2 * n] = gates[k, :m, : 2 * n]
+            np.multiply(dc, r[i, :m], out=into[:, 2 * n :])
+            g.state[...] += before[i, :m].T @ into
+            d *= z[i, :m]
+            d += into @ w.state.T
+            carried = _begun(d, packed.first[begin + i], starts[begin + i])
+        there = there[::-1]
+        used, place = np.unique(packed.previous[span][::-1][there], return_inverse=True)
+        rows = _summed_by(place, gates[:size].reshape(-1, 3 * n) if full else gates[:size][there], len(used))
         scale = np.sqrt(len(symbols))
         g.inputs[used] = rows = rows / scale
         squares[0][used] += rows * rows
         w.inputs[used] -= RATE * rows / np.sqrt(squares[0][used])
-        for x, dx, s in zip(w[1:], g[1:], squares[1:], strict=True):
-            dx /= scale
-            s += dx * dx
-            x -= RATE * dx / np.sqrt(s)
+        # Dividing by a power of two is exact in every width, and fastest in that of the weights.
+        exact = math.frexp(scale)[0] == 0.5
+        for whole in zip(w[1:], g[1:], squares[1:], strict=True):
+            for at in range(0, whole[0].size, PART):
+                x, dx, s = (y.reshape(-1)[at : at + PART] for y in whole)
+                moved, root = scratch[:, : len(x)]
+                dx /= dx.dtype.type(scale) if exact else scale
+                s += np.multiply(dx, dx, out=moved)
+                np.multiply(dx, RATE, out=moved)
+                moved /= np.sqrt(s, out=root)
+                x -= moved
     return w
 
 
