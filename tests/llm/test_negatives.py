@@ -89,3 +89,40 @@ def test_searches_stop_early(spark, small):
 def test_the_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding").collect()]
     assert found(spark, rows) == brute(rows)
+
+
+def test_dealt_cells_are_one_row_per_anchor(spark, small):
+    """A round holds some anchors at a time and one row for each, however many cells it deals them; all cells are dealt once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 2, rng.normal(size=6).tolist()) for i in range(400)]
+    index = H.Index(H.saved(H.vectors(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")), "vectors"))
+    window = pa.list_(pa.struct([("no", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]))
+    asked = pa.RecordBatch.from_pylist(
+        [{"anchor_id": i, "label": 0, "v": [math.floor(256 * x) for x in v], "windows": [{"no": 0, "lo": -(1 << 62), "hi": 1 << 62}]} for i, _, v in rows],
+        pa.schema([("anchor_id", pa.int64()), ("label", pa.int32()), ("v", pa.list_(pa.int32())), ("windows", window)]),
+    )
+    there = np.flatnonzero(index.count).tolist()
+    got = [b for done, batch in ((0, 5), (5, 1000)) for b in H._dealer(index, done, batch)([asked])]
+    assert max(b.num_rows for b in got) <= H.ANCHORS_AT_ONCE < 400
+    dealt = {}
+    for b in got:
+        for r in b.to_pylist():
+            dealt.setdefault(r["anchor_id"], []).extend(r["cells"])
+    assert len(there) > 20 and sorted(dealt) == list(range(400)) and all(sorted(c) == there for c in dealt.values())
+
+
+def test_blocks_hold_every_row_once(spark, small):
+    """Small cells share a block, a large one is several; rows of a block are sorted by cell."""
+    from threadloom.functions.blocks import rows_of
+
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 2, [0.5, 0.25] if i < 200 else rng.normal(size=2).tolist()) for i in range(400)]
+    index = H.Index(H.saved(H.vectors(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")), "vectors"))
+    import pyarrow as pa
+
+    blocks = [rows_of(pa.scalar(bytes(r.block))) for r in index.blocks.collect()]
+    assert sorted(i for b in blocks for i in b.column("vec_id").to_pylist()) == list(range(400))
+    assert max(b.num_rows for b in blocks) <= 2 * H.TILE_ROWS and len({r.no for r in index.blocks.collect()}) == len(blocks)
+    assert all(b.column("cell").to_pylist() == sorted(b.column("cell").to_pylist()) and len(set(b.column("group").to_pylist())) == 1 for b in blocks)

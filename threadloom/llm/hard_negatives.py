@@ -7,10 +7,11 @@ A search asks for windows of scores; a window is certified, and its search stops
 what could still enter it: below its k-th best row so far, or below its lower end.  Nothing is approximate: the codebooks
 decide how early a search stops and never what it finds.
 
-Rounds run as Spark jobs.  Each round deals out the next cells of every open anchor, four times as many as before.  Rows of a
-cell and the anchors that visit it meet in tiles: the rows are dealt into as many parts as their number asks for, and so are
-the anchors, so that a cell with a third of all rows (or a vector that everyone has) is many tasks.  A tile is one matrix
-product and passes on the k best of each window.  Every round is written to the shared folder.
+Rounds run as Spark jobs.  Each round deals out the next cells of every open anchor, four times as many as before.  Rows lie in
+blocks by cell, written once: small cells share a block, and a cell with a third of all rows (or a vector that everyone has) is
+many blocks.  Anchors lie in blocks with the cells dealt to them.  All pairs of blocks meet (functions/blocks.py); a task holds a
+block of anchors, scores the rows of the cells that they visit in matrix products, and keeps the k best of each window.  So a
+round writes one row per anchor, not one per anchor and cell.  Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.blocks import Pairs, in_pairs, packed, rows_of
 from threadloom.session import saved
 
 #: The codebooks are fitted on at most so many rows, those of least hash of the id.  All rows are indexed.
@@ -31,9 +33,12 @@ SAMPLE_ROWS = 16_384
 CELL_ROWS = 256
 MOST_CODES = 256
 FIT_ROUNDS = 12
-#: A tile has about so many rows and so many anchors.
+#: A tile has about so many rows and at most so many anchors; anchors and cells of a block have MARKS pairs at most.
 TILE_ROWS = 8_192
 TILE_ANCHORS = 2_048
+MARKS = 1 << 25
+#: Anchors whose cells are dealt, or whose scores are formed, at once.
+ANCHORS_AT_ONCE = 256
 FIRST_CELLS = 16
 #: Components floor(256 x) saturate here, so that a score of up to 2,048 of them fits a long.
 LARGEST = 1 << 26
@@ -93,7 +98,7 @@ def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Index:
-    """rows(vec_id, label, v, c1, c2) in the shared folder; codebooks, radii and row counts of the cells (bounded by MOST_CODES)."""
+    """Blocks of rows(vec_id, label, v, cell) in the shared folder; codebooks, radii and row counts of the cells (bounded by MOST_CODES)."""
 
     def __init__(self, rows: DataFrame):
         facts = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
@@ -113,17 +118,45 @@ class Index:
                 made = [pa.array(c, t) for c, t in ((c1, pa.int32()), (c2, pa.int32()), (d1, pa.float64()), (d2, pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "c1", "c2", "d1", "d2"])
 
-        self.rows = saved(rows.mapInArrow(assign, "vec_id bigint, label int, v array<int>, c1 int, c2 int, d1 double, d2 double"), "cells")
+        dealt = saved(rows.mapInArrow(assign, "vec_id bigint, label int, v array<int>, c1 int, c2 int, d1 double, d2 double"), "cells")
         self.books, self.radii = books, []
         for book, code, far in ((books[0], "c1", "d1"), (books[1], "c2", "d2")):
             radius = np.zeros(len(book))
-            for r in self.rows.groupBy(code).agg(F.max(far).alias("r")).toLocalIterator():
+            for r in dealt.groupBy(code).agg(F.max(far).alias("r")).toLocalIterator():
                 radius[r[code]] = r["r"]
             self.radii.append(radius)
         self.count = np.zeros((len(books[0]), len(books[1])), np.int64)
-        for r in self.rows.groupBy("c1", "c2").count().toLocalIterator():
+        for r in dealt.groupBy("c1", "c2").count().toLocalIterator():
             self.count[r["c1"], r["c2"]] = r["count"]
 
+        self.blocks = packed(self._in_groups(dealt), "blocks", 2 * TILE_ROWS, "group")
+
+    def _in_groups(self, dealt: DataFrame) -> DataFrame:
+        """The rows by group: neighbouring cells of about TILE_ROWS rows together, or a part of a larger cell."""
+        group, parts = np.zeros(self.count.size, np.int64), -(-self.count.ravel() // TILE_ROWS)
+        number = held = 0
+        for cell in np.flatnonzero(parts).tolist():
+            n = int(self.count.flat[cell])
+            if held and held + n > TILE_ROWS:
+                number, held = number + 1, 0
+            group[cell] = number
+            if n > TILE_ROWS:
+                number += int(parts[cell])
+            else:
+                held += n
+        codes = self.count.shape[1]
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cell = b.column("c1").to_numpy().astype(np.int64) * codes + b.column("c2").to_numpy()
+                part = b.column("hash").to_numpy() % np.maximum(parts[cell], 1)
+                columns = [b.column(c) for c in ("vec_id", "label", "v")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell.astype(np.int32)), pa.array(group[cell] + part)], ["vec_id", "label", "v", "cell", "group"])
+
+        hashed = dealt.select("vec_id", "label", "v", "c1", "c2", F.xxhash64("vec_id").alias("hash"))
+        placed = hashed.mapInArrow(place, "vec_id bigint, label int, v array<int>, cell int, group bigint")
+        return placed.repartition("group").sortWithinPartitions("group", "cell")
+
 
 def visits(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> Iterator[tuple[float, int, int]]:
     """Non-empty cells by falling sum of the bounds of their halves: (bound, code of half 1, code of half 2)."""
@@ -144,34 +177,37 @@ def visits(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> Iterator
 
 
 def _dealer(index: Index, done: int, batch: int):
-    """Cells number `done` up to `done + batch` of every anchor that has an uncertified window left."""
+    """Cells number `done` up to `done + batch` of every anchor that has an uncertified window left, one row per anchor."""
     dim, cut, books, radii, count = index.dim, index.cut, index.books, index.radii, index.count
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, ANCHORS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ANCHORS_AT_ONCE)):
             q = _padded(b.column("v"), dim)
-            open_windows = b.column("windows").to_pylist()
+            windows = b.column("windows").to_pylist()
             halves = []
             for x, book, radius in ((q[:, :cut], books[0], radii[0]), (q[:, cut:], books[1], radii[1])):
                 size = np.sqrt((x * x).sum(axis=1))[:, None]
                 reach = np.sqrt((book * book).sum(axis=1))[None, :] + radius
                 # The last terms cover rounding: scores are whole numbers, bounds are not.
                 halves.append(x @ book.T + size * radius + 0.5 + 1e-9 * size * reach)
-            owner, c1, c2, left = [], [], [], []
+            owner, cells, left = [], [], []
             for i in range(len(q)):
+                least = min((w["lo"] for w in windows[i]), default=np.inf)
+                mine, at_first = [], 0
                 for k, (bound, x, y) in enumerate(visits(halves[0][i], halves[1][i], count)):
-                    windows = [w for w in open_windows[i] if w["lo"] <= bound]
-                    if k == done + batch or not windows:
+                    if k == done + batch or least > bound:
                         break
                     if k >= done:
-                        owner.append(i)
-                        c1.append(x)
-                        c2.append(y)
-                        left.append(windows)
+                        at_first = at_first if mine else bound
+                        mine.append(x * count.shape[1] + y)
+                if mine:
+                    owner.append(i)
+                    cells.append(mine)
+                    # A window that is certified at the first of these cells is so at the others.
+                    left.append([w for w in windows[i] if w["lo"] <= at_first])
             kept = b.take(pa.array(owner, pa.int64()))
-            windows = pa.array(left, b.schema.field("windows").type)
-            columns = [kept.column("anchor_id"), kept.column("label"), kept.column("v"), windows, pa.array(c1, pa.int32()), pa.array(c2, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor_id", "label", "v", "windows", "c1", "c2"])
+            columns = [kept.column("anchor_id"), kept.column("label"), kept.column("v"), pa.array(left, b.schema.field("windows").type), pa.array(cells, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor_id", "label", "v", "windows", "cells"])
 
     return deal
 
@@ -184,32 +220,98 @@ def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
-def _tile(dim: int, k: int, same_label: bool):
-    """The k best rows of every window of every anchor of one tile, ties to the smaller id."""
-
-    def meet(anchors: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
-        if anchors.num_rows and rows.num_rows:
-            rows = rows.sort_by("vec_id")
-            ids, labels = rows.column("vec_id").to_numpy(), rows.column("label").to_numpy()
-            x = _padded(rows.column("v"), dim)
-            for start in range(0, anchors.num_rows, 256):
-                part = anchors.slice(start, 256)
-                scores = _product(_padded(part.column("v"), dim), x)
-                a_ids, a_labels = part.column("anchor_id").to_numpy(), part.column("label").to_numpy()
-                fit = (labels[None, :] == a_labels[:, None]) == same_label
-                fit &= ids[None, :] != a_ids[:, None]
-                for i, windows in enumerate(part.column("windows").to_pylist()):
-                    for w in windows:
-                        at = np.flatnonzero(fit[i] & (scores[i] >= w["lo"]) & (scores[i] <= w["hi"]))
+class _Asking:
+    """A block of anchors: which cells each visits, its windows, and the best rows of them so far."""
+
+    def __init__(self, block: pa.Table, dim: int, cells: int):
+        block = block.combine_chunks()
+        self.ids, self.labels = block.column("anchor_id").to_numpy(), block.column("label").to_numpy()
+        self.q = _padded(block.column("v"), dim)
+        visited = block.column("cells").combine_chunks()
+        self.visits = np.zeros((len(self.ids), cells), bool)
+        self.visits[np.repeat(np.arange(len(self.ids)), visited.value_lengths().to_numpy()), visited.flatten().to_numpy()] = True
+        windows = block.column("windows").combine_chunks()
+        sizes = windows.value_lengths().to_numpy()
+        self.first = np.append(0, np.cumsum(sizes))  # the windows of anchor i are first[i] up to first[i + 1]
+        self.owner = np.repeat(np.arange(len(self.ids)), sizes)
+        each = windows.flatten()
+        self.no, self.lo, self.hi = (each.field(c).to_numpy().copy() for c in ("no", "lo", "hi"))
+        self.best = [np.zeros(0, np.int64) for _ in range(3)]  # window, row, score
+
+    def take(self, window: list[np.ndarray], row: list[np.ndarray], score: list[np.ndarray], k: int) -> None:
+        """The k best of each window of what it had and what comes, ties to the smaller id."""
+        w, r, s = (np.concatenate([old, *new]) for old, new in zip(self.best, (window, row, score), strict=True))
+        order = np.lexsort((r, -s, w))
+        w, r, s = w[order], r[order], s[order]
+        begin = np.flatnonzero(np.diff(w, prepend=-1))
+        rank = np.arange(len(w)) - np.repeat(begin, np.diff(begin, append=len(w)))
+        self.best = [x[rank < k] for x in (w, r, s)]
+        last = rank == k - 1
+        self.lo[w[last]] = np.maximum(self.lo[w[last]], s[last])
+
+
+#: Below all scores.
+NOTHING = -(1 << 63)
+
+
+def _scores(q: np.ndarray, x: np.ndarray, visits: np.ndarray, spans: list[slice]) -> np.ndarray:
+    """Scores of rows by anchors, NOTHING where an anchor does not visit the row's cell; cells are stretches of the rows."""
+    if visits.mean() > 0.5:
+        out = _product(q, x)
+        for span, there in zip(spans, visits.T, strict=True):
+            if not there.all():
+                out[~there, span] = NOTHING
+        return out
+    out = np.full((len(q), len(x)), NOTHING)
+    for span, there in zip(spans, visits.T, strict=True):
+        if there.any():
+            out[there, span] = _product(q[there], x[span])
+    return out
+
+
+def _tiles(dim: int, cells: int, k: int, same_label: bool):
+    """The k best rows of every window of the anchors that a task holds, among the rows that come by and lie in visited cells."""
+
+    def meet(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+        asking: dict[int, _Asking] = {}
+        held = None
+        for a_no, a, b_no, b in pairs:
+            if b_no not in asking:
+                asking[b_no] = _Asking(rows_of(b), dim, cells)
+            if a_no != held:
+                rows, held = rows_of(a), a_no
+                ids, labels, cell = (rows.column(c).to_numpy() for c in ("vec_id", "label", "cell"))
+                x = _padded(rows.column("v"), dim)
+                cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+                spans = [slice(i, j) for i, j in zip(cuts, cuts[1:])]
+            anchors = asking[b_no]
+            visits = anchors.visits[:, cell[cuts[:-1]]]
+            coming = np.flatnonzero(visits.any(axis=1))
+            window, row, score = [], [], []
+            for start in range(0, len(coming), ANCHORS_AT_ONCE):
+                some = coming[start : start + ANCHORS_AT_ONCE]
+                scores = _scores(anchors.q[some], x, visits[some], spans)
+                fit = (labels[None, :] == anchors.labels[some, None]) == same_label
+                fit &= ids[None, :] != anchors.ids[some, None]
+                scores[~fit] = NOTHING
+                most = scores.max(axis=1)
+                for i, anchor in enumerate(some.tolist()):
+                    for w in range(anchors.first[anchor], anchors.first[anchor + 1]):
+                        if most[i] < anchors.lo[w] or most[i] == NOTHING:
+                            continue
+                        at = np.flatnonzero((scores[i] >= anchors.lo[w]) & (scores[i] <= anchors.hi[w]) & (scores[i] > NOTHING))
                         if len(at) > k:
                             least = np.partition(scores[i, at], len(at) - k)[len(at) - k]
                             at = at[scores[i, at] >= least]
-                        # Stable on rows sorted by id, so ties keep the order of the ids.
-                        at = at[np.argsort(-scores[i, at], kind="stable")][:k]
-                        out += [(a_ids[i], w["no"], ids[j], scores[i, j]) for j in at]
-        columns = zip(*out) if out else [[]] * 4
-        return pa.table([pa.array(list(map(int, c)), pa.int64()) for c in columns], names=["anchor_id", "no", "vec_id", "score"])
+                            at = at[np.lexsort((ids[at], -scores[i, at]))][:k]
+                        window.append(np.full(len(at), w))
+                        row.append(ids[at])
+                        score.append(scores[i, at])
+            if window:
+                anchors.take(window, row, score, k)
+        for anchors in asking.values():
+            w, row, score = anchors.best
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (anchors.ids[anchors.owner[w]], anchors.no[w], row, score)], ["anchor_id", "no", "vec_id", "score"])
 
     return meet
 
@@ -222,31 +324,19 @@ def window_search(index: Index, anchors: DataFrame, windows: DataFrame, k: int,
     spark = anchors.sparkSession
     best = spark.createDataFrame([], "anchor_id bigint, no bigint, vec_id bigint, score bigint, rank int")
     order = Window.partitionBy("anchor_id", "no").orderBy(F.desc("score"), F.asc("vec_id"))
-    cells = [(int(x), int(y), int(n)) for (x, y), n in np.ndenumerate(index.count) if n]
-    if not cells:
-        return best
-    # At most MOST_CODES squared rows: sent to every task.
-    parts = F.broadcast(spark.createDataFrame([(x, y, -(-n // TILE_ROWS)) for x, y, n in cells], "c1 int, c2 int, parts bigint"))
+    cells = int(np.count_nonzero(index.count))
+    size = max(1, min(TILE_ANCHORS, MARKS // max(1, index.count.size)))
     done, batch = 0, FIRST_CELLS
-    while done < len(cells):
+    while done < cells:
         full = best.where(F.col("rank") == k).select("anchor_id", "no", F.col("score").alias("least"))
         narrowed = windows.join(full, ["anchor_id", "no"], "left").withColumn("lo", F.greatest("lo", "least"))
         asked = narrowed.groupBy("anchor_id").agg(F.collect_list(F.struct("no", "lo", "hi")).alias("windows"))
-        schema = "anchor_id bigint, label int, v array<int>, windows array<struct<no:bigint,lo:bigint,hi:bigint>>, c1 int, c2 int"
-        probes = saved(anchors.join(asked, "anchor_id").select("anchor_id", "label", "v", "windows").mapInArrow(_dealer(index, done, batch), schema), "probes")
-        crowds = probes.groupBy("c1", "c2").agg(F.ceil(F.count("*") / TILE_ANCHORS).alias("blocks"))
-        if crowds.isEmpty():
+        schema = "anchor_id bigint, label int, v array<int>, windows array<struct<no:bigint,lo:bigint,hi:bigint>>, cells array<int>"
+        dealt = anchors.join(asked, "anchor_id").select("anchor_id", "label", "v", "windows").mapInArrow(_dealer(index, done, batch), schema)
+        probes = packed(dealt, "probes", size)
+        if probes.isEmpty():
             break
-        crowds = F.broadcast(saved(crowds, "crowds"))
-        tile = ["c1", "c2", "part", "block"]
-        left = probes.join(parts, ["c1", "c2"]).join(crowds, ["c1", "c2"])
-        left = left.withColumn("block", F.pmod(F.xxhash64("anchor_id"), F.col("blocks"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        right = index.rows.join(parts, ["c1", "c2"]).join(crowds, ["c1", "c2"])
-        right = right.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        left, right = left.select(*tile, "anchor_id", "label", "v", "windows"), right.select(*tile, "vec_id", "label", "v")
-        found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
-            _tile(index.dim, k, same_label), "anchor_id bigint, no bigint, vec_id bigint, score bigint"
-        )
+        found = in_pairs(index.blocks, probes, _tiles(index.dim, index.count.size, k, same_label), "anchor_id bigint, no bigint, vec_id bigint, score bigint")
         both = best.drop("rank").unionByName(found)
         best = saved(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
         done, batch = done + batch, batch * 4
