@@ -185,3 +185,72 @@ def test_scores_are_added_where_a_document_is(spark, monkeypatch, sent):
     n = len(tokens(docs["d003"]))
     assert all(posts[w, "d003", n] == 2 * tokens(docs["d003"]).count(w) for w in tokens(docs["d003"]))
     assert posts["w1", "d004", 2] == 2 and posts["w2", None, 1] == 1 and posts["w2", None, 3] == 2
+
+
+def test_documents_are_not_copied_for_each_block_of_queries(spark, monkeypatch):
+    """Blocks meet without a shuffle of the rows: nothing is exploded, and each row is written in one block."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    d = spark.createDataFrame(rows, "id bigint, vector array<float>")
+    for name in ("TILE_DOCUMENTS", "QUERY_BLOCK"):
+        monkeypatch.setattr(S, name, 7)
+    kept = []
+    packed = S.blocks.packed
+    monkeypatch.setattr(S.blocks, "packed", lambda *a, **b: kept.append(packed(*a, **b)) or kept[-1])
+    found = S.vector_top_k(d, d.withColumnRenamed("id", "query_id"), 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "CoGroup" not in plan
+    for blocks in kept:
+        assert blocks.agg({"rows": "sum"}).first()[0] == 60 and blocks.agg({"rows": "max"}).first()[0] <= 7
+    unit = np.array([v for _, v in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    best = np.argsort(-(unit @ unit.T), axis=1)[:, :3]
+    assert {(r.query_id, r.rank): r.id for r in found.collect()} == {(q, n): str(i) for q, ids in enumerate(best) for n, i in enumerate(ids, 1)}
+
+
+def test_blocks_of_small_partitions_are_put_together(spark):
+    import pyarrow as pa
+
+    from threadloom.functions import blocks
+
+    got = blocks.packed(spark.range(500).repartition(60), "blocks", 100)
+    assert got.count() <= 20
+    rows = [r for b in got.collect() for r in blocks.rows_of(pa.scalar(bytes(b.block))).column("id").to_pylist()]
+    assert sorted(rows) == list(range(500))
+    sorted_rows = spark.range(300).selectExpr("id", "id DIV 30 AS g").coalesce(1).sortWithinPartitions("g")
+    groups = [blocks.rows_of(pa.scalar(bytes(b.block))).column("g").to_pylist() for b in blocks.packed(sorted_rows, "blocks", 20, "g").collect()]
+    assert sorted((g[0], len(g)) for g in groups) == sorted((g, n) for g in range(10) for n in (20, 10)) and all(len(set(g)) == 1 for g in groups)
+
+
+@pytest.mark.parametrize("mode", ["vector", "semantic", "hybrid"])
+def test_ties_copies_and_odd_vectors(spark, monkeypatch, mode):
+    """The prefilter in short numbers loses no pair: copies, near copies, zero and negative vectors, ids that repeat, against plain loops."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=6)
+    vectors = [base, base, -base, base * (1 + 1e-7), np.zeros(6), *(base + rng.normal(size=6) * 10.0**-e for e in range(8)), *rng.normal(size=(20, 6)), *np.eye(6), rng.normal(size=3)]
+    docs = [(f"d{i % 30}", v.tolist(), ["a"], float(i % 5)) for i, v in enumerate(vectors)] + [("none", None, [], 1.0), ("none", [], [], 1.0)]
+    queries = [(i % 20, v.tolist(), ["a"]) for i, v in enumerate(vectors)] + [(None, base.tolist(), ["b"])]
+    for name, value in (("TILE_DOCUMENTS", 5), ("QUERY_BLOCK", 4), ("MERGED", 1)):
+        monkeypatch.setattr(S, name, value)
+    d = spark.createDataFrame(docs, "id string, vector array<double>, tokens array<string>, age_days double")
+    q = spark.createDataFrame(queries, "query_id bigint, vector array<double>, tokens array<string>")
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+
+    want = {}
+    for qid, qv, qt in queries:
+        for i, v, t, age in docs:
+            if mode == "semantic" and not v:
+                continue
+            c, word = cosine(qv, v), len({*qt} & {*t}) / len({*qt} | {*t})
+            s = c if mode != "hybrid" else S.KEYWORD_WEIGHT * word + S.SEMANTIC_WEIGHT * c if qv and v else word
+            want.setdefault(qid, []).append((-round(s * 0.5 ** (age / 30.0), 6) + 0.0, i))
+    got = {}
+    for r in S._score(d, q, mode, 6, None, 30.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.id))
+    assert got.keys() == want.keys()
+    for qid, rows in got.items():
+        assert [(-s + 0.0, i) for _, s, i in sorted(rows)] == [(pytest.approx(s, abs=2e-6), i) for s, i in sorted(want[qid])[:6]]

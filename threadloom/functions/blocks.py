@@ -21,6 +21,8 @@ from threadloom.session import shared_folder
 #: Bytes of a block at most, beyond its first row, and blocks of a file at most.
 BLOCK_BYTES = 4 << 20
 FILE_BLOCKS = 8
+SCHEMA = "no bigint, rows bigint, bytes bigint, block binary"
+SCHEMA_NAMES = ["no", "rows", "bytes", "block"]
 #: Tasks for each core that pairs of blocks are dealt to, as far as there are blocks.
 TASKS = 3
 
@@ -34,7 +36,8 @@ def _packer(size: int, by: str | None) -> Callable[[Iterator[pa.RecordBatch]], I
             table, sink = pa.Table.from_batches(held).combine_chunks(), pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as stream:
                 stream.write_table(table)
-            return pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["no", "block"])
+            body = sink.getvalue().to_pybytes()
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (no, count, len(body))), pa.array([body], pa.binary())], SCHEMA_NAMES)
 
         for batch in batches:
             n = batch.num_rows
@@ -58,15 +61,31 @@ def _packer(size: int, by: str | None) -> Callable[[Iterator[pa.RecordBatch]], I
     return pack
 
 
+def _written(blocks: DataFrame, purpose: str) -> DataFrame:
+    spark, path = blocks.sparkSession, shared_folder(blocks.sparkSession, purpose)
+    blocks.write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(path)
+    return spark.read.schema(blocks.schema).parquet(path)
+
+
 def packed(rows: DataFrame, purpose: str, size: int, by: str | None = None) -> DataFrame:
-    """(no, block): the rows of each partition in blocks of at most `size` rows, written once.
+    """Blocks (no, rows, bytes, block): the rows of each partition, at most `size` in a block, written once.
 
-    With `by`, a column of numbers by which partitions are sorted, a block holds rows of one value.
+    With `by`, a column of numbers by which partitions are sorted, a block holds rows of one value.  Without it, the blocks of many
+    small partitions are put together and written again.
     """
-    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, purpose)
-    blocks = rows.mapInArrow(_packer(size, by), "no bigint, block binary")
-    blocks.write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(path)
-    return spark.read.schema(blocks.schema).parquet(path)
+    pack = _packer(size, by)
+    blocks = _written(rows.mapInArrow(pack, SCHEMA), purpose)
+    if by:
+        return blocks
+    there = blocks.agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    fewest = max(-(-(there["rows"] or 0) // size), -(-(there["bytes"] or 0) // BLOCK_BYTES), 1)
+    if there["n"] <= 2 * fewest + 8:
+        return blocks
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pack(b for batch in batches for block in batch.column("block") for b in rows_of(block).to_batches())
+
+    return _written(blocks.coalesce(fewest).mapInArrow(again, SCHEMA), purpose)
 
 
 def rows_of(block: pa.Scalar) -> pa.Table:

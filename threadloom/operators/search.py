@@ -3,9 +3,9 @@
 The index is three tables: postings(token, id, length, tf), lengths(id, length) and vocabulary(token, df).  They are ordinary
 DataFrames: build them once, write them, and join any number of query batches to them.
 
-Scoring of vectors is brute force by definition (every document gets a score).  Documents are dealt into buckets and queries
-into blocks; a (bucket, block) tile is one task's matrix product and passes on its best k per query.  Nothing travels through
-the driver.
+Scoring of vectors is brute force by definition (every document gets a score).  Documents and queries are written once in blocks
+and all pairs of blocks meet without a shuffle (functions/blocks.py): a task streams documents past a block of queries and keeps
+the best k of each.  Nothing travels through the driver.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions import ordered
+from threadloom.functions import blocks, ordered
 from threadloom.functions import text as T
 from threadloom.functions.barrier import once
+from threadloom.functions.blocks import Pairs
 from threadloom.functions.copies import by_repetition, value_counts
 from threadloom.session import saved
 
@@ -32,11 +33,13 @@ SEMANTIC_WEIGHT = 0.6
 RECALL_HALF_LIFE = 30.0
 RECALL_MIN_SCORE = 0.01
 RECALL_RESULTS = 20
-QUERY_BLOCK = 1024
-#: A tile of the block-nested join has about QUERY_BLOCK queries and so many documents; answers of MERGED tiles are merged at once.
-TILE_DOCUMENTS = 2048
-MERGED = 256
+#: Queries and documents of a block at most, and documents and scores that are worked on at once.
+QUERY_BLOCK = 4096
+TILE_DOCUMENTS = 4096
 SLICE_ROWS = 1024
+SLICE_SCORES = 1 << 20
+#: What tiles found is merged when a query has got so many rows on average beyond its best k.
+MERGED = 256
 #: The asked tokens of a batch of queries are sent to all tasks up to this number; beyond it their joins shuffle.
 SENT_TOKENS = 200_000
 
@@ -195,26 +198,64 @@ def _rounded(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6 + 0.0
 
 
-def _best_of_batches(
-    batches: Iterator[pa.RecordBatch], block: dict, mode: str, k: int, minimum: float | None, half_life: float
-) -> Iterator[pa.RecordBatch]:
-    """Score Arrow batches of documents against one block of queries; emit rows that may be among the best k."""
+def _nearby(part: pa.Table, recency: np.ndarray, block: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, queries and similarity of the pairs that may be among the best k by similarity times recency.
+
+    Products in short numbers exclude most pairs; their error is below `margin`, because vectors have length 1.
+    """
+    shape = part.num_rows, len(block["ids"])
+    near = np.zeros(shape, np.float32) if [len(places) for places, _, _ in block["by_length"]] != [shape[1]] else None
+    units, margin = {}, 2e-6
+    for places, unit, short in block["by_length"]:
+        dim = unit.shape[1]
+        units[dim] = _matrix(part.column("vector"), dim)
+        product = units[dim].astype(np.float32) @ short.T
+        if near is None:
+            near = product
+        else:
+            near[:, places] = product
+        margin = max(margin, 2e-6 + 2.0**-22 * (dim + 8))
+    if (recency != 1).any():
+        near *= recency[:, None].astype(np.float32)
+    if not block["seen"] and part.num_rows >= k:
+        reached = np.partition(np.where(np.isnan(near), np.float32(-np.inf), near), part.num_rows - k, axis=0)[part.num_rows - k]
+        block["floor"] = np.maximum(block["floor"], _rounded(reached.astype(np.float64) - margin))
+    block["seen"] = True
+    # Flat, because numpy looks through one dimension much faster than through two.
+    rows, cols = np.divmod(np.flatnonzero(near >= (block["floor"] - margin).astype(np.float32)), shape[1])
+    exact = np.zeros(len(rows))
+    for places, unit, _ in block["by_length"]:
+        at = np.full(len(block["ids"]), -1)
+        at[places] = np.arange(len(places))
+        mine = np.flatnonzero(at[cols] >= 0)
+        for some in np.array_split(mine, -(-len(mine) * unit.shape[1] // SLICE_SCORES) or 1):
+            exact[some] = np.einsum("ij,ij->i", units[unit.shape[1]][rows[some]], unit[at[cols[some]]])
+    return rows, cols, exact
+
+
+def _best_of(docs: pa.Table, block: dict, mode: str, k: int, minimum: float | None, half_life: float) -> Iterator[pa.Table]:
+    """Score documents against one block of queries; rows that may be among the best k, by the query's place in the block."""
     has_query_vector = block["has_vector"]
-    floor = np.full(len(block["ids"]), -np.inf if minimum is None else minimum)
-    # The token matrix of a slice stays at some 32 MB however many tokens the block asks for.
-    step = min(SLICE_ROWS, max(16, 8_000_000 // max(1, len(block["asked"]))))
-    for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            part = batch.slice(start, step)
+    # The scores of a slice stay at some 8 MB, its token matrix at some 32 MB however many tokens the block asks for.
+    step = min(SLICE_ROWS, max(16, SLICE_SCORES // len(block["ids"])), max(16, 8_000_000 // max(1, len(block["asked"]))))
+    for start in range(0, docs.num_rows, step):
+        part = docs.slice(start, step).combine_chunks()
+        age = part.column("age_days").to_numpy()
+        recency = np.ones(len(age)) if half_life <= 0 else np.where(age <= 0, 1.0, np.exp(-np.log(2) / half_life * age))
+        if mode == "vector":
+            rows, cols, semantic = _nearby(part, recency, block, k)
+            keyword, exact = np.zeros(len(rows)), semantic * recency[rows]
+        else:
             # Only vectors of the query's own length are similar to it; every length is scored by itself.
-            has_vector = pc.fill_null(pc.list_value_length(part.column("vector")), 0).to_numpy(zero_copy_only=False) > 0
+            has_vector = pc.fill_null(pc.list_value_length(part.column("vector")), 0).to_numpy() > 0
             semantic = np.zeros((part.num_rows, len(block["ids"])))
-            for places, unit in block["by_length"]:
-                semantic[:, places] = _matrix(part.column("vector"), unit.shape[1]) @ unit.T
+            if mode != "keyword":
+                for places, unit, _ in block["by_length"]:
+                    semantic[:, places] = _matrix(part.column("vector"), unit.shape[1]) @ unit.T
             keyword = np.zeros_like(semantic)
             if mode == "hybrid" or mode == "keyword":
-                sizes = part.column("n_tokens").to_numpy(zero_copy_only=False)
-                tokens = part.column("tokens")
+                sizes = part.column("n_tokens").to_numpy()
+                tokens = part.column("tokens").combine_chunks()
                 owner = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
                 place = pc.fill_null(pc.index_in(tokens.flatten(), block["asked"]), -1).to_numpy(zero_copy_only=False)
                 held = np.zeros((part.num_rows, len(block["asked"])), np.float32)
@@ -222,42 +263,41 @@ def _best_of_batches(
                 keyword = (held @ block["asks"]).astype(np.float64)
                 union = sizes[:, None] + block["n_tokens"][None, :] - keyword
                 keyword = np.divide(keyword, union, out=np.zeros_like(keyword), where=union > 0)
-            age = part.column("age_days").to_numpy(zero_copy_only=False)
-            recency = np.ones(len(age)) if half_life <= 0 else np.where(age <= 0, 1.0, np.exp(-np.log(2) / half_life * age))
             both = has_vector[:, None] & has_query_vector[None, :]
             if mode == "hybrid":
                 base = np.where(both, KEYWORD_WEIGHT * keyword + SEMANTIC_WEIGHT * semantic, keyword)
-            elif mode == "keyword":
-                base, semantic = keyword, np.zeros_like(semantic)
             else:
-                base = semantic
-            exact = base * recency[:, None]
+                base = keyword if mode == "keyword" else semantic
+            whole = base * recency[:, None]
             if mode == "semantic":
-                exact[~has_vector] = -np.inf
-            score = _rounded(exact)
-            if len(score) >= k:
+                whole[~has_vector] = -np.inf
+            if not block["seen"] and len(whole) >= k:
                 # The k-th best of this slice bounds what can still win; ties stay in and are settled by id later.
-                reached = np.partition(score, len(score) - k, axis=0)[len(score) - k]
-                floor = np.maximum(floor, reached)
-            keep = (score >= floor) & np.isfinite(score)
-            if minimum is not None:
-                keep &= exact >= minimum
-            rows, cols = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block["ids"].take(pa.array(cols)),
-                    part.column("id").take(pa.array(rows)),
-                    pa.array(score[rows, cols]),
-                    pa.array(_rounded(keyword[rows, cols])),
-                    pa.array(_rounded(semantic[rows, cols])),
-                    pa.array(_rounded(recency[rows])),
-                ],
-                names=["query_id", "id", "score", "keyword_score", "semantic_score", "recency_factor"],
-            )
-
-
-def _query_block(queries: pa.Table) -> dict:
-    """What the queries of a tile ask for, in the form _best_of_batches works on."""
+                reached = np.partition(np.where(np.isnan(whole), -np.inf, whole), len(whole) - k, axis=0)[len(whole) - k]
+                block["floor"] = np.maximum(block["floor"], np.where(np.isfinite(reached), _rounded(np.where(np.isfinite(reached), reached, 0)), -np.inf))
+            block["seen"] = True
+            rows, cols = np.nonzero(whole >= block["floor"] - 1e-6)
+            exact, keyword, semantic = whole[rows, cols], keyword[rows, cols], semantic[rows, cols]
+        score = _rounded(exact)
+        keep = (score >= block["floor"][cols]) & np.isfinite(score)
+        if minimum is not None:
+            keep &= exact >= minimum
+        rows, cols = rows[keep], cols[keep]
+        yield pa.table(
+            [
+                pa.array(cols.astype(np.int32)),
+                part.column("id").take(pa.array(rows)),
+                pa.array(score[keep]),
+                pa.array(_rounded(keyword[keep])),
+                pa.array(_rounded(semantic[keep])),
+                pa.array(_rounded(recency[rows])),
+            ],
+            names=["query", "id", "score", "keyword_score", "semantic_score", "recency_factor"],
+        )
+
+
+def _query_block(queries: pa.Table, minimum: float | None) -> dict:
+    """What the queries of a block ask for, in the form _best_of works on, and what was found for them so far."""
     vectors = queries.column("vector").combine_chunks()
     sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
     by_length = [(np.flatnonzero(sizes == dim), _matrix(vectors, int(dim))[sizes == dim]) for dim in np.unique(sizes[sizes > 0])]
@@ -268,39 +308,53 @@ def _query_block(queries: pa.Table) -> dict:
     asks[coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(queries.num_rows), n_tokens)] = 1
     return {
         "ids": queries.column("query_id").combine_chunks(),
-        "by_length": by_length,
+        "by_length": [(places, unit, unit.astype(np.float32)) for places, unit in by_length],
         "has_vector": sizes > 0,
         "n_tokens": n_tokens.astype(np.float64),
         "asked": coded.dictionary,
         "asks": asks,
+        "floor": np.full(queries.num_rows, -np.inf if minimum is None else minimum),
+        "seen": False,
+        "found": [],
     }
 
 
-def _tile(mode: str, k: int, minimum: float | None, half_life: float):
-    """Best k documents of a bucket for every query of a block: a state that merges with the states of other buckets."""
-
-    def score(queries: pa.Table, docs: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score", "keyword_score", "semantic_score", "recency_factor"]
-        kept = []
-        if queries.num_rows:
-            for batch in _best_of_batches(iter(docs.combine_chunks().to_batches()), _query_block(queries), mode, k, minimum, half_life):
-                kept.append(batch)
-        if not kept:
-            types = [queries.schema.field("query_id").type, pa.string(), *[pa.float64()] * 4]
-            return pa.table([pa.array([], t) for t in types], names=names)
-        found = pa.Table.from_batches(kept).sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
-        query = found.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(np.diff(query, prepend=-1))
-        place = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query)))
-        return found.filter(pa.array(place < k))
-
-    return score
-
-
-def _dealt(rows: DataFrame, key: str, own: str, parts: int, other: str, copies: int) -> DataFrame:
-    """Rows dealt by a hash of their key into `parts`, one copy for each of the other side's parts."""
-    each = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
-    return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(other, F.explode(each))
+def _merge(block: dict, k: int) -> None:
+    """Keep the best k rows of each query of what was found; the k-th bounds what can still win."""
+    found = pa.concat_tables(block["found"]).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+    query = found.column("query").to_numpy()
+    first = np.flatnonzero(np.diff(query, prepend=-1))
+    place = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query)))
+    last = place == k - 1
+    floor = block["floor"]
+    floor[query[last]] = np.maximum(floor[query[last]], found.column("score").to_numpy()[last])
+    block["found"] = [found.filter(pa.array(place < k))]
+
+
+def _tiles(mode: str, k: int, minimum: float | None, half_life: float):
+    """Best k documents of those that come by for every query that a task holds: they merge with those of other tasks."""
+
+    def meet(pairs: Pairs) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, dict] = {}
+        docs, held = None, None
+        for a_no, a, b_no, b in pairs:
+            if b_no not in asked:
+                asked[b_no] = _query_block(blocks.rows_of(b), minimum)
+            if a_no != held:
+                docs, held = blocks.rows_of(a), a_no
+            block = asked[b_no]
+            for found in _best_of(docs, block, mode, k, minimum, half_life):
+                block["found"].append(found)
+                if sum(t.num_rows for t in block["found"]) > (MERGED + k) * len(block["ids"]):
+                    _merge(block, k)
+        for block in asked.values():
+            if block["found"]:
+                _merge(block, k)
+                found = block["found"][0].combine_chunks()
+                query_id = block["ids"].take(found.column("query").combine_chunks())
+                yield from pa.table([query_id, *found.columns[1:]], ["query_id", *found.column_names[1:]]).to_batches()
+
+    return meet
 
 
 def _score(
@@ -308,30 +362,28 @@ def _score(
 ) -> DataFrame:
     """docs(id, vector, tokens, age_days) x queries(query_id, vector, tokens) -> best k per query.
 
-    A block-nested join: documents are dealt into buckets and queries into blocks, every (bucket, block) tile is one group of a
-    cogroup and returns its best k per query, and the tiles' answers are merged in two steps.  Both sides are written once.
+    Documents and queries are written once, in blocks.  All pairs of blocks meet without a shuffle: a task streams documents past a
+    block of queries and returns the best k of each, so disk grows with documents and queries, not with their pairs.
     """
     narrow = docs.select(
         F.col("id").cast("string").alias("id"),
-        F.col("vector").cast("array<double>").alias("vector"),
+        _numbers(docs),
         "tokens",
         F.size("tokens").cast("double").alias("n_tokens"),
         F.col("age_days").cast("double").alias("age_days"),
     )
-    narrow = saved(narrow, "documents")
-    asked = saved(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), "tokens"), "queries")
-    buckets, blocks = max(1, -(-narrow.count() // TILE_DOCUMENTS)), max(1, -(-asked.count() // QUERY_BLOCK))
-    tile = ["bucket", "block"]
-    left = _dealt(asked, "query_id", "block", blocks, "bucket", buckets).select(*tile, "query_id", "vector", "tokens")
-    right = _dealt(narrow, "id", "bucket", buckets, "block", blocks).select(*tile, "id", "vector", "tokens", "n_tokens", "age_days")
+    asked = queries.select("query_id", _numbers(queries), "tokens")
     query_id = asked.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_id}, id string, score double, keyword_score double, semantic_score double, recency_factor double"
-    found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_tile(mode, k, minimum, half_life), schema)
-    best = [F.desc("score"), F.asc("id")]
-    if buckets > MERGED:
-        found = found.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(-(-buckets // MERGED))))
-        found = ordered.top_rows(found, ["query_id", "part"], best, k).drop("part", "rank")
-    return ordered.top_rows(found, ["query_id"], best, k)
+    narrow, asked = blocks.packed(narrow, "documents", TILE_DOCUMENTS), blocks.packed(asked, "queries", QUERY_BLOCK)
+    found = blocks.in_pairs(narrow, asked, _tiles(mode, k, minimum, half_life), schema)
+    return ordered.top_rows(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def _numbers(rows: DataFrame) -> Column:
+    """The column `vector` as arrays of doubles, or of floats if it has these; they are scored in doubles."""
+    kept = rows.schema["vector"].dataType.simpleString() == "array<float>"
+    return F.col("vector") if kept else F.col("vector").cast("array<double>").alias("vector")
 
 
 _NO_TOKENS = "CAST(array() AS array<string>)"
@@ -339,7 +391,7 @@ _NO_TOKENS = "CAST(array() AS array<string>)"
 
 def vector_top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Cosine similarity, best first; documents without similarity still fill up to k."""
-    d = docs.select("id", F.coalesce("vector", F.array().cast("array<double>")).alias("vector"),
+    d = docs.select("id", F.coalesce("vector", F.array().cast(docs.schema["vector"].dataType)).alias("vector"),
                     F.expr(_NO_TOKENS).alias("tokens"), F.lit(0.0).alias("age_days"))
     q = queries.select("query_id", "vector", F.expr(_NO_TOKENS).alias("tokens"))
     return _score(d, q, "vector", k, None, 0.0).select("query_id", "id", "score", "rank")
